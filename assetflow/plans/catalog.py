@@ -69,3 +69,162 @@ def dedup_plan(spark, sf_dir):
 def scaled_width(spark, sf_dir):
     plan = dedup.dedup_plan(hash_long(spark, sf_dir), dedup.md5_family())
     return dedup.scaled_width(plan, 100).select("hash", "path", "action", "width")
+
+
+# --- filters, paths and move plans ------------------------------------------
+
+from assetflow.functions import paths as P  # noqa: E402
+from assetflow.plans import moves  # noqa: E402
+
+# Driver patterns, anchored at the start of the bare file name.
+DRIVER_PATTERNS = (".*7\\.(jpg|JPG)$", "0000000[0-4].*", ".*\\.gif$")
+CLEANUP_THRESHOLD = 2048
+
+
+def _relpath(c):
+    return F.regexp_replace(c, "^[^/]+/", "")
+
+
+def _mime(path_col):
+    ext = F.lower(F.substring_index(path_col, ".", -1))
+    return (F.when(ext.isin("jpg", "jpeg"), F.lit("image/jpeg"))
+            .when(ext == "png", F.lit("image/png")).when(ext == "gif", F.lit("image/gif"))
+            .when(ext == "webp", F.lit("image/webp")).when(ext == "txt", F.lit("text/plain"))
+            .when(ext == "mp4", F.lit("video/mp4")).otherwise(F.lit("")))
+
+
+@query("regex_any")
+def regex_any(spark, sf_dir):
+    a = views.assets(spark, sf_dir)
+    return a.filter(filters.regex_any(P.basename(F.col("path")), DRIVER_PATTERNS)).select("path")
+
+
+@query("cleanup_classify")
+def cleanup_classify(spark, sf_dir):
+    a = views.assets(spark, sf_dir).withColumn("valid", F.col("h") > 1)
+    return filters.cleanup_classify(a, valid="valid", size_threshold=CLEANUP_THRESHOLD,
+                                    patterns=DRIVER_PATTERNS).select("path", "size", "action")
+
+
+@query("cleanup_plan")
+def cleanup_plan(spark, sf_dir):
+    a = views.assets(spark, sf_dir).withColumn("valid", F.col("h") > 1)
+    return moves.cleanup_plan(a, "/trash", valid="valid", size_threshold=CLEANUP_THRESHOLD,
+                              patterns=DRIVER_PATTERNS)
+
+
+@query("path_rebase")
+def path_rebase(spark, sf_dir):
+    a = views.assets(spark, sf_dir)
+    return a.select("path", P.rebase(_relpath(F.col("path")), "/restore").alias("dst"))
+
+
+@query("flat_rename")
+def flat_rename(spark, sf_dir):
+    a = views.assets(spark, sf_dir)
+    return a.select("path", F.concat(F.lit("/flat/"), P.flat_name(_relpath(F.col("path")))).alias("dst"))
+
+
+@query("move_plan")
+def move_plan(spark, sf_dir):
+    return moves.move_plan(views.assets(spark, sf_dir), "/archive")
+
+
+def _md5_plan(spark, sf_dir):
+    a = views.assets(spark, sf_dir)
+    ext = F.lower(F.substring_index(F.col("path"), ".", -1))
+    return a.select(F.col("path").alias("src"),
+                    F.concat(F.lit("/by_md5/"), F.md5("content"), F.lit("."), ext).alias("dst"))
+
+
+@query("move_conflicts")
+def move_conflicts(spark, sf_dir):
+    a = views.assets(spark, sf_dir)
+    existing = a.filter(F.col("doc_id") % 5 == 0).select(
+        F.concat(F.lit("/by_md5/"), F.md5("content"), F.lit(".jpg")).alias("path"))
+    return moves.move_conflicts(_md5_plan(spark, sf_dir), existing)
+
+
+@query("needed_dirs")
+def needed_dirs(spark, sf_dir):
+    return moves.needed_dirs(move_plan(spark, sf_dir))
+
+
+@query("move_preview")
+def move_preview(spark, sf_dir):
+    return moves.preview(move_plan(spark, sf_dir))
+
+
+@query("magic_type")
+def magic_type(spark, sf_dir):
+    a = views.assets(spark, sf_dir)
+    return a.select("path", filters.magic_type(F.col("content").cast("binary")).alias("magic"))
+
+
+@query("image_only")
+def image_only(spark, sf_dir):
+    a = views.assets(spark, sf_dir).withColumn("mime", _mime(F.col("path"))) \
+        .withColumn("bytes", F.col("content").cast("binary"))
+    return filters.image_only(a, "mime", "bytes").select("path", "mime")
+
+
+# --- scoring, report rows and pages -----------------------------------------
+
+from assetflow.operators import paging, scoring  # noqa: E402
+
+# The driver's class dimension over event types, in priority order.
+DRIVER_CLASSES = scoring.ClassDimension(rows=(
+    ("purchase", 1024, "99-purchase"),
+    ("signup", 64, "59-signup"),
+    ("error", 4, "19-error"),
+    ("click", 1, "09-click"),
+    ("view", 1, "09-view"),
+), face_bit=4)
+
+
+@query("weighted_detections")
+def weighted_detections(spark, sf_dir):
+    return scoring.weighted_detections(views.detections(spark, sf_dir), DRIVER_CLASSES) \
+        .select("det_id", "asset_id", "class", "weight")
+
+
+def _scored(spark, sf_dir):
+    s = scoring.score_assets(views.detection_assets(spark, sf_dir), views.detections(spark, sf_dir),
+                             DRIVER_CLASSES)
+    return s.withColumn("score", F.round("score", 6))
+
+
+@query("detection_score")
+def detection_score(spark, sf_dir):
+    return _scored(spark, sf_dir).select("asset_id", "score")
+
+
+@query("detection_mask")
+def detection_mask(spark, sf_dir):
+    return _scored(spark, sf_dir).select("asset_id", "mask")
+
+
+@query("detection_label")
+def detection_label(spark, sf_dir):
+    return scoring.label_assets(_scored(spark, sf_dir), DRIVER_CLASSES).select("asset_id", "score", "mask", "label")
+
+
+def _rows(spark, sf_dir):
+    lab = scoring.label_assets(_scored(spark, sf_dir), DRIVER_CLASSES)
+    return paging.report_rows(lab, "label", ("score", "size", "path"), imgs_per_row=7)
+
+
+@query("report_row_index")
+def report_row_index(spark, sf_dir):
+    return _rows(spark, sf_dir).select("asset_id", "label", "pos", "row_idx", "col_idx")
+
+
+@query("report_pages")
+def report_pages(spark, sf_dir):
+    return paging.report_pages(_rows(spark, sf_dir), "label", imgs_per_row=7) \
+        .select("asset_id", "label", "row_idx", "page", "page_name")
+
+
+@query("grid_layout")
+def grid_layout(spark, sf_dir):
+    return paging.grid_layout(views.assets(spark, sf_dir).select("path"), ("path",), cols=5)

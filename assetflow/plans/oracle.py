@@ -35,3 +35,87 @@ sql("scaled_width", f"""{with_views(ASSETS, _KEPT, _LONG, _RANKED)}
   SELECT hash, path, CASE WHEN rn = 1 THEN 'keep' ELSE 'move' END AS action,
          CAST(floor(100 * w / first_value(w) OVER (PARTITION BY hash_type, hash ORDER BY rn)) AS BIGINT) AS width
   FROM ranked WHERE n_members >= 2""")
+
+# --- filters, paths and move plans ------------------------------------------
+
+from assetflow.plans.sqlviews import DETECTION_ASSETS, DETECTIONS  # noqa: E402
+
+_BASENAME = "regexp_extract(path, '[^/]*$', 0)"
+_PATTERNS = ["'^(?:.*7\\.(jpg|JPG)$)'", "'^(?:0000000[0-4].*)'", "'^(?:.*\\.gif$)'"]
+_RX_ANY = " OR ".join(f"regexp_matches({_BASENAME}, {p})" for p in _PATTERNS)
+_CLEAN = f"""classified AS (
+  SELECT path, size, CASE WHEN size < 2048 THEN 'small' WHEN {_RX_ANY} THEN 'pattern'
+                          WHEN NOT (h > 1) THEN 'invalid' ELSE 'keep' END AS action
+  FROM assets WHERE NOT ({skip_pred()}))"""
+_REL = "regexp_replace(path, '^[^/]+/', '')"
+
+sql("regex_any", f"{with_views(ASSETS)} SELECT path FROM assets WHERE {_RX_ANY}")
+sql("cleanup_classify", f"{with_views(ASSETS, _CLEAN)} SELECT path, size, action FROM classified")
+sql("cleanup_plan", f"""{with_views(ASSETS, _CLEAN)}
+  SELECT path AS src, '/trash/' || path AS dst, regexp_extract('/trash/' || path, '^(.*)/[^/]*$', 1) AS dst_dir, action
+  FROM classified WHERE action <> 'keep'""")
+sql("path_rebase", f"{with_views(ASSETS)} SELECT path, '/restore/' || {_REL} AS dst FROM assets")
+_FLAT_NAME = f"""CASE WHEN contains(regexp_extract({_REL}, '[^/]*$', 0), '.')
+      THEN regexp_extract(regexp_extract({_REL}, '[^/]*$', 0), '^(.*)\\.[^.]*$', 1) ELSE '' END
+    || '.' || substr(sha256({_REL}), 1, 16) || '.' || regexp_extract({_REL}, '[^.]*$', 0)"""
+sql("flat_rename", f"{with_views(ASSETS)} SELECT path, '/flat/' || {_FLAT_NAME} AS dst FROM assets")
+_MOVE = f"""plan AS (SELECT path AS src, '/archive/' || path AS dst,
+  regexp_extract('/archive/' || path, '^(.*)/[^/]*$', 1) AS dst_dir FROM assets
+  WHERE NOT ends_with(lower(path), '.ds_store'))"""
+sql("move_plan", f"{with_views(ASSETS, _MOVE)} SELECT * FROM plan")
+sql("needed_dirs", f"{with_views(ASSETS, _MOVE)} SELECT DISTINCT dst_dir FROM plan")
+sql("move_preview", f"{with_views(ASSETS, _MOVE)} SELECT * FROM plan ORDER BY src LIMIT 30")
+sql("move_conflicts", f"""{with_views(ASSETS)},
+  plan AS (SELECT path AS src, '/by_md5/' || md5(content) || '.' || lower(regexp_extract(path, '[^.]*$', 0)) AS dst FROM assets),
+  existing AS (SELECT DISTINCT '/by_md5/' || md5(content) || '.jpg' AS dst FROM assets WHERE doc_id % 5 = 0),
+  claims AS (SELECT dst, count(*) AS n_claims FROM plan GROUP BY dst)
+  SELECT p.src, p.dst, c.n_claims,
+         CASE WHEN p.dst IN (SELECT dst FROM existing) THEN 'exists' ELSE 'duplicate' END AS reason
+  FROM plan p JOIN claims c USING (dst)
+  WHERE p.dst IN (SELECT dst FROM existing) OR c.n_claims > 1""")
+_HEAD = "lower(substr(hex(encode(content)), 1, 8))"
+_MAGIC = f"""CASE WHEN {_HEAD} = '89504e47' THEN 'PNG' WHEN {_HEAD} = '47494638' THEN 'GIF'
+  WHEN {_HEAD} IN ('ffd8ffe0','ffd8ffe1','ffd8ffee','ffd8ffdb') THEN 'JPEG'
+  WHEN {_HEAD} = '52494646' THEN 'RIFF/WEBP' WHEN starts_with({_HEAD}, '424d') THEN 'BMP' ELSE 'UNKNOWN' END"""
+sql("magic_type", f"{with_views(ASSETS)} SELECT path, {_MAGIC} AS magic FROM assets")
+_MIME = """CASE lower(regexp_extract(path, '[^.]*$', 0)) WHEN 'jpg' THEN 'image/jpeg' WHEN 'jpeg' THEN 'image/jpeg'
+  WHEN 'png' THEN 'image/png' WHEN 'gif' THEN 'image/gif' WHEN 'webp' THEN 'image/webp'
+  WHEN 'txt' THEN 'text/plain' WHEN 'mp4' THEN 'video/mp4' ELSE '' END"""
+sql("image_only", f"""{with_views(ASSETS)} SELECT path, mime FROM (SELECT path, {_MIME} AS mime, {_MAGIC} AS magic FROM assets)
+  WHERE contains(mime, 'image') OR magic <> 'UNKNOWN'""")
+
+# --- scoring, report rows and pages -----------------------------------------
+
+_DIM = """dim AS (SELECT * FROM (VALUES (1, 'purchase', 1024, '99-purchase'), (2, 'signup', 64, '59-signup'),
+  (3, 'error', 4, '19-error'), (4, 'click', 1, '09-click'), (5, 'view', 1, '09-view'))
+  AS t(ordinal, class, weight, group_key))"""
+_SCORED = """scored AS (
+  SELECT a.asset_id, a.path, a.size, round(coalesce(p.score, 0), 6) AS score, CAST(coalesce(p.mask, 0) AS BIGINT) AS mask
+  FROM detection_assets a LEFT JOIN (
+    SELECT asset_id, sum((1 + score) * weight) AS score, bit_or(weight) AS mask
+    FROM detections JOIN dim USING (class) GROUP BY asset_id) p USING (asset_id))"""
+_LABELED = """labeled AS (
+  SELECT *, coalesce(nullif((CASE WHEN mask & 4 <> 0 THEN 'face-' ELSE '' END) ||
+     coalesce((SELECT min_by(group_key, ordinal) FROM dim WHERE (mask & weight) <> 0), ''), ''), '00-neutral') AS label
+  FROM scored)"""
+_ROWS = """rows AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY label ORDER BY score, size, path) AS BIGINT) AS pos FROM labeled),
+  rows2 AS (SELECT *, CAST((pos - 1) // 7 AS BIGINT) AS row_idx, CAST((pos - 1) % 7 AS BIGINT) AS col_idx FROM rows)"""
+_SCORE_VIEWS = (DETECTION_ASSETS, DETECTIONS, _DIM, _SCORED)
+
+sql("weighted_detections", f"""{with_views(DETECTIONS, _DIM)}
+  SELECT det_id, asset_id, class, CAST(weight AS BIGINT) AS weight FROM detections JOIN dim USING (class)""")
+sql("detection_score", f"{with_views(*_SCORE_VIEWS)} SELECT asset_id, score FROM scored")
+sql("detection_mask", f"{with_views(*_SCORE_VIEWS)} SELECT asset_id, mask FROM scored")
+sql("detection_label", f"{with_views(*_SCORE_VIEWS, _LABELED)} SELECT asset_id, score, mask, label FROM labeled")
+sql("report_row_index", f"""{with_views(*_SCORE_VIEWS, _LABELED, _ROWS)}
+  SELECT asset_id, label, pos, row_idx, col_idx FROM rows2""")
+sql("report_pages", f"""{with_views(*_SCORE_VIEWS, _LABELED, _ROWS)},
+  lp AS (SELECT label, CAST(ceil(ceil(count(*) / 7) / 100) AS BIGINT) AS pages FROM labeled GROUP BY label),
+  off AS (SELECT label, coalesce(sum(pages) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_page FROM lp)
+  SELECT asset_id, label, row_idx, CAST(first_page + row_idx // 100 AS BIGINT) AS page,
+         printf('%s-%03d', label, CAST(first_page + row_idx // 100 AS BIGINT)) AS page_name
+  FROM rows2 JOIN off USING (label)""")
+sql("grid_layout", f"""{with_views(ASSETS)}
+  SELECT path, CAST((rn - 1) // 5 AS BIGINT) AS grid_row, CAST((rn - 1) % 5 AS BIGINT) AS grid_col
+  FROM (SELECT path, row_number() OVER (ORDER BY path) AS rn FROM assets)""")
