@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from assetflow.functions.arrays import let
+
 # Perceptual hash configurations as (thumbnail side, gray bits).
 PHASH_CONFIGS = ((4, 2), (5, 2), (6, 2), (7, 2), (8, 2),
                  (4, 1), (5, 1), (6, 1), (7, 1), (8, 1))
@@ -30,13 +32,13 @@ def bits_to_hex(bits: Column) -> Column:
     nibble (each nibble fits ``conv`` trivially).  An all-zero string gives
     ``0x0``.
     """
-    n_nib = F.floor((F.length(bits) + 3) / 4).cast("int")
-    padded = F.lpad(bits, n_nib * 4, "0")
-    digits = F.transform(
-        F.sequence(F.lit(0), n_nib - 1),
-        lambda i: F.lower(F.conv(F.substring(padded, i * 4 + 1, 4), 2, 16)),
-    )
-    stripped = F.regexp_replace(F.array_join(digits, ""), "^0+", "")
+    def body(b):
+        n_nib = F.floor((F.length(b) + 3) / 4).cast("int")
+        return let(F.lpad(b, n_nib * 4, "0"), lambda padded: F.array_join(F.transform(
+            F.sequence(F.lit(0), n_nib - 1),
+            lambda i: F.lower(F.conv(F.substring(padded, i * 4 + 1, 4), 2, 16))), ""))
+
+    stripped = F.regexp_replace(let(bits, body), "^0+", "")
     return F.when(stripped == "", F.lit("0x0")).otherwise(F.concat(F.lit("0x"), stripped))
 
 
@@ -47,12 +49,12 @@ def gray_levels(px: Column, bits: int) -> Column:
     arithmetic in the original this yields level 0 (flat images hash to
     ``0x0``).  Levels may reach ``2**bits`` or more; that is kept.
     """
-    mn, mx = F.array_min(px), F.array_max(px)
-    step = F.floor((mx - mn) / (2 ** bits))
-    return F.transform(
-        px,
-        lambda v: F.coalesce(F.floor((v - mn) / F.nullif(step, F.lit(0))), F.lit(0)).cast("long"),
-    )
+    def body(p):
+        mn, mx = F.array_min(p), F.array_max(p)
+        return let(F.struct(mn.alias("mn"), F.floor((mx - mn) / (2 ** bits)).alias("step")),
+                   lambda s: F.transform(p, lambda v: F.coalesce(
+                       F.floor((v - s["mn"]) / F.nullif(s["step"], F.lit(0))), F.lit(0)).cast("long")))
+    return let(px, body)
 
 
 def levels_to_bits(levels: Column, bits: int) -> Column:
@@ -78,19 +80,24 @@ def resize_box(px: Column, in_h: Column, in_w: Column, out_h: int, out_w: int) -
     def hi(i, size, out):
         return F.greatest(lo(i, size, out) + 1, F.floor((i + 1) * size / out).cast("int"))
 
-    def cell(k):
-        i = F.floor(k / out_w).cast("int")
-        j = (k % out_w).cast("int")
-        rows = F.sequence(lo(i, in_h, out_h), hi(i, in_h, out_h) - 1)
-        cols = F.sequence(lo(j, in_w, out_w), hi(j, in_w, out_w) - 1)
-        total = F.aggregate(
-            rows, F.lit(0).cast("long"),
-            lambda acc, r: acc + F.aggregate(
-                cols, F.lit(0).cast("long"),
-                lambda a2, c: a2 + F.element_at(px, r * in_w + c + 1).cast("long")))
-        return F.floor(total / (F.size(rows) * F.size(cols))).cast("int")
+    def body(s):
+        p, hh, ww = s["p"], s["h"], s["w"]
 
-    return F.transform(F.sequence(F.lit(0), F.lit(out_h * out_w - 1)), cell)
+        def cell(k):
+            i = F.floor(k / out_w).cast("int")
+            j = (k % out_w).cast("int")
+            rows = F.sequence(lo(i, hh, out_h), hi(i, hh, out_h) - 1)
+            cols = F.sequence(lo(j, ww, out_w), hi(j, ww, out_w) - 1)
+            total = F.aggregate(
+                rows, F.lit(0).cast("long"),
+                lambda acc, r: acc + F.aggregate(
+                    cols, F.lit(0).cast("long"),
+                    lambda a2, c: a2 + F.element_at(p, r * ww + c + 1).cast("long")))
+            return F.floor(total / (F.size(rows) * F.size(cols))).cast("int")
+
+        return F.transform(F.sequence(F.lit(0), F.lit(out_h * out_w - 1)), cell)
+
+    return let(F.struct(px.alias("p"), in_h.cast("int").alias("h"), in_w.cast("int").alias("w")), body)
 
 
 def phash(px: Column, in_h: Column, in_w: Column, side: int, bits: int) -> Column:
@@ -100,11 +107,16 @@ def phash(px: Column, in_h: Column, in_w: Column, side: int, bits: int) -> Colum
 
 
 def phash_map(px: Column, in_h: Column, in_w: Column, configs=PHASH_CONFIGS) -> Column:
-    """All configured perceptual hashes of one image as ``MAP<type, hash>``."""
-    kv = []
-    for side, bits in configs:
-        kv += [F.lit(phash_name(side, bits)), phash(px, in_h, in_w, side, bits)]
-    return F.create_map(*kv)
+    """All configured perceptual hashes of one image as ``MAP<type, hash>``.
+
+    The decoded pixels are bound once and shared by every configuration.
+    """
+    def body(s):
+        kv = []
+        for side, bits in configs:
+            kv += [F.lit(phash_name(side, bits)), phash(s["p"], s["h"], s["w"], side, bits)]
+        return F.create_map(*kv)
+    return let(F.struct(px.alias("p"), in_h.cast("int").alias("h"), in_w.cast("int").alias("w")), body)
 
 
 def grayscale_bgr(data: Column, n_channels: Column) -> Column:
@@ -142,8 +154,10 @@ def ascii_art(px: Column, in_h: Column, in_w: Column, new_width: int, new_height
 
 def split_fixed_width(s: Column, width: int) -> Column:
     """Cut a string into rows of ``width`` characters joined by newlines."""
-    n = F.length(s)
-    return F.when(n == 0, F.lit("")).otherwise(F.array_join(
-        F.transform(F.sequence(F.lit(0), F.floor((n - 1) / width).cast("int")),
-                    lambda i: F.substring(s, i * width + 1, width)),
-        "\n"))
+    def body(v):
+        n = F.length(v)
+        return F.when(n == 0, F.lit("")).otherwise(F.array_join(
+            F.transform(F.sequence(F.lit(0), F.floor((n - 1) / width).cast("int")),
+                        lambda i: F.substring(v, i * width + 1, width)),
+            "\n"))
+    return let(s, body)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from assetflow.operators import dedup, filters
 from assetflow.sources import views
+from assetflow.sources.tables import read_table
 
 QUERIES = {}
 
@@ -228,3 +229,118 @@ def report_pages(spark, sf_dir):
 @query("grid_layout")
 def grid_layout(spark, sf_dir):
     return paging.grid_layout(views.assets(spark, sf_dir).select("path"), ("path",), cols=5)
+
+
+# --- pixels: perceptual hashes and character art ----------------------------
+
+from assetflow.functions import hashing as H  # noqa: E402
+
+
+def _pixel_assets(spark, sf_dir):
+    p = views.pixels(spark, sf_dir)
+    return p.select("image_id", F.format_string("img/%06d.png", "image_id").alias("path"),
+                    F.lit(64).cast("long").alias("size"), F.col("width").cast("long").alias("w"),
+                    F.col("height").cast("long").alias("h"), "px", "height", "width")
+
+
+@query("phash")
+def phash(spark, sf_dir):
+    p = dedup.with_hashes(_pixel_assets(spark, sf_dir), dedup.phash_family())
+    return p.select("image_id", F.explode("hashes").alias("hash_type", "hash"))
+
+
+@query("dup_groups_phash")
+def dup_groups_phash(spark, sf_dir):
+    fam = dedup.phash_family()
+    long = dedup.hash_long(dedup.with_hashes(_pixel_assets(spark, sf_dir), fam))
+    return dedup.duplicate_groups(long, fam)
+
+
+@query("resize")
+def resize(spark, sf_dir):
+    p = views.pixels(spark, sf_dir)
+    return p.select("image_id", H.resize_box(F.col("px"), F.col("height"), F.col("width"), 4, 4).alias("small"))
+
+
+@query("ascii_ramp")
+def ascii_ramp(spark, sf_dir):
+    p = views.pixels(spark, sf_dir)
+    return p.select("image_id", H.ascii_art(F.col("px"), F.col("height"), F.col("width"), 8, 4).alias("art"))
+
+
+# --- search, slices, diffs, hex dumps ---------------------------------------
+
+from assetflow.operators import search  # noqa: E402
+
+NAME_PATTERN = "src1[0-3]/(de|fr)/"
+CONTENT_PATTERN = "ou[ei]"
+
+
+@query("text_lines")
+def text_lines(spark, sf_dir):
+    return views.lines(spark, sf_dir).select("file", "line_no", "value")
+
+
+@query("name_grep")
+def name_grep(spark, sf_dir):
+    return search.name_grep(views.assets(spark, sf_dir).select("path"), NAME_PATTERN)
+
+
+@query("name_grep_first")
+def name_grep_first(spark, sf_dir):
+    return search.name_grep(views.assets(spark, sf_dir).select("path"), NAME_PATTERN, search.SHORT_MATCH_CAP)
+
+
+@query("name_grep_meta")
+def name_grep_meta(spark, sf_dir):
+    return search.name_grep(views.assets(spark, sf_dir).select("path", "size", "w", "h"), NAME_PATTERN)
+
+
+@query("content_grep")
+def content_grep(spark, sf_dir):
+    return search.content_grep(views.lines(spark, sf_dir), CONTENT_PATTERN, 3).select("file", "line_no", "value")
+
+
+@query("name_content_grep")
+def name_content_grep(spark, sf_dir):
+    return search.name_content_grep(views.lines(spark, sf_dir), ["/fr/", "\\.(jpg|png)$"], "[éè]") \
+        .select("file", "line_no", "value")
+
+
+@query("multi_source_grep")
+def multi_source_grep(spark, sf_dir):
+    docs = views.lines(spark, sf_dir).select("file", "line_no", "value")
+    conv = read_table(spark, sf_dir, "conversations").select(
+        F.format_string("conversations/%06d.txt", "conv_id").alias("file"),
+        F.col("turn").cast("long").alias("line_no"), F.col("text").alias("value"))
+    return search.multi_source_grep([docs, conv], "\\b[Tt]he\\b", 5)
+
+
+@query("line_slice")
+def line_slice(spark, sf_dir):
+    return search.line_slice(views.lines(spark, sf_dir), 2, 4).select("file", "line_no", "value")
+
+
+@query("line_range_diff")
+def line_range_diff(spark, sf_dir):
+    ln = views.lines(spark, sf_dir)
+    a = search.line_slice(ln, 1, 5).withColumn("range_start", F.lit(1))
+    b = search.line_slice(ln, 3, 7).withColumn("range_start", F.lit(3))
+    return search.line_range_diff(a, b)
+
+
+def _hex(spark, sf_dir):
+    return search.hex_rows(views.assets(spark, sf_dir).select("doc_id", "path", "content"), key="doc_id")
+
+
+@query("hex_rows")
+def hex_rows(spark, sf_dir):
+    return _hex(spark, sf_dir)
+
+
+@query("hex_diff")
+def hex_diff(spark, sf_dir):
+    hx = _hex(spark, sf_dir).withColumn("pair", F.floor(F.col("doc_id") / 2).cast("long"))
+    left = hx.filter(F.col("doc_id") % 2 == 0)
+    right = hx.filter(F.col("doc_id") % 2 == 1)
+    return search.hex_diff(left, right, "pair")

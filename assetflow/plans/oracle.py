@@ -119,3 +119,88 @@ sql("report_pages", f"""{with_views(*_SCORE_VIEWS, _LABELED, _ROWS)},
 sql("grid_layout", f"""{with_views(ASSETS)}
   SELECT path, CAST((rn - 1) // 5 AS BIGINT) AS grid_row, CAST((rn - 1) % 5 AS BIGINT) AS grid_col
   FROM (SELECT path, row_number() OVER (ORDER BY path) AS rn FROM assets)""")
+
+# --- pixels ------------------------------------------------------------------
+
+from assetflow.plans.sqlviews import LINES, PIXELS  # noqa: E402
+
+
+def _resize_sql(px: str, hh: int, ww: int, oh: str, ow: str) -> str:
+    lo_r = f"((k // {ow}) * {hh}) // {oh}"
+    hi_r = f"greatest({lo_r} + 1, ((k // {ow} + 1) * {hh}) // {oh})"
+    lo_c = f"((k % {ow}) * {ww}) // {ow}"
+    hi_c = f"greatest({lo_c} + 1, ((k % {ow} + 1) * {ww}) // {ow})"
+    inner = (f"list_sum(list_transform(range({lo_r}, {hi_r}), lambda r: "
+             f"list_sum(list_transform(range({lo_c}, {hi_c}), lambda c: {px}[r * {ww} + c + 1]))))")
+    return (f"list_transform(range({oh} * {ow}), lambda k: CAST(floor({inner} / "
+            f"(({hi_r} - {lo_r}) * ({hi_c} - {lo_c}))) AS BIGINT))")
+
+
+_HEX_OF_BITS = """CASE WHEN ltrim(array_to_string(list_transform(range(length(pb) // 4), lambda i:
+      substr('0123456789abcdef', 1 + 8 * CAST(substr(pb, i * 4 + 1, 1) AS INT) + 4 * CAST(substr(pb, i * 4 + 2, 1) AS INT)
+             + 2 * CAST(substr(pb, i * 4 + 3, 1) AS INT) + CAST(substr(pb, i * 4 + 4, 1) AS INT), 1)), ''), '0') = ''
+    THEN '0x0' ELSE '0x' || ltrim(array_to_string(list_transform(range(length(pb) // 4), lambda i:
+      substr('0123456789abcdef', 1 + 8 * CAST(substr(pb, i * 4 + 1, 1) AS INT) + 4 * CAST(substr(pb, i * 4 + 2, 1) AS INT)
+             + 2 * CAST(substr(pb, i * 4 + 3, 1) AS INT) + CAST(substr(pb, i * 4 + 4, 1) AS INT), 1)), ''), '0') END"""
+
+_PHASH = f"""{with_views(PIXELS)},
+  cfg AS (SELECT * FROM (VALUES (4, 2), (5, 2), (6, 2), (7, 2), (8, 2), (4, 1), (5, 1), (6, 1), (7, 1), (8, 1)) t(s, b)),
+  rs AS (SELECT image_id, s, b, {_resize_sql('px', 8, 8, 's', 's')} AS sm FROM pixels, cfg),
+  lv AS (SELECT image_id, s, b, list_transform(sm, lambda v: CASE WHEN (list_max(sm) - list_min(sm)) // CAST(pow(2, b) AS BIGINT) = 0
+           THEN 0 ELSE (v - list_min(sm)) // ((list_max(sm) - list_min(sm)) // CAST(pow(2, b) AS BIGINT)) END) AS lev FROM rs),
+  bs AS (SELECT image_id, s, b, array_to_string(list_transform(lev, lambda l: CASE WHEN length(bin(l)) < b
+           THEN lpad(bin(l), CAST(b AS INTEGER), '0') ELSE bin(l) END), '') AS bits FROM lv),
+  pb AS (SELECT image_id, s, b, lpad(bits, CAST(ceil(length(bits) / 4) * 4 AS INTEGER), '0') AS pb FROM bs),
+  hashes AS (SELECT image_id, 'simhash' || CAST(s * s AS VARCHAR) || 'x' || CAST(CAST(pow(2, b) AS BIGINT) AS VARCHAR) AS hash_type,
+           {_HEX_OF_BITS} AS hash FROM pb)"""
+
+sql("phash", f"{_PHASH} SELECT image_id, hash_type, hash FROM hashes")
+sql("dup_groups_phash", f"""{_PHASH},
+  ranked AS (SELECT hash_type, hash, image_id, count(*) OVER (PARTITION BY hash_type, hash) AS n_members,
+             row_number() OVER (PARTITION BY hash_type, hash ORDER BY printf('img/%06d.png', image_id)) AS rn FROM hashes)
+  SELECT hash_type, hash, n_members, printf('img/%06d.png', image_id) AS keep_path FROM ranked WHERE rn = 1 AND n_members >= 2""")
+sql("resize", f"{with_views(PIXELS)} SELECT image_id, CAST({_resize_sql('px', 8, 8, '4', '4')} AS INTEGER[]) AS small FROM pixels")
+sql("ascii_ramp", f"""{with_views(PIXELS)},
+  sm AS (SELECT image_id, {_resize_sql('px', 8, 8, '4', '8')} AS sm FROM pixels),
+  ch AS (SELECT image_id, array_to_string(list_transform(sm, lambda v: (['@','#','S','%','?','*','+',';',':',',','.'])[v // 25 + 1]), '') AS s FROM sm)
+  SELECT image_id, array_to_string(list_transform(range(length(s) // 8), lambda i: substr(s, i * 8 + 1, 8)), chr(10)) AS art FROM ch""")
+
+# --- search ------------------------------------------------------------------
+
+_NAME_RX = "'src1[0-3]/(de|fr)/'"
+sql("text_lines", f"{with_views(LINES)} SELECT file, line_no, value FROM lines")
+sql("name_grep", f"{with_views(ASSETS)} SELECT path FROM assets WHERE regexp_matches(path, {_NAME_RX}) ORDER BY path LIMIT 10000")
+sql("name_grep_first", f"{with_views(ASSETS)} SELECT path FROM assets WHERE regexp_matches(path, {_NAME_RX}) ORDER BY path LIMIT 1")
+sql("name_grep_meta", f"{with_views(ASSETS)} SELECT path, size, w, h FROM assets WHERE regexp_matches(path, {_NAME_RX}) ORDER BY path LIMIT 10000")
+sql("content_grep", f"""{with_views(LINES)} SELECT file, line_no, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY file ORDER BY line_no) AS rn FROM lines WHERE regexp_matches(value, 'ou[ei]'))
+  WHERE rn <= 3""")
+sql("name_content_grep", f"""{with_views(LINES)} SELECT file, line_no, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY file ORDER BY line_no) AS rn FROM lines
+  WHERE regexp_matches(file, '/fr/') AND regexp_matches(file, '\\.(jpg|png)$') AND regexp_matches(value, '[éè]'))
+  WHERE rn <= 10000""")
+sql("multi_source_grep", f"""{with_views(LINES)},
+  src AS (SELECT file, line_no, value FROM lines
+          UNION ALL SELECT printf('conversations/%06d.txt', conv_id), CAST(turn AS BIGINT), text FROM conversations)
+  SELECT file, line_no, value FROM (
+    SELECT *, row_number() OVER (PARTITION BY file ORDER BY line_no) AS rn FROM src WHERE regexp_matches(value, '\\b[Tt]he\\b'))
+  WHERE rn <= 5""")
+sql("line_slice", f"{with_views(LINES)} SELECT file, line_no, value FROM lines WHERE line_no BETWEEN 2 AND 4")
+sql("line_range_diff", f"""{with_views(LINES)},
+  a AS (SELECT file, line_no - 1 AS rel, value AS left_value FROM lines WHERE line_no BETWEEN 1 AND 5),
+  b AS (SELECT file, line_no - 3 AS rel, value AS right_value FROM lines WHERE line_no BETWEEN 3 AND 7)
+  SELECT coalesce(a.file, b.file) AS file, CAST(coalesce(a.rel, b.rel) AS BIGINT) AS rel, left_value, right_value
+  FROM a FULL OUTER JOIN b ON a.file = b.file AND a.rel = b.rel
+  WHERE left_value IS DISTINCT FROM right_value""")
+_HEXROWS = f"""{with_views(ASSETS)},
+  hx AS (SELECT doc_id, lower(hex(encode(content))) AS hx FROM assets WHERE strlen(content) > 0),
+  hexrows AS (SELECT doc_id, CAST(off AS BIGINT) AS "offset",
+      rtrim(regexp_replace(substr(hx, off * 2 + 1, 32), '(....)', '\\1 ', 'g')) AS hex
+    FROM (SELECT doc_id, hx, unnest(range(0, length(hx) // 2, 16)) AS off FROM hx))"""
+sql("hex_rows", f'{_HEXROWS} SELECT doc_id, "offset", hex FROM hexrows')
+sql("hex_diff", f"""{_HEXROWS},
+  a AS (SELECT doc_id // 2 AS pair, "offset", hex AS left_hex FROM hexrows WHERE doc_id % 2 = 0),
+  b AS (SELECT doc_id // 2 AS pair, "offset", hex AS right_hex FROM hexrows WHERE doc_id % 2 = 1)
+  SELECT CAST(coalesce(a.pair, b.pair) AS BIGINT) AS pair, coalesce(a."offset", b."offset") AS "offset", left_hex, right_hex
+  FROM a FULL OUTER JOIN b ON a.pair = b.pair AND a."offset" = b."offset"
+  WHERE left_hex IS DISTINCT FROM right_hex""")

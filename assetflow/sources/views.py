@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assetflow.functions.arrays import let
 from assetflow.sources.tables import read_table
 
 # Extension assigned by doc_id % 8 (exercises the suffix rules).
@@ -101,11 +102,11 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """8x8 gray image per embedding, scaled per row to 0..255 by min/max."""
     e = read_table(spark, sf_dir, "embeddings")
     v = F.transform("embedding", lambda x: x.cast("double"))
-    mn, mx = F.array_min(v), F.array_max(v)
-    px = F.transform(
-        v,
-        lambda x: F.when(mx > mn, F.floor((x - mn) / (mx - mn) * 255)).otherwise(F.lit(0)).cast("int"),
-    )
+    stats = F.struct(v.alias("v"), F.array_min(v).alias("mn"), F.array_max(v).alias("mx"))
+    px = let(stats, lambda s: F.transform(
+        s["v"],
+        lambda x: F.when(s["mx"] > s["mn"], F.floor((x - s["mn"]) / (s["mx"] - s["mn"]) * 255))
+        .otherwise(F.lit(0)).cast("int")))
     return e.select(
         F.col("vec_id").alias("image_id"),
         F.lit(PIXEL_SIDE).alias("height"),
