@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from assetflow.functions.arrays import let
 from assetflow.functions.text import align_pair, is_han
 
 PER_LINE_CAP = 3      # fixed value: annotations of one character per line
@@ -86,14 +87,17 @@ def interlinear(tokens: Column, width: int = WRAP_WIDTH, char_class: str = "\\p{
     space is added between two class tokens when neither gloss already has a
     space at the seam.  Sequential within a line; lines run in parallel.
     """
-    aligned = F.transform(tokens, lambda t: F.struct(
-        align_pair(t["text"], t["gloss"], char_class)["a"].alias("h"),
-        align_pair(t["text"], t["gloss"], char_class)["b"].alias("p"),
-        is_han(t["text"], char_class).alias("han")))
-    items = F.transform(aligned, lambda t, i: F.struct(
-        t["h"].alias("h"), t["p"].alias("p"), t["han"].alias("han"),
-        F.coalesce(F.get(aligned, i + 1)["han"], F.lit(False)).alias("next_han"),
-        F.coalesce(F.get(aligned, i + 1)["p"].startswith(" "), F.lit(False)).alias("next_sp")))
+    def pair(t):
+        return let(align_pair(t["text"], t["gloss"], char_class), lambda ab: F.struct(
+            ab["a"].alias("h"), ab["b"].alias("p"), is_han(t["text"], char_class).alias("han")))
+
+    def with_next(aligned):
+        return F.transform(aligned, lambda t, i: F.struct(
+            t["h"].alias("h"), t["p"].alias("p"), t["han"].alias("han"),
+            F.coalesce(F.get(aligned, i + 1)["han"], F.lit(False)).alias("next_han"),
+            F.coalesce(F.get(aligned, i + 1)["p"].startswith(" "), F.lit(False)).alias("next_sp")))
+
+    items = let(F.transform(tokens, pair), with_next)
     seg_t = "array<struct<h:string,p:string>>"
     init = F.struct(F.lit("").alias("h"), F.lit("").alias("p"), F.array().cast(seg_t).alias("out"))
 

@@ -68,3 +68,24 @@ def label_of(mask: Column, dim: ClassDimension) -> Column:
 
 def label_assets(scored: DataFrame, dim: ClassDimension) -> DataFrame:
     return scored.withColumn("label", label_of(F.col("mask"), dim))
+
+
+def predict_missing(pending: DataFrame, predict_batch, schema: str) -> DataFrame:
+    """Run a caller's batch detector over the assets missing from the cache.
+
+    ``predict_batch(pandas.DataFrame) -> pandas.DataFrame`` sees Arrow batches
+    of pending rows (``mapInPandas``); only misses cross into Python.
+    """
+    def run(batches):
+        for pdf in batches:
+            yield predict_batch(pdf)
+    return pending.mapInPandas(run, schema)
+
+
+def best_per_group(df: DataFrame, group_cols, order) -> DataFrame:
+    """The first row of each group in ``order`` (ascending Columns), via a
+    partially aggregated ``min`` over a sort struct: no group is collected."""
+    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
+    best = F.min(F.struct(key.alias("key"), F.struct(*df.columns).alias("row"))).alias("_best")
+    return df.groupBy(*group_cols).agg(best).select(*group_cols, *[
+        F.col(f"_best.row.{c}").alias(c) for c in df.columns if c not in group_cols])

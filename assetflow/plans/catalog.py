@@ -344,3 +344,312 @@ def hex_diff(spark, sf_dir):
     left = hx.filter(F.col("doc_id") % 2 == 0)
     right = hx.filter(F.col("doc_id") % 2 == 1)
     return search.hex_diff(left, right, "pair")
+
+
+# --- text annotation ---------------------------------------------------------
+
+from assetflow.functions import text as T  # noqa: E402
+from assetflow.operators import gloss  # noqa: E402
+
+ACCENTED = "[à-ÿ]"  # the driver texts hold no Han characters; accented letters stand in
+# The driver dictionary is built from a rule: every letter U+00E0..U+00FF
+# (except the division sign) glossed by its code point in hex.
+DRIVER_GLOSS = {chr(c): format(c, "x") for c in range(0xE0, 0x100) if c != 0xF7}
+DRIVER_DENY = ("é",)
+
+
+def _eligible(spark, sf_dir):
+    return gloss.eligible(views.chars(spark, sf_dir), DRIVER_GLOSS, DRIVER_DENY, ACCENTED)
+
+
+def _accepted(spark, sf_dir):
+    return gloss.capped_annotations(_eligible(spark, sf_dir))
+
+
+@query("char_gloss")
+def char_gloss(spark, sf_dir):
+    return _eligible(spark, sf_dir).select("doc_id", "line_no", "pos", "ch", "gloss")
+
+
+@query("gloss_caps")
+def gloss_caps(spark, sf_dir):
+    return _accepted(spark, sf_dir).select("doc_id", "line_no", "pos", "ch", "gloss")
+
+
+@query("annotate_text")
+def annotate_text(spark, sf_dir):
+    return gloss.annotate_lines(views.lines(spark, sf_dir), _accepted(spark, sf_dir)) \
+        .select("doc_id", "line_no", "value")
+
+
+@query("display_width")
+def display_width(spark, sf_dir):
+    return views.lines(spark, sf_dir).select("doc_id", "line_no", T.display_width(F.col("value")).alias("width"))
+
+
+@query("align_pair")
+def align_pair(spark, sf_dir):
+    a = _accepted(spark, sf_dir)
+    pair = T.align_pair(F.col("ch"), F.col("gloss"))
+    return a.select("doc_id", "line_no", "pos", pair["a"].alias("text"), pair["b"].alias("gloss"))
+
+
+def _wrapped(spark, sf_dir):
+    ln = views.lines(spark, sf_dir)
+    toks = F.transform(gloss.word_tokens(F.concat(F.col("value"), F.lit("\n"))),
+                       lambda w: F.struct(w.alias("text"), gloss.translate_with(w, DRIVER_GLOSS).alias("gloss")))
+    segs = gloss.interlinear(toks)
+    return ln.select("doc_id", "line_no", F.posexplode(segs).alias("seg", "s")) \
+        .select("doc_id", "line_no", F.col("seg").cast("long").alias("seg"),
+                F.col("s.h").alias("text"), F.col("s.p").alias("gloss"))
+
+
+@query("interlinear_wrap")
+def interlinear_wrap(spark, sf_dir):
+    return _wrapped(spark, sf_dir)
+
+
+@query("interlinear_lines")
+def interlinear_lines(spark, sf_dir):
+    w = _wrapped(spark, sf_dir)
+    return w.select("doc_id", "line_no", "seg", F.posexplode(F.array("gloss", "text")).alias("k", "line")) \
+        .select("doc_id", "line_no", "seg", F.col("k").cast("long").alias("k"), "line")
+
+
+# --- history and time --------------------------------------------------------
+
+from assetflow.functions import numbers as N  # noqa: E402
+from assetflow.functions import timefmt as TF  # noqa: E402
+from assetflow.operators import history  # noqa: E402
+
+LOCAL_TZ = "America/Los_Angeles"
+
+
+@query("history_recent")
+def history_recent(spark, sf_dir):
+    return history.recent_unique(views.history_commands(spark, sf_dir), "click").select("cmd", "line_no")
+
+
+@query("history_unique")
+def history_unique(spark, sf_dir):
+    return history.unique_history(views.history_lines(spark, sf_dir)).select("cmd", "ts")
+
+
+@query("history_tail")
+def history_tail(spark, sf_dir):
+    return history.tail(views.history_commands(spark, sf_dir), "error").select("line_no", "cmd")
+
+
+@query("epoch_from_ts")
+def epoch_from_ts(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events")
+    text = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss")
+    return e.select("event_id", *[TF.epoch_from_timestamp(F.col("ts"), u).alias(f"epoch_{u}") for u in TF.UNIT_FACTOR],
+                    TF.epoch_from_string(text, "yyyy-MM-dd HH:mm:ss", "s").alias("epoch_s_text"))
+
+
+@query("ts_from_epoch")
+def ts_from_epoch(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events").select("event_id", TF.epoch_from_timestamp(F.col("ts"), "ms").alias("ms"))
+    return e.select("event_id", "ms", TF.format_epoch(F.col("ms"), "ms").alias("utc"),
+                    TF.format_epoch(F.col("ms"), "ms", LOCAL_TZ).alias("local"))
+
+
+@query("time_label")
+def time_label(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events")
+    ts = F.col("ts").cast("timestamp")
+    return e.select("event_id", TF.time_label(ts).alias("label"), TF.time_label(ts, pretty=True).alias("pretty"))
+
+
+@query("base_convert")
+def base_convert(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events").select("event_id", "user_id")
+    v = F.col("event_id") * 7919 + F.col("user_id")
+    return e.select("event_id", N.from_base10(v, 2).alias("b2"), N.from_base10(v, 8).alias("b8"),
+                    N.from_base10(v, 16).alias("b16"), N.from_base10(v, 36).alias("b36"),
+                    N.to_base10(N.from_base10(v, 16), 16).alias("back10"))
+
+
+# --- sizes and top-k ---------------------------------------------------------
+
+from assetflow.operators import sizes  # noqa: E402
+
+
+@query("largest_assets")
+def largest_assets(spark, sf_dir):
+    return sizes.largest(views.assets(spark, sf_dir).select("path", "size"), 20000, 20)
+
+
+@query("dir_sizes")
+def dir_sizes(spark, sf_dir):
+    return sizes.dir_sizes(views.paths(spark, sf_dir))
+
+
+@query("dir_total")
+def dir_total(spark, sf_dir):
+    return sizes.dir_total(views.paths(spark, sf_dir))
+
+
+@query("dir_top")
+def dir_top(spark, sf_dir):
+    return sizes.size_top(views.paths(spark, sf_dir), 30)
+
+
+@query("first_n")
+def first_n(spark, sf_dir):
+    return filters.allow_filter(views.assets(spark, sf_dir)).select("path", "size").orderBy("path").limit(100)
+
+
+@query("group_best")
+def group_best(spark, sf_dir):
+    a = views.assets(spark, sf_dir).select("source", "lang", "path", "size")
+    return scoring.best_per_group(a, ["source", "lang"], [-F.col("size"), F.col("path")])
+
+
+# --- combinations ------------------------------------------------------------
+
+from assetflow.operators import combos  # noqa: E402
+
+
+def _operands(spark, sf_dir):
+    s = read_table(spark, sf_dir, "supplier")
+    a = F.col("s_suppkey") % 90 + 10
+    return s.select(F.col("s_suppkey").alias("set_id"), a.alias("a"), (F.col("s_nationkey") + 10).alias("b"),
+                    ((F.col("s_suppkey") * 7) % 90 + 10).alias("c"), (100 - a).alias("d"))
+
+
+@query("quiz_problems")
+def quiz_problems(spark, sf_dir):
+    return combos.problems(_operands(spark, sf_dir))
+
+
+@query("quiz_value_counts")
+def quiz_value_counts(spark, sf_dir):
+    return combos.value_counts(combos.problems(_operands(spark, sf_dir)))
+
+
+@query("quiz_selected")
+def quiz_selected(spark, sf_dir):
+    return combos.select_values(combos.problems(_operands(spark, sf_dir))).drop("shuffle_key")
+
+
+@query("quiz_counts")
+def quiz_counts(spark, sf_dir):
+    p = combos.problems(_operands(spark, sf_dir))
+    return p.agg(F.count(F.lit(1)).alias("n_total"),
+                 F.count(F.when(F.col("value").isin(*combos.SELECTED_VALUES), 1)).alias("n_selected"))
+
+
+# --- toggles -----------------------------------------------------------------
+
+from assetflow.operators import toggle  # noqa: E402
+
+
+def _toggle_log(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "signup", F.lit("reset")).when(F.col("event_type") == "click", F.lit("toggle"))
+    return e.select(F.col("event_id").alias("seq"), kind.alias("kind"),
+                    F.format_string("img/%03d.jpg", "user_id").alias("item")).filter(F.col("kind").isNotNull())
+
+
+@query("toggle_state")
+def toggle_state(spark, sf_dir):
+    return toggle.toggle_state(_toggle_log(spark, sf_dir))
+
+
+@query("toggle_counter")
+def toggle_counter(spark, sf_dir):
+    return toggle.moved_count(toggle.toggle_state(_toggle_log(spark, sf_dir)))
+
+
+# --- cache reuse -------------------------------------------------------------
+
+from assetflow.plans import cache  # noqa: E402
+
+
+def _current(spark, sf_dir):
+    return views.assets(spark, sf_dir).select("doc_id", "path", "size", "content")
+
+
+def _old_cache(spark, sf_dir):
+    """A previous run's cache: most files, some with a changed size, some gone."""
+    a = _current(spark, sf_dir)
+    kept = a.filter(F.col("doc_id") % 3 != 0).select(
+        "path", F.when(F.col("doc_id") % 6 == 1, F.col("size") + 1).otherwise(F.col("size")).alias("size"),
+        F.md5("content").alias("md5"))
+    gone = a.filter(F.col("doc_id") % 10 == 0).select(
+        F.concat(F.lit("gone/"), F.col("path")).alias("path"), "size", F.md5("content").alias("md5"))
+    return kept.unionByName(gone)
+
+
+@query("cache_split")
+def cache_split(spark, sf_dir):
+    return cache.cache_status(_current(spark, sf_dir).select("path", "size"), _old_cache(spark, sf_dir))
+
+
+@query("cache_refresh")
+def cache_refresh(spark, sf_dir):
+    cur = _current(spark, sf_dir)
+    new = cache.refresh(cur.select("path", "size", "content"), _old_cache(spark, sf_dir),
+                        lambda m: m.select("path", "size", F.md5("content").alias("md5")))
+    return new
+
+
+@query("predict_pending")
+def predict_pending(spark, sf_dir):
+    da = views.detection_assets(spark, sf_dir)
+    pred_cache = da.filter(F.col("asset_id") % 4 != 0).select("path", "size")
+    _hits, misses = cache.split_by_cache(da.select("asset_id", "path", "size"), pred_cache)
+    return misses
+
+
+@query("complete_hashes")
+def complete_hashes(spark, sf_dir):
+    a = views.assets(spark, sf_dir)
+    m = F.map_filter(F.create_map(F.lit("md5"), F.md5("content"),
+                                  F.lit("sha1"), F.when(F.col("h") > 1, F.sha1("content"))),
+                     lambda k, v: v.isNotNull())
+    return dedup.complete_hashes(a.withColumn("hashes", m), 2).select("path", F.col("hashes")["sha1"].alias("sha1"))
+
+
+# --- quoting and reports -----------------------------------------------------
+
+from assetflow.plans import reports  # noqa: E402
+
+
+@query("quote_path")
+def quote_path(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents")
+    first = F.substring_index(F.col("text"), "\n", 1)
+    return d.select("doc_id", P.quote_path(first).alias("quoted"))
+
+
+@query("report_rows")
+def report_rows(spark, sf_dir):
+    plan = dedup.dedup_plan(hash_long(spark, sf_dir), dedup.md5_family(), TRASH_ROOT)
+    return reports.group_report_lines(plan, 100, True)
+
+
+@query("paged_report")
+def paged_report(spark, sf_dir):
+    pages = paging.report_pages(_rows(spark, sf_dir), "label", imgs_per_row=7)
+    return reports.paged_report_rows(pages.withColumn("score", F.col("score")), 200) \
+        .select("page", "page_name", "label", "row_idx", "n_cells")
+
+
+@query("box_corners")
+def box_corners(spark, sf_dir):
+    d = views.detections(spark, sf_dir)
+    x, y = F.col("asset_id") % 100, F.col("det_id") % 100
+    w, h = F.floor(F.col("score")).cast("long") + 1, F.lit(10).cast("long")
+    text_w = (F.length("class") * 10).cast("long")
+    return d.select("det_id", x.alias("x"), y.alias("y"), (x + w).alias("x2"), (y + h).alias("y2"),
+                    F.floor(x + (w - text_w) / 2).cast("long").alias("text_x"), (y + h + 10 + 5).alias("text_y"))
+
+
+@query("locale_sort")
+def locale_sort(spark, sf_dir):
+    a = views.paths(spark, sf_dir).select("path")
+    from assetflow.operators.ranking import rank_within_groups
+    return rank_within_groups(a, [], [F.collate(F.col("path"), "UNICODE"), F.col("path")], "position")

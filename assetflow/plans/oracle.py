@@ -204,3 +204,158 @@ sql("hex_diff", f"""{_HEXROWS},
   SELECT CAST(coalesce(a.pair, b.pair) AS BIGINT) AS pair, coalesce(a."offset", b."offset") AS "offset", left_hex, right_hex
   FROM a FULL OUTER JOIN b ON a.pair = b.pair AND a."offset" = b."offset"
   WHERE left_hex IS DISTINCT FROM right_hex""")
+
+# --- text annotation ---------------------------------------------------------
+
+from assetflow.plans.sqlviews import CHARS, HISTORY_COMMANDS, HISTORY_LINES, PATHS  # noqa: E402
+
+_DICT_ROWS = ", ".join(f"('{chr(c)}', '{format(c, 'x')}')" for c in range(0xE0, 0x100) if c != 0xF7)
+_DICT = f"dict AS (SELECT * FROM (VALUES {_DICT_ROWS}) t(ch, gloss))"
+_ELIG = """elig AS (SELECT c.doc_id, c.line_no, c.pos, c.ch, d.gloss FROM chars c JOIN dict d USING (ch)
+  WHERE regexp_full_match(c.ch, '[à-ÿ]') AND c.ch NOT IN ('é'))"""
+_ACC = """r6 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no, ch ORDER BY pos) AS rn6 FROM elig),
+  r7 AS (SELECT *, row_number() OVER (PARTITION BY ch ORDER BY doc_id, line_no, pos) AS rn7 FROM r6 WHERE rn6 <= 3),
+  acc AS (SELECT doc_id, line_no, pos, ch, gloss FROM r7 WHERE rn7 <= 20)"""
+_TXT = (LINES, CHARS, _DICT, _ELIG)
+
+sql("char_gloss", f"{with_views(*_TXT)} SELECT doc_id, line_no, pos, ch, gloss FROM elig")
+sql("gloss_caps", f"{with_views(*_TXT, _ACC)} SELECT * FROM acc")
+sql("annotate_text", f"""{with_views(*_TXT, _ACC)},
+  ann AS (SELECT c.doc_id, c.line_no, string_agg(c.ch || coalesce('[' || a.gloss || ']', ''), '' ORDER BY c.pos) AS v
+          FROM chars c LEFT JOIN acc a USING (doc_id, line_no, pos) GROUP BY c.doc_id, c.line_no)
+  SELECT l.doc_id, l.line_no, coalesce(ann.v, l.value) AS value FROM lines l LEFT JOIN ann USING (doc_id, line_no)""")
+sql("display_width", f"""{with_views(LINES)} SELECT doc_id, line_no,
+  CAST(length(value) * CASE WHEN regexp_full_match(value, '\\p{{Han}}+') THEN 2 ELSE 1 END AS BIGINT) AS width FROM lines""")
+sql("align_pair", f"""{with_views(*_TXT, _ACC)} SELECT doc_id, line_no, pos,
+  repeat(' ', (greatest(length(ch), length(gloss)) - length(ch)) // 2) || ch ||
+    repeat(' ', (greatest(length(ch), length(gloss)) - length(ch)) - (greatest(length(ch), length(gloss)) - length(ch)) // 2) AS text,
+  repeat(' ', (greatest(length(ch), length(gloss)) - length(gloss)) // 2) || gloss ||
+    repeat(' ', (greatest(length(ch), length(gloss)) - length(gloss)) - (greatest(length(ch), length(gloss)) - length(gloss)) // 2) AS gloss
+  FROM acc""")
+
+# --- history and time --------------------------------------------------------
+
+_TS_RX = "'#[0-9]+'"
+sql("history_recent", f"""{with_views(HISTORY_COMMANDS)}
+  SELECT rtrim(cmd) AS cmd, max(line_no) AS line_no FROM history_commands
+  WHERE regexp_matches(cmd, 'click') AND NOT regexp_full_match(cmd, {_TS_RX})
+  GROUP BY rtrim(cmd) ORDER BY line_no DESC LIMIT 20""")
+sql("history_unique", f"""{with_views(HISTORY_COMMANDS, HISTORY_LINES)},
+  p AS (SELECT line_no, value, lag(value) OVER (ORDER BY line_no) AS prev FROM history_lines)
+  SELECT value AS cmd, max(CASE WHEN regexp_full_match(prev, {_TS_RX}) THEN CAST(substr(prev, 2) AS BIGINT) ELSE 0 END) AS ts
+  FROM p WHERE NOT regexp_full_match(value, {_TS_RX}) AND value <> '' GROUP BY value""")
+sql("history_tail", f"""{with_views(HISTORY_COMMANDS)}
+  SELECT line_no, cmd FROM history_commands WHERE regexp_matches(cmd, 'error') ORDER BY line_no DESC LIMIT 10""")
+sql("epoch_from_ts", """SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS epoch_s, epoch_us(ts) // 1000 AS epoch_ms,
+  epoch_us(ts) AS epoch_us, epoch_us(ts) * 1000 AS epoch_ns,
+  CAST(epoch(strptime(strftime(ts, '%Y-%m-%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S')) AS BIGINT) AS epoch_s_text FROM events""")
+sql("ts_from_epoch", """SELECT event_id, epoch_us(ts) // 1000 AS ms,
+  strftime(make_timestamp((epoch_us(ts) // 1000000) * 1000000), '%Y-%m-%d-%H:%M:%S') || '.000000000' AS utc,
+  strftime(timezone('America/Los_Angeles', timezone('UTC', make_timestamp((epoch_us(ts) // 1000000) * 1000000))),
+           '%Y-%m-%d-%H:%M:%S') || '.000000000' AS local
+  FROM events""")
+sql("time_label", """SELECT event_id, strftime(ts, '%Y-%m-%d-%H-%M-%S') AS label,
+  strftime(ts, '%Y-%m-%d-%H:%M:%S') || '.' || lpad(CAST((epoch_us(ts) % 1000000) * 1000 AS VARCHAR), 9, '0') AS pretty
+  FROM events""")
+sql("base_convert", """SELECT event_id, to_base(event_id * 7919 + user_id, 2) AS b2, to_base(event_id * 7919 + user_id, 8) AS b8,
+  to_base(event_id * 7919 + user_id, 16) AS b16, to_base(event_id * 7919 + user_id, 36) AS b36,
+  CAST('0x' || to_base(event_id * 7919 + user_id, 16) AS BIGINT) AS back10 FROM events""")
+
+# --- sizes and top-k ---------------------------------------------------------
+
+_DIRS = """dirs AS (
+  SELECT dir, CAST(sum(size) AS BIGINT) AS total_size, count(*) AS n_files, CAST(len(string_split(dir, '/')) AS BIGINT) AS depth
+  FROM (SELECT size, unnest(list_transform(range(1, len(string_split(path, '/'))),
+          lambda k: array_to_string(string_split(path, '/')[1:k], '/'))) AS dir FROM paths)
+  GROUP BY dir)"""
+sql("largest_assets", f"{with_views(ASSETS)} SELECT path, size FROM assets WHERE size > 20000 ORDER BY size DESC, path LIMIT 20")
+sql("dir_sizes", f"{with_views(PATHS, _DIRS)} SELECT * FROM dirs")
+sql("dir_total", f"{with_views(PATHS)} SELECT CAST(coalesce(sum(size), 0) AS BIGINT) AS total_size, count(*) AS n_files FROM paths")
+sql("dir_top", f"""{with_views(PATHS, _DIRS)}
+  SELECT entry, total_size, kind FROM (SELECT dir AS entry, total_size, 'dir' AS kind FROM dirs
+    UNION ALL SELECT path, size, 'file' FROM paths) ORDER BY total_size DESC, entry LIMIT 30""")
+sql("first_n", f"""{with_views(ASSETS)} SELECT path, size FROM assets
+  WHERE ends_with(lower(path), '.jpeg') OR ends_with(lower(path), '.jpg') OR ends_with(lower(path), '.png')
+  ORDER BY path LIMIT 100""")
+sql("group_best", f"""{with_views(ASSETS)} SELECT source, lang, path, size FROM (
+  SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY size DESC, path) AS rn FROM assets) WHERE rn = 1""")
+
+# --- combinations ------------------------------------------------------------
+
+_OPERANDS = """ops AS (SELECT s_suppkey AS set_id, s_suppkey % 90 + 10 AS a, s_nationkey + 10 AS b,
+  (s_suppkey * 7) % 90 + 10 AS c, 100 - (s_suppkey % 90 + 10) AS d FROM supplier)"""
+_SIGNS = "sg AS (SELECT * FROM (VALUES (1), (-1)) t(s))"
+_OPS = "op AS (SELECT * FROM (VALUES ('+'), ('-')) t(o))"
+_PROBS = f"""{with_views(_OPERANDS, _SIGNS, _OPS)},
+  gen AS (SELECT set_id, a * s1.s AS na, b * s2.s AS nb, c * s3.s AS nc, d * s4.s AS nd, p1.o AS o1, p2.o AS o2, p3.o AS o3, t.t
+    FROM ops, sg s1, sg s2, sg s3, sg s4, op p1, op p2, op p3, (SELECT unnest(range(5)) AS t) t
+    WHERE p1.o = '-' OR p2.o = '-' OR p3.o = '-'),
+  f AS (SELECT *, CASE t
+      WHEN 0 THEN printf('%d %s %d %s %d %s %d', na, o1, nb, o2, nc, o3, nd)
+      WHEN 1 THEN printf('%d %s (%d %s %d) %s %d', na, o1, nb, o2, nc, o3, nd)
+      WHEN 2 THEN printf('(%d %s %d) %s (%d %s %d)', na, o1, nb, o2, nc, o3, nd)
+      WHEN 3 THEN printf('%d %s (%d %s %d %s %d)', na, o1, nb, o2, nc, o3, nd)
+      ELSE printf('%d %s (%d %s (%d %s %d))', na, o1, nb, o2, nc, o3, nd) END AS problem FROM gen),
+  ev AS (SELECT set_id, CAST(t AS INTEGER) AS template_id, problem,
+    CASE t WHEN 0 THEN ((na + (CASE o1 WHEN '+' THEN 1 ELSE -1 END) * nb) + (CASE o2 WHEN '+' THEN 1 ELSE -1 END) * nc)
+                       + (CASE o3 WHEN '+' THEN 1 ELSE -1 END) * nd
+           WHEN 1 THEN (na + (CASE o1 WHEN '+' THEN 1 ELSE -1 END) * (nb + (CASE o2 WHEN '+' THEN 1 ELSE -1 END) * nc))
+                       + (CASE o3 WHEN '+' THEN 1 ELSE -1 END) * nd
+           WHEN 2 THEN (na + (CASE o1 WHEN '+' THEN 1 ELSE -1 END) * nb)
+                       + (CASE o2 WHEN '+' THEN 1 ELSE -1 END) * (nc + (CASE o3 WHEN '+' THEN 1 ELSE -1 END) * nd)
+           WHEN 3 THEN na + (CASE o1 WHEN '+' THEN 1 ELSE -1 END) * ((nb + (CASE o2 WHEN '+' THEN 1 ELSE -1 END) * nc)
+                       + (CASE o3 WHEN '+' THEN 1 ELSE -1 END) * nd)
+           ELSE na + (CASE o1 WHEN '+' THEN 1 ELSE -1 END) * (nb + (CASE o2 WHEN '+' THEN 1 ELSE -1 END)
+                       * (nc + (CASE o3 WHEN '+' THEN 1 ELSE -1 END) * nd)) END AS value FROM f)"""
+sql("quiz_problems", f"{_PROBS} SELECT set_id, template_id, problem, CAST(value AS BIGINT) AS value FROM ev")
+sql("quiz_value_counts", f"{_PROBS} SELECT CAST(value AS BIGINT) AS value, count(*) AS n_problems FROM ev GROUP BY value")
+sql("quiz_selected", f"""{_PROBS} SELECT set_id, template_id, problem, CAST(value AS BIGINT) AS value FROM ev
+  WHERE value IN (0, 200, -200)""")
+sql("quiz_counts", f"""{_PROBS} SELECT count(*) AS n_total, count(*) FILTER (WHERE value IN (0, 200, -200)) AS n_selected FROM ev""")
+
+# --- toggles -----------------------------------------------------------------
+
+_TOGGLE = """log AS (SELECT event_id AS seq, CASE event_type WHEN 'signup' THEN 'reset' ELSE 'toggle' END AS kind,
+    printf('img/%03d.jpg', user_id) AS item FROM events WHERE event_type IN ('signup', 'click')),
+  t AS (SELECT item, seq, row_number() OVER (PARTITION BY item ORDER BY seq) AS k FROM log WHERE kind = 'toggle'),
+  st AS (SELECT item, count(*) AS n_toggles, count(*) % 2 = 1 AS moved,
+    coalesce(sum(CASE WHEN seq > (SELECT coalesce(max(seq), -1) FROM log WHERE kind = 'reset')
+                      THEN CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END END), 0) AS delta
+    FROM t GROUP BY item)"""
+sql("toggle_state", f"{with_views(_TOGGLE)} SELECT item, n_toggles, moved, CAST(delta AS BIGINT) AS delta FROM st")
+sql("toggle_counter", f"""{with_views(_TOGGLE)} SELECT CAST(coalesce(sum(delta), 0) AS BIGINT) AS counter,
+  count(*) FILTER (WHERE moved) AS n_moved FROM st""")
+
+# --- cache reuse -------------------------------------------------------------
+
+_OLD_CACHE = """old AS (
+  SELECT path, CASE WHEN doc_id % 6 = 1 THEN size + 1 ELSE size END AS size, md5(content) AS md5 FROM assets WHERE doc_id % 3 <> 0
+  UNION ALL SELECT 'gone/' || path, size, md5(content) FROM assets WHERE doc_id % 10 = 0)"""
+sql("cache_split", f"""{with_views(ASSETS, _OLD_CACHE)} SELECT path, size,
+  CASE WHEN EXISTS (SELECT 1 FROM old o WHERE o.path = a.path AND o.size = a.size) THEN 'hit' ELSE 'miss' END AS status
+  FROM assets a""")
+sql("cache_refresh", f"{with_views(ASSETS)} SELECT path, size, md5(content) AS md5 FROM assets")
+sql("predict_pending", f"{with_views(DETECTION_ASSETS)} SELECT asset_id, path, size FROM detection_assets WHERE asset_id % 4 = 0")
+sql("complete_hashes", f"{with_views(ASSETS)} SELECT path, sha1(content) AS sha1 FROM assets WHERE h > 1")
+
+# --- quoting and reports -----------------------------------------------------
+
+sql("quote_path", "SELECT doc_id, replace(url_encode(split_part(text, chr(10), 1)), '%2F', '/') AS quoted FROM documents")
+sql("report_rows", f"""{with_views(ASSETS, _KEPT, _LONG, _RANKED)},
+  g AS (SELECT *, first_value(w) OVER (PARTITION BY hash_type, hash ORDER BY rn) AS keep_w FROM ranked WHERE n_members >= 2)
+  SELECT hash_type, hash, CAST(0 AS BIGINT) AS seq, '<tr><td>' || hash || '</td><td>' AS line FROM g WHERE rn = 1
+  UNION ALL
+  SELECT hash_type, hash, CAST(rn AS BIGINT), '<img src="' || replace(url_encode(CASE WHEN rn = 1 THEN path ELSE '/trash/' || path END), '%2F', '/')
+    || '" width="' || CAST(CAST(floor(100 * w / keep_w) AS BIGINT) AS VARCHAR) || 'px" data-meta="{{}}" /> ' FROM g
+  UNION ALL
+  SELECT hash_type, hash, CAST(n_members + 1 AS BIGINT), '</td></tr>' FROM g WHERE rn = 1""")
+sql("paged_report", f"""{with_views(*_SCORE_VIEWS, _LABELED, _ROWS)},
+  lp AS (SELECT label, CAST(ceil(ceil(count(*) / 7) / 100) AS BIGINT) AS pages FROM labeled GROUP BY label),
+  off AS (SELECT label, coalesce(sum(pages) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_page FROM lp)
+  SELECT CAST(first_page + row_idx // 100 AS BIGINT) AS page,
+         printf('%s-%03d', label, CAST(first_page + row_idx // 100 AS BIGINT)) AS page_name, label, row_idx, count(*) AS n_cells
+  FROM rows2 JOIN off USING (label) GROUP BY ALL""")
+sql("box_corners", f"""{with_views(DETECTIONS)} SELECT det_id, asset_id % 100 AS x, det_id % 100 AS y,
+  asset_id % 100 + CAST(floor(score) AS BIGINT) + 1 AS x2, det_id % 100 + 10 AS y2,
+  CAST(floor(asset_id % 100 + (CAST(floor(score) AS BIGINT) + 1 - length(class) * 10) / 2) AS BIGINT) AS text_x,
+  det_id % 100 + 10 + 10 + 5 AS text_y FROM detections""")

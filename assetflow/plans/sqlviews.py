@@ -47,7 +47,7 @@ PIXELS = """pixels AS (
         FROM embeddings))"""
 
 HISTORY_COMMANDS = """history_commands AS (
-  SELECT event_id AS line_no, CAST(epoch(ts) AS BIGINT) AS ts, event_type || ' ' || props AS cmd FROM events)"""
+  SELECT event_id AS line_no, epoch_us(ts) // 1000000 AS ts, event_type || ' ' || props AS cmd FROM events)"""
 
 HISTORY_LINES = """history_lines AS (
   SELECT 'history' AS file, CAST(row_number() OVER (ORDER BY line_no, k) AS BIGINT) AS line_no, v AS value
