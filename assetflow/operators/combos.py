@@ -9,8 +9,6 @@ rendered with ``format_string``.
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,15 +24,9 @@ OPERATORS = ("+", "-")
 SELECTED_VALUES = (0, 200, -200)  # fixed value: answers kept by the selection
 
 
-def _combos():
-    out = []
-    for signs in itertools.product((1, -1), repeat=4):
-        for ops in itertools.product(OPERATORS, repeat=3):
-            if "-" not in ops:
-                continue
-            for t in range(len(TEMPLATES)):
-                out.append((signs, ops, t))
-    return out
+N_SIGNS = 2 ** 4                    # every sign choice of four operands
+N_OPS = 2 ** 3 - 1                   # operator triples with at least one '-'
+N_COMBOS = N_SIGNS * N_OPS * len(TEMPLATES)
 
 
 def _apply(op: Column, x: Column, y: Column) -> Column:
@@ -53,20 +45,31 @@ def _value(t: Column, n, o) -> Column:
 
 
 def problems(operands: DataFrame, cols=("a", "b", "c", "d"), key: str = "set_id") -> DataFrame:
-    """All problems per operand row: ``key, template_id, problem, value``."""
-    combos = F.array(*[
-        F.struct(*[F.lit(s).alias(f"s{i}") for i, s in enumerate(signs)],
-                 *[F.lit(o).alias(f"o{i}") for i, o in enumerate(ops)],
-                 F.lit(t).alias("t"))
-        for signs, ops, t in _combos()])
-    ex = operands.select(key, *[F.col(c).cast("long").alias(c) for c in cols], F.inline(combos))
-    n = [F.col(c) * F.col(f"s{i}") for i, c in enumerate(cols)]
-    o = [F.col(f"o{i}") for i in range(3)]
-    t = F.col("t")
-    rendered = F.when(t == 0, F.format_string(TEMPLATES[0], n[0], o[0], n[1], o[1], n[2], o[2], n[3]))
-    for i in range(1, len(TEMPLATES)):
-        rendered = rendered.when(t == i, F.format_string(TEMPLATES[i], n[0], o[0], n[1], o[1], n[2], o[2], n[3]))
-    return ex.select(key, t.alias("template_id"), rendered.alias("problem"), _value(t, n, o).alias("value"))
+    """All problems per operand row: ``key, template_id, problem, value``.
+
+    Combination ``i`` in ``0 .. N_COMBOS-1`` decodes as template ``i % 5``,
+    operator code ``(i / 5) % 7 + 1`` (bit k set = operator k is ``-``; code
+    0, all ``+``, is excluded) and sign code ``i / 35`` (bit k = operand k
+    negated).
+    """
+    i = F.col("_i")
+    ex = operands.select(key, *[F.col(c).cast("long").alias(c) for c in cols],
+                         F.explode(F.sequence(F.lit(0), F.lit(N_COMBOS - 1))).alias("_i"))
+    t = (i % len(TEMPLATES)).cast("int")
+    opc = F.floor(i / len(TEMPLATES)) % N_OPS + 1
+    sgc = F.floor(i / (len(TEMPLATES) * N_OPS))
+    n = [F.col(c) * F.when(F.shiftright(sgc, k) % 2 == 1, F.lit(-1)).otherwise(F.lit(1))
+         for k, c in enumerate(cols)]
+    o = [F.when(F.shiftright(opc, k) % 2 == 1, F.lit("-")).otherwise(F.lit("+")) for k in range(3)]
+    staged = ex.select(key, t.alias("t"), *[x.alias(f"n{k}") for k, x in enumerate(n)],
+                       *[x.alias(f"o{k}") for k, x in enumerate(o)])
+    n = [F.col(f"n{k}") for k in range(4)]
+    o = [F.col(f"o{k}") for k in range(3)]
+    tc = F.col("t")
+    rendered = F.when(tc == 0, F.format_string(TEMPLATES[0], n[0], o[0], n[1], o[1], n[2], o[2], n[3]))
+    for j in range(1, len(TEMPLATES)):
+        rendered = rendered.when(tc == j, F.format_string(TEMPLATES[j], n[0], o[0], n[1], o[1], n[2], o[2], n[3]))
+    return staged.select(key, tc.alias("template_id"), rendered.alias("problem"), _value(tc, n, o).alias("value"))
 
 
 def value_counts(probs: DataFrame) -> DataFrame:
