@@ -25,21 +25,27 @@ def content_md5(content: Column) -> Column:
     return F.md5(content)
 
 
+HEX_CHUNK_BITS = 60  # 15 hex digits: well inside conv's unsigned 64-bit range
+
+
 def bits_to_hex(bits: Column) -> Column:
     """Bit string -> ``0x`` hex without leading zeros, any length.
 
-    ``conv`` overflows past 64 bits, so the string is converted nibble by
-    nibble (each nibble fits ``conv`` trivially).  An all-zero string gives
-    ``0x0``.
+    ``conv`` overflows past 64 bits, so the string is left-padded to a
+    multiple of 60 bits and converted in 60-bit chunks of 15 hex digits.  An
+    all-zero string gives ``0x0``.
     """
+    digits = HEX_CHUNK_BITS // 4
+
     def body(b):
-        n_nib = F.floor((F.length(b) + 3) / 4).cast("int")
-        return let(F.lpad(b, n_nib * 4, "0"), lambda padded: F.array_join(F.transform(
-            F.sequence(F.lit(0), n_nib - 1),
-            lambda i: F.lower(F.conv(F.substring(padded, i * 4 + 1, 4), 2, 16))), ""))
+        n_chunks = F.floor((F.length(b) + HEX_CHUNK_BITS - 1) / HEX_CHUNK_BITS).cast("int")
+        return let(F.lpad(b, n_chunks * HEX_CHUNK_BITS, "0"), lambda padded: F.array_join(F.transform(
+            F.sequence(F.lit(0), n_chunks - 1),
+            lambda i: F.lpad(F.lower(F.conv(F.substring(padded, i * HEX_CHUNK_BITS + 1, HEX_CHUNK_BITS), 2, 16)),
+                             digits, "0")), ""))
 
-    stripped = F.regexp_replace(let(bits, body), "^0+", "")
-    return F.when(stripped == "", F.lit("0x0")).otherwise(F.concat(F.lit("0x"), stripped))
+    return let(F.regexp_replace(let(bits, body), "^0+", ""),
+               lambda h: F.when(h == "", F.lit("0x0")).otherwise(F.concat(F.lit("0x"), h)))
 
 
 def gray_levels(px: Column, bits: int) -> Column:
@@ -68,12 +74,37 @@ def levels_to_bits(levels: Column, bits: int) -> Column:
     )
 
 
-def resize_box(px: Column, in_h: Column, in_w: Column, out_h: int, out_w: int) -> Column:
+def _block(i: int, size: int, out: int):
+    lo = i * size // out
+    return lo, max(lo + 1, (i + 1) * size // out)
+
+
+def resize_box_static(px: Column, in_h: int, in_w: int, out_h: int, out_w: int) -> Column:
+    """``resize_box`` for dimensions known when the plan is built.
+
+    Every output cell is a fixed sum of array elements, so the expression is
+    plain arithmetic that whole-stage code generation compiles (no lambdas).
+    """
+    cells = []
+    for i in range(out_h):
+        r0, r1 = _block(i, in_h, out_h)
+        for j in range(out_w):
+            c0, c1 = _block(j, in_w, out_w)
+            idx = [r * in_w + c for r in range(r0, r1) for c in range(c0, c1)]
+            total = sum((px.getItem(k).cast("long") for k in idx[1:]), px.getItem(idx[0]).cast("long"))
+            cells.append(F.floor(total / len(idx)).cast("int"))
+    return F.array(*cells)
+
+
+def resize_box(px: Column, in_h, in_w, out_h: int, out_w: int) -> Column:
     """Resize a row-major gray image by block means (floored).
 
     Output cell (i, j) averages source rows ``[i*H/oh, max(that+1, (i+1)*H/oh))``
     and the matching columns; upsampling degenerates to nearest neighbour.
+    Python ints for ``in_h``/``in_w`` select the compiled static form.
     """
+    if isinstance(in_h, int) and isinstance(in_w, int):
+        return resize_box_static(px, in_h, in_w, out_h, out_w)
     def lo(i, size, out):
         return F.floor(i * size / out).cast("int")
 
@@ -100,23 +131,30 @@ def resize_box(px: Column, in_h: Column, in_w: Column, out_h: int, out_w: int) -
     return let(F.struct(px.alias("p"), in_h.cast("int").alias("h"), in_w.cast("int").alias("w")), body)
 
 
-def phash(px: Column, in_h: Column, in_w: Column, side: int, bits: int) -> Column:
+def phash(px: Column, in_h, in_w, side: int, bits: int) -> Column:
     """Perceptual hash of a gray image: resize, quantise, bits -> hex."""
     small = resize_box(px, in_h, in_w, side, side)
     return bits_to_hex(levels_to_bits(gray_levels(small, bits), bits))
 
 
-def phash_map(px: Column, in_h: Column, in_w: Column, configs=PHASH_CONFIGS) -> Column:
+def phash_map(px: Column, in_h, in_w, configs=PHASH_CONFIGS) -> Column:
     """All configured perceptual hashes of one image as ``MAP<type, hash>``.
 
     The decoded pixels are bound once and shared by every configuration.
+    Python ints for ``in_h``/``in_w`` (a fixed-size image set) use the
+    compiled static resize.
     """
+    static = isinstance(in_h, int) and isinstance(in_w, int)
+
     def body(s):
         kv = []
         for side, bits in configs:
-            kv += [F.lit(phash_name(side, bits)), phash(s["p"], s["h"], s["w"], side, bits)]
+            h, w = (in_h, in_w) if static else (s["h"], s["w"])
+            kv += [F.lit(phash_name(side, bits)), phash(s["p"], h, w, side, bits)]
         return F.create_map(*kv)
-    return let(F.struct(px.alias("p"), in_h.cast("int").alias("h"), in_w.cast("int").alias("w")), body)
+    hh = F.lit(in_h) if static else in_h
+    ww = F.lit(in_w) if static else in_w
+    return let(F.struct(px.alias("p"), hh.cast("int").alias("h"), ww.cast("int").alias("w")), body)
 
 
 def grayscale_bgr(data: Column, n_channels: Column) -> Column:

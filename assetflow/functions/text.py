@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from assetflow.functions.arrays import let
+
 HAN_RE = "^\\p{IsHan}+$"
 
 
@@ -29,8 +31,12 @@ def pad_center(s: Column, width: Column, target: Column) -> Column:
 def align_pair(a: Column, b: Column, char_class: str = "\\p{IsHan}") -> Column:
     """Centre the narrower of two tokens under the wider one.
 
-    Returns ``struct(a, b)`` padded to the same display width.
+    Returns ``struct(a, b)`` padded to the same display width.  Both widths
+    are computed once (``let``) and shared by the padding arithmetic.
     """
-    wa, wb = display_width(a, char_class), display_width(b, char_class)
-    target = F.greatest(wa, wb)
-    return F.struct(pad_center(a, wa, target).alias("a"), pad_center(b, wb, target).alias("b"))
+    widths = F.struct(display_width(a, char_class).alias("wa"), display_width(b, char_class).alias("wb"))
+
+    def body(w):
+        target = F.greatest(w["wa"], w["wb"])
+        return F.struct(pad_center(a, w["wa"], target).alias("a"), pad_center(b, w["wb"], target).alias("b"))
+    return let(widths, body)

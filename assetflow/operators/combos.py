@@ -54,7 +54,7 @@ def problems(operands: DataFrame, cols=("a", "b", "c", "d"), key: str = "set_id"
     """
     i = F.col("_i")
     ex = operands.select(key, *[F.col(c).cast("long").alias(c) for c in cols],
-                         F.explode(F.sequence(F.lit(0), F.lit(N_COMBOS - 1))).alias("_i"))
+                         F.explode_outer(F.sequence(F.lit(0), F.lit(N_COMBOS - 1))).alias("_i"))
     t = (i % len(TEMPLATES)).cast("int")
     opc = F.floor(i / len(TEMPLATES)) % N_OPS + 1
     sgc = F.floor(i / (len(TEMPLATES) * N_OPS))

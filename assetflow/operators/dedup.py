@@ -46,13 +46,19 @@ def md5_family(content: str = "content") -> HashFamily:
         order=lambda: [F.col("path")])
 
 
-def phash_family(px: str = "px", height: str = "height", width: str = "width",
+def phash_family(px: str = "px", height="height", width="width",
                  configs=hashing.PHASH_CONFIGS) -> HashFamily:
-    """Perceptual hashes; the keeper is the largest image (w, h, size), then path."""
+    """Perceptual hashes; the keeper is the largest image (w, h, size), then path.
+
+    ``height``/``width`` name columns, or are ints for a fixed-size image set
+    (compiled static resize).
+    """
+    hh = height if isinstance(height, int) else F.col(height)
+    ww = width if isinstance(width, int) else F.col(width)
     return HashFamily(
         name="simhash",
         hash_types=tuple(hashing.phash_name(s, b) for s, b in configs),
-        build=lambda: hashing.phash_map(F.col(px), F.col(height), F.col(width), configs),
+        build=lambda: hashing.phash_map(F.col(px), hh, ww, configs),
         order=lambda: [-F.col("w"), -F.col("h"), -F.col("size"), F.col("path")])
 
 
@@ -80,8 +86,14 @@ def complete_hashes(df: DataFrame, n_types: int, col: str = "hashes") -> DataFra
 
 
 def hash_long(df: DataFrame, keep=("path", "size", "w", "h"), col: str = "hashes") -> DataFrame:
-    """Unpivot the per-asset map into one row per (asset, hash_type)."""
-    return df.select(*keep, F.explode(col).alias("hash_type", "hash"))
+    """Unpivot the per-asset map into one row per (asset, hash_type).
+
+    ``explode_outer`` plus a null filter gives the same rows as ``explode``
+    but stops Catalyst from inferring a ``size(map) > 0`` filter below the
+    generator, which would evaluate the (expensive) hash map twice more.
+    """
+    return (df.select(*keep, F.explode_outer(col).alias("hash_type", "hash"))
+            .filter(F.col("hash_type").isNotNull()))
 
 
 def duplicate_groups(long: DataFrame, family: HashFamily, min_size: int = MIN_GROUP_SIZE) -> DataFrame:

