@@ -12,13 +12,13 @@ CACHE = StructType([StructField("path", StringType()), StructField("size", LongT
 
 def test_incremental_hashing(spark, tmpdir_path):
     src, cache_dir, ck = f"{tmpdir_path}/in", f"{tmpdir_path}/cache", f"{tmpdir_path}/ck"
-    spark.createDataFrame([(f"f{i}", i, f"c{i}") for i in range(10)], SRC).write.parquet(f"{src}/p1")
+    spark.createDataFrame([(f"f{i}", i, f"c{i}") for i in range(10)], SRC).write.mode("append").parquet(src)
     q = incremental.start_incremental_hashing(spark, incremental.file_stream(spark, src, SRC), cache_dir, CACHE,
                                               incremental.md5_of(), ck)
     q.awaitTermination()
     assert spark.read.parquet(cache_dir).count() == 10
     # a second delivery repeats three known files and brings five new ones
-    spark.createDataFrame([(f"f{i}", i, f"c{i}") for i in range(7, 15)], SRC).write.parquet(f"{src}/p2")
+    spark.createDataFrame([(f"f{i}", i, f"c{i}") for i in range(7, 15)], SRC).write.mode("append").parquet(src)
     q = incremental.start_incremental_hashing(spark, incremental.file_stream(spark, src, SRC), cache_dir, CACHE,
                                               incremental.md5_of(), ck)
     q.awaitTermination()
