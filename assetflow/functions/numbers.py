@@ -18,3 +18,9 @@ def from_base10(n: Column, base: int) -> Column:
     if not 2 <= base <= 36:
         raise ValueError("bases 2..36 are supported")
     return F.conv(n.cast("string"), 10, base)
+
+
+def parse_count(s: Column) -> Column:
+    """Strictly numeric text -> BIGINT; anything else is an error (``isnumeric`` + ``int``)."""
+    return F.when(s.rlike("^[0-9]+$"), s.cast("long")).otherwise(
+        F.raise_error(F.concat(F.lit("not a number: "), F.coalesce(s, F.lit("NULL")))))

@@ -62,3 +62,8 @@ def time_label(ts: Column, pretty: bool = False) -> Column:
         return F.concat(F.date_format(ts, PRETTY_FORMAT), F.lit("."),
                         F.lpad((F.unix_micros(ts.cast("timestamp")) % 1000000 * 1000).cast("string"), 9, "0"))
     return F.date_format(ts, LABEL_FORMAT)
+
+
+def epoch_now(unit: str = "s") -> Column:
+    """Current epoch in ``unit`` (nanoseconds carry microsecond precision)."""
+    return epoch_from_timestamp(F.current_timestamp(), unit)

@@ -131,9 +131,16 @@ def interlinear(tokens: Column, width: int = WRAP_WIDTH, char_class: str = "\\p{
     return F.aggregate(items, init, step, finish)
 
 
-def word_tokens(line: Column) -> Column:
-    """Split a line into words that keep their trailing spaces."""
-    return F.filter(F.split(line, "(?<= )", -1), lambda t: t != "")
+def token_pattern(char_class: str = "\\p{IsHan}") -> str:
+    """Tokens: one per class character (multi-character class words are
+    flattened to single characters, one reading each), otherwise words that
+    keep their trailing spaces, or a run of leading spaces."""
+    return f"{char_class}|[^{char_class} ]+ *| +"
+
+
+def word_tokens(line: Column, char_class: str = "\\p{IsHan}") -> Column:
+    """Split a line into annotation tokens (see ``token_pattern``)."""
+    return F.regexp_extract_all(line, F.lit(token_pattern(char_class)), 0)
 
 
 def interlinear_udf(gloss: dict, width: int = WRAP_WIDTH, char_class: str = "\\p{Han}"):
@@ -181,7 +188,7 @@ def interlinear_udf(gloss: dict, width: int = WRAP_WIDTH, char_class: str = "\\p
 
     table = str.maketrans(dict(gloss))
     han_re = regex.compile(f"(?:{char_class})+")
-    word_re = regex.compile(r"[^ ]*(?: +|$)")
+    word_re = regex.compile(f"{char_class}|[^{char_class} ]+ *| +")
 
     @F.pandas_udf("array<struct<h:string,p:string>>")
     def wrap(values: pd.Series) -> pd.Series:

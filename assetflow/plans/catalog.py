@@ -465,6 +465,12 @@ def time_label(spark, sf_dir):
     return e.select("event_id", TF.time_label(ts).alias("label"), TF.time_label(ts, pretty=True).alias("pretty"))
 
 
+@query("numeric_parse")
+def numeric_parse(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events")
+    return e.select("event_id", N.parse_count(F.regexp_extract("props", "([0-9]+)", 1)).alias("k"))
+
+
 @query("base_convert")
 def base_convert(spark, sf_dir):
     e = read_table(spark, sf_dir, "events").select("event_id", "user_id")

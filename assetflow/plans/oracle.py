@@ -257,6 +257,7 @@ sql("ts_from_epoch", """SELECT event_id, epoch_us(ts) // 1000 AS ms,
 sql("time_label", """SELECT event_id, strftime(ts, '%Y-%m-%d-%H-%M-%S') AS label,
   strftime(ts, '%Y-%m-%d-%H:%M:%S') || '.' || lpad(CAST((epoch_us(ts) % 1000000) * 1000 AS VARCHAR), 9, '0') AS pretty
   FROM events""")
+sql("numeric_parse", "SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events")
 sql("base_convert", """SELECT event_id, to_base(event_id * 7919 + user_id, 2) AS b2, to_base(event_id * 7919 + user_id, 8) AS b8,
   to_base(event_id * 7919 + user_id, 16) AS b16, to_base(event_id * 7919 + user_id, 36) AS b36,
   CAST('0x' || to_base(event_id * 7919 + user_id, 16) AS BIGINT) AS back10 FROM events""")

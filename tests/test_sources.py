@@ -63,3 +63,23 @@ def test_image_source_and_phash(spark, tmpdir_path):
     by = {os.path.basename(r.path): r.h for r in hashed}
     assert by["flat.png"] == "0x0"
     assert by["img 1.png"] == hex(int("000110100" * 4, 2))
+
+
+def test_numpy_thumbnails_equal_native(spark):
+    import random
+    from assetflow.functions import thumbnails
+    rnd = random.Random(5)
+    rows = []
+    for i in range(12):
+        h, w, n = rnd.randrange(1, 23), rnd.randrange(1, 19), rnd.choice([1, 3, 4])
+        rows.append((i, bytes(rnd.randrange(256) for _ in range(h * w * n)), h, w, n))
+    df = spark.createDataFrame(rows, "i int, data binary, height int, width int, nChannels int")
+    t = thumbnails.with_thumbnails(df)
+    gray = H.grayscale_bgr(F.col("data"), F.col("nChannels"))
+    for s in (4, 5, 6, 7, 8):
+        native = H.resize_box(gray, F.col("height"), F.col("width"), s, s)
+        bad = t.filter(F.col(f"thumbs.s{s}") != native)
+        assert bad.count() == 0, s
+    hashed = t.select(thumbnails.phash_map_from_thumbs(F.col("thumbs")).alias("m"),
+                      H.phash_map(gray, F.col("height"), F.col("width")).alias("n"))
+    assert hashed.filter(F.to_json("m") != F.to_json("n")).count() == 0
