@@ -137,7 +137,7 @@ def phash(px: Column, in_h, in_w, side: int, bits: int) -> Column:
     return bits_to_hex(levels_to_bits(gray_levels(small, bits), bits))
 
 
-def phash_map(px: Column, in_h, in_w, configs=PHASH_CONFIGS) -> Column:
+def phash_map(px, in_h, in_w, configs=PHASH_CONFIGS) -> Column:
     """All configured perceptual hashes of one image as ``MAP<type, hash>``.
 
     The decoded pixels are bound once and shared by every configuration.
@@ -145,6 +145,8 @@ def phash_map(px: Column, in_h, in_w, configs=PHASH_CONFIGS) -> Column:
     compiled static resize.
     """
     static = isinstance(in_h, int) and isinstance(in_w, int)
+    if static and isinstance(px, str):
+        return phash_map_static(px, in_h, in_w, configs)
 
     def body(s):
         kv = []
@@ -199,3 +201,58 @@ def split_fixed_width(s: Column, width: int) -> Column:
                         lambda i: F.substring(v, i * width + 1, width)),
             "\n"))
     return let(s, body)
+
+
+# --- static-size images: the same hash as one SQL expression -----------------
+#
+# For a fixed image size every index is known when the plan is built.  The
+# expression is generated as SQL text and parsed once: building it from
+# thousands of Column objects costs one JVM round trip per node, which for
+# ten configurations dominated the query time.
+
+def _let_sql(value: str, var: str, body: str) -> str:
+    return f"element_at(transform(array({value}), {var} -> {body}), 1)"
+
+
+def resize_static_sql(px: str, in_h: int, in_w: int, out_h: int, out_w: int) -> str:
+    cells = []
+    for i in range(out_h):
+        r0, r1 = _block(i, in_h, out_h)
+        for j in range(out_w):
+            c0, c1 = _block(j, in_w, out_w)
+            idx = [r * in_w + c for r in range(r0, r1) for c in range(c0, c1)]
+            total = " + ".join(f"CAST({px}[{k}] AS BIGINT)" for k in idx)
+            cells.append(f"CAST(floor(({total}) / {len(idx)}) AS INT)")
+    return f"array({', '.join(cells)})"
+
+
+def phash_static_sql(small: str, tag: str, bits: int) -> str:
+    """SQL text quantising and hashing the resized image bound to ``small``."""
+    levels = _let_sql(
+        f"named_struct('s', {small}, 'mn', array_min({small}), "
+        f"'step', floor((array_max({small}) - array_min({small})) / {2 ** bits}))",
+        f"q{tag}",
+        f"transform(q{tag}.s, v{tag} -> CAST(coalesce(floor((v{tag} - q{tag}.mn) / nullif(q{tag}.step, 0)), 0) AS BIGINT))")
+    bitstr = (f"array_join(transform({levels}, l{tag} -> CASE WHEN length(bin(l{tag})) < {bits} "
+              f"THEN lpad(bin(l{tag}), {bits}, '0') ELSE bin(l{tag}) END), '')")
+    n = f"CAST(floor((length(b{tag}) + {HEX_CHUNK_BITS - 1}) / {HEX_CHUNK_BITS}) AS INT)"
+    chunks = (f"array_join(transform(sequence(0, {n} - 1), i{tag} -> lpad(lower(conv(substring("
+              f"lpad(b{tag}, {n} * {HEX_CHUNK_BITS}, '0'), i{tag} * {HEX_CHUNK_BITS} + 1, {HEX_CHUNK_BITS}), 2, 16)), "
+              f"{HEX_CHUNK_BITS // 4}, '0')), '')")
+    stripped = f"regexp_replace({_let_sql(bitstr, f'b{tag}', chunks)}, '^0+', '')"
+    return _let_sql(stripped, f"h{tag}", f"CASE WHEN h{tag} = '' THEN '0x0' ELSE concat('0x', h{tag}) END")
+
+
+def phash_map_static(px_col: str, in_h: int, in_w: int, configs=PHASH_CONFIGS) -> Column:
+    """``phash_map`` for fixed-size images as one parsed SQL expression.
+
+    ``px_col`` is a column name; the pixels are bound once for all configs,
+    and each resized thumbnail once for its quantisation.
+    """
+    parts = []
+    for side, bits in configs:
+        tag = f"{side}_{bits}"
+        body = _let_sql(resize_static_sql("p", in_h, in_w, side, side), f"s{tag}",
+                        phash_static_sql(f"s{tag}", tag, bits))
+        parts += [f"'{phash_name(side, bits)}'", body]
+    return F.expr(_let_sql(f"`{px_col}`", "p", f"map({', '.join(parts)})"))

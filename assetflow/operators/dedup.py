@@ -58,7 +58,8 @@ def phash_family(px: str = "px", height="height", width="width",
     return HashFamily(
         name="simhash",
         hash_types=tuple(hashing.phash_name(s, b) for s, b in configs),
-        build=lambda: hashing.phash_map(F.col(px), hh, ww, configs),
+        build=lambda: hashing.phash_map(px if isinstance(height, int) and isinstance(width, int) else F.col(px),
+                                        hh, ww, configs),
         order=lambda: [-F.col("w"), -F.col("h"), -F.col("size"), F.col("path")])
 
 

@@ -143,21 +143,18 @@ def word_tokens(line: Column, char_class: str = "\\p{IsHan}") -> Column:
     return F.regexp_extract_all(line, F.lit(token_pattern(char_class)), 0)
 
 
-def interlinear_udf(gloss: dict, width: int = WRAP_WIDTH, char_class: str = "\\p{Han}"):
-    """Arrow-batched form of the line fold: ``value -> ARRAY<STRUCT<h, p>>``.
-
-    Tokens are the words of the line (trailing spaces kept) and their
-    dictionary glosses.  The fold is sequential inside a line; measured on
-    the benchmark tables this per-line Python helper is ~10x faster than the
-    interpreted higher-order-function fold, while Spark still partitions
-    and schedules the lines.
-    """
+def interlinear_batch(gloss: dict, width: int = WRAP_WIDTH, char_class: str = "\\p{Han}"):
+    """The per-batch Python function behind ``interlinear_udf`` (``pd.Series -> pd.Series``)."""
     # defined inside the factory so the function ships to Python workers by
     # value (workers need not import this package)
-    def _wrap_tokens(tokens, width, han_re):
-        """Python form of ``interlinear`` for one line: list of (text, gloss) -> segments."""
+    def _wrap_tokens(tokens, width, han_re, plain=False):
+        """Python form of ``interlinear`` for one line: list of (text, gloss) -> segments.
+
+        ``plain``: the line holds no class character, so widths are lengths."""
         def dwidth(s):
-            return len(s) * (2 if han_re.fullmatch(s) else 1) if s else 0
+            if plain or not s:
+                return len(s)
+            return len(s) * (2 if han_re.fullmatch(s) else 1)
 
         aligned = []
         for text, gl in tokens:
@@ -166,7 +163,7 @@ def interlinear_udf(gloss: dict, width: int = WRAP_WIDTH, char_class: str = "\\p
             da, db = t - wa, t - wb
             aligned.append((" " * (da // 2) + text + " " * (da - da // 2),
                             " " * (db // 2) + gl + " " * (db - db // 2),
-                            bool(text) and han_re.fullmatch(text) is not None))
+                            not plain and bool(text) and han_re.fullmatch(text) is not None))
         out, cur_h, cur_p = [], "", ""
         for i, (h, p, han) in enumerate(aligned):
             cur_h += h
@@ -188,9 +185,9 @@ def interlinear_udf(gloss: dict, width: int = WRAP_WIDTH, char_class: str = "\\p
 
     table = str.maketrans(dict(gloss))
     han_re = regex.compile(f"(?:{char_class})+")
+    any_re = regex.compile(char_class)
     word_re = regex.compile(f"{char_class}|[^{char_class} ]+ *| +")
 
-    @F.pandas_udf("array<struct<h:string,p:string>>")
     def wrap(values: pd.Series) -> pd.Series:
         res = []
         for v in values:
@@ -198,7 +195,20 @@ def interlinear_udf(gloss: dict, width: int = WRAP_WIDTH, char_class: str = "\\p
                 res.append(None)
                 continue
             words = [w for w in word_re.findall(v) if w]
-            res.append(_wrap_tokens([(w, w.translate(table)) for w in words], width, han_re))
+            glossed = [(w, w.translate(table)) for w in words]
+            plain = any_re.search(v) is None and all(any_re.search(g) is None for _, g in glossed)
+            res.append(_wrap_tokens(glossed, width, han_re, plain))
         return pd.Series(res)
 
     return wrap
+
+
+def interlinear_udf(gloss: dict, width: int = WRAP_WIDTH, char_class: str = "\\p{Han}"):
+    """Arrow-batched form of the line fold: ``value -> ARRAY<STRUCT<h, p>>``.
+
+    Tokens are ``token_pattern`` matches and their dictionary glosses.  The
+    fold is sequential inside a line; measured on the benchmark tables this
+    per-line Python helper is several times faster than the interpreted
+    higher-order-function fold, while Spark still partitions the lines.
+    """
+    return F.pandas_udf(interlinear_batch(gloss, width, char_class), "array<struct<h:string,p:string>>")

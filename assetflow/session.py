@@ -45,8 +45,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting one only when none is set.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; that setting
-    always wins.  Only a session without one (local tests) gets a fresh
-    private folder.
+    always wins.  Only a local session without one (tests) gets a fresh
+    private folder; on a cluster a machine-local folder would not survive an
+    executor loss, so a missing setting is an error there.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -54,6 +55,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (needed by skew-safe ranking)")
         configured = tempfile.mkdtemp(prefix="assetflow-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

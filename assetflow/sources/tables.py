@@ -8,7 +8,32 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
 
+# A table smaller than this is never spread (dimension tables, tiny fixtures).
+SPREAD_MIN_BYTES = 256 * 1024
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+
+def spread(df: DataFrame, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
+    """Round-robin a scan over the session's parallelism when it arrives in
+    fewer splits than there are cores.
+
+    A file written as one row group is one input split, so every per-row
+    step before the first shuffle (line explode, hashing, folds) would run
+    on one core.  On a cluster reading many splits this is a no-op; tables
+    below ``min_bytes`` are left alone.  Column pruning and filters still
+    reach the scan (Catalyst pushes them through the repartition).
+    """
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism
+    n = df._jdf.rdd().getNumPartitions()
+    if n >= target:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < min_bytes:
+        return df
+    return df.repartition(target)
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread_out: bool = True) -> DataFrame:
     """Parquet scan of one table; Catalyst prunes columns and pushes filters."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if spread_out else df
