@@ -643,7 +643,7 @@ def report_rows(spark, sf_dir):
 @query("paged_report")
 def paged_report(spark, sf_dir):
     pages = paging.report_pages(_rows(spark, sf_dir), "label", imgs_per_row=7)
-    return reports.paged_report_rows(pages.withColumn("score", F.col("score")), 200) \
+    return reports.paged_report_rows(pages, 200) \
         .select("page", "page_name", "label", "row_idx", "n_cells")
 
 

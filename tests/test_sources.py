@@ -83,3 +83,20 @@ def test_numpy_thumbnails_equal_native(spark):
     hashed = t.select(thumbnails.phash_map_from_thumbs(F.col("thumbs")).alias("m"),
                       H.phash_map(gray, F.col("height"), F.col("width")).alias("n"))
     assert hashed.filter(F.to_json("m") != F.to_json("n")).count() == 0
+
+
+def test_read_lines_split_parallel_numbering(spark, tmpdir_path):
+    p = f"{tmpdir_path}/big.txt"
+    with open(p, "w") as f:
+        for i in range(20000):
+            f.write(f"line {i} " + "x" * (i % 37) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(64 * 1024))
+    try:
+        df = files.read_lines(spark, p, whole_files=False)
+        assert df.rdd.getNumPartitions() > 1  # the file really is read in several splits
+        got = df.select("line_no", "value").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(got) == 20000
+    assert all(int(r.value.split()[1]) + 1 == r.line_no for r in got)
