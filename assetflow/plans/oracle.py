@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from assetflow.plans.sqlviews import ASSETS, skip_pred, with_views
+from assetflow.plans.sqlviews import (ASSETS, CHARS, DETECTION_ASSETS, DETECTIONS, HISTORY_COMMANDS, HISTORY_LINES,
+                                      LINES, PATHS, PIXELS, skip_pred, with_views)
+
 
 ORACLE = {}
 
@@ -38,7 +40,6 @@ sql("scaled_width", f"""{with_views(ASSETS, _KEPT, _LONG, _RANKED)}
 
 # --- filters, paths and move plans ------------------------------------------
 
-from assetflow.plans.sqlviews import DETECTION_ASSETS, DETECTIONS  # noqa: E402
 
 _BASENAME = "regexp_extract(path, '[^/]*$', 0)"
 _PATTERNS = ["'^(?:.*7\\.(jpg|JPG)$)'", "'^(?:0000000[0-4].*)'", "'^(?:.*\\.gif$)'"]
@@ -122,7 +123,6 @@ sql("grid_layout", f"""{with_views(ASSETS)}
 
 # --- pixels ------------------------------------------------------------------
 
-from assetflow.plans.sqlviews import LINES, PIXELS  # noqa: E402
 
 
 def _resize_sql(px: str, hh: int, ww: int, oh: str, ow: str) -> str:
@@ -207,7 +207,6 @@ sql("hex_diff", f"""{_HEXROWS},
 
 # --- text annotation ---------------------------------------------------------
 
-from assetflow.plans.sqlviews import CHARS, HISTORY_COMMANDS, HISTORY_LINES, PATHS  # noqa: E402
 
 _DICT_ROWS = ", ".join(f"('{chr(c)}', '{format(c, 'x')}')" for c in range(0xE0, 0x100) if c != 0xF7)
 _DICT = f"dict AS (SELECT * FROM (VALUES {_DICT_ROWS}) t(ch, gloss))"

@@ -100,3 +100,32 @@ def test_read_lines_split_parallel_numbering(spark, tmpdir_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert len(got) == 20000
     assert all(int(r.value.split()[1]) + 1 == r.line_no for r in got)
+
+
+def test_cleanup_on_real_files(spark, tmpdir_path):
+    from assetflow.plans import moves
+    _tree(tmpdir_path)
+    with open(f"{tmpdir_path}/c/bad.jpg", "wb") as f:
+        f.write(b"\x00" * 300)
+    listing = files.list_files(spark, tmpdir_path)
+    info = files.with_image_info(listing, files.read_images(spark, tmpdir_path))
+    plan = moves.cleanup_plan(info, "/trash", src_root=tmpdir_path, valid="valid", size_threshold=50,
+                              patterns=["flat"])
+    got = {os.path.basename(r.src): (r.action, r.dst) for r in plan.collect()}
+    assert got == {"flat.png": ("pattern", "/trash/c/flat.png"), "bad.jpg": ("invalid", "/trash/c/bad.jpg")}
+
+
+def test_report_lines_written_in_order(spark, tmpdir_path):
+    from assetflow.operators import dedup
+    from assetflow.plans import reports
+    rows = [(f"d/p{i:03d}.jpg", 10 + i % 3, 5, 100, "md5", f"h{i % 4}") for i in range(40)]
+    long = spark.createDataFrame(rows, "path string, w long, h long, size long, hash_type string, hash string")
+    plan = dedup.dedup_plan(long, dedup.md5_family(), "/t")
+    lines = reports.group_report_lines(plan, 100, True)
+    out = f"{tmpdir_path}/report"
+    reports.write_lines(lines, out, ["hash_type"], ["hash", "seq"], num_partitions=3)
+    folder = f"{out}/hash_type=md5"
+    text = "".join(open(os.path.join(folder, f)).read() for f in sorted(os.listdir(folder)) if f.startswith("part-"))
+    got = text.splitlines()
+    assert got[0] == "<tr><td>h0</td><td>" and got[1].startswith('<img src="d/p000.jpg"')
+    assert got[11] == "</td></tr>" and len(got) == 4 * 12
