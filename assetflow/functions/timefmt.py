@@ -19,41 +19,63 @@ SORTABLE_FORMAT = "yyyy-MM-dd-HH:mm:ss"
 MAC_INPUT_FORMAT = "MM-dd-yyyy_H:m:s"
 
 
-def epoch_from_timestamp(ts: Column, unit: str = "s") -> Column:
-    """Timestamp -> integer epoch in ``unit`` (s/ms/us/ns)."""
-    t = ts.cast("timestamp")
-    if unit == "s":
-        return F.unix_seconds(t)
-    if unit == "ms":
-        return F.unix_millis(t)
-    if unit == "us":
-        return F.unix_micros(t)
+_EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
+def utc_micros(ts: Column, ntz: bool = False) -> Column:
+    """Microseconds since the epoch.  A TIMESTAMP_NTZ (``ntz=True``) is read as
+    UTC wall-clock time, independent of the session zone."""
+    if ntz:
+        return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH_NTZ), ts)
+    return F.unix_micros(ts.cast("timestamp"))
+
+
+def epoch_from_timestamp(ts: Column, unit: str = "s", ntz: bool = False) -> Column:
+    """Timestamp -> integer epoch in ``unit`` (s/ms/us/ns); finer digits are truncated."""
+    if unit not in UNIT_FACTOR:
+        raise ValueError(unit)
+    us = utc_micros(ts, ntz)
     if unit == "ns":
-        return F.unix_micros(t) * 1000
-    raise ValueError(unit)
+        return us * 1000
+    if unit == "us":
+        return us
+    return F.floor(us / (1000_000 // UNIT_FACTOR[unit])).cast("long")
+
+
+def epoch_from_string(s: Column, fmt: str = "yyyy-MM-dd HH:mm:ss", unit: str = "s",
+                      tz: str | None = None) -> Column:
+    """Datetime text -> integer epoch in ``unit``.
+
+    ``tz=None`` reads the text in the session zone (like ``date -d``); a zone
+    name reads it in that zone, whatever the session zone is.
+    """
+    if tz is None:
+        return epoch_from_timestamp(F.to_timestamp(s, fmt), unit)
+    wall = F.to_timestamp_ntz(s, F.lit(fmt))
+    utc_wall = wall if tz == "UTC" else F.convert_timezone(F.lit(tz), F.lit("UTC"), wall)
+    return epoch_from_timestamp(utc_wall, unit, ntz=True)
 
 
-def epoch_from_string(s: Column, fmt: str = "yyyy-MM-dd HH:mm:ss", unit: str = "s") -> Column:
-    """Datetime text in the session zone -> integer epoch in ``unit``."""
-    return epoch_from_timestamp(F.to_timestamp(s, fmt), unit)
+def wall_clock(epoch: Column, unit: str = "s", tz: str = "UTC") -> Column:
+    """Epoch -> TIMESTAMP_NTZ wall-clock time in zone ``tz`` (whole seconds)."""
+    secs = epoch if unit == "s" else F.floor(epoch / UNIT_FACTOR[unit])
+    utc = F.timestamp_add("SECOND", secs.cast("long"), F.expr(_EPOCH_NTZ))
+    return utc if tz == "UTC" else F.convert_timezone(F.lit("UTC"), F.lit(tz), utc)
 
 
 def timestamp_from_epoch(epoch: Column, unit: str = "s") -> Column:
-    """Integer epoch in ``unit`` -> timestamp truncated to whole seconds."""
+    """Integer epoch in ``unit`` -> timestamp (instant) truncated to whole seconds."""
     secs = F.floor(epoch / UNIT_FACTOR[unit]) if unit != "s" else epoch
     return F.timestamp_seconds(secs.cast("long"))
 
 
-def format_epoch(epoch: Column, unit: str = "s", tz: str | None = None) -> Column:
-    """Epoch -> ``yyyy-MM-dd-HH:mm:ss.nnnnnnnnn`` in UTC or in zone ``tz``.
+def format_epoch(epoch: Column, unit: str = "s", tz: str = "UTC") -> Column:
+    """Epoch -> ``yyyy-MM-dd-HH:mm:ss.nnnnnnnnn`` in zone ``tz``.
 
     Finer units are integer-divided to whole seconds first, so the
     fraction is always nine zeros, like ``date -d@<secs> +%N``.
     """
-    ts = timestamp_from_epoch(epoch, unit)
-    if tz:
-        ts = F.from_utc_timestamp(ts, tz)
-    return F.concat(F.date_format(ts, PRETTY_FORMAT), F.lit(".000000000"))
+    return F.concat(F.date_format(wall_clock(epoch, unit, tz), PRETTY_FORMAT), F.lit(".000000000"))
 
 
 def time_label(ts: Column, pretty: bool = False) -> Column:

@@ -443,14 +443,16 @@ def history_tail(spark, sf_dir):
 @query("epoch_from_ts")
 def epoch_from_ts(spark, sf_dir):
     e = read_table(spark, sf_dir, "events")
-    text = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss")
-    return e.select("event_id", *[TF.epoch_from_timestamp(F.col("ts"), u).alias(f"epoch_{u}") for u in TF.UNIT_FACTOR],
-                    TF.epoch_from_string(text, "yyyy-MM-dd HH:mm:ss", "s").alias("epoch_s_text"))
+    text = F.date_format(F.col("ts"), "yyyy-MM-dd HH:mm:ss")
+    return e.select("event_id",
+                    *[TF.epoch_from_timestamp(F.col("ts"), u, ntz=True).alias(f"epoch_{u}") for u in TF.UNIT_FACTOR],
+                    TF.epoch_from_string(text, "yyyy-MM-dd HH:mm:ss", "s", tz="UTC").alias("epoch_s_text"))
 
 
 @query("ts_from_epoch")
 def ts_from_epoch(spark, sf_dir):
-    e = read_table(spark, sf_dir, "events").select("event_id", TF.epoch_from_timestamp(F.col("ts"), "ms").alias("ms"))
+    e = read_table(spark, sf_dir, "events").select("event_id",
+                                                   TF.epoch_from_timestamp(F.col("ts"), "ms", ntz=True).alias("ms"))
     return e.select("event_id", "ms", TF.format_epoch(F.col("ms"), "ms").alias("utc"),
                     TF.format_epoch(F.col("ms"), "ms", LOCAL_TZ).alias("local"))
 

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetflow.functions.arrays import let
+from assetflow.functions.timefmt import epoch_from_timestamp
 from assetflow.sources.tables import read_table
 
 # Extension assigned by doc_id % 8 (exercises the suffix rules).
@@ -122,7 +123,7 @@ def history_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "events")
     return e.select(
         F.col("event_id").alias("line_no"),
-        F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"),
+        epoch_from_timestamp(F.col("ts"), "s", ntz=True).alias("ts"),
         F.concat_ws(" ", "event_type", "props").alias("cmd"),
     )
 

@@ -85,3 +85,19 @@ def test_cache_refresh_idempotent(spark, tmpdir_path):
     changed = cur.withColumn("size", F.when(F.col("path") == "f3", F.lit(999)).otherwise(F.col("size")))
     cache.refresh(changed, spark.read.parquet(out1), compute)
     assert calls[-1] == 1
+
+
+def test_time_queries_do_not_depend_on_session_zone(spark):
+    from assetflow.plans.catalog import QUERIES
+    names = ["epoch_from_ts", "ts_from_epoch", "history_unique"]
+    old = spark.conf.get("spark.sql.session.timeZone")
+    got = {}
+    try:
+        for tz in ["UTC", "America/Los_Angeles"]:
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            for n in names:
+                got[(tz, n)] = sorted(map(tuple, QUERIES[n](spark, "/root/testdata/sf0.001").collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    for n in names:
+        assert got[("UTC", n)] == got[("America/Los_Angeles", n)], n
