@@ -653,5 +653,8 @@ def box_corners(spark, sf_dir):
 
 @query("locale_sort")
 def locale_sort(spark, sf_dir):
-    a = views.paths(spark, sf_dir).select("path")
-    return rank_within_groups(a, [], [F.collate(F.col("path"), "UNICODE"), F.col("path")], "position")
+    """Viewer order: relative paths (lang/first word/doc id) in locale order."""
+    d = read_table(spark, sf_dir, "documents")
+    p = d.select(F.concat_ws("/", "lang", F.regexp_extract("text", "^[^ \\n]*", 0),
+                             F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("path"))
+    return rank_within_groups(p, [], [F.collate(F.col("path"), "UNICODE"), F.col("path")], "position")

@@ -359,3 +359,6 @@ sql("box_corners", f"""{with_views(DETECTIONS)} SELECT det_id, asset_id % 100 AS
   asset_id % 100 + CAST(floor(score) AS BIGINT) + 1 AS x2, det_id % 100 + 10 AS y2,
   CAST(floor(asset_id % 100 + (CAST(floor(score) AS BIGINT) + 1 - length(class) * 10) / 2) AS BIGINT) AS text_x,
   det_id % 100 + 10 + 10 + 5 AS text_y FROM detections""")
+
+sql("locale_sort", """SELECT path, CAST(row_number() OVER (ORDER BY path COLLATE en, path) AS BIGINT) AS position FROM (
+  SELECT concat_ws('/', lang, regexp_extract(text, '^[^ \\n]*', 0), lpad(CAST(doc_id AS VARCHAR), 8, '0')) AS path FROM documents)""")
