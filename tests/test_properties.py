@@ -101,3 +101,44 @@ def test_time_queries_do_not_depend_on_session_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", old)
     for n in names:
         assert got[("UTC", n)] == got[("America/Los_Angeles", n)], n
+
+
+def _numpy_hash(img, bits):
+    """The quantisation formula with unsigned 8-bit arithmetic, then hex of the bit string."""
+    import warnings
+
+    import numpy as np
+    a = np.asarray(img, dtype=np.uint8)
+    m1, m2 = a.min(), a.max()
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        lev = (a - m1) // ((m2 - m1) // (2 ** bits))
+    b = "".join(format(int(i), f"0{bits}b") for i in lev.flatten())
+    return hex(int(b, 2))
+
+
+def test_quantisation_matches_numpy_formula(spark):
+    from assetflow.functions import hashing as H
+    rnd = random.Random(11)
+    imgs = []
+    for i in range(300):
+        kind = i % 4
+        if kind == 0:
+            img = [rnd.randrange(256) for _ in range(64)]
+        elif kind == 1:
+            base = rnd.randrange(250)
+            img = [base + rnd.randrange(4) for _ in range(64)]   # range < 2**bits: zero divisor
+        elif kind == 2:
+            img = [rnd.choice([0, 85, 170, 255]) for _ in range(64)]
+        else:
+            img = [rnd.randrange(256)] * 64                       # flat
+        imgs.append((i, img))
+    df = spark.createDataFrame(imgs, "i int, px array<int>")
+    for bits in (1, 2):
+        col = H.bits_to_hex(H.levels_to_bits(H.gray_levels(F.col("px"), bits), bits))
+        sql_map = H.phash_map_static("px", 8, 8, [(8, bits)])
+        name = H.phash_name(8, bits)
+        got = {r.i: (r.a, r.b) for r in df.select("i", col.alias("a"), sql_map[name].alias("b")).collect()}
+        for i, img in imgs:
+            want = _numpy_hash(img, bits)
+            assert got[i] == (want, want), (i, bits)
