@@ -104,11 +104,13 @@ def duplicate_groups(long: DataFrame, family: HashFamily, min_size: int = MIN_GR
     one row per map task before the shuffle.
     """
     fam = long.filter(F.col("hash_type").isin(*family.hash_types))
-    best = F.min(F.struct(family.order_struct().alias("key"), F.col("path"))).alias("best")
-    return (fam.groupBy(*GROUP_KEYS)
-            .agg(F.count(F.lit(1)).alias("n_members"), best)
-            .filter(F.col("n_members") >= min_size)
-            .select(*GROUP_KEYS, "n_members", F.col("best.path").alias("keep_path")))
+    extra = [F.col("w").alias("w")] if "w" in long.columns else []
+    best = F.min(F.struct(family.order_struct().alias("key"), F.col("path"), *extra)).alias("best")
+    out = (fam.groupBy(*GROUP_KEYS)
+           .agg(F.count(F.lit(1)).alias("n_members"), best)
+           .filter(F.col("n_members") >= min_size))
+    keep_w = [F.col("best.w").alias("keep_w")] if extra else []
+    return out.select(*GROUP_KEYS, "n_members", F.col("best.path").alias("keep_path"), *keep_w)
 
 
 def dedup_plan(long: DataFrame, family: HashFamily, dst_root: str | None = None,
@@ -127,11 +129,14 @@ def dedup_plan(long: DataFrame, family: HashFamily, dst_root: str | None = None,
     return joined.select(
         *GROUP_KEYS, "path", "size", "w", "h", "n_members",
         F.when(keep, F.lit("keep")).otherwise(F.lit("move")).alias("action"),
-        F.when(keep, F.col("path")).otherwise(dst).alias("dst"))
+        F.when(keep, F.col("path")).otherwise(dst).alias("dst"),
+        *(["keep_w"] if "keep_w" in joined.columns else []))
 
 
 def scaled_width(plan: DataFrame, cell_width: int = 100) -> DataFrame:
-    """Display width relative to the group's keeper: ``int(cell * w / keeper_w)``."""
-    keepers = plan.filter(F.col("action") == "keep").select(*GROUP_KEYS, F.col("w").alias("keep_w"))
-    return plan.join(keepers, list(GROUP_KEYS)).withColumn(
-        "width", F.floor(F.lit(cell_width) * F.col("w") / F.col("keep_w")).cast("long"))
+    """Display width relative to the group's keeper: ``int(cell * w / keeper_w)``.
+
+    The keeper's width comes with the plan (chosen in the same aggregate as
+    the keeper), so no second pass over the groups is needed.
+    """
+    return plan.withColumn("width", F.floor(F.lit(cell_width) * F.col("w") / F.col("keep_w")).cast("long"))

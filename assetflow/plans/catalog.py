@@ -22,6 +22,8 @@ from assetflow.sources.tables import read_table
 QUERIES = {}
 
 TRASH_ROOT = "/trash"
+GROUP_COLUMNS = ("hash_type", "hash", "n_members", "keep_path")
+PLAN_COLUMNS = ("hash_type", "hash", "path", "size", "w", "h", "n_members", "action", "dst")
 DRIVER_MAX_BYTES = 16 * 1024  # the documents never reach 10 MiB; exercise the size rule
 
 
@@ -65,12 +67,12 @@ def hash_long(spark, sf_dir):
 
 @query("dup_groups_md5")
 def dup_groups_md5(spark, sf_dir):
-    return dedup.duplicate_groups(hash_long(spark, sf_dir), dedup.md5_family())
+    return dedup.duplicate_groups(hash_long(spark, sf_dir), dedup.md5_family()).select(*GROUP_COLUMNS)
 
 
 @query("dedup_plan")
 def dedup_plan(spark, sf_dir):
-    return dedup.dedup_plan(hash_long(spark, sf_dir), dedup.md5_family(), TRASH_ROOT)
+    return dedup.dedup_plan(hash_long(spark, sf_dir), dedup.md5_family(), TRASH_ROOT).select(*PLAN_COLUMNS)
 
 
 @query("scaled_width")
@@ -260,7 +262,7 @@ def phash(spark, sf_dir):
 def dup_groups_phash(spark, sf_dir):
     fam = _PIXEL_FAMILY
     long = dedup.hash_long(dedup.with_hashes(_pixel_assets(spark, sf_dir), fam))
-    return dedup.duplicate_groups(long, fam)
+    return dedup.duplicate_groups(long, fam).select(*GROUP_COLUMNS)
 
 
 @query("resize")

@@ -36,7 +36,7 @@ def group_report_lines(plan: DataFrame, cell_width: int = 100, scale_by_width: b
     file per ``hash_type`` (``partitionBy``).  The keeper (seq 1) must have
     a relative path.
     """
-    members = plan.filter(F.col("n_members") >= min_group)
+    members = plan.filter(F.col("n_members") >= min_group).drop("keep_w")
     ranked = rank_within_groups(members, ["hash_type", "hash"],
                                 [F.col("action") != "keep", "path"], "seq", checkpoint=checkpoint)
     keepers = ranked.filter(F.col("seq") == 1).select(
