@@ -362,3 +362,37 @@ sql("box_corners", f"""{with_views(DETECTIONS)} SELECT det_id, asset_id % 100 AS
 
 sql("locale_sort", """SELECT path, CAST(row_number() OVER (ORDER BY path COLLATE en, path) AS BIGINT) AS position FROM (
   SELECT concat_ws('/', lang, regexp_extract(text, '^[^ \\n]*', 0), lpad(CAST(doc_id AS VARCHAR), 8, '0')) AS path FROM documents)""")
+
+# --- interlinear wrap: the per-line fold restated with list_reduce ----------
+
+_GLOSS_CHAIN = "t"
+for _c in sorted(chr(c) for c in range(0xE0, 0x100) if c != 0xF7):
+    _GLOSS_CHAIN = f"replace({_GLOSS_CHAIN}, '{_c}', '{format(ord(_c), 'x')}')"
+_HAN = "'\\p{Han}+'"
+_WRAP = f"""{with_views(LINES)},
+  tk AS (SELECT doc_id, line_no, regexp_extract_all(value || chr(10), '\\p{{Han}}|[^\\p{{Han}} ]+ *| +') AS toks FROM lines),
+  gl AS (SELECT doc_id, line_no, list_transform(toks, lambda t: {{'t': t, 'g': {_GLOSS_CHAIN}}}) AS tg FROM tk),
+  ms AS (SELECT doc_id, line_no, list_transform(tg, lambda x: {{'t': x.t, 'g': x.g, 'han': regexp_full_match(x.t, {_HAN}),
+           'wa': length(x.t) * CASE WHEN regexp_full_match(x.t, {_HAN}) THEN 2 ELSE 1 END,
+           'wb': length(x.g) * CASE WHEN regexp_full_match(x.g, {_HAN}) THEN 2 ELSE 1 END}}) AS m FROM gl),
+  al AS (SELECT doc_id, line_no, list_transform(m, lambda x: {{
+           'h': repeat(' ', (greatest(x.wa, x.wb) - x.wa) // 2) || x.t
+                || repeat(' ', (greatest(x.wa, x.wb) - x.wa) - (greatest(x.wa, x.wb) - x.wa) // 2),
+           'p': repeat(' ', (greatest(x.wa, x.wb) - x.wb) // 2) || x.g
+                || repeat(' ', (greatest(x.wa, x.wb) - x.wb) - (greatest(x.wa, x.wb) - x.wb) // 2),
+           'han': x.han}}) AS a FROM ms),
+  it AS (SELECT doc_id, line_no, list_transform(range(len(a)), lambda i: {{'h': a[i + 1].h, 'p': a[i + 1].p, 'han': a[i + 1].han,
+           'next_han': coalesce(a[i + 2].han, false), 'next_sp': coalesce(starts_with(a[i + 2].p, ' '), false)}}) AS items FROM al),
+  fo AS (SELECT doc_id, line_no, list_reduce(items, lambda s, x: CASE WHEN length(s.p || x.p) > 60 THEN
+           {{'h': '', 'p': '', 'out': list_append(s.out, {{
+              'h': s.h || x.h || CASE WHEN ends_with(s.p || x.p, chr(10)) THEN '' ELSE chr(10) END,
+              'p': s.p || x.p || CASE WHEN ends_with(s.p || x.p, chr(10)) THEN '' ELSE chr(10) END}})}}
+         ELSE {{'h': s.h || x.h || CASE WHEN x.han AND x.next_han AND NOT ends_with(x.p, ' ') AND NOT x.next_sp THEN ' ' ELSE '' END,
+                'p': s.p || x.p || CASE WHEN x.han AND x.next_han AND NOT ends_with(x.p, ' ') AND NOT x.next_sp THEN ' ' ELSE '' END,
+                'out': s.out}} END,
+         {{'h': '', 'p': '', 'out': []::STRUCT(h VARCHAR, p VARCHAR)[]}}) AS r FROM it),
+  segs AS (SELECT doc_id, line_no, CASE WHEN length(r.p) > 0 THEN list_append(r.out, {{'h': r.h, 'p': r.p}}) ELSE r.out END AS s FROM fo),
+  wrapped AS (SELECT doc_id, line_no, CAST(unnest(generate_series(0, len(s) - 1)) AS BIGINT) AS seg, unnest(s) AS x FROM segs)"""
+sql("interlinear_wrap", f"{_WRAP} SELECT doc_id, line_no, seg, x.h AS text, x.p AS gloss FROM wrapped")
+sql("interlinear_lines", f"""{_WRAP} SELECT doc_id, line_no, seg, CAST(0 AS BIGINT) AS k, x.p AS line FROM wrapped
+  UNION ALL SELECT doc_id, line_no, seg, CAST(1 AS BIGINT) AS k, x.h AS line FROM wrapped""")
