@@ -37,3 +37,29 @@ def test_running_toggle_counts(spark, tmpdir_path):
     q.stop()
     got = {r.item: (r.n_toggles, r.moved) for r in spark.table("toggle_counts_test").collect()}
     assert got == {"x": (2, False), "y": (1, True)}
+
+
+def test_reset_aware_toggle_counter_stream(spark, tmpdir_path):
+    import random
+
+    from assetflow.operators import toggle
+    rnd = random.Random(9)
+    rows, seq = [], 0
+    for part in range(4):
+        chunk = []
+        for _ in range(40):
+            seq += 1
+            kind = "reset" if rnd.random() < 0.08 else "toggle"
+            chunk.append((seq, kind, None if kind == "reset" else f"i{rnd.randrange(6)}"))
+        rows += chunk
+        spark.createDataFrame(chunk, "seq long, kind string, item string").coalesce(1) \
+            .write.mode("append").parquet(f"{tmpdir_path}/log")
+    schema = "seq long, kind string, item string"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmpdir_path}/log")
+    q = toggles.start_toggle_counter(spark, stream, f"{tmpdir_path}/state", f"{tmpdir_path}/ck")
+    q.awaitTermination()
+    got = toggles.read_toggle_counter(spark, f"{tmpdir_path}/state").first()
+    full = spark.createDataFrame(rows, schema)
+    want = toggle.moved_count(toggle.toggle_state(full)).first()
+    assert (got.counter, got.n_moved) == (want.counter, want.n_moved)
+    assert len([d for d in __import__("os").listdir(f"{tmpdir_path}/state") if d.startswith("batch=")]) == 4
