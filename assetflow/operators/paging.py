@@ -18,13 +18,13 @@ GRID_COLUMNS = 5        # fixed value: default viewer columns
 
 
 def report_rows(df: DataFrame, label: str = "label", order=("score", "size", "path"),
-                imgs_per_row: int = IMGS_PER_ROW, checkpoint: bool = True) -> DataFrame:
+                imgs_per_row: int = IMGS_PER_ROW, checkpoint: bool = True, **rank_opts) -> DataFrame:
     """Number members inside each label and chunk them into rows of ``imgs_per_row``.
 
     Adds ``pos`` (1-based within label), ``row_idx`` (0-based within label)
     and ``col_idx``.
     """
-    ranked = rank_within_groups(df, [label], list(order), "pos", checkpoint=checkpoint)
+    ranked = rank_within_groups(df, [label], list(order), "pos", checkpoint=checkpoint, **rank_opts)
     return (ranked
             .withColumn("row_idx", F.floor((F.col("pos") - 1) / imgs_per_row).cast("long"))
             .withColumn("col_idx", ((F.col("pos") - 1) % imgs_per_row).cast("long")))
@@ -54,11 +54,12 @@ def report_pages(rows: DataFrame, label: str = "label", imgs_per_row: int = IMGS
             .drop("_first_page"))
 
 
-def grid_layout(df: DataFrame, order=("path",), cols: int = GRID_COLUMNS, checkpoint: bool = True) -> DataFrame:
+def grid_layout(df: DataFrame, order=("path",), cols: int = GRID_COLUMNS, checkpoint: bool = True,
+                **rank_opts) -> DataFrame:
     """Viewer grid position for ``cols`` columns over the globally sorted rows."""
     if not 1 <= cols <= 10:
         raise ValueError("cols must be 1..10")
-    ranked = rank_within_groups(df, [], list(order), "_rn", checkpoint=checkpoint)
+    ranked = rank_within_groups(df, [], list(order), "_rn", checkpoint=checkpoint, **rank_opts)
     return (ranked.withColumn("grid_row", F.floor((F.col("_rn") - 1) / cols).cast("long"))
             .withColumn("grid_col", ((F.col("_rn") - 1) % cols).cast("long"))
             .drop("_rn"))

@@ -33,15 +33,31 @@ def _null_safe_eq(left: DataFrame, right: DataFrame, cols) -> Column:
     return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in cols])
 
 
+# Largest group (rows) that one task may sort; bigger groups take the range path.
+PLAIN_WINDOW_MAX_ROWS = 2_000_000
+
+
+def largest_group(df: DataFrame, group_cols) -> int:
+    """Row count of the biggest group (partial aggregation; one small job)."""
+    gcols = list(group_cols)
+    counts = df.groupBy(*gcols).count() if gcols else df.select(F.lit(1).alias("x")).groupBy("x").count()
+    return int(counts.agg(F.coalesce(F.max("count"), F.lit(0))).first()[0])
+
+
 def rank_within_groups(df: DataFrame, group_cols, order_cols, rank_col: str = "rank",
-                       num_partitions: int | None = None, checkpoint: bool = True) -> DataFrame:
+                       num_partitions: int | None = None, checkpoint: bool = True,
+                       plain_max_rows: int | None = PLAIN_WINDOW_MAX_ROWS) -> DataFrame:
     """1-based ``row_number`` of each row inside its group, skew-safe.
 
     ``order_cols`` (names or sort Columns) must make a total order inside a
     group, e.g. end with a unique path.  An empty ``group_cols`` numbers the
-    whole frame.
+    whole frame.  When the largest group is measured at no more than
+    ``plain_max_rows`` rows, a plain window (one shuffle) is used; otherwise,
+    or with ``plain_max_rows=None``, the range-partitioned path below.
     """
     spark = df.sparkSession
+    if plain_max_rows is not None and largest_group(df, group_cols) <= plain_max_rows:
+        return rank_within_groups_plain(df, list(group_cols), order_cols, rank_col)
     gcols = list(group_cols)
     work = df
     if not gcols:
@@ -79,6 +95,6 @@ def rank_within_groups(df: DataFrame, group_cols, order_cols, rank_col: str = "r
 
 
 def rank_within_groups_plain(df: DataFrame, group_cols, order_cols, rank_col: str = "rank") -> DataFrame:
-    """Reference implementation with a plain window (for tests and small data)."""
+    """Plain window: one shuffle, each group sorted by one task (used when groups are measured small)."""
     w = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))
     return df.withColumn(rank_col, F.row_number().over(w.orderBy(*[_as_col(o) for o in order_cols])).cast("long"))

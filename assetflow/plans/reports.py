@@ -29,7 +29,7 @@ def img_cell(path, width, meta=None):
 
 
 def group_report_lines(plan: DataFrame, cell_width: int = 100, scale_by_width: bool = True,
-                       min_group: int = 2, checkpoint: bool = True) -> DataFrame:
+                       min_group: int = 2, checkpoint: bool = True, **rank_opts) -> DataFrame:
     """Duplicate-group report: header, one cell per member in keeper order, footer.
 
     Output ``hash_type, hash, seq, line``; sort by (hash, seq) and write one
@@ -38,7 +38,7 @@ def group_report_lines(plan: DataFrame, cell_width: int = 100, scale_by_width: b
     """
     members = plan.filter(F.col("n_members") >= min_group).drop("keep_w")
     ranked = rank_within_groups(members, ["hash_type", "hash"],
-                                [F.col("action") != "keep", "path"], "seq", checkpoint=checkpoint)
+                                [F.col("action") != "keep", "path"], "seq", checkpoint=checkpoint, **rank_opts)
     keepers = ranked.filter(F.col("seq") == 1).select(
         "hash_type", "hash", F.col("w").alias("keep_w"), F.col("path").alias("keep_path"), "n_members")
     keepers = keepers.withColumn(

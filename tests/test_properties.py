@@ -17,10 +17,14 @@ def test_rank_helper_equals_plain_window_with_hot_group(spark):
     rows.append((None, 0.5, 1, "pnull"))
     df = spark.createDataFrame(rows, "label string, score double, size int, path string")
     order = ["score", F.col("size").desc(), "path"]
-    a = rank_within_groups(df, ["label"], order, "r", num_partitions=8).select("path", "r")
+    a = rank_within_groups(df, ["label"], order, "r", num_partitions=8, plain_max_rows=None).select("path", "r")
+    small = rank_within_groups(df, ["label"], order, "r").select("path", "r")  # measured small: plain window
     b = rank_within_groups_plain(df, ["label"], order, "r").select("path", "r")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
-    glob = rank_within_groups(df, [], ["path"], "r", num_partitions=8)
+    assert small.exceptAll(b).count() == 0
+    hot = rank_within_groups(df, ["label"], order, "r", num_partitions=8, plain_max_rows=500).select("path", "r")
+    assert hot.exceptAll(b).count() == 0  # the hot group (1000 rows) exceeds the bound: range path
+    glob = rank_within_groups(df, [], ["path"], "r", num_partitions=8, plain_max_rows=None)
     assert glob.agg(F.min("r"), F.max("r"), F.countDistinct("r")).first() == (1, 3001, 3001)
 
 
@@ -142,3 +146,18 @@ def test_quantisation_matches_numpy_formula(spark):
         for i, img in imgs:
             want = _numpy_hash(img, bits)
             assert got[i] == (want, want), (i, bits)
+
+
+def test_report_pipeline_range_path_equals_plain(spark):
+    from assetflow.operators import paging, scoring
+    from assetflow.plans import catalog
+    from assetflow.sources import views
+    sf = "/root/testdata/sf0.01"
+    s = scoring.score_assets(views.detection_assets(spark, sf), views.detections(spark, sf), catalog.DRIVER_CLASSES)
+    lab = scoring.label_assets(s.withColumn("score", F.round("score", 6)), catalog.DRIVER_CLASSES)
+    cols = ["asset_id", "label", "pos", "row_idx", "col_idx", "page", "page_name"]
+    rng = paging.report_pages(paging.report_rows(lab, "label", imgs_per_row=7, plain_max_rows=None,
+                                                 num_partitions=16), "label", imgs_per_row=7).select(*cols)
+    plain = paging.report_pages(paging.report_rows(lab, "label", imgs_per_row=7), "label", imgs_per_row=7).select(*cols)
+    assert rng.count() == plain.count() == 1500
+    assert rng.exceptAll(plain).count() == 0 and plain.exceptAll(rng).count() == 0
