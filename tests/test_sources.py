@@ -129,3 +129,11 @@ def test_report_lines_written_in_order(spark, tmpdir_path):
     got = text.splitlines()
     assert got[0] == "<tr><td>h0</td><td>" and got[1].startswith('<img src="d/p000.jpg"')
     assert got[11] == "</td></tr>" and len(got) == 4 * 12
+
+
+def test_read_lines_auto_mode(spark, tmpdir_path, monkeypatch):
+    _tree(tmpdir_path)
+    p = f"{tmpdir_path}/c/notes.txt"
+    monkeypatch.setattr(files, "WHOLE_FILE_MAX_BYTES", 4)   # force the split-parallel path
+    a = [(r.line_no, r.value) for r in files.read_lines(spark, p).orderBy("line_no").collect()]
+    assert a == [(1, "one"), (2, "two"), (3, "three")]
