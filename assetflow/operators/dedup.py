@@ -140,3 +140,15 @@ def scaled_width(plan: DataFrame, cell_width: int = 100) -> DataFrame:
     the keeper), so no second pass over the groups is needed.
     """
     return plan.withColumn("width", F.floor(F.lit(cell_width) * F.col("w") / F.col("keep_w")).cast("long"))
+
+
+def image_phash_family(thumbs: str = "thumbs", configs=hashing.PHASH_CONFIGS) -> HashFamily:
+    """Perceptual hashes of decoded images from precomputed thumbnails
+    (``functions.thumbnails``): per-pixel work is one vectorised pass per
+    image, quantisation and hashing stay native."""
+    from assetflow.functions.thumbnails import phash_map_from_thumbs
+    return HashFamily(
+        name="simhash",
+        hash_types=tuple(hashing.phash_name(s, b) for s, b in configs),
+        build=lambda: phash_map_from_thumbs(F.col(thumbs), configs),
+        order=lambda: [-F.col("w"), -F.col("h"), -F.col("size"), F.col("path")])

@@ -137,3 +137,22 @@ def test_read_lines_auto_mode(spark, tmpdir_path, monkeypatch):
     monkeypatch.setattr(files, "WHOLE_FILE_MAX_BYTES", 4)   # force the split-parallel path
     a = [(r.line_no, r.value) for r in files.read_lines(spark, p).orderBy("line_no").collect()]
     assert a == [(1, "one"), (2, "two"), (3, "three")]
+
+
+def test_image_dedup_on_real_files(spark, tmpdir_path):
+    from assetflow.plans import image_dedup
+    _tree(tmpdir_path)
+    os.makedirs(f"{tmpdir_path}/d", exist_ok=True)
+    _png(f"{tmpdir_path}/d/copy.png", 4, 4, [[0, 85, 170, 255]] * 4)            # same bytes as "a b/img 1.png"
+    _png(f"{tmpdir_path}/d/big.png", 8, 8, [[0, 0, 85, 85, 170, 170, 255, 255]] * 8)  # same picture, larger
+    md5 = image_dedup.image_dedup_plan(spark, tmpdir_path, "md5", "/trash")
+    got = {r.path: r.action for r in md5.collect()}
+    assert got == {"a b/img 1.png": "keep", "d/copy.png": "move"}
+    ph = image_dedup.image_dedup_plan(spark, tmpdir_path, "simhash16x4")
+    groups = {}
+    for r in ph.collect():
+        groups.setdefault(r.hash, {})[r.path] = r.action
+    # the 8x8 picture keeps (largest w, h); its 4x4 copies hash the same and move
+    assert {"d/big.png": "keep", "a b/img 1.png": "move", "d/copy.png": "move"} in groups.values()
+    hashed = image_dedup.hashed_images(spark, tmpdir_path)
+    assert {r.path for r in hashed.collect()} == {"a b/img 1.png", "c/flat.png", "d/copy.png", "d/big.png"}
