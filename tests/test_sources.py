@@ -156,3 +156,32 @@ def test_image_dedup_on_real_files(spark, tmpdir_path):
     assert {"d/big.png": "keep", "a b/img 1.png": "move", "d/copy.png": "move"} in groups.values()
     hashed = image_dedup.hashed_images(spark, tmpdir_path)
     assert {r.path for r in hashed.collect()} == {"a b/img 1.png", "c/flat.png", "d/copy.png", "d/big.png"}
+
+
+def test_score_report_on_real_files(spark, tmpdir_path):
+    import pandas as pd
+
+    from assetflow.operators import scoring
+    from assetflow.plans import score_report
+    for d in ("x", "y"):
+        os.makedirs(f"{tmpdir_path}/imgs/{d}", exist_ok=True)
+        for i in range(6):
+            kind = "face" if i % 3 == 0 else "plain"
+            _png(f"{tmpdir_path}/imgs/{d}/{kind}{i}.png", 2, 2, [[i, i], [i, i]])
+    calls = spark.sparkContext.accumulator(0)
+
+    def detector(pdf):
+        calls.add(len(pdf))
+        dets = [[{"class": "FACE", "score": 0.5, "box": [0, 0, 1, 1]}] if "face" in p else [] for p in pdf["path"]]
+        return pd.DataFrame({"path": pdf["path"], "size": pdf["size"], "detections": dets})
+
+    dim = scoring.ClassDimension(rows=(("FACE", 4, "19-face"),), face_bit=4)
+    v1 = score_report.refresh_predictions(spark, f"{tmpdir_path}/imgs", detector, None, f"{tmpdir_path}/cache/v1")
+    lines = score_report.score_report(v1, dim, imgs_per_row=3).collect()
+    assert calls.value == 12
+    labels = sorted({(r.label, r.page_name) for r in lines})
+    assert labels == [("00-neutral", "00-neutral-000"), ("face-19-face", "face-19-face-001")]
+    assert sum(r.line.count("<img") for r in lines) == 12
+    v2 = score_report.refresh_predictions(spark, f"{tmpdir_path}/imgs", detector, f"{tmpdir_path}/cache/v1",
+                                          f"{tmpdir_path}/cache/v2")
+    assert v2.count() == 12 and calls.value == 12   # second run: every image was a cache hit
