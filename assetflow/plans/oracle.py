@@ -159,7 +159,7 @@ sql("dup_groups_phash", f"""{_PHASH},
   ranked AS (SELECT hash_type, hash, image_id, count(*) OVER (PARTITION BY hash_type, hash) AS n_members,
              row_number() OVER (PARTITION BY hash_type, hash ORDER BY printf('img/%06d.png', image_id)) AS rn FROM hashes)
   SELECT hash_type, hash, n_members, printf('img/%06d.png', image_id) AS keep_path FROM ranked WHERE rn = 1 AND n_members >= 2""")
-sql("resize", f"{with_views(PIXELS)} SELECT image_id, CAST({_resize_sql('px', 8, 8, '4', '4')} AS INTEGER[]) AS small FROM pixels")
+sql("resize", f"{with_views(PIXELS)} SELECT image_id, array_to_string({_resize_sql('px', 8, 8, '4', '4')}, ',') AS small FROM pixels")
 sql("ascii_ramp", f"""{with_views(PIXELS)},
   sm AS (SELECT image_id, {_resize_sql('px', 8, 8, '4', '8')} AS sm FROM pixels),
   ch AS (SELECT image_id, array_to_string(list_transform(sm, lambda v: (['@','#','S','%','?','*','+',';',':',',','.'])[v // 25 + 1]), '') AS s FROM sm)
