@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetflow.operators.ranking import rank_within_groups
+from assetflow.operators.ranking import pin, rank_within_groups
 
 IMGS_PER_ROW = 10       # fixed value: images per report row
 ROWS_PER_PAGE = 100     # fixed value: report rows per page
@@ -24,7 +24,7 @@ def report_rows(df: DataFrame, label: str = "label", order=("score", "size", "pa
     Adds ``pos`` (1-based within label), ``row_idx`` (0-based within label)
     and ``col_idx``.
     """
-    ranked = rank_within_groups(df, [label], list(order), "pos", checkpoint=checkpoint, **rank_opts)
+    ranked = rank_within_groups(pin(df, checkpoint), [label], list(order), "pos", checkpoint=False, **rank_opts)
     return (ranked
             .withColumn("row_idx", F.floor((F.col("pos") - 1) / imgs_per_row).cast("long"))
             .withColumn("col_idx", ((F.col("pos") - 1) % imgs_per_row).cast("long")))
@@ -59,7 +59,7 @@ def grid_layout(df: DataFrame, order=("path",), cols: int = GRID_COLUMNS, checkp
     """Viewer grid position for ``cols`` columns over the globally sorted rows."""
     if not 1 <= cols <= 10:
         raise ValueError("cols must be 1..10")
-    ranked = rank_within_groups(df, [], list(order), "_rn", checkpoint=checkpoint, **rank_opts)
+    ranked = rank_within_groups(pin(df, checkpoint), [], list(order), "_rn", checkpoint=False, **rank_opts)
     return (ranked.withColumn("grid_row", F.floor((F.col("_rn") - 1) / cols).cast("long"))
             .withColumn("grid_col", ((F.col("_rn") - 1) % cols).cast("long"))
             .drop("_rn"))

@@ -94,6 +94,21 @@ def rank_within_groups(df: DataFrame, group_cols, order_cols, rank_col: str = "r
     return out.drop(*drop)
 
 
+def pin(df: DataFrame, enabled: bool = True) -> DataFrame:
+    """Materialise ``df`` once with a reliable checkpoint (shared folder).
+
+    Callers that run several actions over the same input (measuring groups,
+    counting labels, ranking) read the checkpoint instead of recomputing the
+    upstream each time.  A checkpointed input is also deterministic, so the
+    range path's sampling and partition ids are reproducible without a
+    second checkpoint.
+    """
+    if not enabled:
+        return df
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def rank_within_groups_plain(df: DataFrame, group_cols, order_cols, rank_col: str = "rank") -> DataFrame:
     """Plain window: one shuffle, each group sorted by one task (used when groups are measured small)."""
     w = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))
