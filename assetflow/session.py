@@ -37,9 +37,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
-    spark = builder.getOrCreate()
-    ensure_checkpoint_dir(spark)
-    return spark
+    # the checkpoint folder is resolved lazily by the operators that need one
+    return builder.getOrCreate()
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
