@@ -31,7 +31,11 @@ def start_incremental_hashing(spark: SparkSession, source: DataFrame, cache_dir:
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         cached = load_or_empty(batch.sparkSession, cache_root, cache_schema)
-        misses = batch.join(cached.select(*k), k, "left_anti")
+        # only the cache keys of this batch's files: a semi-join whose small side
+        # (the batch) AQE broadcasts, so the growing cache is scanned, not shuffled
+        keys = batch.select(*k).distinct()
+        known = cached.select(*k).join(keys, k, "left_semi")
+        misses = batch.join(known, k, "left_anti")
         out = compute(misses).select(*cache_schema.fieldNames())
         out.write.mode("overwrite").parquet(f"{cache_root}/batch={batch_id:09d}")
 
