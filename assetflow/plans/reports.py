@@ -41,15 +41,17 @@ def group_report_lines(plan: DataFrame, cell_width: int = 100, scale_by_width: b
                                 [F.col("action") != "keep", "path"], "seq", checkpoint=False, **rank_opts)
     keepers = ranked.filter(F.col("seq") == 1).select(
         "hash_type", "hash", F.col("w").alias("keep_w"), F.col("path").alias("keep_path"), "n_members")
-    keepers = keepers.withColumn(
-        "_ok", F.assert_true(~F.col("keep_path").startswith("/"), "first member must be relative"))
+    # the keeper must have a relative path; the check is part of the emitted
+    # header line so that it is evaluated (a separate column would be pruned)
+    check = F.coalesce(F.assert_true(~F.col("keep_path").startswith("/"),
+                                     "first member must be relative").cast("string"), F.lit(""))
     cells = ranked.join(keepers.drop("n_members"), ["hash_type", "hash"])
     width = (F.floor(F.lit(cell_width) * F.col("w") / F.col("keep_w")) if scale_by_width
              else F.lit(cell_width)).cast("long")
     body = cells.select("hash_type", "hash", "seq",
                         img_cell(F.col("dst"), width).alias("line"))
     head = keepers.select("hash_type", "hash", F.lit(0).cast("long").alias("seq"),
-                          F.concat(F.lit("<tr><td>"), F.col("hash"), F.lit("</td><td>")).alias("line"))
+                          F.concat(F.lit("<tr><td>"), F.col("hash"), F.lit("</td><td>"), check).alias("line"))
     tail = keepers.select("hash_type", "hash", (F.col("n_members") + 1).cast("long").alias("seq"),
                           F.lit("</td></tr>").alias("line"))
     return head.unionByName(body).unionByName(tail)

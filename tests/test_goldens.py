@@ -171,3 +171,20 @@ def test_recent_unique_keeps_latest(spark):
     df = spark.createDataFrame([(i + 1, c) for i, c in enumerate(cmds)], "line_no long, cmd string")
     got = [(r.cmd, r.line_no) for r in history.recent_unique(df, n=2).collect()]
     assert got == [("pwd", 6), ("git st", 5)]
+
+
+def test_report_keeper_must_be_relative(spark):
+    import pytest
+
+    from assetflow.plans import reports
+    rows = [("/abs/a.jpg", 1, 1, 1, "md5", "h"), ("/abs/b.jpg", 1, 1, 1, "md5", "h")]
+    long = spark.createDataFrame(rows, "path string, w long, h long, size long, hash_type string, hash string")
+    plan = dedup.dedup_plan(long, dedup.md5_family())
+    with pytest.raises(Exception):
+        reports.group_report_lines(plan, checkpoint=False).collect()
+
+
+def test_hash_type_registered_twice_is_an_error():
+    import pytest
+    with pytest.raises(ValueError):
+        dedup.register_families(dedup.md5_family(), dedup.md5_family())
