@@ -92,10 +92,21 @@ MAGIC_SIGNATURES = (
 BMP_PREFIX = "424d"
 
 
-def magic_type(content: Column) -> Column:
-    """Type from the first four bytes (zero-padded hex); ``UNKNOWN`` otherwise."""
+WEBP_TAG = "57454250"  # fixed value: bytes 9-12 of a WebP file ("WEBP")
+
+
+def magic_type(content: Column, check_webp: bool = False) -> Column:
+    """Type from the first four bytes (zero-padded hex); ``UNKNOWN`` otherwise.
+
+    Any RIFF container is labelled ``RIFF/WEBP`` like the original; with
+    ``check_webp`` bytes 9-12 decide between ``WEBP`` and ``RIFF``.
+    """
     head = F.lower(F.hex(F.substring(content, 1, 4)))
     c = None
+    if check_webp:
+        riff = head == "52494646"
+        tag = F.upper(F.hex(F.substring(content, 9, 4)))
+        c = F.when(riff & (tag == WEBP_TAG), F.lit("WEBP")).when(riff, F.lit("RIFF"))
     for sig, kind in MAGIC_SIGNATURES:
         c = F.when(head == sig, F.lit(kind)) if c is None else c.when(head == sig, F.lit(kind))
     return c.when(head.startswith(BMP_PREFIX), F.lit("BMP")).otherwise(F.lit("UNKNOWN"))

@@ -188,3 +188,14 @@ def test_hash_type_registered_twice_is_an_error():
     import pytest
     with pytest.raises(ValueError):
         dedup.register_families(dedup.md5_family(), dedup.md5_family())
+
+
+def test_magic_types(spark):
+    samples = [bytes.fromhex("89504e470d0a1a0a"), b"GIF89a..", bytes.fromhex("ffd8ffe000104a46"),
+               b"RIFF\x00\x00\x00\x00WEBPVP8 ", b"RIFF\x00\x00\x00\x00WAVEfmt ", b"BM\x00\x00", b"\x0a\x0b\x0c\x0d",
+               b"B"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(samples)], "i int, b binary")
+    got = [(r.a, r.b) for r in df.orderBy("i").select(filters.magic_type(F.col("b")).alias("a"),
+                                                       filters.magic_type(F.col("b"), check_webp=True).alias("b")).collect()]
+    assert got == [("PNG", "PNG"), ("GIF", "GIF"), ("JPEG", "JPEG"), ("RIFF/WEBP", "WEBP"), ("RIFF/WEBP", "RIFF"),
+                   ("BMP", "BMP"), ("UNKNOWN", "UNKNOWN"), ("UNKNOWN", "UNKNOWN")]
