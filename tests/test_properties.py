@@ -161,3 +161,19 @@ def test_report_pipeline_range_path_equals_plain(spark):
     plain = paging.report_pages(paging.report_rows(lab, "label", imgs_per_row=7), "label", imgs_per_row=7).select(*cols)
     assert rng.count() == plain.count() == 1500
     assert rng.exceptAll(plain).count() == 0 and plain.exceptAll(rng).count() == 0
+
+
+def test_rank_helper_shapes_and_partition_counts(spark):
+    rnd = random.Random(21)
+    shapes = {
+        "one_group": [("g", rnd.random(), f"p{i:04d}") for i in range(400)],
+        "all_distinct": [(f"g{i}", rnd.random(), f"p{i:04d}") for i in range(400)],
+        "with_nulls": [(None if i % 5 == 0 else f"g{i % 7}", rnd.random(), f"p{i:04d}") for i in range(400)],
+    }
+    for name, rows in shapes.items():
+        df = spark.createDataFrame(rows, "g string, s double, path string")
+        want = rank_within_groups_plain(df, ["g"], ["s", "path"], "r").select("path", "r")
+        for n in (1, 3, 16):
+            got = rank_within_groups(df, ["g"], ["s", "path"], "r", num_partitions=n,
+                                     plain_max_rows=None).select("path", "r")
+            assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0, (name, n)
