@@ -75,3 +75,22 @@ def env_cpus(default: int = 8) -> int:
         return int(os.environ.get("BENCH_CPUS", default))
     except ValueError:
         return default
+
+
+def scale_conf(input_bytes: int, target_partition_bytes: int = 256 * 1024 * 1024,
+               min_partitions: int = 200) -> dict:
+    """Spill-aware sizing for a job reading ``input_bytes``.
+
+    Scan splits and shuffle partitions aim at ``target_partition_bytes`` so a
+    task's data fits executor memory; AQE starts from that many shuffle
+    partitions and coalesces small ones at runtime, and splits skewed join
+    partitions.  Example: 100 TB -> ~400k partitions of 256 MiB.
+    """
+    n = max(min_partitions, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(n),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+    }

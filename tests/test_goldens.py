@@ -199,3 +199,10 @@ def test_magic_types(spark):
                                                        filters.magic_type(F.col("b"), check_webp=True).alias("b")).collect()]
     assert got == [("PNG", "PNG"), ("GIF", "GIF"), ("JPEG", "JPEG"), ("RIFF/WEBP", "WEBP"), ("RIFF/WEBP", "RIFF"),
                    ("BMP", "BMP"), ("UNKNOWN", "UNKNOWN"), ("UNKNOWN", "UNKNOWN")]
+
+
+def test_scale_conf():
+    from assetflow.session import scale_conf
+    c = scale_conf(100 * 10 ** 12)
+    assert int(c["spark.sql.shuffle.partitions"]) == -(-100 * 10 ** 12 // (256 * 2 ** 20))
+    assert scale_conf(10)["spark.sql.shuffle.partitions"] == "200"
