@@ -206,3 +206,11 @@ def test_scale_conf():
     c = scale_conf(100 * 10 ** 12)
     assert int(c["spark.sql.shuffle.partitions"]) == -(-100 * 10 ** 12 // (256 * 2 ** 20))
     assert scale_conf(10)["spark.sql.shuffle.partitions"] == "200"
+
+
+def test_history_timestamps_numeric_and_strict(spark):
+    vals = ["#9", "make", "#10", "make", "#note", "ls"]
+    df = spark.createDataFrame([("h", i + 1, v) for i, v in enumerate(vals)], "file string, line_no long, value string")
+    got = {(r.cmd, r.ts) for r in history.unique_history(df).collect()}
+    # "#10" > "#9" numerically (string order would pick 9); "#note" is a command, not a timestamp
+    assert got == {("make", 10), ("#note", 0), ("ls", 0)}
