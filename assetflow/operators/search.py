@@ -62,17 +62,22 @@ def line_range_diff(left: DataFrame, right: DataFrame, key: str = "file",
 
 
 def hex_rows(df: DataFrame, content: str = "content", key: str = "path", width: int = HEX_ROW_BYTES) -> DataFrame:
-    """Hex dump: one row per ``width`` bytes with the offset and 2-byte groups.
+    """Hex dump: one row per ``width`` bytes with the offset, 2-byte groups and text.
 
-    ``hex`` reads like ``xxd``: lower-case, groups of four hex digits.
+    ``hex`` reads like ``xxd``: lower-case, groups of four hex digits;
+    ``text`` shows printable ASCII bytes and ``.`` for the others.
     """
     b = F.col(content).cast("binary")
     rows = df.select(key, b.alias("_b"),
                      F.explode(F.sequence(F.lit(0), F.greatest(F.length(b) - 1, F.lit(0)), F.lit(width)))
                      .alias("offset")).filter(F.length("_b") > 0)
-    raw = F.lower(F.hex(F.substring(F.col("_b"), F.col("offset") + 1, width)))
+    chunk = F.substring(F.col("_b"), F.col("offset") + 1, width)
+    raw = F.lower(F.hex(chunk))
     grouped = F.regexp_replace(raw, "(.{4})(?!$)", "$1 ")
-    return rows.select(key, F.col("offset").cast("long").alias("offset"), grouped.alias("hex"))
+    # ISO-8859-1 maps every byte to the character of the same code, so one
+    # regex turns the non-printable ones into dots (no per-byte lambdas)
+    text = F.regexp_replace(F.decode(chunk, "ISO-8859-1"), "[^\\x20-\\x7e]", ".")
+    return rows.select(key, F.col("offset").cast("long").alias("offset"), grouped.alias("hex"), text.alias("text"))
 
 
 def hex_diff(left: DataFrame, right: DataFrame, key: str = "pair") -> DataFrame:

@@ -195,9 +195,12 @@ sql("line_range_diff", f"""{with_views(LINES)},
 _HEXROWS = f"""{with_views(ASSETS)},
   hx AS (SELECT doc_id, lower(hex(encode(content))) AS hx FROM assets WHERE strlen(content) > 0),
   hexrows AS (SELECT doc_id, CAST(off AS BIGINT) AS "offset",
-      rtrim(regexp_replace(substr(hx, off * 2 + 1, 32), '(....)', '\\1 ', 'g')) AS hex
+      rtrim(regexp_replace(substr(hx, off * 2 + 1, 32), '(....)', '\\1 ', 'g')) AS hex,
+      array_to_string(list_transform(range(0, least(16, length(hx) // 2 - off)), lambda j:
+        CASE WHEN CAST(('0x' || substr(hx, (off + j) * 2 + 1, 2)) AS INTEGER) BETWEEN 32 AND 126
+             THEN chr(CAST(('0x' || substr(hx, (off + j) * 2 + 1, 2)) AS INTEGER)) ELSE '.' END), '') AS text
     FROM (SELECT doc_id, hx, unnest(range(0, length(hx) // 2, 16)) AS off FROM hx))"""
-sql("hex_rows", f'{_HEXROWS} SELECT doc_id, "offset", hex FROM hexrows')
+sql("hex_rows", f'{_HEXROWS} SELECT doc_id, "offset", hex, text FROM hexrows')
 sql("hex_diff", f"""{_HEXROWS},
   a AS (SELECT doc_id // 2 AS pair, "offset", hex AS left_hex FROM hexrows WHERE doc_id % 2 = 0),
   b AS (SELECT doc_id // 2 AS pair, "offset", hex AS right_hex FROM hexrows WHERE doc_id % 2 = 1)
