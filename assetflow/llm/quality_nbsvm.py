@@ -158,8 +158,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
          .filter(fold(F.col("lid"), folds) != 0))
     good, total = y.agg(F.sum("y"), F.count("*")).first()
     prior = (good or 0) / total if total else 0.5
+    # a hash prefilter leaves about twice the sample per class, so the ranking below is as bounded as the sample
+    share = {c: 2 * per_class / max(n or 0, 1) for c, n in ((1, good), (0, (total or 0) - (good or 0)))}
+    spot = F.pmod(F.xxhash64("lid"), F.lit(1 << 30)) / float(1 << 30)
     order = Window.partitionBy("y").orderBy(F.xxhash64("lid"), "lid")
-    sample = y.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_class).drop("nth")
+    sample = y.filter(spot < F.when(F.col("y") == 1, min(share[1], 1.0)).otherwise(min(share[0], 1.0)))
+    sample = sample.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_class).drop("nth")
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     train = plain.join(F.broadcast(sample), plain["id"] == sample["lid"])     # at most 2 * per_class ids
