@@ -97,13 +97,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     twice = materialise(twice, "cdc-twice")
     rows = (table.select("doc_id", F.explode(F.arrays_zip("lo", "hi", "start", "size")).alias("c"))
             .select("doc_id", F.col("c.lo").alias("lo"), F.col("c.hi").alias("hi"), F.col("c.start").alias("start"), F.col("c.size").alias("size")))
-    cand = materialise(rows.join(twice, rows["lo"] == twice["half"]).drop("half").distinct(), "cdc-candidates")
+    cand = materialise(rows.join(twice, rows["lo"] == twice["half"]).drop("half"), "cdc-candidates")
     here = F.struct("doc_id", "start")
     first = (cand.groupBy("lo", "hi").agg(F.min(here).alias("first"), F.count("*").alias("n")).filter("n > 1")
              .select(F.col("lo").alias("flo"), F.col("hi").alias("fhi"), "first"))
     first = materialise(first, "cdc-first")
     again = (cand.join(first, (F.col("lo") == F.col("flo")) & (F.col("hi") == F.col("fhi")))
-             .filter(~here.eqNullSafe(F.col("first"))).select("doc_id", "start", (F.col("start") + F.col("size")).alias("end"), F.col("first.doc_id").alias("from_id")))
+             .filter(~here.eqNullSafe(F.col("first"))).select("doc_id", "start", (F.col("start") + F.col("size")).alias("end"), F.col("first.doc_id").alias("from_id"))
+             .distinct())      # rows that repeat an id and a text
     order = Window.partitionBy("doc_id").orderBy("start")
     broken = F.coalesce(F.lag("end").over(order) != F.col("start"), F.lit(True)).cast("int")
     runs = again.withColumn("new", broken).withColumn("run", F.sum("new").over(order))
