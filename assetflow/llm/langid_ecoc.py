@@ -134,6 +134,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         for b in batches:
             rows = []
             for t, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if lang not in place:      # a language none of whose texts has a letter is not learned
+                    continue
                 ok = _activations(t, odds) * code[place[lang]] > 0
                 rows.append((lang, ok.astype(np.int64).tolist()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=["l", "ok"])

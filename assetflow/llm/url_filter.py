@@ -25,6 +25,7 @@ from assetflow.llm.common import materialise
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 SEEDS = ("adult", "ads", "bets", "casino", "gambling", "pills", "porn", "spam", "track", "viagra", "xxx")
 MAX_WORD = 20       # longest word of the unigram model; longer runs are still split whole
+SMOOTH = 10.0       # weight, in words, of the overall word shares in either class
 SALT = 8            # a word found in most URLs is dealt to so many tasks
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -126,10 +127,12 @@ def judge(pages: DataFrame, rules=RULES, seeds=SEEDS, id_col: str = "page_id", u
     tokens = bags.select("host", "path", "n", "block", F.explode("words").alias("word"))
     seen = tokens.groupBy("word").agg(F.sum(F.col("n") * F.col("block")).alias("b"), F.sum(F.col("n") * (1 - F.col("block"))).alias("a"))
     seen = materialise(seen, "url-seen")
-    size = seen.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("a"), F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.count("*").alias("v")).first()
+    size = seen.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("a"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
     urls_of = bags.agg(F.coalesce(F.sum(F.col("n") * F.col("block")), F.lit(0)).alias("b"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     prior = math.log((urls_of["b"] + 1e-9) / (urls_of["n"] - urls_of["b"] + 1e-9)) if urls_of["n"] else 0.0
-    odds = seen.select("word", (F.log((F.col("b") + 1) / (size["b"] + size["v"])) - F.log((F.col("a") + 1) / (size["a"] + size["v"]))).alias("odds"))
+    # smoothed towards the words' overall shares: a rare word of the large class never speaks for the small one
+    share = (F.col("a") + F.col("b")) / max(size["a"] + size["b"], 1) * SMOOTH
+    odds = seen.select("word", (F.log((F.col("b") + share) / (size["b"] + SMOOTH)) - F.log((F.col("a") + share) / (size["a"] + SMOOTH))).alias("odds"))
     scores = (_salted(tokens, materialise(odds, "url-odds"), "word", ["host", "path"]).groupBy("host", "path")
               .agg((F.sum("odds") + prior).alias("score")))
     scores = materialise(scores.select(F.col("host").alias("sh"), F.col("path").alias("sp"), "score"), "url-scores")
