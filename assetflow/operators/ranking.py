@@ -33,31 +33,17 @@ def _null_safe_eq(left: DataFrame, right: DataFrame, cols) -> Column:
     return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in cols])
 
 
-# Largest group (rows) that one task may sort; bigger groups take the range path.
-PLAIN_WINDOW_MAX_ROWS = 2_000_000
-
-
-def largest_group(df: DataFrame, group_cols) -> int:
-    """Row count of the biggest group (partial aggregation; one small job)."""
-    gcols = list(group_cols)
-    counts = df.groupBy(*gcols).count() if gcols else df.select(F.lit(1).alias("x")).groupBy("x").count()
-    return int(counts.agg(F.coalesce(F.max("count"), F.lit(0))).first()[0])
-
-
 def rank_within_groups(df: DataFrame, group_cols, order_cols, rank_col: str = "rank",
-                       num_partitions: int | None = None, checkpoint: bool = True,
-                       plain_max_rows: int | None = PLAIN_WINDOW_MAX_ROWS) -> DataFrame:
+                       num_partitions: int | None = None) -> DataFrame:
     """1-based ``row_number`` of each row inside its group, skew-safe.
 
     ``order_cols`` (names or sort Columns) must make a total order inside a
     group, e.g. end with a unique path.  An empty ``group_cols`` numbers the
-    whole frame.  When the largest group is measured at no more than
-    ``plain_max_rows`` rows, a plain window (one shuffle) is used; otherwise,
-    or with ``plain_max_rows=None``, the range-partitioned path below.
+    whole frame.  The partition ids come from a sampled range partitioning, so
+    they are checkpointed before anything is derived from them: rows, chunk
+    counts and bounds all read the same checkpoint.
     """
     spark = df.sparkSession
-    if plain_max_rows is not None and largest_group(df, group_cols) <= plain_max_rows:
-        return rank_within_groups_plain(df, list(group_cols), order_cols, rank_col)
     gcols = list(group_cols)
     work = df
     if not gcols:
@@ -67,9 +53,8 @@ def rank_within_groups(df: DataFrame, group_cols, order_cols, rank_col: str = "r
     orders = [_as_col(o) for o in order_cols]
     ranged = work.repartitionByRange(n, *[F.col(g) for g in gcols], *orders) \
         .withColumn("_pid", F.spark_partition_id())
-    if checkpoint:
-        ensure_checkpoint_dir(spark)
-        ranged = ranged.checkpoint(eager=True)
+    ensure_checkpoint_dir(spark)
+    ranged = ranged.checkpoint(eager=True)
 
     local = ranged.withColumn(
         "_local", F.row_number().over(Window.partitionBy("_pid", *gcols).orderBy(*orders)))
@@ -92,24 +77,3 @@ def rank_within_groups(df: DataFrame, group_cols, order_cols, rank_col: str = "r
     if gcols == ["_g"]:
         drop.append("_g")
     return out.drop(*drop)
-
-
-def pin(df: DataFrame, enabled: bool = True) -> DataFrame:
-    """Materialise ``df`` once with a reliable checkpoint (shared folder).
-
-    Callers that run several actions over the same input (measuring groups,
-    counting labels, ranking) read the checkpoint instead of recomputing the
-    upstream each time.  A checkpointed input is also deterministic, so the
-    range path's sampling and partition ids are reproducible without a
-    second checkpoint.
-    """
-    if not enabled:
-        return df
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def rank_within_groups_plain(df: DataFrame, group_cols, order_cols, rank_col: str = "rank") -> DataFrame:
-    """Plain window: one shuffle, each group sorted by one task (used when groups are measured small)."""
-    w = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))
-    return df.withColumn(rank_col, F.row_number().over(w.orderBy(*[_as_col(o) for o in order_cols])).cast("long"))
