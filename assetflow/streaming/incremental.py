@@ -3,18 +3,22 @@
 The file source tracks which input files were already seen; each
 micro-batch anti-joins its rows against the cache on (path, size), computes
 hashes only for the misses, and writes them to a folder named after the
-batch id.  Re-running a batch after a failure overwrites the same folder,
-so the cache never holds a batch twice.
+stream's id (from its checkpoint) and the batch id.  A batch that runs again
+ignores what it or a later batch of the same stream has written, computes the
+same misses and overwrites the same folder: nothing is lost and the cache
+never holds a batch twice.  A new checkpoint is a new stream; it reuses the
+rows of earlier streams and writes beside them.
 """
 
 from __future__ import annotations
 
+import json
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from assetflow.plans.cache import CACHE_KEYS, load_or_empty
 
@@ -30,14 +34,18 @@ def start_incremental_hashing(spark: SparkSession, source: DataFrame, cache_dir:
     cache_root = cache_dir.rstrip("/")
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        cached = load_or_empty(batch.sparkSession, cache_root, cache_schema)
+        meta = batch.sparkSession.read.text(f"{checkpoint_dir.rstrip('/')}/metadata").first()
+        run = json.loads(meta["value"])["id"]
+        stored = StructType([*cache_schema.fields, StructField("run", StringType()), StructField("batch", LongType())])
+        cached = load_or_empty(batch.sparkSession, cache_root, stored)
+        cached = cached.filter(~F.col("run").eqNullSafe(run) | (F.col("batch") < batch_id))
         # only the cache keys of this batch's files: a semi-join whose small side
         # (the batch) AQE broadcasts, so the growing cache is scanned, not shuffled
         keys = batch.select(*k).distinct()
         known = cached.select(*k).join(keys, k, "left_semi")
         misses = batch.join(known, k, "left_anti")
         out = compute(misses).select(*cache_schema.fieldNames())
-        out.write.mode("overwrite").parquet(f"{cache_root}/batch={batch_id:09d}")
+        out.write.mode("overwrite").parquet(f"{cache_root}/run={run}/batch={batch_id:09d}")
 
     w = source.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")

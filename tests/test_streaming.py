@@ -26,6 +26,27 @@ def test_incremental_hashing(spark, tmpdir_path):
     assert c.count() == 15 and c.select("path").distinct().count() == 15
 
 
+def test_incremental_hashing_survives_retries(spark, tmpdir_path):
+    import shutil
+    src, cache_dir = f"{tmpdir_path}/in", f"{tmpdir_path}/cache"
+    spark.createDataFrame([(f"f{i}", i, f"c{i}") for i in range(10)], SRC).write.parquet(src)
+
+    def deliver(ck):
+        incremental.start_incremental_hashing(spark, incremental.file_stream(spark, src, SRC), cache_dir, CACHE,
+                                              incremental.md5_of(), ck).awaitTermination()
+        return spark.read.parquet(cache_dir)
+
+    deliver(f"{tmpdir_path}/ck")
+    # the batch ran, its commit was lost: the same batch id runs again
+    for name in ("0", ".0.crc"):
+        shutil.move(f"{tmpdir_path}/ck/commits/{name}", f"{tmpdir_path}/lost{name}")
+    c = deliver(f"{tmpdir_path}/ck")
+    assert c.count() == 10 and c.select("path").distinct().count() == 10
+    # a new checkpoint on the old cache finds everything in it
+    c = deliver(f"{tmpdir_path}/ck2")
+    assert c.count() == 10 and c.select("path").distinct().count() == 10
+
+
 def test_running_toggle_counts(spark, tmpdir_path):
     schema = "seq long, kind string, item string"
     spark.createDataFrame([(1, "toggle", "x"), (2, "toggle", "y"), (3, "toggle", "x"), (4, "reset", None)],
