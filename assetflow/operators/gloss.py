@@ -13,6 +13,9 @@ that need rewriting; all other lines pass through untouched.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from itertools import accumulate
+
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -59,12 +62,12 @@ def capped_annotations(elig: DataFrame, per_line: int = PER_LINE_CAP, total: int
 def annotate_lines(lines: DataFrame, accepted: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Rewrite lines: every accepted character becomes ``ch[gloss]``.
 
-    ``accepted`` is bounded (<= total cap x dictionary size) and broadcast;
-    its per-line map is applied with a higher-order function on the line.
+    ``accepted`` is bounded (<= total cap x dictionary size); Spark broadcasts it
+    or not by its size.  Its per-line map is applied with a higher-order function on the line.
     """
     per_line = accepted.groupBy(doc, "line_no").agg(
         F.map_from_entries(F.collect_list(F.struct("pos", "gloss"))).alias("_marks"))
-    j = lines.join(F.broadcast(per_line), [doc, "line_no"], "left")
+    j = lines.join(per_line, [doc, "line_no"], "left")
     chars = F.split(F.col("value"), "", -1)
     rebuilt = F.array_join(F.transform(chars, lambda c, i: F.when(
         F.element_at(F.col("_marks"), i.cast("long")).isNotNull(),
@@ -135,7 +138,7 @@ def token_pattern(char_class: str = "\\p{IsHan}") -> str:
     """Tokens: one per class character (multi-character class words are
     flattened to single characters, one reading each), otherwise words that
     keep their trailing spaces, or a run of leading spaces."""
-    return f"{char_class}|[^{char_class} ]+ *| +"
+    return f"{char_class}|(?:(?!{char_class})[^ ])++ *| +"
 
 
 def word_tokens(line: Column, char_class: str = "\\p{IsHan}") -> Column:
@@ -147,58 +150,48 @@ def interlinear_batch(gloss: dict, width: int = WRAP_WIDTH, char_class: str = "\
     """The per-batch Python function behind ``interlinear_udf`` (``pd.Series -> pd.Series``)."""
     # defined inside the factory so the function ships to Python workers by
     # value (workers need not import this package)
-    def _wrap_tokens(tokens, width, han_re, plain=False):
-        """Python form of ``interlinear`` for one line: list of (text, gloss) -> segments.
-
-        ``plain``: the line holds no class character, so widths are lengths."""
-        def dwidth(s):
-            if plain or not s:
-                return len(s)
-            return len(s) * (2 if han_re.fullmatch(s) else 1)
-
-        aligned = []
-        for text, gl in tokens:
-            wa, wb = dwidth(text), dwidth(gl)
-            t = max(wa, wb)
-            da, db = t - wa, t - wb
-            aligned.append((" " * (da // 2) + text + " " * (da - da // 2),
-                            " " * (db // 2) + gl + " " * (db - db // 2),
-                            not plain and bool(text) and han_re.fullmatch(text) is not None))
-        out, cur_h, cur_p = [], "", ""
-        for i, (h, p, han) in enumerate(aligned):
-            cur_h += h
-            cur_p += p
-            if len(cur_p) > width:
-                if not cur_p.endswith("\n"):
-                    cur_h += "\n"
-                    cur_p += "\n"
-                out.append({"h": cur_h, "p": cur_p})
-                cur_h, cur_p = "", ""
-            elif i + 1 < len(aligned):
-                nh, np_, nhan = aligned[i + 1]
-                if han and nhan and not p.endswith(" ") and not np_.startswith(" "):
-                    cur_h += " "
-                    cur_p += " "
-        if cur_p:
-            out.append({"h": cur_h, "p": cur_p})
+    def fold(texts, glosses, is_class):
+        """Segments of one line: breaks are looked up in the prefix sums of the padded widths."""
+        wide = [len(t) * (2 if c else 1) for t, c in zip(texts, is_class)]
+        under = [len(g) * (2 if g and han_re.fullmatch(g) else 1) for g in glosses]
+        full = [max(a, b) for a, b in zip(wide, under)]
+
+        def centred(s, width, target):
+            left = (target - width) // 2
+            return " " * left + s + " " * (target - width - left)
+
+        upper = [centred(*x) for x in zip(glosses, under, full)]
+        lower = [centred(*x) for x in zip(texts, wide, full)]
+        seam = [int(a and b and not p.endswith(" ") and not q.startswith(" "))
+                for a, b, p, q in zip(is_class, is_class[1:], upper, upper[1:])] + [0]
+        # reach[i]: characters of the gloss line through token i, before any break
+        reach = list(accumulate(len(p) + s for p, s in zip(upper, [0, *seam])))
+        out, start, base = [], 0, 0
+        while start < len(upper):
+            end = bisect_right(reach, base + width, start)
+            rows = []
+            for part in (lower, upper):
+                rows.append("".join(x + " " * s for x, s in zip(part[start:end], seam[start:end])) + "".join(part[end:end + 1]))
+            if end < len(upper):
+                mark = "" if rows[1].endswith("\n") else "\n"
+                out.append({"h": rows[0] + mark, "p": rows[1] + mark})
+                base = reach[end] + seam[end]
+            elif rows[1]:
+                out.append({"h": rows[0], "p": rows[1]})
+            start = end + 1
         return out
 
     table = str.maketrans(dict(gloss))
     han_re = regex.compile(f"(?:{char_class})+")
-    any_re = regex.compile(char_class)
-    word_re = regex.compile(f"{char_class}|[^{char_class} ]+ *| +")
+    word_re = regex.compile(token_pattern(char_class))
 
     def wrap(values: pd.Series) -> pd.Series:
-        res = []
-        for v in values:
+        def line(v):
             if v is None:
-                res.append(None)
-                continue
-            words = [w for w in word_re.findall(v) if w]
-            glossed = [(w, w.translate(table)) for w in words]
-            plain = any_re.search(v) is None and all(any_re.search(g) is None for _, g in glossed)
-            res.append(_wrap_tokens(glossed, width, han_re, plain))
-        return pd.Series(res)
+                return None
+            texts = word_re.findall(v)
+            return fold(texts, [t.translate(table) for t in texts], [han_re.fullmatch(t) is not None for t in texts])
+        return values.map(line)
 
     return wrap
 
