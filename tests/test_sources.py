@@ -46,7 +46,7 @@ def test_read_lines_both_modes(spark, tmpdir_path):
     _tree(tmpdir_path)
     p = f"{tmpdir_path}/c/notes.txt"
     a = [(r.line_no, r.value) for r in files.read_lines(spark, p).orderBy("line_no").collect()]
-    b = [(r.line_no, r.value) for r in files.read_lines(spark, p, whole_files=False).orderBy("line_no").collect()]
+    b = [(r.line_no, r.value) for r in files.read_lines(spark, p).orderBy("line_no").collect()]
     assert a == b == [(1, "one"), (2, "two"), (3, "three")]
 
 
@@ -93,7 +93,7 @@ def test_read_lines_split_parallel_numbering(spark, tmpdir_path):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(64 * 1024))
     try:
-        df = files.read_lines(spark, p, whole_files=False)
+        df = files.read_lines(spark, p)
         assert df.rdd.getNumPartitions() > 1  # the file really is read in several splits
         got = df.select("line_no", "value").collect()
     finally:
@@ -131,12 +131,22 @@ def test_report_lines_written_in_order(spark, tmpdir_path):
     assert got[11] == "</td></tr>" and len(got) == 4 * 12
 
 
-def test_read_lines_auto_mode(spark, tmpdir_path, monkeypatch):
-    _tree(tmpdir_path)
-    p = f"{tmpdir_path}/c/notes.txt"
-    monkeypatch.setattr(files, "WHOLE_FILE_MAX_BYTES", 4)   # force the split-parallel path
-    a = [(r.line_no, r.value) for r in files.read_lines(spark, p).orderBy("line_no").collect()]
-    assert a == [(1, "one"), (2, "two"), (3, "three")]
+def test_read_lines_has_one_rule_at_any_size(spark, tmpdir_path):
+    texts = {"crlf": "a\r\nb\rc\n", "none": "", "open": "x\ny", "blank": "\n\nz\n", "large": "0123456789\r\n" * 30_000}
+    for name, text in texts.items():
+        with open(f"{tmpdir_path}/{name}.txt", "w", newline="") as f:
+            f.write(text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "16k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = {}
+            for r in files.read_lines(spark, tmpdir_path).orderBy("file", "line_no").collect():
+                got.setdefault(r.file.rsplit("/", 1)[1][:-4], []).append((r.line_no, r.value))
+            want = {n: list(enumerate(t[:-1].split("\n") if t.endswith("\n") else t.split("\n"), 1)) for n, t in texts.items() if t}
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
 def test_image_dedup_on_real_files(spark, tmpdir_path):
