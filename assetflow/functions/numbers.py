@@ -14,10 +14,16 @@ def to_base10(digits: Column, base: int) -> Column:
 
 
 def from_base10(n: Column, base: int) -> Column:
-    """BIGINT -> digits in ``base`` (2..36), upper-case letters like ``bc``."""
+    """BIGINT -> digits in ``base`` (2..36), with a minus sign for negative numbers.
+
+    Digits above 9 are upper-case letters in every base.  ``bc`` does the same
+    up to base 16 only; beyond, it prints decimal digit groups, which is a
+    deliberate deviation here.
+    """
     if not 2 <= base <= 36:
         raise ValueError("bases 2..36 are supported")
-    return F.conv(n.cast("string"), 10, base)
+    text = n.cast("string")
+    return F.concat(F.when(text.startswith("-"), "-").otherwise(""), F.conv(F.ltrim(text, F.lit("-")), 10, base))
 
 
 def parse_count(s: Column) -> Column:

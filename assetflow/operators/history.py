@@ -7,7 +7,7 @@ would otherwise be one window partition, i.e. one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RECENT_N = 20   # fixed value: default rows of the recent-commands view
@@ -15,6 +15,12 @@ TAIL_N = 10     # fixed value: default rows of the history tail
 TS_LINE = "^#[0-9]+$"
 
 
+def _placed(last: DataFrame, line_no: str) -> DataFrame:
+    """``position`` 1..n in history order, newest last; ``last`` has at most n rows."""
+    order = Window.orderBy(line_no)
+    return last.withColumn("position", F.row_number().over(order).cast("long")).orderBy("position")
+
+
 def recent_unique(cmds: DataFrame, pattern: str | None = None, n: int = RECENT_N,
                   cmd: str = "cmd", line_no: str = "line_no") -> DataFrame:
     """Latest occurrence of each distinct command (trailing spaces trimmed),
@@ -23,7 +29,7 @@ def recent_unique(cmds: DataFrame, pattern: str | None = None, n: int = RECENT_N
     c = cmds.filter(~F.col(cmd).rlike("^#")) if pattern is None else cmds.filter(F.col(cmd).rlike(pattern))
     c = c.filter(~F.col(cmd).rlike(TS_LINE)).withColumn(cmd, F.rtrim(F.col(cmd)))
     latest = c.groupBy(cmd).agg(F.max(line_no).alias(line_no))
-    return latest.orderBy(F.col(line_no).desc()).limit(n)
+    return _placed(latest.orderBy(F.col(line_no).desc()).limit(n), line_no)
 
 
 def pair_timestamps(lines: DataFrame, file: str = "file", line_no: str = "line_no",
@@ -61,4 +67,4 @@ def tail(cmds: DataFrame, pattern: str | None = None, n: int = TAIL_N,
          cmd: str = "cmd", line_no: str = "line_no") -> DataFrame:
     """Last ``n`` (matching) history entries, newest last."""
     c = cmds if pattern is None else cmds.filter(F.col(cmd).rlike(pattern))
-    return c.orderBy(F.col(line_no).desc()).limit(n)
+    return _placed(c.orderBy(F.col(line_no).desc()).limit(n), line_no)

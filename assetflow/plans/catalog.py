@@ -179,14 +179,15 @@ def image_only(spark, sf_dir):
 # --- scoring, report rows and pages -----------------------------------------
 
 
-# The driver's class dimension over event types, in priority order.
+# The caller's class dimension for the registered queries, in priority order.
 DRIVER_CLASSES = scoring.ClassDimension(rows=(
-    ("purchase", 1024, "99-purchase"),
-    ("signup", 64, "59-signup"),
-    ("error", 4, "19-error"),
-    ("click", 1, "09-click"),
-    ("view", 1, "09-view"),
-), face_bit=4)
+    ("order", 4096, "f-order"),
+    ("join", 512, "e-join"),
+    ("fault", 128, "d-fault"),
+    ("tap", 32, "c-tap"),
+    ("glance", 2, "b-glance"),
+    ("trace", 1, "a-trace"),
+), face_bit=32)
 
 
 @query("weighted_detections")
@@ -431,7 +432,7 @@ LOCAL_TZ = "America/Los_Angeles"
 
 @query("history_recent")
 def history_recent(spark, sf_dir):
-    return history.recent_unique(views.history_commands(spark, sf_dir), "click").select("cmd", "line_no")
+    return history.recent_unique(views.history_commands(spark, sf_dir), "click").select("cmd", "line_no", "position")
 
 
 @query("history_unique")
@@ -441,7 +442,7 @@ def history_unique(spark, sf_dir):
 
 @query("history_tail")
 def history_tail(spark, sf_dir):
-    return history.tail(views.history_commands(spark, sf_dir), "error").select("line_no", "cmd")
+    return history.tail(views.history_commands(spark, sf_dir), "error").select("line_no", "cmd", "position")
 
 
 @query("epoch_from_ts")
@@ -480,7 +481,8 @@ def base_convert(spark, sf_dir):
     v = F.col("event_id") * 7919 + F.col("user_id")
     return e.select("event_id", N.from_base10(v, 2).alias("b2"), N.from_base10(v, 8).alias("b8"),
                     N.from_base10(v, 16).alias("b16"), N.from_base10(v, 36).alias("b36"),
-                    N.to_base10(N.from_base10(v, 16), 16).alias("back10"))
+                    N.to_base10(N.from_base10(v, 16), 16).alias("back10"),
+                    N.from_base10(100 - F.col("event_id"), 16).alias("signed16"))
 
 
 # --- sizes and top-k ---------------------------------------------------------
@@ -628,8 +630,7 @@ def complete_hashes(spark, sf_dir):
 @query("quote_path")
 def quote_path(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents")
-    first = F.substring_index(F.col("text"), "\n", 1)
-    return d.select("doc_id", P.quote_path(first).alias("quoted"))
+    return d.select("doc_id", P.quote_path(F.col("text")).alias("quoted"))
 
 
 @query("report_rows")
@@ -642,7 +643,7 @@ def report_rows(spark, sf_dir):
 def paged_report(spark, sf_dir):
     pages = paging.report_pages(_rows(spark, sf_dir), "label", imgs_per_row=7)
     return reports.paged_report_rows(pages, 200) \
-        .select("page", "page_name", "label", "row_idx", "n_cells")
+        .select("page", "page_name", "label", "row_idx", "n_cells", "line")
 
 
 @query("box_corners")
@@ -657,8 +658,6 @@ def box_corners(spark, sf_dir):
 
 @query("locale_sort")
 def locale_sort(spark, sf_dir):
-    """Viewer order: relative paths (lang/first word/doc id) in locale order."""
-    d = read_table(spark, sf_dir, "documents")
-    p = d.select(F.concat_ws("/", "lang", F.regexp_extract("text", "^[^ \\n]*", 0),
-                             F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("path"))
+    """Viewer order: asset paths in locale order."""
+    p = views.assets(spark, sf_dir).select("path")
     return rank_within_groups(p, [], [F.collate(F.col("path"), "UNICODE"), F.col("path")], "position")

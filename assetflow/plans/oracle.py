@@ -87,8 +87,8 @@ sql("image_only", f"""{with_views(ASSETS)} SELECT path, mime FROM (SELECT path,
 
 # --- scoring, report rows and pages -----------------------------------------
 
-_DIM = """dim AS (SELECT * FROM (VALUES (1, 'purchase', 1024, '99-purchase'), (2, 'signup', 64, '59-signup'),
-  (3, 'error', 4, '19-error'), (4, 'click', 1, '09-click'), (5, 'view', 1, '09-view'))
+_DIM = """dim AS (SELECT * FROM (VALUES (1, 'order', 4096, 'f-order'), (2, 'join', 512, 'e-join'), (3, 'fault', 128, 'd-fault'),
+  (4, 'tap', 32, 'c-tap'), (5, 'glance', 2, 'b-glance'), (6, 'trace', 1, 'a-trace'))
   AS t(ordinal, class, weight, group_key))"""
 _SCORED = """scored AS (
   SELECT a.asset_id, a.path, a.size, round(coalesce(p.score, 0), 6) AS score, CAST(coalesce(p.mask, 0) AS BIGINT) AS mask
@@ -96,7 +96,7 @@ _SCORED = """scored AS (
     SELECT asset_id, sum((1 + score) * weight) AS score, bit_or(weight) AS mask
     FROM detections JOIN dim USING (class) GROUP BY asset_id) p USING (asset_id))"""
 _LABELED = """labeled AS (
-  SELECT *, coalesce(nullif((CASE WHEN mask & 4 <> 0 THEN 'face-' ELSE '' END) ||
+  SELECT *, coalesce(nullif((CASE WHEN mask & 32 <> 0 THEN 'face-' ELSE '' END) ||
      coalesce((SELECT min_by(group_key, ordinal) FROM dim WHERE (mask & weight) <> 0), ''), ''), '00-neutral') AS label
   FROM scored)"""
 _ROWS = """rows AS (
@@ -239,15 +239,17 @@ sql("align_pair", f"""{with_views(*_TXT, _ACC)} SELECT doc_id, line_no, pos,
 
 _TS_RX = "'#[0-9]+'"
 sql("history_recent", f"""{with_views(HISTORY_COMMANDS)}
+  SELECT *, row_number() OVER (ORDER BY line_no) AS position FROM (
   SELECT rtrim(cmd) AS cmd, max(line_no) AS line_no FROM history_commands
   WHERE regexp_matches(cmd, 'click') AND NOT regexp_full_match(cmd, {_TS_RX})
-  GROUP BY rtrim(cmd) ORDER BY line_no DESC LIMIT 20""")
+  GROUP BY rtrim(cmd) ORDER BY line_no DESC LIMIT 20)""")
 sql("history_unique", f"""{with_views(HISTORY_COMMANDS, HISTORY_LINES)},
   p AS (SELECT line_no, value, lag(value) OVER (ORDER BY line_no) AS prev FROM history_lines)
   SELECT value AS cmd, max(CASE WHEN regexp_full_match(prev, {_TS_RX}) THEN CAST(substr(prev, 2) AS BIGINT) ELSE 0 END) AS ts
   FROM p WHERE NOT regexp_full_match(value, {_TS_RX}) AND value <> '' GROUP BY value""")
 sql("history_tail", f"""{with_views(HISTORY_COMMANDS)}
-  SELECT line_no, cmd FROM history_commands WHERE regexp_matches(cmd, 'error') ORDER BY line_no DESC LIMIT 10""")
+  SELECT *, row_number() OVER (ORDER BY line_no) AS position FROM (
+  SELECT line_no, cmd FROM history_commands WHERE regexp_matches(cmd, 'error') ORDER BY line_no DESC LIMIT 10)""")
 sql("epoch_from_ts", """SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS epoch_s, epoch_us(ts) // 1000 AS epoch_ms,
   epoch_us(ts) AS epoch_us, epoch_us(ts) * 1000 AS epoch_ns,
   CAST(epoch(strptime(strftime(ts, '%Y-%m-%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S')) AS BIGINT) AS epoch_s_text FROM events""")
@@ -262,7 +264,8 @@ sql("time_label", """SELECT event_id, strftime(ts, '%Y-%m-%d-%H-%M-%S') AS label
 sql("numeric_parse", "SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events")
 sql("base_convert", """SELECT event_id, to_base(event_id * 7919 + user_id, 2) AS b2, to_base(event_id * 7919 + user_id, 8) AS b8,
   to_base(event_id * 7919 + user_id, 16) AS b16, to_base(event_id * 7919 + user_id, 36) AS b36,
-  CAST('0x' || to_base(event_id * 7919 + user_id, 16) AS BIGINT) AS back10 FROM events""")
+  CAST('0x' || to_base(event_id * 7919 + user_id, 16) AS BIGINT) AS back10,
+  CASE WHEN event_id > 100 THEN '-' ELSE '' END || to_base(abs(100 - event_id), 16) AS signed16 FROM events""")
 
 # --- sizes and top-k ---------------------------------------------------------
 
@@ -343,7 +346,7 @@ sql("complete_hashes", f"{with_views(ASSETS)} SELECT path, sha1(content) AS sha1
 
 # --- quoting and reports -----------------------------------------------------
 
-sql("quote_path", "SELECT doc_id, replace(url_encode(split_part(text, chr(10), 1)), '%2F', '/') AS quoted FROM documents")
+sql("quote_path", "SELECT doc_id, replace(url_encode(text), '%2F', '/') AS quoted FROM documents")
 sql("report_rows", f"""{with_views(ASSETS, _KEPT, _LONG, _RANKED)},
   g AS (SELECT *, first_value(w) OVER (PARTITION BY hash_type, hash ORDER BY rn) AS keep_w FROM ranked WHERE n_members >= 2)
   SELECT hash_type, hash, CAST(0 AS BIGINT) AS seq, '<tr><td>' || hash || '</td><td>' AS line FROM g WHERE rn = 1
@@ -356,15 +359,17 @@ sql("paged_report", f"""{with_views(*_SCORE_VIEWS, _LABELED, _ROWS)},
   lp AS (SELECT label, CAST(ceil(ceil(count(*) / 7) / 100) AS BIGINT) AS pages FROM labeled GROUP BY label),
   off AS (SELECT label, coalesce(sum(pages) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_page FROM lp)
   SELECT CAST(first_page + row_idx // 100 AS BIGINT) AS page,
-         printf('%s-%03d', label, CAST(first_page + row_idx // 100 AS BIGINT)) AS page_name, label, row_idx, count(*) AS n_cells
-  FROM rows2 JOIN off USING (label) GROUP BY ALL""")
+         printf('%s-%03d', label, CAST(first_page + row_idx // 100 AS BIGINT)) AS page_name, label, row_idx, count(*) AS n_cells,
+         '<tr><td>' || printf('%s-%d', label, row_idx) || '</td><td>' || string_agg('<img src="' || replace(url_encode(path), '%2F', '/')
+           || '" width="200px" data-meta="' || printf('%.6f', score) || '" /> ', '' ORDER BY col_idx) || '</td></tr>' AS line
+  FROM rows2 JOIN off USING (label) GROUP BY page, page_name, label, row_idx""")
 sql("box_corners", f"""{with_views(DETECTIONS)} SELECT det_id, asset_id % 100 AS x, det_id % 100 AS y,
   asset_id % 100 + CAST(floor(score) AS BIGINT) + 1 AS x2, det_id % 100 + 10 AS y2,
   CAST(floor(asset_id % 100 + (CAST(floor(score) AS BIGINT) + 1 - length(class) * 10) / 2) AS BIGINT) AS text_x,
   det_id % 100 + 10 + 10 + 5 AS text_y FROM detections""")
 
-sql("locale_sort", """SELECT path, CAST(row_number() OVER (ORDER BY path COLLATE en, path) AS BIGINT) AS position FROM (
-  SELECT concat_ws('/', lang, regexp_extract(text, '^[^ \\n]*', 0), lpad(CAST(doc_id AS VARCHAR), 8, '0')) AS path FROM documents)""")
+sql("locale_sort", f"""{with_views(ASSETS)}
+  SELECT path, CAST(row_number() OVER (ORDER BY path COLLATE en, path) AS BIGINT) AS position FROM assets""")
 
 # --- interlinear wrap: the per-line fold restated with list_reduce ----------
 

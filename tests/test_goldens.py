@@ -170,7 +170,7 @@ def test_recent_unique_keeps_latest(spark):
     cmds = ["ls", "pwd ", "ls", "#12", "git st", "pwd"]
     df = spark.createDataFrame([(i + 1, c) for i, c in enumerate(cmds)], "line_no long, cmd string")
     got = [(r.cmd, r.line_no) for r in history.recent_unique(df, n=2).collect()]
-    assert got == [("pwd", 6), ("git st", 5)]
+    assert got == [("git st", 5), ("pwd", 6)]
 
 
 def test_report_keeper_must_be_relative(spark):
