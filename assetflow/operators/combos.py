@@ -78,7 +78,7 @@ def value_counts(probs: DataFrame) -> DataFrame:
 
 def select_values(probs: DataFrame, values=SELECTED_VALUES, seed: int = 0) -> DataFrame:
     """Problems whose answer is in ``values``, in a deterministic shuffled order
-    (``xxhash64`` of the row and seed, so a retried task gives the same order)."""
+    (``md5`` of the row and seed, so a retried task gives the same order): sort by ``shuffle_key``."""
     sel = probs.filter(F.col("value").isin(*values))
-    return sel.withColumn("shuffle_key", F.xxhash64(F.col("problem"), F.col("set_id"), F.col("template_id"),
-                                                    F.lit(seed)))
+    return sel.withColumn("shuffle_key", F.md5(F.concat_ws(
+        "|", F.col("set_id").cast("string"), F.col("template_id").cast("string"), "problem", F.lit(str(seed))).cast("binary")))

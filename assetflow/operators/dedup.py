@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from assetflow.functions import hashing
 from assetflow.functions.paths import rebase
+from assetflow.operators.salting import salted_join
 
 GROUP_KEYS = ("hash_type", "hash")
 MIN_GROUP_SIZE = 2  # fixed value: groups with one member are not duplicates
@@ -119,11 +120,12 @@ def dedup_plan(long: DataFrame, family: HashFamily, dst_root: str | None = None,
 
     The first member in the family's order is kept; the others move under
     ``dst_root`` keeping their relative path (``dst`` = new location; the
-    keeper's ``dst`` is its own path).
+    keeper's ``dst`` is its own path).  Members of a hot group are dealt over
+    several tasks; the groups are the small side.
     """
     groups = duplicate_groups(long, family, min_size)
     fam = long.filter(F.col("hash_type").isin(*family.hash_types))
-    joined = fam.join(groups, list(GROUP_KEYS), "inner")
+    joined = salted_join(fam, groups, GROUP_KEYS, ["path"])
     keep = F.col("path") == F.col("keep_path")
     dst = F.col("path") if dst_root is None else rebase(F.col("path"), dst_root)
     return joined.select(

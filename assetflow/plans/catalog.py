@@ -543,7 +543,7 @@ def quiz_value_counts(spark, sf_dir):
 
 @query("quiz_selected")
 def quiz_selected(spark, sf_dir):
-    return combos.select_values(combos.problems(_operands(spark, sf_dir))).drop("shuffle_key")
+    return combos.select_values(combos.problems(_operands(spark, sf_dir))).orderBy("shuffle_key")
 
 
 @query("quiz_counts")

@@ -315,7 +315,8 @@ _PROBS = f"""{with_views(_OPERANDS, _SIGNS, _OPS)},
                        * (nc + (CASE o3 WHEN '+' THEN 1 ELSE -1 END) * nd)) END AS value FROM f)"""
 sql("quiz_problems", f"{_PROBS} SELECT set_id, template_id, problem, CAST(value AS BIGINT) AS value FROM ev")
 sql("quiz_value_counts", f"{_PROBS} SELECT CAST(value AS BIGINT) AS value, count(*) AS n_problems FROM ev GROUP BY value")
-sql("quiz_selected", f"""{_PROBS} SELECT set_id, template_id, problem, CAST(value AS BIGINT) AS value FROM ev
+sql("quiz_selected", f"""{_PROBS} SELECT set_id, template_id, problem, CAST(value AS BIGINT) AS value,
+  md5(concat_ws('|', set_id, template_id, problem, 0)) AS shuffle_key FROM ev
   WHERE value IN (0, 200, -200)""")
 sql("quiz_counts", f"""{_PROBS} SELECT count(*) AS n_total, count(*) FILTER (WHERE value IN (0, 200, -200)) AS n_selected FROM ev""")
 

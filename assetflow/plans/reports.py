@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetflow.functions.paths import quote_path
+from assetflow.operators.dedup import HashFamily
 from assetflow.operators.ranking import rank_within_groups
 
 
@@ -29,16 +30,17 @@ def img_cell(path, width, meta=None):
 
 
 def group_report_lines(plan: DataFrame, cell_width: int = 100, scale_by_width: bool = True,
-                       min_group: int = 2, **rank_opts) -> DataFrame:
+                       min_group: int = 2, family: HashFamily | None = None, **rank_opts) -> DataFrame:
     """Duplicate-group report: header, one cell per member in keeper order, footer.
 
     Output ``hash_type, hash, seq, line``; sort by (hash, seq) and write one
-    file per ``hash_type`` (``partitionBy``).  The keeper (seq 1) must have
+    file per ``hash_type`` (``partitionBy``).  ``family`` gives the members'
+    order after the keeper; without one it is the path.  The keeper (seq 1) must have
     a relative path.
     """
     members = plan.filter(F.col("n_members") >= min_group).drop("keep_w")
     ranked = rank_within_groups(members, ["hash_type", "hash"],
-                                [F.col("action") != "keep", "path"], "seq", **rank_opts)
+                                [F.col("action") != "keep", *(family.order() if family else ["path"])], "seq", **rank_opts)
     keepers = ranked.filter(F.col("seq") == 1).select(
         "hash_type", "hash", F.col("w").alias("keep_w"), F.col("path").alias("keep_path"), "n_members")
     # the keeper must have a relative path; the check is part of the emitted

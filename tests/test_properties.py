@@ -133,3 +133,30 @@ def test_rank_helper_shapes_and_partition_counts(spark):
         for n in (1, 3, 16):
             got = rank_within_groups(df, ["g"], ["s", "path"], "r", num_partitions=n).select("path", "r")
             assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0, (name, n)
+
+
+def test_group_report_follows_the_family_order(spark):
+    from assetflow.operators import dedup
+    from assetflow.plans import reports
+    rows = [("t", "h", "a.jpg", 10, 50, 40), ("t", "h", "b.jpg", 10, 80, 40), ("t", "h", "c.jpg", 99, 50, 40), ("t", "h", "d.jpg", 10, 50, 60)]
+    long = spark.createDataFrame(rows, "hash_type string, hash string, path string, size long, w long, h long")
+    family = dedup.HashFamily(name="f", hash_types=("t",), build=lambda: None,
+                              order=lambda: [-F.col("w"), -F.col("h"), -F.col("size"), F.col("path")])
+    lines = reports.group_report_lines(dedup.dedup_plan(long, family), family=family).filter("line like '<img%'").orderBy("seq").collect()
+    assert [r.line.split('"')[1] for r in lines] == ["b.jpg", "d.jpg", "c.jpg", "a.jpg"]
+
+
+def test_hot_group_members_are_dealt_over_tasks(spark):
+    from assetflow.operators.salting import salted_join
+    many = spark.range(20_000).select(F.lit("hot").alias("k"), F.col("id").cast("string").alias("path"))
+    few = spark.createDataFrame([("hot", 1), ("cold", 2)], "k string, v int")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        out = salted_join(many, few, ["k"], ["path"]).withColumn("task", F.spark_partition_id())
+        sizes = [r["count"] for r in out.groupBy("task").count().collect()]
+        assert sum(sizes) == 20_000 and max(sizes) < 20_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old[1])
