@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assetflow.llm.common import materialise
+from assetflow.llm.common import materialise, text_of
 from assetflow.llm.components import components
 
 BITS = 64
@@ -33,6 +33,7 @@ SEED = 42
 TILE = 2048            # fingerprints in one hash tile of a hot bucket
 _CHUNK = 1 << 15       # shingles hashed at a time: memory stays flat on very long texts
 _BLOCK = 16            # words (of 64 pairs) that are abandoned together
+_PACKED = 1 << 17      # fingerprints compared at a time: a batch of many hot buckets stays within memory
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -52,16 +53,18 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``(id, fp)`` for every row; null texts have no words (fingerprint 0)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+                 mark: Column | None = None) -> DataFrame:
+    """``(id, fp)`` for every row; null texts have no words (fingerprint 0).  ``mark``, binary, is carried along."""
     def run(batches):
         for b in batches:
             got = [fingerprint(t or b"", shingle) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.array(got, np.uint64).view(np.int64))], names=["id", "fp"])
+            fp = pa.array(np.array(got, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), fp, *b.columns[2:]], names=["id", "fp", "mark"][:b.num_columns])
 
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("t"))
-    return plain.mapInArrow(run, "id long, fp long")
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("t"),
+                        *([] if mark is None else [mark.alias("mark")]))
+    return plain.mapInArrow(run, "id long, fp long" + ("" if mark is None else ", mark binary"))
 
 
 def _block_keys(fp: Column, radius: int) -> list[Column]:
@@ -171,15 +174,28 @@ def links(distinct_fps: DataFrame, radius: int = 3) -> DataFrame:
             grade = np.repeat(np.frexp(size)[1], size)    # similar sizes together: few idle shifts
             a, c = [], []
             for g in np.unique(grade):
-                rows = grade == g
-                member, head = linked(fps[rows], bucket[rows], radius)
-                a.append(fps[rows][member]), c.append(fps[rows][head])
+                rows = np.flatnonzero(grade == g)
+                starts = np.flatnonzero(np.r_[True, bucket[rows][1:] != bucket[rows][:-1]])      # whole buckets at a time
+                starts = starts[np.unique(starts // _PACKED, return_index=True)[1]]
+                for part in np.split(rows, starts[1:]):
+                    member, head = linked(fps[part], bucket[part], radius)
+                    a.append(fps[part][member]), c.append(fps[part][head])
             done = [np.concatenate(v).view(np.int64) if v else np.zeros(0, np.int64) for v in (a, c)]
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in done], names=["a", "b"])
 
     return packs.mapInArrow(run, "a long, b long").distinct()
 
 
+def _roots(fps: DataFrame, radius: int, low: Column) -> tuple[DataFrame, DataFrame]:
+    """``(fp, low, root)`` per distinct fingerprint of a written table, and ``(root, low)`` per group of linked ones."""
+    groups = materialise(fps.groupBy("fp").agg(F.min(low).alias("low")), "simhash-groups")
+    roots = components(links(groups.select("fp"), radius))
+    rooted = groups.join(roots, groups["fp"] == roots["node"], "left").select(
+        "fp", "low", F.coalesce("root", "fp").alias("root"))
+    rooted = materialise(rooted, "simhash-roots")
+    return rooted, rooted.groupBy("root").agg(F.min("low").alias("low"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                     radius: int = 3) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row of ``docs``.
@@ -191,12 +207,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     non-null id (null if it has none); an id that occurs twice is two rows.
     """
     fps = materialise(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    groups = materialise(fps.groupBy("fp").agg(F.min("id").alias("low")), "simhash-groups")
-    roots = components(links(groups.select("fp"), radius))
-    rooted = groups.join(roots, groups["fp"] == roots["node"], "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root"))
-    rooted = materialise(rooted, "simhash-roots")
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    rooted, lowest = _roots(fps, radius, F.col("id"))
+    lowest = lowest.select("root", F.col("low").alias("component_id"))
     classes = materialise(rooted.join(lowest, "root").select(F.col("fp").alias("cfp"), "component_id"), "simhash-classes")
     return fps.join(classes, fps["fp"] == classes["cfp"]).select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
+    """One row of ``docs``, with all its columns, per group of linked texts.
+
+    The smallest id stays (a null id only where no row of the group has one); of
+    different texts with that id the one with the smallest digest, of rows that
+    repeat both any one.  Groups, not ids, are counted: two texts without an id, or
+    with the same one, both stay unless they are linked.
+    """
+    names = docs.columns
+    key = F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), text_of(text_col)).cast("binary")))
+    fps = materialise(fingerprints(docs, id_col, text_col, shingle, key), "simhash")
+    low = F.struct(F.col("id").isNull().alias("no_id"), "id", "mark")
+    heads = materialise(_roots(fps, radius, low)[1].select(F.col("low.mark").alias("__head")).distinct(), "simhash-heads")
+    # repeated rows collapse before they are shuffled; the join then finds its key's partitioning in place
+    once = docs.withColumn("__key", key).dropDuplicates(["__key"])
+    return once.join(heads, F.col("__key") == F.col("__head"), "left_semi").select(*[F.col(f"`{c}`") for c in names])

@@ -6,7 +6,7 @@ return the columns of ``docs``.  Between stages the rows are written as Parquet.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetflow.llm import mixing_poisson, packing_drr, pii_boosted, quality_nbsvm, simhash
@@ -22,13 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: that of the smallest id (of rows repeating it, the first by text)."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text"), shingle=3, radius=3)
-    heads = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__head")).distinct()
-    heads = materialise(heads, "pipeline-heads")
-    kept = docs.join(heads, docs["doc_id"].eqNullSafe(heads["__head"]), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy("text")
-    return kept.withColumn("__nth", F.row_number().over(order)).filter("__nth = 1").drop("__nth")
+    """One document of each SimHash group stays: that of the smallest id."""
+    return simhash.one_of_each(docs, shingle=3, radius=3)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

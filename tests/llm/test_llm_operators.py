@@ -445,6 +445,21 @@ def test_simhash_odd_rows(odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_one_of_each_group_by_brute_force(spark, odd, empty):
+    other = " ".join(f"k{i}" for i in range(40))
+    rows = [(1, "b " * 30), (1, "b " * 30), (1, other), (2, other), (None, "c d e f g"), (None, "c d e f g"),
+            (None, "h i j k l m n"), (3, "h i j k l m n"), (4, ""), (None, None)]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").withColumn("low", F.lit("clash")))
+    assert got.columns == ["doc_id", "text", "low"]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(
+        [(1, "b " * 30), (1, other), (None, "c d e f g"), (3, "h i j k l m n"), (4, "")], key=str)
+    fps = [brute_fingerprint(t or "") for _, t, _, _ in ODD]
+    root = brute_components(dict(enumerate(fps)))
+    kept = simhash.one_of_each(odd)
+    assert kept.columns == odd.columns and kept.count() == len(set(root.values()))
+    assert simhash.one_of_each(empty).count() == 0
+
+
 @pytest.mark.parametrize("radius", [0, 1, 3, 5])
 def test_bit_sliced_links(radius, spark, monkeypatch):
     rng = np.random.default_rng(radius)
@@ -464,6 +479,7 @@ def test_bit_sliced_links(radius, spark, monkeypatch):
     got = np.arange(len(fps))
     got[member] = head
     assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
+    monkeypatch.setattr(simhash, "_PACKED", 16)      # buckets compared a few at a time lose no link
     monkeypatch.setattr(simhash, "TILE", 8)      # hot buckets dealt as tile pairs lose no link
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
     found = {r["node"]: r["root"] for r in components.components(simhash.links(df, radius)).collect()}
@@ -493,6 +509,15 @@ def test_pipeline_stages(spark, docs, texts, tmpdir_path):
             assert work.agg(F.sum("length")).first()[0] == sum(map(len, ids.values()))
 
 
+def test_pipeline_stages_take_odd_and_empty_tables(spark, odd, empty):
+    for name, stage in corpus_pipeline.STAGES:
+        for rows in (odd, empty):
+            out = stage(spark, rows, SF)
+            many = out.count()
+            assert name == "packing" or out.columns == rows.columns
+            assert rows is odd or many == 0
+
+
 def test_queries_are_registered():
     import __spark_entry__ as E
     names = set(E.queries())
