@@ -2,8 +2,8 @@
 
 Per-file caps use ``row_number() <= n``; Spark plans this as a
 WindowGroupLimit, so each map task keeps at most ``n`` rows per file before
-the shuffle and one huge file cannot flood a task.  Diffs pair rows with
-equi-joins on (file, position) whose keys are unique, so they do not skew.
+the shuffle and one huge file cannot flood a task.  Diffs pair rows by
+(file, position); the keys are unique, so they do not skew.
 """
 
 from __future__ import annotations
@@ -80,8 +80,12 @@ def hex_rows(df: DataFrame, content: str = "content", key: str = "path", width:
     return rows.select(key, F.col("offset").cast("long").alias("offset"), grouped.alias("hex"), text.alias("text"))
 
 
-def hex_diff(left: DataFrame, right: DataFrame, key: str = "pair") -> DataFrame:
-    """Rows of two hex dumps that differ at the same offset (full outer on offset)."""
-    a = left.select(key, "offset", F.col("hex").alias("left_hex"))
-    b = right.select(key, "offset", F.col("hex").alias("right_hex"))
-    return a.join(b, [key, "offset"], "full_outer").filter(~F.col("left_hex").eqNullSafe(F.col("right_hex")))
+def hex_diff(rows: DataFrame, key: str = "pair", right: str = "is_right") -> DataFrame:
+    """Rows of two hex dumps that differ at the same offset.
+
+    ``rows`` holds both dumps of every ``key``; the boolean ``right`` tells them
+    apart.  One pass: (key, side, offset) is unique, so a pair is one aggregate.
+    """
+    both = rows.groupBy(key, "offset").agg(F.max(F.when(~F.col(right), F.col("hex"))).alias("left_hex"),
+                                           F.max(F.when(F.col(right), F.col("hex"))).alias("right_hex"))
+    return both.filter(~F.col("left_hex").eqNullSafe(F.col("right_hex")))

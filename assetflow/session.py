@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every assetflow job wants.  Shuffle partitions are sized by the
 # caller; AQE coalesces small partitions and splits skewed join partitions.
@@ -61,6 +62,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def scratch_table(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written below the checkpoint folder and read back: lineage is cut and Spark knows its size."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.split("[")[0] == "local"
 

@@ -168,6 +168,39 @@ def test_image_dedup_on_real_files(spark, tmpdir_path):
     assert {r.path for r in hashed.collect()} == {"a b/img 1.png", "c/flat.png", "d/copy.png", "d/big.png"}
 
 
+def test_image_hashes_reuse_the_cache_per_type(spark, tmpdir_path):
+    from assetflow.plans import image_dedup
+    root = f"{tmpdir_path}/in"
+    _tree(root)
+    with open(f"{root}/c/large.png", "wb") as f:
+        f.write(b"x" * 5000)
+    first = image_dedup.refresh_hashes(spark, root, None, f"{tmpdir_path}/v1", max_size=4000)
+    want = {r.path: r for r in first.collect()}
+    assert set(want) == {"a b/img 1.png", "c/flat.png"}
+    assert all(set(r.hashes) == set(image_dedup.hash_types()) and (r.w, r.h) == (4, 4) for r in want.values())
+    # hashes in the cache are trusted; those it lacks are computed, files of another size are new
+    one, gap = image_dedup.hash_types()[1], image_dedup.hash_types()[2]
+    fake = [("a b/img 1.png", want["a b/img 1.png"].size, 4, 4, {t: "old" for t in image_dedup.hash_types() if t != gap}),
+            ("c/flat.png", want["c/flat.png"].size + 1, 9, 9, {one: "stale"}), ("gone.png", 3, 1, 1, {one: "stale"})]
+    spark.createDataFrame(fake, image_dedup.CACHE_SCHEMA).write.parquet(f"{tmpdir_path}/fake")
+    got = {r.path: r for r in image_dedup.refresh_hashes(spark, root, f"{tmpdir_path}/fake", f"{tmpdir_path}/v2", max_size=4000).collect()}
+    assert got["c/flat.png"] == want["c/flat.png"] and set(got) == set(want)
+    mixed = got["a b/img 1.png"].hashes
+    assert mixed.pop(gap) == want["a b/img 1.png"].hashes[gap] and set(mixed.values()) == {"old"}
+    no_md5 = [(*r[:4], {t: "old" for t in r[4] if t != "md5"}) for r in want.values()]
+    again = image_dedup.hashed_images(spark, root, 4000, spark.createDataFrame(no_md5, image_dedup.CACHE_SCHEMA))
+    assert {r.path: r.hashes["md5"] for r in again.collect()} == {k: r.hashes["md5"] for k, r in want.items()}
+
+
+def test_image_scans_are_pruned_and_thumbnails_run_once(spark, tmpdir_path):
+    from assetflow.plans import image_dedup
+    _tree(tmpdir_path)
+    plan = image_dedup.hashed_images(spark, tmpdir_path, max_size=4000)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == plan.count("Scan image") > 0
+    assert all("file_size" in x or "length" in x for x in plan.splitlines() if "FileScan" in x)
+    assert not [x for x in plan.splitlines() if "Exchange" in x and ("content" in x or "data" in x)]
+
+
 def test_score_report_on_real_files(spark, tmpdir_path):
     import pandas as pd
 
