@@ -12,10 +12,9 @@ the language names, one row per (bit, bucket), and per-language bit accuracies.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,7 +25,7 @@ BUCKETS = 1 << 14
 CODE_BITS = 15
 CHECK_PER_LANGUAGE = 400       # documented bound: training rows per language that weigh the bits
 AMBIGUOUS = 0.6                # a score below this is flagged
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _SPACE = bytes(32 if not (97 <= c <= 122 or c >= 128) else c for c in range(256))
 _CHUNK = 1 << 20               # bytes handled at a time
 

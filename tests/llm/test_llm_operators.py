@@ -311,6 +311,13 @@ def test_language_odd_rows(odd, empty):
     assert {r["lang_pred"] for r in langid_ecoc.predict(odd, langid_ecoc.fit(empty)).collect()} == {"und"}
 
 
+def test_only_letters_make_a_language(spark):
+    rows = [(1, "plain words here", "en"), (2, "\u00b2 \u00bd \u2167 \u0664 _ 12", "en"), (3, "\u00e9", "en"), (4, "\u4e2d", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid_ecoc.predict(docs, langid_ecoc.fit(docs)).collect()}
+    assert got == {1: "en", 2: "und", 3: "en", 4: "en"}
+
+
 def test_codewords_differ():
     code = langid_ecoc.codewords([f"l{i}" for i in range(40)])
     far = [int((a != b).sum()) for i, a in enumerate(code) for b in code[:i]]
