@@ -7,7 +7,9 @@ for that language in training (loss-weighted decoding, Escalera et al. 2010), an
 takes the codeword with the least loss; a small margin flags ambiguity.
 
 N-gram counts cover every training document.  What reaches the driver is bounded:
-the language names, one row per (bit, bucket), and per-language bit accuracies.
+the language names and row counts, one row per (bit, bucket), and per-language bit
+accuracies.  A hash prefilter leaves about twice the ids that weigh the bits, so
+their ranking stays as small at every size.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ from assetflow.llm.common import fold, materialise
 
 BUCKETS = 1 << 14
 CODE_BITS = 15
-CHECK_PER_LANGUAGE = 400       # documented bound: training rows per language that weigh the bits
+CHECK_PER_LANGUAGE = 400       # documented bound: training ids per language that weigh the bits
 AMBIGUOUS = 0.6                # a score below this is flagged
+ROWS = -1                      # in place of a bucket: the language's training rows
 _LETTER = regex.compile(r"\p{L}")
 _SPACE = bytes(32 if not (97 <= c <= 122 or c >= 128) else c for c in range(256))
 _CHUNK = 1 << 20               # bytes handled at a time
@@ -84,26 +87,30 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     def count(batches):
         seen: dict[str, np.ndarray] = {}
+        rows: dict[str, int] = {}
 
         def flush():
             for lang, n in seen.items():
                 at = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["l", "k", "n"])
-            seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), pa.array([ROWS] * len(rows), pa.int32()), pa.array(list(rows.values()), pa.int64())], names=["l", "k", "n"])
+            seen.clear(), rows.clear()
 
         for b in batches:
             for t, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if lang not in seen:
                     if len(seen) >= 256:
                         yield from flush()
-                    seen[lang] = np.zeros(BUCKETS, np.int64)
+                    seen[lang], rows[lang] = np.zeros(BUCKETS, np.int64), 0
+                rows[lang] += 1
                 if _LETTER.search(t):
                     for x in buckets(t):
                         seen[lang] += np.bincount(x, minlength=BUCKETS)
         yield from flush()
 
-    counts = materialise(train.select("t", "l").mapInArrow(count, "l string, k int, n long")
-                         .groupBy("l", "k").agg(F.sum("n").alias("n")), "langid-counts")
+    tally = materialise(train.select("t", "l").mapInArrow(count, "l string, k int, n long")
+                        .groupBy("l", "k").agg(F.sum("n").alias("n")), "langid-counts")
+    counts = tally.filter(F.col("k") != ROWS)
     langs = sorted(r[0] for r in counts.select("l").distinct().collect())      # label names only
     if not langs:
         return {"langs": []}
@@ -123,8 +130,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if len(langs) == 1:
         return {"langs": langs, "code": code, "odds": odds * 0, "weight": np.ones(code.shape)}
 
+    share = tally.filter(F.col("k") == ROWS).select(F.col("l").alias("rl"), (2 * CHECK_PER_LANGUAGE / F.col("n")).alias("share"))
+    spot = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
     order = Window.partitionBy("l").orderBy(F.xxhash64("id"), "id")
-    some = materialise(train.select("id", "l").withColumn("nth", F.row_number().over(order))
+    near = train.join(F.broadcast(share), F.col("l") == F.col("rl")).filter(spot < F.col("share"))      # one row per language name
+    some = materialise(near.select("id", "l").distinct().withColumn("nth", F.row_number().over(order))
                        .filter(F.col("nth") <= CHECK_PER_LANGUAGE).select(F.col("id").alias("sid"), F.col("l").alias("sl")), "langid-check")
     checked = train.join(some, (F.col("id") == F.col("sid")) & (F.col("l") == F.col("sl"))).select("t", "l")
     place = {lang: i for i, lang in enumerate(langs)}
@@ -133,7 +143,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         for b in batches:
             rows = []
             for t, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if lang not in place:      # a language none of whose texts has a letter is not learned
+                if lang not in place or not _LETTER.search(t):      # a language none of whose texts has a letter is not learned
                     continue
                 ok = _activations(t, odds) * code[place[lang]] > 0
                 rows.append((lang, ok.astype(np.int64).tolist()))
