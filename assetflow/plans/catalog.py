@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from assetflow.functions import hashing as H
 from assetflow.functions import numbers as N
@@ -16,8 +17,10 @@ from assetflow.functions import timefmt as TF
 from assetflow.operators import combos, dedup, filters, gloss, history, paging, scoring, search, sizes, toggle
 from assetflow.operators.ranking import rank_within_groups
 from assetflow.plans import cache, moves, reports
+from assetflow.session import scratch_folder
 from assetflow.sources import views
-from assetflow.sources.tables import read_table
+from assetflow.sources.tables import read_table, stream_table
+from assetflow.streaming import incremental, toggles
 
 QUERIES = {}
 
@@ -163,16 +166,24 @@ def move_preview(spark, sf_dir):
     return moves.preview(move_plan(spark, sf_dir))
 
 
+# first bytes by doc_id % 11: every known signature, two near misses and none
+DRIVER_HEADERS = (*(sig for sig, _ in filters.MAGIC_SIGNATURES), "424d1a00", "424e1a00", "ffd8ffe2", "")
+
+
+def _signed(spark, sf_dir):
+    """Assets whose ``bytes`` are the text behind a header that follows from the id."""
+    head = F.element_at(F.array(*[F.lit(h) for h in DRIVER_HEADERS]), (F.col("doc_id") % len(DRIVER_HEADERS)).cast("int") + 1)
+    return views.assets(spark, sf_dir).withColumn("bytes", F.concat(F.unhex(head), F.col("content").cast("binary")))
+
+
 @query("magic_type")
 def magic_type(spark, sf_dir):
-    a = views.assets(spark, sf_dir)
-    return a.select("path", filters.magic_type(F.col("content").cast("binary")).alias("magic"))
+    return _signed(spark, sf_dir).select("path", filters.magic_type(F.col("bytes")).alias("magic"))
 
 
 @query("image_only")
 def image_only(spark, sf_dir):
-    a = views.assets(spark, sf_dir).withColumn("mime", _mime(F.col("path"))) \
-        .withColumn("bytes", F.col("content").cast("binary"))
+    a = _signed(spark, sf_dir).withColumn("mime", _mime(F.col("path")))
     return filters.image_only(a, "mime", "bytes").select("path", "mime")
 
 
@@ -395,6 +406,18 @@ def display_width(spark, sf_dir):
     return views.lines(spark, sf_dir).select("doc_id", "line_no", T.display_width(F.col("value")).alias("width"))
 
 
+@query("han_tokens")
+def han_tokens(spark, sf_dir):
+    """Widths and alignment of Han, mixed and other tokens derived from the ids."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"))
+    han = F.decode(F.unhex(F.hex(0x4E00 + F.col("doc_id") % 20000)), "UTF-16BE")
+    token = F.when(F.col("doc_id") % 3 == 0, F.repeat(han, F.lit(2))).when(F.col("doc_id") % 3 == 1, F.concat(han, F.col("lang"))).otherwise(F.col("lang"))
+    t = d.select("doc_id", token.alias("token"), F.concat("lang", (F.col("doc_id") % 1000).cast("string")).alias("under"))
+    pair = T.align_pair(F.col("token"), F.col("under"))
+    return t.select("doc_id", "token", T.is_han(F.col("token")).alias("is_han"), T.display_width(F.col("token")).alias("width"),
+                    pair["a"].alias("text"), pair["b"].alias("gloss"))
+
+
 @query("align_pair")
 def align_pair(spark, sf_dir):
     a = _accepted(spark, sf_dir)
@@ -557,7 +580,10 @@ def quiz_counts(spark, sf_dir):
 
 
 def _toggle_log(spark, sf_dir):
-    e = read_table(spark, sf_dir, "events")
+    return _toggle_log_of(read_table(spark, sf_dir, "events"))
+
+
+def _toggle_log_of(e):
     kind = F.when(F.col("event_type") == "signup", F.lit("reset")).when(F.col("event_type") == "click", F.lit("toggle"))
     return e.select(F.col("event_id").alias("seq"), kind.alias("kind"),
                     F.format_string("img/%03d.jpg", "user_id").alias("item")).filter(F.col("kind").isNotNull())
@@ -573,9 +599,21 @@ def toggle_counter(spark, sf_dir):
     return toggle.moved_count(toggle.toggle_state(_toggle_log(spark, sf_dir)))
 
 
+@query("toggle_stream")
+def toggle_stream(spark, sf_dir):
+    """The counter of a toggle log that arrives as a file stream."""
+    root = scratch_folder(spark, "toggle-stream")
+    log = _toggle_log_of(stream_table(spark, sf_dir, "events"))
+    toggles.start_toggle_counter(spark, log, f"{root}/state", f"{root}/progress").awaitTermination()
+    return toggles.read_toggle_counter(spark, f"{root}/state")
+
+
 # --- cache reuse -------------------------------------------------------------
 
 
+HASH_CACHE = StructType([StructField("path", StringType()), StructField("size", LongType()), StructField("md5", StringType())])
+
+
 
 def _current(spark, sf_dir):
     return views.assets(spark, sf_dir).select("doc_id", "path", "size", "content")
@@ -605,6 +643,36 @@ def cache_refresh(spark, sf_dir):
     return new
 
 
+@query("cache_versions")
+def cache_versions(spark, sf_dir):
+    """A refresh from one written cache version to the next, read back."""
+    root = scratch_folder(spark, "cache-versions")
+    cur = _current(spark, sf_dir).select("path", "size", "content")
+    old = cache.load_or_empty(spark, cache.write_version(_old_cache(spark, sf_dir), root, 1), HASH_CACHE)
+    new = cache.refresh(cur, old, incremental.md5_of())
+    return cache.load_or_empty(spark, cache.write_version(new, root, 2), HASH_CACHE)
+
+
+@query("hash_stream")
+def hash_stream(spark, sf_dir):
+    """Two deliveries as file streams into one hash cache; the second finds the first's rows in it."""
+    root = scratch_folder(spark, "hash-stream")
+    files = views.assets_of(stream_table(spark, sf_dir, "documents"))
+    for run, part in (("first", files.filter(F.col("doc_id") % 3 != 0)), ("second", files)):
+        incremental.start_incremental_hashing(
+            spark, part.select("path", "size", "content"), f"{root}/cache", HASH_CACHE,
+            incremental.md5_of(), f"{root}/{run}").awaitTermination()
+    return cache.load_or_empty(spark, f"{root}/cache", HASH_CACHE).select(*HASH_CACHE.fieldNames())
+
+
+@query("predict_missing")
+def predict_missing(spark, sf_dir):
+    """A batch detector over the assets that the prediction cache lacks."""
+    def detector(pdf):
+        return pdf.assign(score=(pdf["size"] % 97) / 8.0)[["asset_id", "path", "score"]]
+    return scoring.predict_missing(predict_pending(spark, sf_dir), detector, "asset_id long, path string, score double")
+
+
 @query("predict_pending")
 def predict_pending(spark, sf_dir):
     da = views.detection_assets(spark, sf_dir)
@@ -638,6 +706,14 @@ def report_rows(spark, sf_dir):
     return reports.group_report_lines(plan, 100, True)
 
 
+@query("report_files")
+def report_files(spark, sf_dir):
+    """The duplicate report as text files, one folder per hash type, read back."""
+    out = scratch_folder(spark, "report-files")
+    reports.write_lines(report_rows(spark, sf_dir), out, ["hash_type"], ["hash", "seq"])
+    return spark.read.schema("value string, hash_type string").text(out).select("hash_type", F.col("value").alias("line"))
+
+
 @query("paged_report")
 def paged_report(spark, sf_dir):
     pages = paging.report_pages(_rows(spark, sf_dir), "label", imgs_per_row=7)

@@ -74,7 +74,8 @@ sql("move_conflicts", f"""{with_views(ASSETS)},
          CASE WHEN p.dst IN (SELECT dst FROM existing) THEN 'exists' ELSE 'duplicate' END AS reason
   FROM plan p JOIN claims c USING (dst)
   WHERE p.dst IN (SELECT dst FROM existing) OR c.n_claims > 1""")
-_HEAD = "lower(substr(hex(encode(content)), 1, 8))"
+_HEAD = """lower(substr(['89504e47', '47494638', 'ffd8ffe0', 'ffd8ffe1', 'ffd8ffee', 'ffd8ffdb', '52494646', '424d1a00', '424e1a00', 'ffd8ffe2', '']
+  [doc_id % 11 + 1] || hex(encode(content)), 1, 8))"""
 _MAGIC = f"""CASE WHEN {_HEAD} = '89504e47' THEN 'PNG' WHEN {_HEAD} = '47494638' THEN 'GIF'
   WHEN {_HEAD} IN ('ffd8ffe0','ffd8ffe1','ffd8ffee','ffd8ffdb') THEN 'JPEG'
   WHEN {_HEAD} = '52494646' THEN 'RIFF/WEBP' WHEN starts_with({_HEAD}, '424d') THEN 'BMP' ELSE 'UNKNOWN' END"""
@@ -228,6 +229,15 @@ sql("annotate_text", f"""{with_views(*_TXT, _ACC)},
   SELECT l.doc_id, l.line_no, coalesce(ann.v, l.value) AS value FROM lines l LEFT JOIN ann USING (doc_id, line_no)""")
 sql("display_width", f"""{with_views(LINES)} SELECT doc_id, line_no,
   CAST(length(value) * CASE WHEN regexp_full_match(value, '\\p{{Han}}+') THEN 2 ELSE 1 END AS BIGINT) AS width FROM lines""")
+sql("han_tokens", """WITH t AS (
+  SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN repeat(chr(CAST(19968 + doc_id % 20000 AS INTEGER)), 2)
+                                 WHEN 1 THEN chr(CAST(19968 + doc_id % 20000 AS INTEGER)) || coalesce(lang, '') ELSE coalesce(lang, '') END AS token,
+         coalesce(lang, '') || CAST(doc_id % 1000 AS VARCHAR) AS under FROM documents),
+  w AS (SELECT *, regexp_full_match(token, '\\p{Han}+') AS is_han, length(under) AS wu FROM t),
+  v AS (SELECT *, length(token) * CASE WHEN is_han THEN 2 ELSE 1 END AS width FROM w),
+  p AS (SELECT *, greatest(width, wu) - width AS da, greatest(width, wu) - wu AS db FROM v)
+  SELECT doc_id, token, is_han, CAST(width AS BIGINT) AS width, repeat(' ', da // 2) || token || repeat(' ', da - da // 2) AS text,
+         repeat(' ', db // 2) || under || repeat(' ', db - db // 2) AS gloss FROM p""")
 sql("align_pair", f"""{with_views(*_TXT, _ACC)} SELECT doc_id, line_no, pos,
   repeat(' ', (greatest(length(ch), length(gloss)) - length(ch)) // 2) || ch ||
     repeat(' ', (greatest(length(ch), length(gloss)) - length(ch)) - (greatest(length(ch), length(gloss)) - length(ch)) // 2) AS text,
@@ -333,6 +343,8 @@ sql("toggle_state", f"{with_views(_TOGGLE)} SELECT item, n_toggles, moved, CAST(
 sql("toggle_counter", f"""{with_views(_TOGGLE)} SELECT CAST(coalesce(sum(delta), 0) AS BIGINT) AS counter,
   count(*) FILTER (WHERE moved) AS n_moved FROM st""")
 
+sql("toggle_stream", ORACLE["toggle_counter"])
+
 # --- cache reuse -------------------------------------------------------------
 
 _OLD_CACHE = """old AS (
@@ -342,6 +354,9 @@ sql("cache_split", f"""{with_views(ASSETS, _OLD_CACHE)} SELECT path, size,
   CASE WHEN EXISTS (SELECT 1 FROM old o WHERE o.path = a.path AND o.size = a.size) THEN 'hit' ELSE 'miss' END AS status
   FROM assets a""")
 sql("cache_refresh", f"{with_views(ASSETS)} SELECT path, size, md5(content) AS md5 FROM assets")
+sql("cache_versions", ORACLE["cache_refresh"])
+sql("hash_stream", ORACLE["cache_refresh"])
+sql("predict_missing", f"{with_views(DETECTION_ASSETS)} SELECT asset_id, path, (size % 97) / 8.0::DOUBLE AS score FROM detection_assets WHERE asset_id % 4 = 0")
 sql("predict_pending", f"{with_views(DETECTION_ASSETS)} SELECT asset_id, path, size FROM detection_assets WHERE asset_id % 4 = 0")
 sql("complete_hashes", f"{with_views(ASSETS)} SELECT path, sha1(content) AS sha1 FROM assets WHERE h > 1")
 
@@ -356,6 +371,7 @@ sql("report_rows", f"""{with_views(ASSETS, _KEPT, _LONG, _RANKED)},
     || '" width="' || CAST(CAST(floor(100 * w / keep_w) AS BIGINT) AS VARCHAR) || 'px" data-meta="{{}}" /> ' FROM g
   UNION ALL
   SELECT hash_type, hash, CAST(n_members + 1 AS BIGINT), '</td></tr>' FROM g WHERE rn = 1""")
+sql("report_files", f"SELECT hash_type, line FROM ({ORACLE['report_rows']})")
 sql("paged_report", f"""{with_views(*_SCORE_VIEWS, _LABELED, _ROWS)},
   lp AS (SELECT label, CAST(ceil(ceil(count(*) / 7) / 100) AS BIGINT) AS pages FROM labeled GROUP BY label),
   off AS (SELECT label, coalesce(sum(pages) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_page FROM lp)

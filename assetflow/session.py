@@ -62,9 +62,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def scratch_folder(spark: SparkSession, tag: str) -> str:
+    """The name of a fresh folder below the checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
 def scratch_table(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written below the checkpoint folder and read back: lineage is cut and Spark knows its size."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    path = scratch_folder(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

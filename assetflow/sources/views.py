@@ -41,7 +41,11 @@ def asset_path(source: Column, lang: Column, doc_id: Column) -> Column:
 
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One asset per document: path, size in bytes, w = longest line, h = lines."""
-    d = read_table(spark, sf_dir, "documents")
+    return assets_of(read_table(spark, sf_dir, "documents"))
+
+
+def assets_of(d: DataFrame) -> DataFrame:
+    """The asset view of a documents table or stream."""
     parts = F.split(F.col("text"), "\n", -1)
     return d.select(
         "doc_id", "lang", "source",
