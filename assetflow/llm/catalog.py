@@ -47,7 +47,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing_poisson.replicate(read(spark, sf_dir, "documents"))
+    return mixing_poisson.replicate(read(spark, sf_dir, "documents"), max_rate=None)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

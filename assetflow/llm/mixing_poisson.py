@@ -7,6 +7,12 @@ seeded by the hash of the row's id: rows are replicated and dropped so that ever
 source's expected share is its weight, with no coordination between rows and the
 same copies on every retry.  Copies are then dealt out and sorted by a hash key.
 
+``max_rate=None`` takes the target rates as they are.  Under a cap, what capped
+sources cannot give goes to the others in proportion to their weights, and
+``rates`` tells each source's target and realised share.  A rate above ``PART`` is
+the sum of equal parts, each with its own uniform number: a sum of independent
+Poisson numbers is Poisson, so no rate is too large for the table of quantiles.
+
 DataFrame functions only.
 """
 
@@ -15,11 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assetflow.functions.arrays import let
 from assetflow.llm.common import materialise, text_of
 
 TEMPERATURE = 0.5        # without explicit weights: weight = size ** TEMPERATURE
-MAX_RATE = 4.0           # a source is repeated at most so often on average
-CDF_TERMS = 64           # quantiles beyond 64 copies have probability below 1e-40 at rate 4
+MAX_RATE = 4.0           # default cap: a source is repeated at most so often on average; None is no cap
+PART = 512.0             # exp(-PART) is far from underflow
 SEED = 17
 
 
@@ -28,9 +35,28 @@ def uniform(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def _level(sized: DataFrame, max_rate: float) -> tuple[float, float] | None:
+    """Characters per unit of weight for the sources below the cap, and characters in all; None if no source reaches the cap."""
+    level, capped = None, 0
+    while True:
+        over = F.lit(False) if level is None else F.col("w") * level >= F.col("size") * max_rate
+        t = sized.agg(F.sum("size").alias("size"), F.sum(F.when(over, F.col("size")).otherwise(0.0)).alias("full"),
+                      F.sum(F.when(over, 0.0).otherwise(F.col("w"))).alias("w"),
+                      F.sum((over & (F.col("size") > 0)).cast("int")).alias("n")).first()
+        if level is not None and t["n"] == capped:       # no source more than in the round before
+            return (level, t["full"] * max_rate + t["w"] * level) if capped else None
+        if not t["w"]:
+            return (level, t["full"] * max_rate) if level is not None else None
+        level, capped = (t["size"] - t["full"] * max_rate) / t["w"], t["n"]
+
+
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, text_col: str = "text", source_col: str = "source",
-          temperature: float = TEMPERATURE, max_rate: float = MAX_RATE) -> DataFrame:
-    """``(rsource, size, rate, cdf)`` per source; an unknown (null) source is the source ``''``."""
+          temperature: float = TEMPERATURE, max_rate: float | None = MAX_RATE) -> DataFrame:
+    """``(rsource, size, rate, target, realised, parts, cdf)`` per source; an unknown (null) source is the source ``''``.
+
+    ``target`` and ``realised`` are shares of the characters, by the weights and by
+    the rates; ``cdf`` belongs to ``rate / parts``.
+    """
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
     size = docs.groupBy(source.alias("rsource")).agg(F.sum(F.length(text_of(text_col))).cast("double").alias("size"))
     if weights is None:
@@ -39,17 +65,28 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, text_col: st
         w = F.lit(0.0)
         for name, value in weights.items():
             w = F.when(F.col("rsource") == name, float(value)).otherwise(w)
-    sized = size.withColumn("w", w)
+    sized = size.withColumn("w", F.when(F.col("size") > 0, w).otherwise(0.0))      # no characters, no share
+    target = F.col("w") / F.col("all_w")
+    rate, total = target * F.col("all_size") / F.col("size"), F.col("all_size")
+    if max_rate is not None:
+        sized = materialise(sized, "mixing-sizes")
+        found = _level(sized, float(max_rate))
+        if found is not None:
+            rate, total = F.least(F.lit(float(max_rate)), F.col("w") * found[0] / F.col("size")), F.lit(found[1])
     whole = sized.agg(F.sum("size").alias("all_size"), F.sum("w").alias("all_w"))
-    rate = F.when((F.col("size") > 0) & (F.col("all_w") > 0),
-                  F.least(F.lit(float(max_rate)), F.col("w") / F.col("all_w") * F.col("all_size") / F.col("size"))).otherwise(F.lit(1.0))
+    met = (F.col("size") > 0) & (F.col("all_w") > 0)
+    part = F.col("rate") / F.col("parts")
     terms = F.aggregate(
-        F.sequence(F.lit(1), F.lit(CDF_TERMS)),
-        F.struct(F.exp(-F.col("rate")).alias("p"), F.array(F.exp(-F.col("rate"))).alias("cdf")),
-        lambda acc, k: F.struct((acc["p"] * F.col("rate") / k).alias("p"),
-                                F.concat(acc["cdf"], F.array(F.element_at(acc["cdf"], -1) + acc["p"] * F.col("rate") / k)).alias("cdf")))
+        F.sequence(F.lit(1), (F.ceil(part + 12 * F.sqrt(part)) + 64).cast("int")),      # beyond: probability below 2 ** -52
+        F.struct(F.exp(-part).alias("p"), F.array(F.exp(-part)).alias("cdf")),
+        lambda acc, k: F.struct((acc["p"] * part / k).alias("p"),
+                                F.concat(acc["cdf"], F.array(F.element_at(acc["cdf"], -1) + acc["p"] * part / k)).alias("cdf")))
     return (sized.crossJoin(F.broadcast(whole))       # a single row of totals
-            .withColumn("rate", rate).withColumn("cdf", terms["cdf"]).select("rsource", "size", "rate", "cdf"))
+            .withColumn("rate", F.when(met, rate).otherwise(1.0))
+            .withColumn("target", F.when(met, target).otherwise(0.0))
+            .withColumn("realised", F.when(met, F.col("rate") * F.col("size") / total).otherwise(0.0))
+            .withColumn("parts", F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int"))
+            .withColumn("cdf", terms["cdf"]).select("rsource", "size", "rate", "target", "realised", "parts", "cdf"))
 
 
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text",
@@ -67,9 +104,12 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, id_col:
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     work = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
                        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("s"), key.alias("key"))
-    met = work.join(table.select("rsource", "cdf"), F.col("s") == F.col("rsource"))
-    drawn = met.withColumn("u", uniform(F.concat_ws(":", F.lit(f"draw{seed}"), "key"))) \
-        .withColumn("count", F.size(F.filter("cdf", lambda c: c <= F.col("u")))).filter("count > 0")
+    met = work.join(table.select("rsource", "parts", "cdf"), F.col("s") == F.col("rsource"))
+
+    def quantile(name: Column) -> Column:
+        return let(uniform(F.concat_ws(":", name, "key")), lambda u: F.size(F.filter("cdf", lambda c: c <= u)))
+    more = F.aggregate(F.sequence(F.lit(2), F.col("parts")), F.lit(0), lambda n, j: n + quantile(F.concat(F.lit(f"draw{seed}."), j.cast("string"))))
+    drawn = met.withColumn("count", quantile(F.lit(f"draw{seed}")) + F.when(F.col("parts") > 1, more).otherwise(0)).filter("count > 0")
     copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("count")))) \
         .withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"deal{seed}"), "key", "copy").cast("binary")))
     out = copies.select(*[F.col("row")[c].alias(c) for c in names], "copy", "shuffle_key")

@@ -33,7 +33,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are replicated to their target weights and dealt out anew; copies keep their document's id."""
-    return mixing_poisson.replicate(docs).select(*docs.columns)
+    return mixing_poisson.replicate(docs, max_rate=None).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

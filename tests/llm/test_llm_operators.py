@@ -410,6 +410,24 @@ def test_mixing_counts_equal_poisson_quantiles(odd):
     assert mixing_poisson.replicate(odd.filter("false")).count() == 0
 
 
+def test_mixing_meets_shares_beyond_the_cap(spark):
+    rows = [(i, "x" * 100, "big") for i in range(9900)] + [(10_000 + i, "y" * 100, "small") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    even = {"big": 1.0, "small": 1.0}
+    rate = {r["rsource"]: r for r in mixing_poisson.rates(docs, even, max_rate=None).collect()}
+    assert rate["small"]["rate"] == pytest.approx(50) and rate["small"]["realised"] == pytest.approx(0.5)
+    copies = collections.Counter(r["source"] for r in mixing_poisson.replicate(docs, even, max_rate=None, shuffle=False).collect())
+    assert abs(copies["small"] - 5000) < 300 and abs(copies["big"] - 5000) < 300
+    # a rate above one table of quantiles
+    rare = docs.filter("doc_id < 9900 or doc_id >= 10098")
+    copies = collections.Counter(r["doc_id"] for r in mixing_poisson.replicate(rare, even, max_rate=None, shuffle=False).filter("source = 'small'").collect())
+    assert len(copies) == 2 and all(abs(n - 2475.5) < 300 for n in copies.values())
+    # under a cap the others take what the capped source cannot give
+    rate = {r["rsource"]: r for r in mixing_poisson.rates(docs, even, max_rate=4.0).collect()}
+    assert rate["small"]["rate"] == 4 and rate["small"]["target"] == 0.5 and rate["small"]["realised"] == pytest.approx(0.04)
+    assert rate["big"]["rate"] * 9900 + 4 * 100 == pytest.approx(10_000) and rate["big"]["realised"] == pytest.approx(0.96)
+
+
 # --- SimHash ------------------------------------------------------------------
 
 
