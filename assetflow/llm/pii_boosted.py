@@ -7,8 +7,9 @@ groups, any international dialling form.
 Each candidate gets format features (digits, separators, groups) and context
 features (neighbouring characters, words such as *phone* or *card* before it) but
 no validator outcome.  Boosted trees learn from all candidates whether such a span
-holds a validated one; a threshold calibrated on a held-out fold selects
-candidates to add.
+holds a validated one; thresholds calibrated on a held-out fold, one per generator,
+select candidates to add.  Every score level above a threshold reaches the precision
+by itself, so easy hits of one level or generator buy no room for misses of another.
 
 Training data are counts per feature cell: the cells are a fixed product of small
 ranges, so the table that the trees are fitted on is bounded whatever the corpus,
@@ -216,16 +217,23 @@ def _expression(tree) -> Column:
 
 
 def threshold(scored: list[tuple[float, int, int]], precision: float = PRECISION) -> float:
-    """Least score at which held-out candidates reach ``precision``; infinite if none do."""
-    hits = total = 0
-    best = math.inf
-    ordered = sorted(scored, reverse=True)
-    for i, (s, h, m) in enumerate(ordered):
-        hits, total = hits + h, total + h + m
-        if i + 1 < len(ordered) and ordered[i + 1][0] == s:
-            continue
-        if total >= MIN_CELL and hits >= precision * total:
-            best = s
+    """Least score down to which each level of held-out candidates reaches ``precision`` by itself; infinite if none does.
+
+    Levels of fewer than MIN_CELL candidates count with the next ones, up to that many.
+    """
+    levels: dict[float, list[int]] = {}
+    for s, h, m in scored:
+        level = levels.setdefault(round(s, 9), [0, 0])
+        level[0] += h
+        level[1] += h + m
+    behind, best = 0, math.inf
+    for s in sorted(levels, reverse=True):
+        hits, total = levels[s]
+        if hits < precision * total:
+            break
+        behind += total
+        if behind >= MIN_CELL:
+            best, behind = s, 0
     return best
 
 
@@ -233,7 +241,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", preci
     """``(rows, added)``: the extracted rows, and per key the spans that the trees add.
 
     Null and empty texts have no spans; without any validated span, or below
-    ``precision``, nothing is added.  Added spans never overlap a base span, and
+    ``precision`` at a score level of a generator, nothing is added.  Added spans never overlap a base span, and
     overlapping added spans become their union, of its best-scored candidate's kind.
     """
     rows = materialise(extract(docs, id_col, text_col), "pii-rows")
@@ -244,14 +252,19 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", preci
         F.sum(F.when(fold, F.col("hit")).otherwise(0)).alias("th"), F.sum(F.when(fold, 1 - F.col("hit")).otherwise(0)).alias("tm"))
         .orderBy(*FEATURES).collect())
     start, trees = boost([(*r[:len(FEATURES)], r["h"], r["m"]) for r in cells if r["h"] + r["m"]])
-    held = [(start + sum(_value(t, r[:len(FEATURES)]) for t in trees), r["th"], r["tm"]) for r in cells]
-    cut = threshold(held, precision)
-    if math.isinf(cut):
-        cut = 1e9
+    held: dict[int, list] = {}
+    for r in cells:
+        if r["th"] + r["tm"]:
+            held.setdefault(r["gen"], []).append((start + sum(_value(t, r[:len(FEATURES)]) for t in trees), r["th"], r["tm"]))
+    cut = F.lit(1e9)
+    for gen, scored in held.items():
+        least = threshold(scored, precision)
+        if not math.isinf(least):
+            cut = F.when(F.col("gen") == gen, least).otherwise(cut)
     score = F.lit(start)
     for t in trees:
         score = score + _expression(t)
-    chosen = cand.filter("hit = 0").withColumn("score", score).filter(F.col("score") >= cut - 1e-9)
+    chosen = cand.filter("hit = 0").withColumn("score", score).filter(F.col("score") >= cut - 1e-8)
     order = Window.partitionBy("key").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = chosen.withColumn("new", F.when(F.coalesce(reach > F.col("start"), F.lit(False)), 0).otherwise(1)) \

@@ -272,6 +272,14 @@ def test_pii_adds_spans_of_the_same_format(spark):
     assert found[1000]["n_phone"] == 0 and found[1000]["n_added"] == 1
 
 
+def test_pii_easy_hits_buy_no_room_for_misses(spark):
+    rows = [(i, f"write to user{i}@mail{i % 50}.example.org soon") for i in range(3000)] + [(10_000 + i, f"order {1_000_000 + 7919 * i} is packed") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert pii_boosted.find(docs).filter("doc_id >= 10000").agg(F.sum("n_added")).first()[0] == 0
+    assert pii_boosted.redact(docs).filter("doc_id >= 10000 and text not rlike '^order [0-9]{7} is packed$'").count() == 0
+    assert pii_boosted.threshold([(6.0, 10_000, 0), (-7.0, 0, 500)]) == 6
+
+
 def test_pii_empty(empty, odd):
     assert pii_boosted.find(empty).count() == 0 and pii_boosted.redact(odd).columns == odd.columns
 
