@@ -3,7 +3,8 @@
 A gear rolling hash over the last ``REACH`` bytes marks cut points, so chunks
 depend on content only: after an insertion the cuts fall back into step within a
 chunk or two.  Chunks are deduplicated by a 128-bit digest: the first occurrence
-by (doc_id, start) is kept, later ones are repeats.  Adjacent repeats form spans;
+by (doc_id, row key, start) is kept, later ones are repeats.  The row key names equal
+(id, text) rows alike, so texts that share an id, or have none, stay apart.  Adjacent repeats form spans;
 spans of at least ``min_chars`` characters are reported or removed, so short common
 phrases stay.
 
@@ -16,10 +17,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetflow.llm.common import materialise
+from assetflow.llm.common import materialise, text_of
 
 MIN_BYTES, MAX_BYTES, CUT_BITS, REACH = 12, 256, 5, 16      # chunks of about 40 bytes
 MIN_CHARS = 100                                             # about 16 words
@@ -64,12 +65,17 @@ def cuts(raw: bytes) -> list[int]:
     return out
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """md5 of (id, text)."""
+    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), text_of(text_col)).cast("binary")))
+
+
 def chunk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, lo, hi, start, size)`` arrays per row: digest halves, first character and characters of each chunk."""
+    """``(doc_id, key, lo, hi, start, size)``, arrays but for the first two, per row: digest halves, first character and characters of each chunk."""
     def run(batches):
         for b in batches:
             lo, hi, start, size = [], [], [], []
-            for raw in b.column(1).to_pylist():
+            for raw in b.column(2).to_pylist():
                 ends = cuts(raw or b"")
                 begins = [0, *ends[:-1]] if ends else []
                 d = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[x:y]) for x, y in zip(begins, ends)]), "<i8").reshape(-1, 2)
@@ -77,51 +83,57 @@ def chunk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 lo.append(d[:, 0]), hi.append(d[:, 1])
                 start.append(chars[begins].astype(np.int32)), size.append((chars[ends] - chars[begins]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), *(pa.array(v, pa.list_(k)) for v, k in ((lo, pa.int64()), (hi, pa.int64()), (start, pa.int32()), (size, pa.int32())))],
-                names=["doc_id", "lo", "hi", "start", "size"])
+                [b.column(0), b.column(1), *(pa.array(v, pa.list_(k)) for v, k in ((lo, pa.int64()), (hi, pa.int64()), (start, pa.int32()), (size, pa.int32())))],
+                names=["doc_id", "key", "lo", "hi", "start", "size"])
 
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("t"))
-    return plain.mapInArrow(run, "doc_id long, lo array<long>, hi array<long>, start array<int>, size array<int>")
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").cast("binary").alias("t"))
+    return plain.mapInArrow(run, "doc_id long, key binary, lo array<long>, hi array<long>, start array<int>, size array<int>")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """``(doc_id, span_start, span_end, n_chunks, first_doc_id)``: spans that occurred before, in characters, end exclusive.
-
-    ``first_doc_id`` holds the kept copy of the span's first chunk.  Null and
-    empty texts have no chunks.  An id identifies a document: rows that repeat an
-    id and a text are one document, and a null id is an id like any other,
-    smaller than the rest.
-    """
+def _spans(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    """``repeated_spans`` with the row's ``key``."""
     table = materialise(chunk(docs, id_col, text_col), "cdc-chunks")
     twice = table.select(F.explode("lo").alias("half")).groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
     twice = materialise(twice, "cdc-twice")
-    rows = (table.select("doc_id", F.explode(F.arrays_zip("lo", "hi", "start", "size")).alias("c"))
-            .select("doc_id", F.col("c.lo").alias("lo"), F.col("c.hi").alias("hi"), F.col("c.start").alias("start"), F.col("c.size").alias("size")))
+    rows = (table.select("doc_id", "key", F.explode(F.arrays_zip("lo", "hi", "start", "size")).alias("c"))
+            .select("doc_id", "key", F.col("c.lo").alias("lo"), F.col("c.hi").alias("hi"), F.col("c.start").alias("start"), F.col("c.size").alias("size")))
     cand = materialise(rows.join(twice, rows["lo"] == twice["half"]).drop("half"), "cdc-candidates")
-    here = F.struct("doc_id", "start")
+    here = F.struct("doc_id", "key", "start")
     first = (cand.groupBy("lo", "hi").agg(F.min(here).alias("first"), F.count("*").alias("n")).filter("n > 1")
              .select(F.col("lo").alias("flo"), F.col("hi").alias("fhi"), "first"))
     first = materialise(first, "cdc-first")
     again = (cand.join(first, (F.col("lo") == F.col("flo")) & (F.col("hi") == F.col("fhi")))
-             .filter(~here.eqNullSafe(F.col("first"))).select("doc_id", "start", (F.col("start") + F.col("size")).alias("end"), F.col("first.doc_id").alias("from_id"))
+             .filter(~here.eqNullSafe(F.col("first")))
+             .select("doc_id", "key", "start", (F.col("start") + F.col("size")).alias("end"), F.col("first.doc_id").alias("from_id"))
              .distinct())      # rows that repeat an id and a text
-    order = Window.partitionBy("doc_id").orderBy("start")
+    order = Window.partitionBy("key").orderBy("start")
     broken = F.coalesce(F.lag("end").over(order) != F.col("start"), F.lit(True)).cast("int")
     runs = again.withColumn("new", broken).withColumn("run", F.sum("new").over(order))
-    return (runs.groupBy("doc_id", "run").agg(
+    return (runs.groupBy("key", "doc_id", "run").agg(
         F.min("start").alias("span_start"), F.max("end").alias("span_end"), F.count("*").alias("n_chunks"),
         F.min_by("from_id", "start").alias("first_doc_id"))
         .filter(F.col("span_end") - F.col("span_start") >= min_chars).drop("run"))
 
 
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """``(doc_id, span_start, span_end, n_chunks, first_doc_id)``: spans that occurred before, in characters, end exclusive.
+
+    ``first_doc_id`` holds the kept copy of the span's first chunk.  Null and
+    empty texts have no chunks.  Rows that repeat an id and a text are one
+    document; different texts are different documents, also under one id or none.
+    A null id is smaller than the rest.
+    """
+    return _spans(docs, id_col, text_col, min_chars).drop("key")
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the repeated spans cut out of ``text_col``; other columns and null texts stay as they are."""
-    spans = repeated_spans(docs, id_col, text_col, min_chars)
-    cut = spans.groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list(F.struct("span_start", "span_end"))).alias("__cut"))
+    spans = _spans(docs, id_col, text_col, min_chars)
+    cut = spans.groupBy(F.col("key").alias("__id")).agg(F.sort_array(F.collect_list(F.struct("span_start", "span_end"))).alias("__cut"))
     kept = F.concat(
         F.array_join(F.transform("__cut", lambda s, i: F.substring(
             F.col(text_col), F.when(i == 0, 0).otherwise(F.get(F.col("__cut"), i - 1)["span_end"]) + 1,
             s["span_start"] - F.when(i == 0, 0).otherwise(F.get(F.col("__cut"), i - 1)["span_end"]))), ""),
         F.substring(F.col(text_col), F.element_at("__cut", -1)["span_end"] + 1, F.length(text_col)))
-    met = docs.join(cut, docs[id_col].cast("long").eqNullSafe(F.col("__id")), "left")
+    met = docs.withColumn("__own", row_key(id_col, text_col)).join(cut, F.col("__own") == F.col("__id"), "left")
     return met.withColumn(text_col, F.when(F.col("__cut").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)

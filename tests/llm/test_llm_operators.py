@@ -213,6 +213,20 @@ def test_spans_equal_brute_force(docs, texts):
     assert {(r["doc_id"], r["span_start"], r["span_end"]) for r in cdc_dedup.repeated_spans(docs).collect()} == want
 
 
+def test_texts_under_one_id_or_none_stay_apart(spark):
+    rng = np.random.default_rng(8)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 7)) for _ in range(n))      # noqa: E731
+    header, tails = words(60), [words(60) for _ in range(4)]
+    rows = [(None, header + " " + tails[0]), (None, header + " " + tails[1]), (None, tails[2]), (7, header + " " + tails[3]), (7, "x" + tails[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = cdc_dedup.repeated_spans(docs).collect()
+    assert collections.Counter(r["doc_id"] for r in spans) == {None: 1, 7: 2}
+    out = [r["text"] for r in cdc_dedup.deduplicate(docs).collect()]
+    assert tails[2] in out                                       # clean text, no offset of another text cut out
+    assert sum(header[100:300] in t for t in out) == 1
+    assert all(sum(t[100:300] in o for o in out) == 1 for t in tails)
+
+
 def test_substring_odd_rows(odd, empty):
     cdc_dedup.repeated_spans(odd).collect()
     out = cdc_dedup.deduplicate(odd)
