@@ -14,7 +14,11 @@ queues left are renormalised and the same form continues from there.
 
 Sources holding at least ``1 / MAX_QUEUES`` of the rows or of the bytes are queues
 of their own (at most ``2 * MAX_QUEUES`` by counting); the others share one queue,
-the last.
+the last.  Its order is an even spread: a source's tokens come in grains of ``GRAIN``,
+grain ``g`` of ``size`` tokens at ``(g * GRAIN + phase * size) / total`` of the queue with
+a phase hashed from the source.  So any stretch of the shared queue gives each of its
+sources its share within one grain, however many there are.  Places of grains are
+prefix sums over equal ranges of that quantile; no list of small sources is collected.
 Token ids are written once to the scratch folder; the layout works on totals.
 """
 
@@ -37,6 +41,8 @@ WINDOW = 2048
 END_ID = 1
 MAX_QUEUES = 512
 REST = "rest"
+GRAIN = 128               # tokens of a small source in a row
+_RANGE = 50_000           # grains sorted by one task
 _CACHE = 400_000
 _PLAIN = re.compile(r"[\x1c-\x1fɐ-\U0010ffff]|<\|")      # texts with these take the slow way
 _SPACES = re.compile(r"[ \t\n\r]+")
@@ -104,26 +110,29 @@ def word_ids(path: str) -> WordIds:
 
 
 def tokenise(docs: DataFrame, queues: list[str], path: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """``(doc_id, queue, part, before, n, ids)``: ids packed little-endian, ``before`` = tokens of the queue earlier in the partition."""
+    """``(doc_id, queue, small, part, before, n, ids)``: ids packed little-endian, ``before`` = tokens of the source earlier in the partition.
+
+    ``queue`` is null and ``small`` the source (``''`` if null) for sources without a queue of their own.
+    """
     own = set(queues)
 
     def run(batches):
         words, part, used = word_ids(path), TaskContext.get().partitionId(), {}
         end = np.array([END_ID], words.dtype).tobytes()
         for b in batches:
-            queue, before, n, ids = [], [], [], []
+            queue, small, before, n, ids = [], [], [], [], []
             for text, source in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 got = words.text(text) + end
-                q = source if source in own else None
-                queue.append(q), before.append(used.get(q, 0)), ids.append(got), n.append(len(got) // words.dtype.itemsize)
+                q = (source, "") if source in own else (None, source or "")
+                queue.append(q[0]), small.append(q[1]), before.append(used.get(q, 0)), ids.append(got), n.append(len(got) // words.dtype.itemsize)
                 used[q] = before[-1] + n[-1]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(queue, pa.string()), pa.array([part] * len(n), pa.int32()),
+                [b.column(0), pa.array(queue, pa.string()), pa.array(small, pa.string()), pa.array([part] * len(n), pa.int32()),
                  pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
-                names=["doc_id", "queue", "part", "before", "n", "ids"])
+                names=["doc_id", "queue", "small", "part", "before", "n", "ids"])
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("t"), F.col(source_col).cast("string").alias("s"))
-    return plain.mapInArrow(run, "doc_id long, queue string, part int, before long, n long, ids binary")
+    return plain.mapInArrow(run, "doc_id long, queue string, small string, part int, before long, n long, ids binary")
 
 
 def phases(totals: list[int], weights: list[Fraction]) -> list[tuple[int, list[int], list[int]]]:
@@ -177,6 +186,40 @@ class Layout:
                 k += 1
 
 
+def spread(sums: DataFrame, total: int) -> DataFrame:
+    """``(gq, gs, g, at)``: where grain ``g`` of each source of ``(queue, small, n)`` begins in the shared queue of ``total`` tokens."""
+    phase = F.pmod(F.xxhash64("queue", "small"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    size = F.least(F.lit(GRAIN), F.col("n") - F.col("g") * GRAIN)
+    ranges = total // (GRAIN * _RANGE) + 1
+    grains = (sums.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {GRAIN}"))))
+              .select("queue", "small", "g", size.alias("size"), ((F.col("g") * GRAIN + phase * size) / F.col("n")).alias("key"))
+              .withColumn("range", F.floor(F.col("key") * ranges)))
+    grains = materialise(grains, "packing-grains")
+    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
+    bases = (grains.groupBy("range").agg(F.sum("size").alias("n"))
+             .select(F.col("range").alias("brange"), F.coalesce(F.sum("n").over(earlier.orderBy("range")), F.lit(0)).alias("base")))
+    inside = F.coalesce(F.sum("size").over(earlier.partitionBy("range").orderBy("key", "queue", "small", "g")), F.lit(0))
+    placed = grains.withColumn("inside", inside).join(bases, F.col("range") == F.col("brange"))
+    return materialise(placed.select(F.col("queue").alias("gq"), F.col("small").alias("gs"), "g", (F.col("base") + F.col("inside")).alias("at")), "packing-spread")
+
+
+def shared(placed: DataFrame, grains: DataFrame, wide: int) -> DataFrame:
+    """Rows of the shared queue cut at the grains of their source, with their places in the shared queue."""
+    end = F.col("place") + F.col("n")
+
+    def piece(g):
+        lo, hi = F.greatest(F.col("place"), g * GRAIN), F.least(end, (g + 1) * GRAIN)
+        skip = lo - F.col("place")
+        return F.struct(g.alias("g"), skip.alias("skip"), (lo - g * GRAIN).alias("into"), (hi - lo).alias("n"),
+                        F.substring(F.col("ids"), (skip * wide + 1).cast("int"), ((hi - lo) * wide).cast("int")).alias("ids"))
+    cut = placed.select("doc_id", "queue", "small", F.col("n").alias("whole"), F.explode_outer(F.transform(
+        F.sequence(F.expr(f"place div {GRAIN}"), F.expr(f"(place + n - 1) div {GRAIN}")), piece)).alias("p"))
+    cut = cut.select("doc_id", "queue", "small", "whole", F.col("p.g").alias("pg"), F.col("p.skip").alias("skip"), F.col("p.into").alias("into"),
+                     F.col("p.n").alias("n"), F.col("p.ids").alias("ids"))
+    met = cut.join(grains, F.col("queue").eqNullSafe(F.col("gq")) & (F.col("small") == F.col("gs")) & (F.col("pg") == F.col("g")))
+    return met.select("doc_id", F.lit(None).cast("string").alias("queue"), (F.col("at") + F.col("into")).alias("place"), "n", "ids", "skip", "whole")
+
+
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, targets: dict[str, float] | None = None,
          id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep_ids: bool = False) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source_queue`` (and ``ids`` on request).
@@ -185,7 +228,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, targets: dict[st
     0 and come last.  None: every window mirrors the corpus.  All sequences but
     the last are full, so nothing is padded but the last.  A null text is empty
     (one end token); a null source, like a small one, goes to the shared queue;
-    repeated rows are packed each; an empty table gives no rows.
+    repeated rows are packed each; an empty table gives no rows.  In the shared queue a
+    null source is the source ``''``.
     """
     weigh = docs.groupBy(F.col(source_col).cast("string").alias("s")).agg(F.count("*").alias("rows"), F.sum(F.octet_length(text_of(text_col))).alias("bytes"))
     all_of = weigh.agg(F.sum("rows").alias("all_rows"), F.sum("bytes").alias("all_bytes"))
@@ -194,34 +238,42 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, targets: dict[st
     queues = sorted({r["s"] for r in large.select("s").collect()} | set(targets or {}))      # at most 2 * MAX_QUEUES + targets
 
     ids = materialise(tokenise(docs, queues, tokenizer, id_col, text_col, source_col), "packing-ids")
-    parts = materialise(ids.groupBy("queue", "part").agg(F.sum("n").alias("n")), "packing-parts")
-    names = [*queues, None]
+    parts = materialise(ids.groupBy("queue", "small", "part").agg(F.sum("n").alias("n")), "packing-parts")
     sums = {r["queue"]: r["n"] for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
     total = sum(sums.values())
-    # own queues below one token a window join the shared queue, one after the other, so that shares stay monotone
+    # own queues below one token a window join the shared queue, so that shares stay monotone
     small = [] if targets else [q for q in queues if sums.get(q, 0) * window < total]
     order = [q for q in queues if q not in small]
-    ahead = dict(zip([*small, None], accumulate([0, *[sums.get(q, 0) for q in small]])))
-    totals = [*(sums.get(q, 0) for q in order), sum(sums.get(q, 0) for q in [*small, None])]
+    rest = sum(sums.get(q, 0) for q in [*small, None])
+    totals = [*(sums.get(q, 0) for q in order), rest]
     weights = [Fraction(targets.get(q, 0)) for q in order] + [Fraction(0)] if targets else [Fraction(t) for t in totals]
     layout = Layout(totals, weights, window)
-    at = {q: (order.index(q) if q in order else len(order)) for q in names}
-
-    before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = materialise(parts.select(F.col("queue").alias("bq"), F.col("part").alias("bp"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "packing-base")
-    placed = ids.join(base, F.col("queue").eqNullSafe(F.col("bq")) & (F.col("part") == F.col("bp"))).select(
-        "doc_id", "queue", (F.col("base") + F.col("before")).alias("place"), "n", "ids")
+    at = {**{q: k for k, q in enumerate(order)}, None: len(order)}
+    wide = word_ids(tokenizer).dtype.itemsize
+
+    before = Window.partitionBy("queue", "small").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = materialise(parts.select(F.col("queue").alias("bq"), F.col("small").alias("bs"), F.col("part").alias("bp"),
+                                    F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "packing-base")
+    placed = ids.join(base, F.col("queue").eqNullSafe(F.col("bq")) & (F.col("small") == F.col("bs")) & (F.col("part") == F.col("bp"))).select(
+        "doc_id", "queue", "small", (F.col("base") + F.col("before")).alias("place"), "n", "ids")
+    if rest:
+        tail = F.col("queue").isNull() | F.col("queue").isin(small)
+        grains = spread(parts.filter(tail).groupBy("queue", "small").agg(F.sum("n").alias("n")), rest)
+        own = placed.filter(~tail).select("doc_id", "queue", "place", "n", "ids", F.lit(0).cast("long").alias("skip"), F.col("n").alias("whole"))
+        placed = own.unionByName(shared(placed.filter(tail), grains, wide))
+    else:
+        placed = placed.select("doc_id", "queue", "place", "n", "ids", F.lit(0).cast("long").alias("skip"), F.col("n").alias("whole"))
 
     def cut(batches):
-        wide = word_ids(tokenizer).dtype
+        kind = word_ids(tokenizer).dtype
         for b in batches:
             rows = []
-            for doc, queue, place, n, raw in zip(*(b.column(k).to_pylist() for k in range(5))):
-                got = np.frombuffer(raw, wide).astype("<u4").tobytes()
+            for doc, queue, place, n, raw, skip, whole in zip(*(b.column(k).to_pylist() for k in range(7))):
+                got = np.frombuffer(raw, kind).astype("<u4").tobytes()
                 start = 0
-                for k, offset, take in layout.pieces(at[queue], place + ahead.get(queue, 0), n):
+                for k, offset, take in layout.pieces(at[queue], place, n):
                     piece = got[4 * start:4 * (start + take)]
-                    rows.append((doc, start, take, zlib.crc32(piece), n, k, offset, REST if at[queue] == len(order) else queue, piece if keep_ids else None))
+                    rows.append((doc, skip + start, take, zlib.crc32(piece), whole, k, offset, REST if queue is None else queue, piece if keep_ids else None))
                     start += take
                 if len(rows) >= 50_000:
                     yield _batch(rows, keep_ids)

@@ -165,6 +165,21 @@ def test_rules_odd_rows(spark, odd, empty):
     assert risk_rules.judge(odd, labels_of(spark).filter("false")).filter("kept = base_failed").count() == 0
 
 
+
+def test_packing_spreads_small_sources(spark):
+    """600 equal sources (none is a queue of its own) beside one large one: every stretch of the shared queue has each source's share."""
+    text = lambda i: " ".join(f"w{(i * 31 + j) % 97}" for j in range(40))      # noqa: E731
+    rows = [(i, text(i), None if i // 20 == 5 else f"site{i // 20}") for i in range(12_000)]
+    pieces = packing_drr.pack(spark.createDataFrame(rows, "doc_id long, text string, source string").repartitionByRange(4, "doc_id"), catalog.TOKENIZER).collect()
+    check_packing(pieces, token_ids({r[0]: r[1] for r in rows}))
+    assert {p["source_queue"] for p in pieces} == {packing_drr.REST}
+    totals, halves = collections.Counter(), collections.Counter()
+    last = max(p["sequence_id"] for p in pieces)
+    for p in pieces:
+        totals[p["doc_id"] // 20] += p["length"]
+        halves[p["doc_id"] // 20] += p["length"] * (p["sequence_id"] < last / 2)
+    assert all(abs(halves[s] - totals[s] / 2) <= 2 * packing_drr.GRAIN for s in totals)
+
 # --- substring deduplication --------------------------------------------------
 
 
