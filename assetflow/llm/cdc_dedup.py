@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 
 from assetflow.llm.common import materialise, text_of
 
-MIN_BYTES, MAX_BYTES, CUT_BITS, REACH = 12, 256, 5, 16      # chunks of about 40 bytes
+# Chunks of about 15 bytes: a passage loses the unaligned chunk at both ends, which must not push
+# 51 words of four letters (200 characters) below MIN_CHARS.
+MIN_BYTES, MAX_BYTES, CUT_BITS, REACH = 8, 256, 3, 8
 MIN_CHARS = 100                                             # about 16 words
 _BLOCK = 1 << 20
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 7) for b in range(256)], np.uint32)
@@ -92,7 +94,7 @@ def chunk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def _spans(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """``repeated_spans`` with the row's ``key``."""
-    table = materialise(chunk(docs, id_col, text_col), "cdc-chunks")
+    table = chunk(docs, id_col, text_col)      # cut twice: digests of small chunks take more room than the texts
     twice = table.select(F.explode("lo").alias("half")).groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
     twice = materialise(twice, "cdc-twice")
     rows = (table.select("doc_id", "key", F.explode(F.arrays_zip("lo", "hi", "start", "size")).alias("c"))

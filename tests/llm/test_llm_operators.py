@@ -207,6 +207,17 @@ def test_planted_passages_are_found(spark):
         assert clean[r["doc_id"]] == want
 
 
+def test_planted_passages_of_51_short_words_are_found(spark):
+    rng = np.random.default_rng(6)
+    words = lambda n, most: " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, most + 1))) for _ in range(n))      # noqa: E731
+    rows = []
+    for k in range(300):
+        passage = words(51, 5)
+        rows += [(2 * k, words(30, 9) + " " + passage + " " + words(30, 9)), (2 * k + 1, words(20, 9) + " " + passage + " " + words(40, 9))]
+    got = cdc_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in got} == {2 * k + 1 for k in range(300)}
+
+
 def test_spans_equal_brute_force(docs, texts):
     first, again = {}, collections.defaultdict(list)
     for doc in sorted(texts):
