@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetflow.llm import (cdc_dedup, hnsw, langid_ecoc, mixing_poisson, packing_drr, pii_boosted, quality_nbsvm,
-                           risk_rules, simhash, url_filter)
+from assetflow.llm import (cdc_dedup, hard_negatives, hnsw, langid_ecoc, mixing_poisson, packing_drr, periodic_runs,
+                           pii_boosted, quality_nbsvm, risk_rules, simhash, url_filter, warc_archive)
 from assetflow.llm.common import fold, read
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -60,9 +60,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, radius=3)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_archive.round_trip(read(spark, sf_dir, "pages")).drop("problem")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(periodic_runs.planted(read(spark, sf_dir, "documents")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_quality_rules, op3_substring_dedup, op4_pii, op5_quality_classifier, op6_nearest_neighbours,
-    op7_url_filter, op8_mixing, op9_language_id, op10_simhash)}
+    op7_url_filter, op8_mixing, op9_language_id, op10_simhash, op11_hard_negatives, op12_warc, op13_periodic_runs)}
 
 ORACLE = {
     "op8_mixing": """
@@ -84,4 +97,13 @@ ORACLE = {
         SELECT doc_id, text, lang, source, n_chars, copy::INTEGER AS copy, md5('deal17:' || key || ':' || copy) AS shuffle_key
         FROM (SELECT *, unnest(range(1, n + 1)) AS copy FROM drawn WHERE n > 0)
     """,
+    "op12_warc": """
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+        tops AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS top FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN top IS NULL OR page_id IS NOT DISTINCT FROM top THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to
+        FROM tops
+    """,
 }
