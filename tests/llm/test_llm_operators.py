@@ -218,25 +218,76 @@ def test_planted_passages_of_51_short_words_are_found(spark):
     assert {r["doc_id"] for r in got} == {2 * k + 1 for k in range(300)}
 
 
-def test_spans_equal_brute_force(docs, texts):
+def brute_spans(texts, least):
+    """Groups of repeated chunks, each grown beside every kept copy of its chunks, character by character."""
     first, again = {}, collections.defaultdict(list)
     for doc in sorted(texts):
         raw = texts[doc].encode()
         ends = cdc_dedup.cuts(raw)
         for a, b in zip([0, *ends], ends):
-            at = len(raw[:a].decode()), len(raw[:b].decode())
-            if first.setdefault(raw[a:b], doc) != doc or (raw[a:b] in {raw[x:y] for x, y in zip([0, *ends], ends) if y <= a}):
-                again[doc].append(at)
+            lo, hi = len(raw[:a].decode()), len(raw[:b].decode())
+            kept = first.setdefault(raw[a:b], (doc, lo))
+            if kept != (doc, lo):
+                again[doc].append((lo, hi, kept[0], lo - kept[1]))
     want = set()
     for doc, parts in again.items():
-        runs = []
-        for a, b in parts:
-            if runs and runs[-1][1] == a:
-                runs[-1][1] = b
+        t, found = texts[doc], []
+        for lo, hi, src, shift in parts:
+            if found and found[-1][1] == lo:
+                found[-1][1] = hi
+                found[-1][2].add((src, shift))
             else:
-                runs.append([a, b])
-        want |= {(doc, a, b) for a, b in runs if b - a >= cdc_dedup.MIN_CHARS}
-    assert {(r["doc_id"], r["span_start"], r["span_end"]) for r in cdc_dedup.repeated_spans(docs).collect()} == want
+                found.append([lo, hi, {(src, shift)}])
+        wide = []
+        for lo, hi, sources in found:
+            left, right = lo, hi
+            for src, shift in sources:
+                o, i, j = texts[src], lo, hi
+                while i > 0 and i - shift > 0 and t[i - 1] == o[i - 1 - shift]:
+                    i -= 1
+                while j < len(t) and 0 <= j - shift < len(o) and t[j] == o[j - shift]:
+                    j += 1
+                left, right = min(left, i), max(right, j)
+            wide.append([left, right])
+        joined = []
+        for lo, hi in sorted(wide):
+            if joined and lo < joined[-1][1]:
+                joined[-1][1] = max(joined[-1][1], hi)
+            else:
+                joined.append([lo, hi])
+        want |= {(doc, a, b) for a, b in joined if b - a >= least}
+    return want
+
+
+@pytest.mark.parametrize("beside", [256, 3])
+def test_spans_equal_brute_force(docs, texts, monkeypatch, beside):
+    monkeypatch.setattr(cdc_dedup.grown, "__defaults__", (beside,))      # 3: many rounds
+    got = {(r["doc_id"], r["span_start"], r["span_end"]) for r in cdc_dedup.repeated_spans(docs).collect()}
+    assert got == brute_spans(texts, cdc_dedup.MIN_CHARS) and got
+
+
+def test_spans_end_where_the_passage_ends(spark):
+    rng = np.random.default_rng(9)
+    words = lambda n, letters: " ".join("".join(rng.choice(list(letters), 6)) for _ in range(n))      # noqa: E731
+    passage = "|" + words(40, "abcdefgé") + "|"
+    rows = [(1, words(30, "hijklm") + "1" + passage + "2" + words(30, "hijklm")), (2, "3" + passage + "4" + words(50, "nopqr")),
+            (3, words(33, "stuvw") + "5" + passage), (4, passage), (5, "x" * 3000 + passage), (6, "y" + "x" * 3000 + "z")]
+    got = {r["doc_id"]: (r["span_start"], r["span_end"]) for r in cdc_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for doc, text in rows[1:5]:
+        assert text[slice(*got[doc])].endswith(passage) and text.endswith(passage) or text[slice(*got[doc])] == passage
+    assert got[6][0] <= 260 and got[6][1] >= 2900      # the run of x differs in nothing but its place
+    clean = {r["doc_id"]: r["text"] for r in cdc_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert clean[1] == rows[0][1] and clean[2] == "34" + rows[1][1][2 + len(passage):] and clean[4] == ""
+
+
+def test_cuts_do_not_depend_on_blocks(monkeypatch):
+    rng = np.random.default_rng(10)
+    raw = " ".join("".join(rng.choice(list("abcdeé漢"), 6)) for _ in range(3000)).encode() + b"x" * 2000 + "é".encode() * 1000
+    want = cdc_dedup.cuts(raw)
+    for block in (1, 7, 64, 1000, 1024):
+        monkeypatch.setattr(cdc_dedup, "_BLOCK", block)
+        assert cdc_dedup.cuts(raw) == want
+    assert want[-1] == len(raw) and want == sorted(set(want)) and max(np.diff([0, *want])) <= cdc_dedup.MAX_BYTES + 3
 
 
 def test_texts_under_one_id_or_none_stay_apart(spark):
