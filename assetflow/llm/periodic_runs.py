@@ -234,12 +234,16 @@ def _finish(batches):
 
 
 def fragments(busy: DataFrame) -> DataFrame:
-    """``(key, period, lo, hi)`` of all tiles of ``busy (key, text)``."""
+    """``(key, period, lo, hi)`` of all tiles of ``busy (key, text)``.
+
+    Solving takes far longer than reading, so the rows are dealt over all shuffle partitions first.
+    """
     tile = "key binary, octave int, start int, lead int, mask int, words binary"
     found = "key binary, period int, lo int, hi int"
     whole = busy.select("key", "text")
     size = F.octet_length("text")
-    short = whole.filter(size <= LONG_CHARS).mapInArrow(_explode, tile)
+    tasks = int(busy.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    short = whole.filter(size <= LONG_CHARS).repartition(tasks).mapInArrow(_explode, tile)
     dealt = whole.filter(size > LONG_CHARS).mapInArrow(_explode, tile).repartition("key", "octave", "start")
     return short.mapInArrow(_solve, found).union(dealt.mapInArrow(_solve, found))
 
