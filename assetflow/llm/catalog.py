@@ -83,11 +83,11 @@ ORACLE = {
             SELECT coalesce(source, '') AS s, sum(length(coalesce(text, '')))::DOUBLE AS size FROM documents GROUP BY 1),
         whole AS (SELECT sum(size) AS all_size, sum(sqrt(size)) AS all_w FROM sized),
         rates AS (
-            SELECT s, CASE WHEN size > 0 AND all_w > 0 THEN least(4.0::DOUBLE, sqrt(size) / all_w * all_size / size) ELSE 1.0 END AS rate
+            SELECT s, CASE WHEN size > 0 AND all_w > 0 THEN sqrt(size) / all_w * all_size / size ELSE 1.0 END AS rate
             FROM sized, whole),
         cdf AS (
             SELECT s, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY s ORDER BY k) AS c
-            FROM rates, range(0, 65) AS q(k)),
+            FROM rates, range(0, 1100) AS q(k)),
         steps AS (SELECT s, list(c) AS cs FROM cdf GROUP BY s),
         drawn AS (
             SELECT d.*, coalesce(d.doc_id::VARCHAR, '') AS key,

@@ -7,7 +7,10 @@ over many points at once: per step, all points of a batch expand their best
 unexpanded nodes, so the work is matrix products instead of a loop per point.
 
 Inner product is reduced to a metric: vectors get one more component that gives
-all the same norm, queries get zero there.
+all the same norm, queries get zero there.  Shards hold vectors of one band of norms
+(a factor of BAND) and are scaled to norm one, queries too, so neither huge nor tiny
+vectors cost precision or blur the differences of the others; scores are computed
+in double precision from the vectors as given.
 
 Equal vectors are one node with the smallest ids of its rows (as many as a result
 can need), so a hot vector neither floods a graph nor hides the ties by id.
@@ -16,18 +19,22 @@ Queries travel in blocks to every shard; per (shard, block) one task searches.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assetflow.functions.arrays import let
 from assetflow.llm.common import materialise
 
 SHARD_ROWS = 8192
 QUERY_BLOCK = 4096
 LINKS = 16               # per node on upper layers; twice as many on the lowest
 EF_BUILD, EF_SEARCH = 64, 128
+BAND = 16                # largest quotient of norms in a shard
 _BEAM = 4                # nodes a point expands per step
 _BATCH = 256
 _FEW = 512
@@ -173,38 +180,52 @@ def _link_back(vectors: np.ndarray, layer: np.ndarray, pts: np.ndarray) -> None:
             layer[part[full]] = _choose(vectors, part[full], cand[full], sim[full], links)
 
 
+def scaled(v: np.ndarray, by_row: bool = False) -> np.ndarray:
+    """Rows divided by their largest norm, or each by its own; safe for any finite numbers."""
+    v = v / np.abs(v).max(axis=1 if by_row else None, keepdims=True)
+    return v / np.sqrt((v * v).sum(axis=1, keepdims=True)).max(axis=1 if by_row else None, keepdims=True)
+
+
 def _equal_norm(v: np.ndarray) -> np.ndarray:
+    v = scaled(v)
     norm = (v * v).sum(axis=1)
-    return np.hstack([v, np.sqrt(np.maximum(norm.max() - norm, 0))[:, None]]).astype(np.float32)
+    return np.hstack([v, np.sqrt(np.maximum(1 - norm, 0))[:, None]]).astype(np.float32)
+
+
+def _band(v: Column) -> Column:
+    """Logarithm of the norm to base BAND, rounded down; components are scaled first, as their squares may overflow."""
+    top = F.array_max(F.transform(v, lambda x: F.abs(x)))
+    return let(top, lambda t: F.floor((F.log2(t) + F.log2(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x / t) * (x / t))) / 2) / math.log2(BAND)).cast("int"))
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """``(id, v, dim)`` of the vectors that take part: an id, no null, NaN or infinite component, not all zero."""
+    """``(id, v, dim, band)`` of the vectors that take part: an id, no null, NaN or infinite component, not all zero."""
     v = F.col("v")
     fine = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     return (vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-            .filter(F.col("id").isNotNull() & F.col("v").isNotNull() & F.coalesce(fine, F.lit(False))).withColumn("dim", F.size("v")))
+            .filter(F.col("id").isNotNull() & F.col("v").isNotNull() & F.coalesce(fine, F.lit(False)))
+            .withColumn("dim", F.size("v")).withColumn("band", _band(v)))
 
 
-def index(rows: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, int]:
-    """One row per (dim, shard): vectors, neighbour arrays and ids as flat binaries; and the number of shards."""
+def index(rows: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, DataFrame]:
+    """One row per (dim, band, shard): vectors, neighbour arrays and ids as flat binaries; and the number of shards per (dim, band)."""
     spark_window = Window.partitionBy("v").orderBy("id")
     kept = rows.withColumn("nth", F.row_number().over(spark_window)).filter(F.col("nth") <= k + 1)      # limited before the shuffle
-    nodes = materialise(kept.groupBy("v", "dim").agg(F.sort_array(F.collect_list("id")).alias("ids")), "hnsw-nodes")
-    shards = max(1, -(-nodes.count() // shard_rows))
-    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64(F.element_at("ids", 1)), F.lit(shards)).cast("int"))
+    nodes = materialise(kept.groupBy("v", "dim", "band").agg(F.sort_array(F.collect_list("id")).alias("ids")), "hnsw-nodes")
+    shards = materialise(nodes.groupBy("dim", "band").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards")), "hnsw-shards")
+    dealt = nodes.join(shards, ["dim", "band"]).withColumn("shard", F.pmod(F.xxhash64(F.element_at("ids", 1)), F.col("shards")).cast("int"))
 
     def make(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ids", key=lambda s: s.map(lambda x: x[0]))
         v = np.stack(pdf["v"].to_numpy())
         graph = build(_equal_norm(v), np.array([x[0] for x in pdf["ids"]]))
         return pd.DataFrame({
-            "dim": [v.shape[1]], "shard": [pdf["shard"].iloc[0]], "nodes": [len(v)], "entry": [graph.entry], "vectors": [v.tobytes()],
+            "dim": [v.shape[1]], "band": [pdf["band"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "nodes": [len(v)], "entry": [graph.entry], "vectors": [v.tobytes()],
             "layers": [[x.astype(np.int32).tobytes() for x in graph.layers]],
             "ids": [np.concatenate(pdf["ids"].to_numpy()).astype(np.int64).tobytes()], "many": [pdf["ids"].map(len).to_numpy(np.int32).tobytes()]})
 
-    schema = "dim int, shard int, nodes int, entry int, vectors binary, layers array<binary>, ids binary, many binary"
-    return materialise(dealt.groupBy("dim", "shard").applyInPandas(make, schema), "hnsw-index"), shards
+    schema = "dim int, band int, shard int, nodes int, entry int, vectors binary, layers array<binary>, ids binary, many binary"
+    return materialise(dealt.drop("shards").groupBy("dim", "band", "shard").applyInPandas(make, schema), "hnsw-index"), shards
 
 
 def load(row) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
@@ -227,8 +248,8 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "
     table, shards = index(rows, k, shard_rows)
     asked = materialise(rows.filter(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "v", "dim"), "hnsw-queries")
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    sent = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")) \
-        .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    sent = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).join(shards, "dim") \
+        .withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")      # a few bands per dim
     lent = table.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def search(queries: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
@@ -236,7 +257,7 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "
         if len(queries) and len(shard):
             graph, exact, ids, first = load(shard.iloc[0])
             q = np.stack(queries["v"].to_numpy())
-            found = graph.search(np.hstack([q, np.zeros((len(q), 1))]).astype(np.float32), k + 1, ef)
+            found = graph.search(np.hstack([scaled(q, by_row=True), np.zeros((len(q), 1))]).astype(np.float32), k + 1, ef)
             for own, vec, near in zip(queries["query_id"], q, found):
                 near = near[near >= 0]
                 score = (exact[near] * vec).sum(axis=1)
@@ -244,7 +265,7 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "
                 out += [(own, i, -s) for s, i in pairs[:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    keys = ["dim", "shard", "block"]
+    keys = ["dim", "band", "shard", "block"]
     parts = sent.groupBy(*keys).cogroup(lent.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return parts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -27,6 +27,7 @@ from assetflow.llm.common import materialise, text_of
 TEMPERATURE = 0.5        # without explicit weights: weight = size ** TEMPERATURE
 MAX_RATE = 4.0           # default cap: a source is repeated at most so often on average; None is no cap
 PART = 512.0             # exp(-PART) is far from underflow
+COPIES = 1024            # copies of a row that one task makes at once
 SEED = 17
 
 
@@ -110,7 +111,13 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, id_col:
         return let(uniform(F.concat_ws(":", name, "key")), lambda u: F.size(F.filter("cdf", lambda c: c <= u)))
     more = F.aggregate(F.sequence(F.lit(2), F.col("parts")), F.lit(0), lambda n, j: n + quantile(F.concat(F.lit(f"draw{seed}."), j.cast("string"))))
     drawn = met.withColumn("count", quantile(F.lit(f"draw{seed}")) + F.when(F.col("parts") > 1, more).otherwise(0)).filter("count > 0")
-    copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("count")))) \
+    first = F.lit(0)
+    if (table.agg(F.max("rate")).first()[0] or 0) > PART:      # a row may have very many copies: they are dealt out in blocks
+        drawn = drawn.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("count") - 1) / COPIES).cast("int")))) \
+            .repartition("key", "block")
+        first = F.col("block") * COPIES
+        drawn = drawn.withColumn("count", F.least(F.col("count") - first, F.lit(COPIES)))
+    copies = drawn.withColumn("copy", F.explode(F.sequence(first + 1, first + F.col("count")))) \
         .withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"deal{seed}"), "key", "copy").cast("binary")))
     out = copies.select(*[F.col("row")[c].alias(c) for c in names], "copy", "shuffle_key")
     if not shuffle:

@@ -8,7 +8,8 @@ a linear hinge-loss model is fitted by dual coordinate descent (Wang & Manning
 2012; Hsieh et al. 2008).
 
 The model is fitted on a bounded sample: at most ``SAMPLE_PER_CLASS`` labelled rows
-of either class, the smallest by a hash of the id.  Features are extracted where the
+of either class, the smallest by a hash of the id, then of the features; rows that
+repeat an id and its features count once.  Features are extracted where the
 rows lie (the sample's ids, bounded, are broadcast); the fit is one task over the
 bounded sample; every document of the table is scored over its whole text.
 """
@@ -44,13 +45,14 @@ def shape(word: str) -> str:
 
 
 class _Words(dict):
-    """word -> word hash (upper 32 bits) and shape hash (lower 32 bits); bounded."""
+    """word -> word hash (upper 32 bits) and shape hash (lower 32 bits); bounded, long words are hashed whole but not kept."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= _CACHE:
-            self.clear()
-        low = word.lower() if len(word) <= 64 else word[:64].lower() + str(len(word))
-        self[word] = got = xxhash.xxh32_intdigest(low) << 32 | xxhash.xxh32_intdigest(shape(word))
+        got = xxhash.xxh32_intdigest(word.lower()) << 32 | xxhash.xxh32_intdigest(shape(word))
+        if len(word) <= 64:
+            if len(self) >= _CACHE:
+                self.clear()
+            self[word] = got
         return got
 
 
@@ -181,7 +183,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         w, bias, slope, offset = fit_rows(rows, pdf["y"].to_numpy(), prior)
         return pd.DataFrame({"w": [w.tobytes()], "bias": [bias], "slope": [slope], "offset": [offset]})
 
-    rows = train.select("id", "t", "y").mapInArrow(extract, "id long, x binary, y int, all int")
+    rows = train.select("id", "t", "y").mapInArrow(extract, "id long, x binary, y int, all int").dropDuplicates(["id", "y", "x"])
+    first = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id", F.xxhash64("x"), "x")      # an id may have many texts
+    rows = rows.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= per_class).drop("nth")
     got = rows.groupBy("all").applyInPandas(solve, "w binary, bias double, slope double, offset double").first()
     if got is None:
         return fit_rows([], np.zeros(0), prior)

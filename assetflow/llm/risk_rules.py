@@ -6,12 +6,18 @@ from lenient to strict; each is tested with the exact binomial tail, i.e. whethe
 ``k`` false rejections among ``n`` good documents rule out a false-rejection rate
 above ``alpha / rules``.  Testing stops at the first cutoff that fails (fixed
 sequence), and the level is divided by the number of strata times rules
-(Bonferroni), so with probability ``1 - delta`` no stratum loses more than
-``alpha`` of its good documents.  Among certified cutoffs the one that best
+(Bonferroni), so with probability ``1 - delta`` no stratum of its own loses more
+than ``alpha`` of its good documents.  Among certified cutoffs the one that best
 separates bad from good is used, the most lenient on ties.
 
+The tail counts independent trials.  A labelled id is one trial however many rows
+it has, and so is a text however many ids share it; near copies still count each.
+
 Strata with too few good labels to certify anything are pooled in the stratum
-``other``.  Without any certified cutoff only the base rules reject.
+``other``.  There the bound holds for the pool as a whole: a small language in it can
+lose more than ``alpha``, as long as all of them together do not; the column
+``pool`` tells which rows were judged so.  Without any certified cutoff only the
+base rules reject.
 """
 
 from __future__ import annotations
@@ -64,8 +70,8 @@ def repeat_words(words: Column, window: int = WINDOW) -> Column:
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """Counts per row over whole texts; a null text has none of anything, a null stratum is ``''``."""
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t"),
+    """Counts and the text's ``digest`` per row over whole texts; a null text has none of anything, a null stratum is ``''``."""
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t"), F.unhex(F.md5(text_of(text_col).cast("binary"))).alias("digest"),
                         F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"))
     t = F.col("t")
     words = F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != "")
@@ -73,10 +79,10 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     both = F.array(F.struct(let(words, lambda w: F.struct(F.size(w).alias("n"), repeat_words(w).alias("r"))).alias("w"),
                             let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d"))).alias("x")))
     return plain.select(
-        "doc_id", "stratum", F.length(F.translate(t, SPACE, "")).cast("long").alias("word_chars"),
+        "doc_id", "stratum", "digest", F.length(F.translate(t, SPACE, "")).cast("long").alias("word_chars"),
         _count(t, SYMBOLS).cast("long").alias("n_symbols"), _count(t, UPPER).cast("long").alias("n_upper"),
         F.inline_outer(both)).select(
-        "doc_id", "stratum", F.col("w.n").cast("long").alias("n_words"), "word_chars", "n_symbols",
+        "doc_id", "stratum", "digest", F.col("w.n").cast("long").alias("n_words"), "word_chars", "n_symbols",
         (F.col("x.n") - F.col("x.d")).cast("long").alias("n_dup_lines"), F.col("w.r").cast("long").alias("n_repeat_words"),
         F.col("x.n").cast("long").alias("n_lines"), "n_upper")
 
@@ -111,7 +117,9 @@ def cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: fl
     y = (labels.select(F.col(id_col).cast("long").alias("lid"), F.col(label_col).cast("int").alias("good"))
          .filter("lid is not null and good in (0, 1)").groupBy("lid").agg(F.max("good").alias("good")))
     held = stats.join(y, stats["doc_id"] == y["lid"])
-    held = materialise(held.select("stratum", "good", *[F.expr(e).alias(r) for r, (e, _) in RULES.items()]), "rules-holdout")
+    trial = F.struct("doc_id", "digest", "stratum", "good", *[F.expr(e).alias(r) for r, (e, _) in RULES.items()])
+    once = held.groupBy("doc_id").agg(F.min(trial).alias("t")).groupBy("t.digest").agg(F.min("t").alias("t"))
+    held = materialise(once.select("t.*").drop("doc_id", "digest"), "rules-holdout")
     size = held.groupBy("stratum").agg(F.sum("good").alias("n_good"))
     tests = size.agg(F.greatest(F.count("*"), F.lit(1)).alias("strata"))
     level = F.lit(delta) / (F.col("strata") * len(RULES))
@@ -141,7 +149,8 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
 
     Null and empty texts have no words, so they fail the base rules.  Unlabelled
     strata are judged by the pool ``other`` if it exists.  Labels other than 0 and
-    1 are ignored; an id labelled twice counts by its largest label.
+    1 are ignored; an id labelled twice counts by its largest label; of the rows that
+    repeat a labelled id, and of the labelled ids that share a text, one is a trial.
     """
     stats = materialise(statistics(docs, id_col, text_col, stratum_col), "rules-statistics")
     pooled, chosen = cutoffs(stats, labels, alpha, delta, "doc_id", label_col)

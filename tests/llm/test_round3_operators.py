@@ -276,3 +276,130 @@ def test_periodic_runs_odd_rows(spark, monkeypatch):
     assert periodic_runs.periodic_runs(df.filter("false")).count() == 0
     kept = {r["doc_id"]: r["collapsed"] for r in periodic_runs.periodic_runs(df.filter("doc_id in (7, 9, 30)"), texts=True).collect()}
     assert kept == {7: "é", 9: line + " end p q r", 30: None}
+
+
+# --- nearest neighbours of any norm -------------------------------------------
+
+
+def normals(n, dim=8):
+    return np.random.default_rng(n).normal(size=(n, dim))
+
+
+EXTREMES = {
+    "all huge": normals(600) * 1e25, "all tiny": normals(600) * 1e-30, "one of 600": np.vstack([normals(599), normals(1)[0] * 1e25]),
+    "one of 2000": np.vstack([normals(1999), normals(1)[0] * 1e8]), "one smaller": np.vstack([normals(1999), normals(1)[0] * 1e4]),
+    "every size": normals(1500) * 10.0 ** np.random.default_rng(1).integers(-12, 12, (1500, 1))}
+
+
+@pytest.mark.parametrize("name", EXTREMES)
+def test_neighbours_of_any_norm(spark, name):
+    from assetflow.llm import hnsw
+    v = EXTREMES[name]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in hnsw.neighbours(df, every=20, k=20, shard_rows=1024).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    right = total = 0
+    for q in range(0, len(v), 20):
+        score = (v * v[q]).sum(axis=1)
+        want = sorted((i for i in range(len(v)) if i != q), key=lambda i: (-score[i], i))[:20]
+        found = [i for _, i, _ in sorted(got[q])]
+        assert len(found) == 20 and all(s == pytest.approx(score[i], rel=1e-9) for _, i, s in got[q])
+        right += len(set(found) & set(want))
+        total += 20
+    assert right / total >= 0.9
+
+
+# --- quality rules: independent trials, cutoffs -------------------------------
+
+
+def test_repeated_labelled_rows_and_texts_are_one_trial(spark):
+    from assetflow.llm import risk_rules
+    line = lambda i: " ".join(f"w{i}x{j}" for j in range(30))      # noqa: E731
+    rows = [(i, line(i), "en") for i in range(8) for _ in range(300)] + [(1000 + i, line(8 + i % 3), "fr") for i in range(2000)]
+    rows += [(9000 + i, " ".join(f"$$${i}x{j}$$$" for j in range(20)), "en") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(8)] + [(1000 + i, 1) for i in range(2000)] + [(9000 + i, 0) for i in range(60)], "doc_id long, quality int")
+    got = risk_rules.judge(docs, labels)
+    assert got.filter("not kept").count() == 0 and got.filter("pool <> 'other'").count() == 0
+    assert got.count() == len(rows)
+
+
+def test_kept_equals_brute_force(spark):
+    from assetflow.llm import risk_rules
+    rng = np.random.default_rng(4)
+    rows, labels = [], []
+    for i in range(2600):
+        good, lang = int(rng.random() < 0.6), ("en", "fr", "xx")[0 if i < 1800 else 1 if i < 2580 else 2]
+        n = 30
+        w = [f"w{i}x{j}" for j in range(n)]
+        for j in range(n):
+            if rng.random() < (0.02 if good else rng.choice([0.05, 0.5])):
+                w[j] = "$%&"
+            elif rng.random() < (0.03 if good else 0.5 * (i % 2)):
+                w[j] = w[j].upper()
+        text = " ".join(w)
+        rows.append((i, text, lang))
+        labels.append((i, good))
+    docs = spark.createDataFrame(rows + rows[:50], "doc_id long, text string, lang string")
+    got = {(r["doc_id"], r["kept"], r["pool"]) for r in risk_rules.judge(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+
+    def stats(t):
+        w = t.split()
+        chars = sum(map(len, w))
+        five = [tuple(w[k:k + 5]) for k in range(len(w) - 4)]
+        again = {k + j for k, x in enumerate(five) if five.count(x) > 1 for j in range(5)}
+        return {"symbols": sum(t.count(c) for c in "#*$%&|<>") / max(chars, 1), "repeats": len(again) / max(len(w), 1), "dup_lines": 0.0,
+                "shouting": sum("A" <= c <= "Z" for c in t) / max(chars, 1)}, len(w), len(again)
+
+    def tail(k, n, p):
+        return math.fsum(math.comb(n, i) * p**i * (1 - p)**(n - i) for i in range(k + 1))
+    facts = {i: stats(t) for i, t, _ in rows}
+    of, y = {i: s for i, _, s in rows}, dict(labels)
+    risk, level = risk_rules.ALPHA / 4, risk_rules.DELTA / (3 * 4)
+    need = math.ceil(math.log(level) / math.log1p(-risk))
+    pool = {s: s if sum(y[i] for i in y if of[i] == s) >= need else "other" for s in set(of.values())}
+    assert sorted(pool.values()) == ["en", "fr", "other"]
+    cut = {}
+    for name in set(pool.values()):
+        ids = [i for i in y if pool[of[i]] == name]
+        for rule, (_, steps) in risk_rules.RULES.items():
+            best = None
+            good = [facts[i][0][rule] for i in ids if y[i]]
+            bad = [facts[i][0][rule] for i in ids if not y[i]]
+            for k, c in enumerate(steps):
+                lost = sum(x > c for x in good)
+                if lost >= len(good) * risk or tail(lost, len(good), risk) > level:
+                    break
+                gain = round(sum(x > c for x in bad) / max(len(bad), 1) - lost / max(len(good), 1), 9)
+                if gain > 0 and (best is None or gain > best[0]):
+                    best = (gain, c)
+            if best:
+                cut[name, rule] = best[1]
+    assert cut
+    want = set()
+    for i, t, s in rows:
+        x, n, again = facts[i]
+        base = n < 10 or 100 * again > 20 * n
+        want.add((i, not base and not any(x[r] > cut.get((pool[s], r), math.inf) for r in x), pool[s]))
+    assert got == want and any(not k for _, k, _ in got)
+
+
+def test_rare_sources_are_dealt_in_blocks(spark, monkeypatch):
+    from assetflow.llm import mixing_poisson
+    docs = spark.createDataFrame([(i, "x" * 400, "big") for i in range(4000)] + [(9000, "tiny", "small")], "doc_id long, text string, source string")
+    weights = {"big": 0.999, "small": 0.001}
+    small = lambda: [r["copy"] for r in mixing_poisson.replicate(docs, weights, max_rate=None).filter("source = 'small'").collect()]      # noqa: E731
+    whole = sorted(small())
+    assert len(whole) > 300 and whole == list(range(1, len(whole) + 1))
+    monkeypatch.setattr(mixing_poisson, "PART", 100.0)
+    monkeypatch.setattr(mixing_poisson, "COPIES", 7)
+    cut = sorted(small())
+    assert cut == list(range(1, len(cut) + 1)) and abs(len(cut) - 400) < 80
+
+
+def test_long_words_are_hashed_whole():
+    from assetflow.llm import quality_nbsvm
+    words = quality_nbsvm._Words()
+    a, b = "y" * 64 + "a", "y" * 64 + "b"
+    assert words[a] != words[b] and not words
