@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetflow.llm.common import materialise, text_of
+from assetflow.llm.common import materialise, pieces, text_of
 
 # Chunks of about 44 bytes: 51 words of four letters (255 characters) hold a whole one even if badly placed.
 SPREAD, MAX_BYTES, REACH = 24, 256, 8
@@ -98,7 +98,7 @@ def chunk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             cols = [[] for _ in kinds]
             for raw in b.column(2).to_pylist():
                 ends = cuts(raw or b"")
@@ -161,7 +161,7 @@ def _beside(docs: DataFrame, spots: DataFrame, id_col: str, text_col: str, reach
     plain = docs.select(row_key(id_col, text_col).alias("key"), text_of(text_col).alias("t"))
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             out = []
             for key, t, asked in zip(*(c.to_pylist() for c in b.columns)):
                 for at in asked:
@@ -193,7 +193,7 @@ def grown(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, beside:
                .join(other, (F.col("from_key") == F.col("k2")) & (F.col("from_pos") == F.col("p2")) & (F.col("fore") == F.col("f2"))))
 
         def run(batches):
-            for b in batches:
+            for b in pieces(batches):
                 same = [common(x, y) for x, y in zip(b.column(6).to_pylist(), b.column(7).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(same, pa.int32())], names=[*b.schema.names[:6], "same"])
 

@@ -43,3 +43,10 @@ def fold(doc_id: Column, folds: int = 5) -> Column:
 
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def pieces(batches, rows: int = 512):
+    """Arrow batches cut to ``rows`` rows, so that what a worker makes of one stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
