@@ -14,7 +14,7 @@ from assetflow.functions import numbers as N
 from assetflow.functions import paths as P
 from assetflow.functions import text as T
 from assetflow.functions import timefmt as TF
-from assetflow.operators import combos, dedup, filters, gloss, history, paging, scoring, search, sizes, toggle
+from assetflow.operators import align, combos, dedup, filters, gloss, history, paging, scoring, search, sizes, toggle
 from assetflow.operators.ranking import rank_within_groups
 from assetflow.plans import cache, moves, reports
 from assetflow.session import scratch_folder
@@ -351,6 +351,31 @@ def line_range_diff(spark, sf_dir):
     return search.line_range_diff(a, b)
 
 
+def _edits(script: DataFrame) -> DataFrame:
+    return script.groupBy("file").agg(F.count_if(F.col("op") == "-").alias("deleted"), F.count_if(F.col("op") == "+").alias("inserted"))
+
+
+@query("line_range_align")
+def line_range_align(spark, sf_dir):
+    ln = views.lines(spark, sf_dir)
+    return _edits(align.aligned_diff(search.line_slice(ln, 1, 5), search.line_slice(ln, 3, 7)))
+
+
+@query("file_align")
+def file_align(spark, sf_dir):
+    return align.aligned_diff(views.lines(spark, sf_dir), views.edited_lines(spark, sf_dir))
+
+
+@query("file_align_edits")
+def file_align_edits(spark, sf_dir):
+    return _edits(file_align(spark, sf_dir))
+
+
+@query("file_align_unique")
+def file_align_unique(spark, sf_dir):
+    return align.aligned_diff(views.lines(spark, sf_dir), views.edited_lines(spark, sf_dir), minimal=False)
+
+
 def _hex(spark, sf_dir):
     return search.hex_rows(views.assets(spark, sf_dir).select("doc_id", "path", "content"), key="doc_id")
 

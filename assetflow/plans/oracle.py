@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assetflow.plans.sqlviews import (ASSETS, CHARS, DETECTION_ASSETS, DETECTIONS, HISTORY_COMMANDS, HISTORY_LINES,
+from assetflow.plans.sqlviews import (ASSET_PATH, ASSETS, CHARS, DETECTION_ASSETS, DETECTIONS, HISTORY_COMMANDS, HISTORY_LINES,
                                       LINES, PATHS, PIXELS, skip_pred, with_views)
 
 
@@ -193,6 +193,24 @@ sql("line_range_diff", f"""{with_views(LINES)},
   SELECT coalesce(a.file, b.file) AS file, CAST(coalesce(a.rel, b.rel) AS BIGINT) AS rel, left_value, right_value
   FROM a FULL OUTER JOIN b ON a.file = b.file AND a.rel = b.rel
   WHERE left_value IS DISTINCT FROM right_value""")
+# the longest common subsequence by its table, a row per line of the left version
+_LCS = """,
+  dp AS (
+    SELECT file, a, b, 0 AS i, list_transform(range(0, len(b) + 1), lambda x: 0) AS r FROM pairs
+    UNION ALL
+    SELECT file, a, b, i + 1, list_prepend(0, list_transform(range(1, len(b) + 1), lambda j: list_max(c[1:j])))
+    FROM (SELECT *, list_transform(range(1, len(b) + 1),
+            lambda j: greatest(r[j + 1], CASE WHEN b[j] = a[i + 1] THEN r[j] + 1 ELSE 0 END)) AS c FROM dp WHERE i < len(a)))
+  SELECT file, len(a) - r[len(b) + 1] AS deleted, len(b) - r[len(b) + 1] AS inserted
+  FROM dp WHERE i = len(a) AND (len(a) > r[len(b) + 1] OR len(b) > r[len(b) + 1])"""
+sql("line_range_align", f"""WITH RECURSIVE pairs AS (
+    SELECT file, t[1:5] AS a, t[3:7] AS b FROM (SELECT {ASSET_PATH} AS file, string_split(text, chr(10)) AS t FROM documents WHERE text IS NOT NULL)){_LCS}""")
+sql("file_align_edits", f"""WITH RECURSIVE cut AS (
+    SELECT doc_id, {ASSET_PATH} AS file, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL),
+  edited AS (
+    SELECT doc_id, file, a, flatten(list_transform(range(1, len(a) + 1), lambda i: CASE
+      WHEN (doc_id + i) % 9 = 0 THEN [] WHEN (doc_id + 2 * i) % 11 = 0 THEN [a[i], '> ' || a[i]] ELSE [a[i]] END)) AS e FROM cut),
+  pairs AS (SELECT file, a, CASE WHEN doc_id % 4 = 0 AND len(e) > 0 THEN list_concat(e[2:], e[1:1]) ELSE e END AS b FROM edited){_LCS}""")
 _HEXROWS = f"""{with_views(ASSETS)},
   hx AS (SELECT doc_id, lower(hex(encode(content))) AS hx FROM assets WHERE strlen(content) > 0),
   hexrows AS (SELECT doc_id, CAST(off AS BIGINT) AS "offset",

@@ -69,6 +69,19 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("doc_id", "file", (F.col("pos") + 1).cast("long").alias("line_no"), "value")
 
 
+def edited_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A later version of every text file: some lines are gone, some have a new line behind them,
+    and in every fourth file the first line has moved to the end."""
+    d = read_table(spark, sf_dir, "documents").filter(F.col("text").isNotNull())
+    at = lambda i: F.col("doc_id") + i + 1      # noqa: E731
+    new = F.flatten(F.transform(F.split(F.col("text"), "\n", -1), lambda x, i: F.when(at(i) % 9 == 0, F.array().cast("array<string>"))
+                                .when((at(i) + i + 1) % 11 == 0, F.array(x, F.concat(F.lit("> "), x))).otherwise(F.array(x))))
+    turned = let(new, lambda e: F.when((F.col("doc_id") % 4 == 0) & (F.size(e) > 0), F.concat(F.slice(e, 2, F.size(e)), F.slice(e, 1, 1))).otherwise(e))
+    return d.select(
+        "doc_id", asset_path(F.col("source"), F.col("lang"), F.col("doc_id")).alias("file"), F.posexplode(turned).alias("pos", "value"),
+    ).select("doc_id", "file", (F.col("pos") + 1).cast("long").alias("line_no"), "value")
+
+
 def chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per character of every line; ``pos`` is 0-based in the line."""
     return lines(spark, sf_dir).select(
