@@ -120,7 +120,8 @@ def dedup_plan(long: DataFrame, family: HashFamily, dst_root: str | None = None,
 
     The first member in the family's order is kept; the others move under
     ``dst_root`` keeping their relative path (``dst`` = new location; the
-    keeper's ``dst`` is its own path).  Members of a hot group are dealt over
+    keeper's ``dst`` is its own path); ``member_key`` sorts a group's members in
+    the family's order.  Members of a hot group are dealt over
     several tasks; the groups are the small side.
     """
     groups = duplicate_groups(long, family, min_size)
@@ -131,7 +132,7 @@ def dedup_plan(long: DataFrame, family: HashFamily, dst_root: str | None = None,
     return joined.select(
         *GROUP_KEYS, "path", "size", "w", "h", "n_members",
         F.when(keep, F.lit("keep")).otherwise(F.lit("move")).alias("action"),
-        F.when(keep, F.col("path")).otherwise(dst).alias("dst"),
+        F.when(keep, F.col("path")).otherwise(dst).alias("dst"), family.order_struct().alias("member_key"),
         *(["keep_w"] if "keep_w" in joined.columns else []))
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assetflow.operators.ranking import rank_within_groups
+
 RECENT_N = 20   # fixed value: default rows of the recent-commands view
 TAIL_N = 10     # fixed value: default rows of the history tail
 TS_LINE = "^#[0-9]+$"
@@ -56,11 +58,14 @@ def unique_history(lines: DataFrame, **kw) -> DataFrame:
 
 
 def unique_history_lines(lines: DataFrame) -> DataFrame:
-    """The rewritten file: ``#<ts>`` then the command, ordered by timestamp."""
-    u = unique_history(lines)
-    return u.select("ts", "cmd", F.inline(F.array(
-        F.struct(F.lit(0).alias("k"), F.concat(F.lit("#"), F.col("ts").cast("string")).alias("line")),
-        F.struct(F.lit(1).alias("k"), F.col("cmd").alias("line")))))
+    """The rewritten file, ``line_no`` and ``line``: ``#<ts>``, then the command, by timestamp, then command.
+
+    Lines are numbered over the whole file without sorting it in one task.
+    """
+    ranked = rank_within_groups(unique_history(lines), [], ["ts", "cmd"], "nth")
+    return ranked.select((2 * F.col("nth") - 1).alias("first"), F.posexplode(F.array(
+        F.concat(F.lit("#"), F.col("ts").cast("string")), F.col("cmd"))).alias("k", "line")).select(
+        (F.col("first") + F.col("k")).cast("long").alias("line_no"), "line")
 
 
 def tail(cmds: DataFrame, pattern: str | None = None, n: int = TAIL_N,

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assetflow.functions.arrays import let
+
 MATCH_CAP = 10000     # fixed value: default number of matches to report
 SHORT_MATCH_CAP = 1   # fixed value: the short form stops after one match
 HEX_ROW_BYTES = 16    # fixed value: bytes per hex-dump row
@@ -61,23 +63,25 @@ def line_range_diff(left: DataFrame, right: DataFrame, key: str = "file",
     return a.join(b, [key, "rel"], "full_outer").filter(~F.col("left_value").eqNullSafe(F.col("right_value")))
 
 
-def hex_rows(df: DataFrame, content: str = "content", key: str = "path", width: int = HEX_ROW_BYTES) -> DataFrame:
+def hex_rows(df: DataFrame, content: str = "content", key: str = "path", width: int = HEX_ROW_BYTES,
+             base: str | None = None) -> DataFrame:
     """Hex dump: one row per ``width`` bytes with the offset, 2-byte groups and text.
 
     ``hex`` reads like ``xxd``: lower-case, groups of four hex digits;
-    ``text`` shows printable ASCII bytes and ``.`` for the others.
+    ``text`` shows printable ASCII bytes and ``.`` for the others.  ``base`` names
+    the offset of a content that is a range of a file.  The content is cut
+    into an array first, so the generator does not carry it to every row.
     """
-    b = F.col(content).cast("binary")
-    rows = df.select(key, b.alias("_b"),
-                     F.explode(F.sequence(F.lit(0), F.greatest(F.length(b) - 1, F.lit(0)), F.lit(width)))
-                     .alias("offset")).filter(F.length("_b") > 0)
-    chunk = F.substring(F.col("_b"), F.col("offset") + 1, width)
-    raw = F.lower(F.hex(chunk))
-    grouped = F.regexp_replace(raw, "(.{4})(?!$)", "$1 ")
+    cut = let(F.col(content).cast("binary"), lambda b: F.when(F.length(b) > 0, F.transform(
+        F.sequence(F.lit(0), F.length(b) - 1, F.lit(width)), lambda at: F.substring(b, at + 1, width))))
+    first = F.lit(0) if base is None else F.col(base)
+    rows = (df.select(key, first.cast("long").alias("_base"), F.posexplode_outer(cut).alias("_nth", "_chunk"))
+            .filter(F.col("_chunk").isNotNull()))
+    grouped = F.regexp_replace(F.lower(F.hex("_chunk")), "(.{4})(?!$)", "$1 ")
     # ISO-8859-1 maps every byte to the character of the same code, so one
     # regex turns the non-printable ones into dots (no per-byte lambdas)
-    text = F.regexp_replace(F.decode(chunk, "ISO-8859-1"), "[^\\x20-\\x7e]", ".")
-    return rows.select(key, F.col("offset").cast("long").alias("offset"), grouped.alias("hex"), text.alias("text"))
+    text = F.regexp_replace(F.decode("_chunk", "ISO-8859-1"), "[^\\x20-\\x7e]", ".")
+    return rows.select(key, (F.col("_base") + F.col("_nth") * width).alias("offset"), grouped.alias("hex"), text.alias("text"))
 
 
 def hex_diff(rows: DataFrame, key: str = "pair", right: str = "is_right") -> DataFrame:

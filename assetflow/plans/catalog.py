@@ -18,7 +18,7 @@ from assetflow.operators import align, combos, dedup, filters, gloss, history, p
 from assetflow.operators.ranking import rank_within_groups
 from assetflow.plans import cache, moves, reports
 from assetflow.session import scratch_folder
-from assetflow.sources import views
+from assetflow.sources import files, named_files, views
 from assetflow.sources.tables import read_table, stream_table
 from assetflow.streaming import incremental, toggles
 
@@ -385,6 +385,48 @@ def hex_rows(spark, sf_dir):
     return _hex(spark, sf_dir)
 
 
+@query("hex_ranges")
+def hex_ranges(spark, sf_dir):
+    """Hex dump of files that several tasks read in ranges."""
+    ranges = named_files.read_ranges(spark, views.text_files(spark, sf_dir), range_bytes=16 * 1024, partition_bytes=256 * 1024)
+    return search.hex_rows(ranges.withColumn("bucket", views.bucket_of(F.col("path"))), key="bucket", base="offset")
+
+
+@query("read_lines")
+def read_lines(spark, sf_dir):
+    return files.read_lines(spark, views.text_files(spark, sf_dir)).select(views.bucket_of(F.col("file")).alias("bucket"), "line_no", "value")
+
+
+def _images(spark, sf_dir):
+    """A folder with PNG files, some of them broken."""
+    out = scratch_folder(spark, "images")
+    named_files.write_files(views.color_images(spark, sf_dir), out)
+    return out
+
+
+def _image_id(path):
+    return F.regexp_extract(path, "([0-9]+)[.]png$", 1).cast("long").alias("image_id")
+
+
+@query("image_dims")
+def image_dims(spark, sf_dir):
+    root = _images(spark, sf_dir)
+    met = files.with_image_info(files.list_files(spark, root), files.read_images(spark, root))
+    return met.filter("valid").select(_image_id(F.col("path")), "height", "width", "size")
+
+
+@query("invalid_assets")
+def invalid_assets(spark, sf_dir):
+    root = _images(spark, sf_dir)
+    return files.with_image_info(files.list_files(spark, root), files.read_images(spark, root)).filter("not valid").select(_image_id(F.col("path")), "size")
+
+
+@query("grayscale")
+def grayscale(spark, sf_dir):
+    images = files.read_images(spark, _images(spark, sf_dir)).filter("valid")
+    return images.select(_image_id(F.col("path")), F.array_join(H.grayscale_bgr(F.col("data"), F.col("nChannels")), ",").alias("gray"))
+
+
 @query("hex_diff")
 def hex_diff(spark, sf_dir):
     hx = _hex(spark, sf_dir).select("offset", "hex", F.floor(F.col("doc_id") / 2).cast("long").alias("pair"),
@@ -487,6 +529,11 @@ def history_unique(spark, sf_dir):
     return history.unique_history(views.history_lines(spark, sf_dir)).select("cmd", "ts")
 
 
+@query("history_rewritten")
+def history_rewritten(spark, sf_dir):
+    return history.unique_history_lines(views.history_lines(spark, sf_dir))
+
+
 @query("history_tail")
 def history_tail(spark, sf_dir):
     return history.tail(views.history_commands(spark, sf_dir), "error").select("line_no", "cmd", "position")
@@ -739,6 +786,27 @@ def report_files(spark, sf_dir):
     return spark.read.schema("value string, hash_type string").text(out).select("hash_type", F.col("value").alias("line"))
 
 
+def _document_lines(spark, folder):
+    name = F.substring_index(F.col("file"), "/", -1)
+    return files.read_lines(spark, folder).select(name.alias("file"), "line_no", "value")
+
+
+@query("report_documents")
+def report_documents(spark, sf_dir):
+    """The duplicate report as HTML documents, one per hash type, read back."""
+    out = scratch_folder(spark, "report-documents")
+    reports.write_group_documents(report_rows(spark, sf_dir), out)
+    return _document_lines(spark, out)
+
+
+@query("paged_documents")
+def paged_documents(spark, sf_dir):
+    """The score report as HTML documents, one per page, read back."""
+    out = scratch_folder(spark, "paged-documents")
+    reports.write_paged_documents(paged_report(spark, sf_dir), out, "events")
+    return _document_lines(spark, f"{out}/{reports.PAGED_FOLDER}events")
+
+
 @query("paged_report")
 def paged_report(spark, sf_dir):
     pages = paging.report_pages(_rows(spark, sf_dir), "label", imgs_per_row=7)

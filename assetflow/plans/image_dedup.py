@@ -45,9 +45,11 @@ def _narrow(scan: DataFrame, todo: DataFrame | None, wanted: Column) -> tuple[Da
     return scan.join(todo.filter(wanted).select("path", "size", "missing"), ["path", "size"]), F.col("missing")
 
 
-def hashed_images(spark: SparkSession, root: str, max_size: int = filters.MAX_ASSET_BYTES,
-                  cached: DataFrame | None = None) -> DataFrame:
-    """One row per decodable image under ``root``: relative path, size, w, h, hashes.
+def hashed_files(spark: SparkSession, root: str, max_size: int = filters.MAX_ASSET_BYTES,
+                 cached: DataFrame | None = None) -> DataFrame:
+    """One row per image file under ``root``: relative path, size, w, h and the hashes it has.
+
+    A file that cannot be decoded has only its content hash, and no w and h.
 
     ``cached`` (``CACHE_SCHEMA``, unique by path and size) holds earlier results;
     a file of the same path and size keeps its hashes and gets those it lacks.
@@ -76,17 +78,26 @@ def hashed_images(spark: SparkSession, root: str, max_size: int = filters.MAX_AS
     digest = content.select("path", "size", F.create_map(F.lit(MD5), hashing.content_md5(F.col("content"))).alias("new_md5"))
 
     none = F.create_map().cast("map<string,string>")
-    met = known.join(pixel, ["path", "size"], "left").join(digest, ["path", "size"], "left").select(
+    return known.join(pixel, ["path", "size"], "left").join(digest, ["path", "size"], "left").select(
         "path", "size", F.coalesce("w", "new_w").alias("w"), F.coalesce("h", "new_h").alias("h"),
         F.map_concat(*[F.coalesce(F.col(c), none) for c in ("hashes", "new_md5", "new_pixel")]).alias("hashes"))
-    return dedup.complete_hashes(met, len(hash_types()))
+
+
+def hashed_images(spark: SparkSession, root: str, max_size: int = filters.MAX_ASSET_BYTES,
+                  cached: DataFrame | None = None) -> DataFrame:
+    """The rows of ``hashed_files`` that have every hash, i.e. the decodable images."""
+    return dedup.complete_hashes(hashed_files(spark, root, max_size, cached), len(hash_types()))
 
 
 def refresh_hashes(spark: SparkSession, root: str, cache_in: str | None, cache_out: str,
                    max_size: int = filters.MAX_ASSET_BYTES) -> DataFrame:
-    """Hashes of the current images, written as a new cache version; files that are gone leave the cache."""
+    """Hashes of the current files, written as a new cache version and read back; files that are gone leave the cache.
+
+    Rows with only some hashes are cached too: an undecodable file keeps its content hash.
+    Hand the result to ``image_dedup_plan`` as ``cached``, which uses complete rows only.
+    """
     old = cache.load_or_empty(spark, cache_in, CACHE_SCHEMA) if cache_in else None
-    hashed_images(spark, root, max_size, old).write.mode("overwrite").parquet(cache_out)
+    hashed_files(spark, root, max_size, old).write.mode("overwrite").parquet(cache_out)
     return spark.read.schema(CACHE_SCHEMA).parquet(cache_out)
 
 

@@ -220,6 +220,29 @@ _HEXROWS = f"""{with_views(ASSETS)},
              THEN chr(CAST(('0x' || substr(hx, (off + j) * 2 + 1, 2)) AS INTEGER)) ELSE '.' END), '') AS text
     FROM (SELECT doc_id, hx, unnest(range(0, length(hx) // 2, 16)) AS off FROM hx))"""
 sql("hex_rows", f'{_HEXROWS} SELECT doc_id, "offset", hex, text FROM hexrows')
+_BUCKETS = """buckets AS (
+    SELECT doc_id // 1000 AS bucket, string_agg(text || chr(10), '' ORDER BY doc_id) AS t FROM documents WHERE text IS NOT NULL GROUP BY 1)"""
+sql("hex_ranges", f"""WITH {_BUCKETS},
+  cut AS (SELECT bucket, regexp_extract_all(lower(hex(encode(t))), '.{{1,32}}') AS rs FROM buckets),
+  hexrows AS (SELECT bucket, unnest(range(0, len(rs))) * 16 AS "offset", unnest(rs) AS r FROM cut)
+  SELECT bucket, "offset", rtrim(regexp_replace(r, '(....)', '\\1 ', 'g')) AS hex,
+    array_to_string(list_transform(range(0, length(r) // 2), lambda j:
+      CASE WHEN CAST(('0x' || substr(r, j * 2 + 1, 2)) AS INTEGER) BETWEEN 32 AND 126
+           THEN chr(CAST(('0x' || substr(r, j * 2 + 1, 2)) AS INTEGER)) ELSE '.' END), '') AS text
+  FROM hexrows""")
+sql("read_lines", f"""WITH {_BUCKETS}
+  SELECT bucket, unnest(generate_series(1, len(v) - 1)) AS line_no, unnest(v[1:len(v) - 1]) AS value
+  FROM (SELECT bucket, string_split(t, chr(10)) AS v FROM buckets)""")
+_IMAGES = f"""{with_views(PIXELS)},
+  images AS (SELECT *, 64 // w AS h FROM (SELECT image_id, px, 4 + image_id % 5 AS w FROM pixels))"""
+sql("image_dims", f"""{_IMAGES}
+  SELECT image_id, CAST(h AS INTEGER) AS height, CAST(w AS INTEGER) AS width, 8 + 25 + 12 + 2 + 5 + h * (3 * w + 1) + 4 + 12 AS size
+  FROM images WHERE image_id % 7 <> 3""")
+sql("invalid_assets", "SELECT vec_id AS image_id, CAST(20 AS BIGINT) AS size FROM embeddings WHERE vec_id % 7 = 3")
+sql("grayscale", f"""{_IMAGES}
+  SELECT image_id, array_to_string(list_transform(px[1:h * w], lambda v: CAST(floor(
+    CAST(v AS DECIMAL(9, 3)) * 0.299 + (255 - v) * 0.587 + ((v * 7) % 256) * 0.114 + 0.5) AS INTEGER)), ',') AS gray
+  FROM images WHERE image_id % 7 <> 3""")
 sql("hex_diff", f"""{_HEXROWS},
   a AS (SELECT doc_id // 2 AS pair, "offset", hex AS left_hex FROM hexrows WHERE doc_id % 2 = 0),
   b AS (SELECT doc_id // 2 AS pair, "offset", hex AS right_hex FROM hexrows WHERE doc_id % 2 = 1)
@@ -275,6 +298,8 @@ sql("history_unique", f"""{with_views(HISTORY_COMMANDS, HISTORY_LINES)},
   p AS (SELECT line_no, value, lag(value) OVER (ORDER BY line_no) AS prev FROM history_lines)
   SELECT value AS cmd, max(CASE WHEN regexp_full_match(prev, {_TS_RX}) THEN CAST(substr(prev, 2) AS BIGINT) ELSE 0 END) AS ts
   FROM p WHERE NOT regexp_full_match(value, {_TS_RX}) AND value <> '' GROUP BY value""")
+sql("history_rewritten", f"""WITH u AS (SELECT cmd, ts, row_number() OVER (ORDER BY ts, cmd) AS nth FROM ({ORACLE['history_unique']}))
+  SELECT 2 * nth - 1 AS line_no, '#' || ts AS line FROM u UNION ALL SELECT 2 * nth, cmd FROM u""")
 sql("history_tail", f"""{with_views(HISTORY_COMMANDS)}
   SELECT *, row_number() OVER (ORDER BY line_no) AS position FROM (
   SELECT line_no, cmd FROM history_commands WHERE regexp_matches(cmd, 'error') ORDER BY line_no DESC LIMIT 10)""")
@@ -439,3 +464,21 @@ _WRAP = f"""{with_views(LINES)},
 sql("interlinear_wrap", f"{_WRAP} SELECT doc_id, line_no, seg, x.h AS text, x.p AS gloss FROM wrapped")
 sql("interlinear_lines", f"""{_WRAP} SELECT doc_id, line_no, seg, CAST(0 AS BIGINT) AS k, x.p AS line FROM wrapped
   UNION ALL SELECT doc_id, line_no, seg, CAST(1 AS BIGINT) AS k, x.h AS line FROM wrapped""")
+
+
+# --- documents: the lines of a report between head and foot --------------------------
+
+
+def _documents(file, rows, order):
+    head = ["<!DOCTYPE html>", "<html>", "<head>", '<meta charset="utf-8">', "<title>File Group Mappings</title>", "</head>", "<body>",
+            "<h1>File Group Mappings</h1>", "<table>", "<thead>", "<tr><th>Group Name</th><th>Files</th></tr>", "</thead>", "<tbody>"]
+    foot = ["</tbody>", "</table>", "</body>", "</html>"]
+    listed = lambda part, lines: ", ".join(f"({part}, {i}, '{x}')" for i, x in enumerate(lines))      # noqa: E731
+    return f"""WITH body AS (SELECT {file} AS file, 1 AS part, row_number() OVER (PARTITION BY {file} ORDER BY {order}) AS nth, line FROM ({rows})),
+      ends AS (SELECT file, part, nth, line FROM (SELECT DISTINCT file FROM body), (VALUES {listed(0, head)}, {listed(2, foot)}) e(part, nth, line)),
+      every AS (SELECT file, part, nth, line FROM body UNION ALL SELECT file, part, nth, line FROM ends)
+      SELECT file, row_number() OVER (PARTITION BY file ORDER BY part, nth) AS line_no, line AS value FROM every"""
+
+
+sql("report_documents", _documents("hash_type || '.html'", ORACLE["report_rows"], "hash, seq"))
+sql("paged_documents", _documents("page_name || '.html'", ORACLE["paged_report"], "label, row_idx"))

@@ -1,6 +1,8 @@
-"""HTML report fragments as DataFrame rows (written with ``write.text``).
+"""HTML reports as DataFrame rows, and as documents a browser can open.
 
-A report is a set of lines with a sort key.  Cells are one row per asset,
+A report is a set of lines with a sort key; ``write_lines`` writes them as text
+per folder, ``write_group_documents`` and ``write_paged_documents`` as one
+document per hash type or page, with head and foot.  Cells are one row per asset,
 so a huge group never becomes one string; a scoring-report row has at most
 ``imgs_per_row`` cells and is assembled with a bounded ``collect_list``.
 """
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from assetflow.functions.paths import quote_path
 from assetflow.operators.dedup import HashFamily
 from assetflow.operators.ranking import rank_within_groups
+from assetflow.sources import named_files
 
 
 def _escape(c):
@@ -34,13 +37,14 @@ def group_report_lines(plan: DataFrame, cell_width: int = 100, scale_by_width: b
     """Duplicate-group report: header, one cell per member in keeper order, footer.
 
     Output ``hash_type, hash, seq, line``; sort by (hash, seq) and write one
-    file per ``hash_type`` (``partitionBy``).  ``family`` gives the members'
-    order after the keeper; without one it is the path.  The keeper (seq 1) must have
+    file per ``hash_type`` (``partitionBy``).  Members follow the keeper in the
+    plan's order (``member_key``), or that of ``family``, or by path.  The keeper (seq 1) must have
     a relative path.
     """
     members = plan.filter(F.col("n_members") >= min_group).drop("keep_w")
+    order = family.order() if family else ["member_key"] if "member_key" in plan.columns else ["path"]
     ranked = rank_within_groups(members, ["hash_type", "hash"],
-                                [F.col("action") != "keep", *(family.order() if family else ["path"])], "seq", **rank_opts)
+                                [F.col("action") != "keep", *order], "seq", **rank_opts)
     keepers = ranked.filter(F.col("seq") == 1).select(
         "hash_type", "hash", F.col("w").alias("keep_w"), F.col("path").alias("keep_path"), "n_members")
     # the keeper must have a relative path; the check is part of the emitted
@@ -59,6 +63,33 @@ def group_report_lines(plan: DataFrame, cell_width: int = 100, scale_by_width: b
     return head.unionByName(body).unionByName(tail)
 
 
+# What stands around the rows of a document.
+DOCUMENT_TITLE = "File Group Mappings"
+DOCUMENT_COLUMNS = ("Group Name", "Files")
+PAGED_FOLDER = "score_html-"
+
+
+def document_head(title: str = DOCUMENT_TITLE, columns=DOCUMENT_COLUMNS) -> str:
+    cells = "".join(f"<th>{c}</th>" for c in columns)
+    return "\n".join(["<!DOCTYPE html>", "<html>", "<head>", '<meta charset="utf-8">', f"<title>{title}</title>", "</head>", "<body>",
+                      f"<h1>{title}</h1>", "<table>", "<thead>", f"<tr>{cells}</tr>", "</thead>", "<tbody>"])
+
+
+DOCUMENT_FOOT = "\n".join(["</tbody>", "</table>", "</body>", "</html>"])
+
+
+def write_group_documents(lines: DataFrame, folder: str, title: str = DOCUMENT_TITLE, **opts) -> None:
+    """``group_report_lines`` as ``<folder>/<hash_type>.html``."""
+    named_files.write_documents(lines, folder, F.concat("hash_type", F.lit(".html")), ["hash", "seq"],
+                                F.lit(document_head(title)), F.lit(DOCUMENT_FOOT), **opts)
+
+
+def write_paged_documents(rows: DataFrame, folder: str, predictor: str, title: str = DOCUMENT_TITLE, **opts) -> None:
+    """``paged_report_rows`` as ``<folder>/score_html-<predictor>/<page_name>.html``."""
+    file = F.concat(F.lit(f"{PAGED_FOLDER}{predictor}/"), "page_name", F.lit(".html"))
+    named_files.write_documents(rows, folder, file, ["label", "row_idx"], F.lit(document_head(title)), F.lit(DOCUMENT_FOOT), **opts)
+
+
 def paged_report_rows(paged: DataFrame, cell_width: int = 200, label: str = "label") -> DataFrame:
     """One HTML table row per report row (<= imgs_per_row cells, bounded collect)."""
     cell = F.struct(F.col("col_idx"), img_cell(F.col("path"), F.lit(cell_width),

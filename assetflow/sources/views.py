@@ -20,7 +20,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetflow.functions.arrays import let
+from assetflow.functions import png
 from assetflow.functions.timefmt import epoch_from_timestamp
+from assetflow.session import scratch_folder
 from assetflow.sources.tables import read_table
 
 # Extension assigned by doc_id % 8 (exercises the suffix rules).
@@ -69,6 +71,34 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("doc_id", "file", (F.col("pos") + 1).cast("long").alias("line_no"), "value")
 
 
+FILE_DOCS = 1000     # documents in a text file
+
+
+def text_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with the documents' texts as files ``bucket=<n>/...``, by id, a line end after each."""
+    d = read_table(spark, sf_dir, "documents").filter(F.col("text").isNotNull())
+    out = scratch_folder(spark, "text-files")
+    (d.select(F.floor(F.col("doc_id") / FILE_DOCS).alias("bucket"), "doc_id", "text").repartition("bucket")
+     .sortWithinPartitions("bucket", "doc_id").select("bucket", "text").write.partitionBy("bucket").text(out))
+    return out
+
+
+def bucket_of(path: Column) -> Column:
+    return F.regexp_extract(path, "bucket=([0-9]+)/", 1).cast("long")
+
+
+def color_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An RGB image per embedding, 4 to 8 pixels wide, as a PNG file; every seventh file is cut off."""
+    p = pixels(spark, sf_dir)
+    w = (4 + F.col("image_id") % 5).cast("int")
+    h = F.floor(F.lit(PIXEL_SIDE * PIXEL_SIDE) / w).cast("int")
+    rgb = F.flatten(F.transform(F.slice("px", 1, h * w), lambda v: F.array(v, 255 - v, (v * 7) % 256)))
+    file = png.encode(rgb, h, w, rgb=True)
+    return p.select("image_id", h.alias("height"), w.alias("width"), rgb.alias("rgb"),
+                    F.format_string("%03d/%08d.png", F.floor(F.col("image_id") / 1000), "image_id").alias("file"),
+                    F.when(F.col("image_id") % 7 == 3, F.substring(file, 1, 20)).otherwise(file).alias("content"))
+
+
 def edited_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A later version of every text file: some lines are gone, some have a new line behind them,
     and in every fourth file the first line has moved to the end."""
