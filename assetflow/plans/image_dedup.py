@@ -93,12 +93,12 @@ def refresh_hashes(spark: SparkSession, root: str, cache_in: str | None, cache_o
                    max_size: int = filters.MAX_ASSET_BYTES) -> DataFrame:
     """Hashes of the current files, written as a new cache version and read back; files that are gone leave the cache.
 
-    Rows with only some hashes are cached too: an undecodable file keeps its content hash.
-    Hand the result to ``image_dedup_plan`` as ``cached``, which uses complete rows only.
+    Returns the rows with all hashes; the folder also has those with some, so an undecodable file
+    keeps its content hash.  ``image_dedup_plan`` takes the whole folder as ``cached``.
     """
     old = cache.load_or_empty(spark, cache_in, CACHE_SCHEMA) if cache_in else None
     hashed_files(spark, root, max_size, old).write.mode("overwrite").parquet(cache_out)
-    return spark.read.schema(CACHE_SCHEMA).parquet(cache_out)
+    return dedup.complete_hashes(spark.read.schema(CACHE_SCHEMA).parquet(cache_out), len(hash_types()))
 
 
 def image_dedup_plan(spark: SparkSession, root: str, hash_type: str = MD5, dst_root: str | None = None,

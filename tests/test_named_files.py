@@ -167,12 +167,13 @@ def test_content_hash_of_an_undecodable_file_is_cached(spark, tmpdir_path):
     named_files.write_files(df.select("file", png.encode(F.col("px"), F.lit(2), F.lit(2)).alias("content")), f"{tmpdir_path}/in")
     with open(f"{tmpdir_path}/in/broken.png", "wb") as f:
         f.write(b"not an image")
-    first = image_dedup.refresh_hashes(spark, f"{tmpdir_path}/in", None, f"{tmpdir_path}/v1")
-    got = {r["path"]: r for r in first.collect()}
+    image_dedup.refresh_hashes(spark, f"{tmpdir_path}/in", None, f"{tmpdir_path}/v1")
+    got = {r["path"]: r for r in spark.read.parquet(f"{tmpdir_path}/v1").collect()}
     assert set(got["broken.png"]["hashes"]) == {"md5"} and len(got["a.png"]["hashes"]) == len(image_dedup.hash_types())
     faked = [(r["path"], r["size"], r["w"], r["h"], {**r["hashes"], "md5": "cached"}) for r in got.values()]
     spark.createDataFrame(faked, image_dedup.CACHE_SCHEMA).write.parquet(f"{tmpdir_path}/v2")
-    again = {r["path"]: r["hashes"]["md5"] for r in image_dedup.refresh_hashes(spark, f"{tmpdir_path}/in", f"{tmpdir_path}/v2", f"{tmpdir_path}/v3").collect()}
+    image_dedup.refresh_hashes(spark, f"{tmpdir_path}/in", f"{tmpdir_path}/v2", f"{tmpdir_path}/v3")
+    again = {r["path"]: r["hashes"]["md5"] for r in spark.read.parquet(f"{tmpdir_path}/v3").collect()}
     assert again == {"a.png": "cached", "broken.png": "cached"}
     assert [r["path"] for r in image_dedup.hashed_images(spark, f"{tmpdir_path}/in").collect()] == ["a.png"]
 
