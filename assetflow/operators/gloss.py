@@ -13,6 +13,7 @@ that need rewriting; all other lines pass through untouched.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from itertools import accumulate
 
@@ -21,9 +22,6 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assetflow.functions.arrays import let
-from assetflow.functions.text import display_width, is_han, pad_center
-
 PER_LINE_CAP = 3      # fixed value: annotations of one character per line
 TOTAL_CAP = 20        # fixed value: annotations of one character overall
 WRAP_WIDTH = 60       # fixed value: interlinear line width
@@ -83,62 +81,13 @@ def translate_with(s: Column, gloss: dict) -> Column:
     return out
 
 
-def interlinear(tokens: Column, width: int = WRAP_WIDTH, char_class: str = "\\p{IsHan}") -> Column:
-    """Fold ``ARRAY<STRUCT<text, gloss>>`` into wrapped (text, gloss) segments.
-
-    Tokens are first centre-aligned pairwise.  Gloss and text accumulate; as
-    soon as the gloss line exceeds ``width`` both are ended with a newline
-    (unless already ending in one) and emitted.  Otherwise a separating
-    space is added between two class tokens when neither gloss already has a
-    space at the seam.  Sequential within a line; lines run in parallel.
-    """
-    def measure(t):
-        han = is_han(t["text"], char_class)
-        return F.struct(t["text"].alias("text"), t["gloss"].alias("gloss"), han.alias("han"),
-                        (F.length(t["text"]) * F.when(han, 2).otherwise(1)).alias("wa"),
-                        display_width(t["gloss"], char_class).alias("wb"))
-
-    def pair(t):
-        target = F.greatest(t["wa"], t["wb"])
-        return F.struct(pad_center(t["text"], t["wa"], target).alias("h"),
-                        pad_center(t["gloss"], t["wb"], target).alias("p"), t["han"].alias("han"))
-
-    def with_next(aligned):
-        return F.transform(aligned, lambda t, i: F.struct(
-            t["h"].alias("h"), t["p"].alias("p"), t["han"].alias("han"),
-            F.coalesce(F.get(aligned, i + 1)["han"], F.lit(False)).alias("next_han"),
-            F.coalesce(F.get(aligned, i + 1)["p"].startswith(" "), F.lit(False)).alias("next_sp")))
-
-    items = let(F.transform(F.transform(tokens, measure), pair), with_next)
-    seg_t = "array<struct<h:string,p:string>>"
-    init = F.struct(F.lit("").alias("h"), F.lit("").alias("p"), F.array().cast(seg_t).alias("out"))
-
-    def step(s, x):
-        def body(n):
-            nh, np_ = n["h"], n["p"]
-            nl = np_.endswith("\n")
-            fh = F.when(nl, nh).otherwise(F.concat(nh, F.lit("\n")))
-            fp = F.when(nl, np_).otherwise(F.concat(np_, F.lit("\n")))
-            sep = x["han"] & x["next_han"] & ~x["p"].endswith(" ") & ~x["next_sp"]
-            pad = F.when(sep, F.lit(" ")).otherwise(F.lit(""))
-            flushed = F.struct(F.lit("").alias("h"), F.lit("").alias("p"),
-                               F.array_append(s["out"], F.struct(fh.alias("h"), fp.alias("p"))).alias("out"))
-            kept = F.struct(F.concat(nh, pad).alias("h"), F.concat(np_, pad).alias("p"), s["out"].alias("out"))
-            return F.when(F.length(np_) > width, flushed).otherwise(kept)
-        return let(F.struct(F.concat(s["h"], x["h"]).alias("h"), F.concat(s["p"], x["p"]).alias("p")), body)
-
-    def finish(s):
-        return F.when(F.length(s["p"]) > 0, F.array_append(s["out"], F.struct(s["h"].alias("h"), s["p"].alias("p")))) \
-            .otherwise(s["out"])
-
-    return F.aggregate(items, init, step, finish)
-
-
 def token_pattern(char_class: str = "\\p{IsHan}") -> str:
     """Tokens: one per class character (multi-character class words are
     flattened to single characters, one reading each), otherwise words that
     keep their trailing spaces, or a run of leading spaces."""
-    return f"{char_class}|(?:(?!{char_class})[^ ])++ *| +"
+    body = char_class if re.fullmatch(r"\\p\{\w+\}", char_class) else char_class[1:-1] if re.fullmatch(r"\[[^\[\]^&]+\]", char_class) else None
+    other = f"[^ {body}]" if body else f"(?:(?!{char_class})[^ ])"      # a plain class is negated, not looked ahead for
+    return f"{char_class}|{other}++ *| +"
 
 
 def word_tokens(line: Column, char_class: str = "\\p{IsHan}") -> Column:
@@ -146,10 +95,65 @@ def word_tokens(line: Column, char_class: str = "\\p{IsHan}") -> Column:
     return F.regexp_extract_all(line, F.lit(token_pattern(char_class)), 0)
 
 
-def interlinear_batch(gloss: dict, width: int = WRAP_WIDTH, char_class: str = "\\p{Han}"):
+def check_phrases(phrases: dict) -> None:
+    """A phrase has two or more characters and one reading for each."""
+    if len(phrases) > MAX_DICT_ROWS:
+        raise ValueError("dictionary too large to broadcast")
+    for k, v in phrases.items():
+        if len(k) < 2 or isinstance(v, str) or len(v) != len(k):
+            raise ValueError(f"a phrase needs a reading per character: {k!r}")
+
+
+def best_words(run: str, phrases: dict, lengths: list[int]) -> list[str]:
+    """``run`` cut into the fewest words, each a phrase or one character; of equal cuts the one whose first words are longest.
+
+    ``lengths``: the phrases' lengths, longest first.
+    """
+    n = len(run)
+    cost, size = [0] * (n + 1), [1] * n
+    for i in range(n - 1, -1, -1):
+        least = cost[i + 1] + 1
+        for length in lengths:
+            if i + length <= n and cost[i + length] + 1 <= least and run[i:i + length] in phrases:
+                if cost[i + length] + 1 < least or length > size[i]:
+                    least, size[i] = cost[i + length] + 1, length
+        cost[i] = least
+    out, i = [], 0
+    while i < n:
+        out.append(run[i:i + size[i]])
+        i += size[i]
+    return out
+
+
+def phrase_readings(lines: DataFrame, phrases: dict, gloss: dict, value: str = "value", char_class: str = "\\p{Han}") -> DataFrame:
+    """``lines`` without ``value``, plus ``pos, ch, reading, word_start, word_length`` per character of the class.
+
+    Runs of the class are cut into the fewest words by ``phrases`` (text -> a reading per character);
+    a character alone has its ``gloss``, or itself.  Positions are characters of the line, from 0.
+    """
+    check_phrases(phrases)
+    lengths = sorted({len(k) for k in phrases}, reverse=True)
+    run_re = regex.compile(f"(?:{char_class})+")
+
+    @F.pandas_udf("array<struct<pos:bigint,ch:string,reading:string,word_start:bigint,word_length:bigint>>")
+    def read(values: pd.Series) -> pd.Series:
+        def line(v):
+            out = []
+            for m in run_re.finditer(v or ""):
+                at = m.start()
+                for word in best_words(m[0], phrases, lengths):
+                    said = phrases.get(word) or [gloss.get(word, word)]
+                    out += [{"pos": at + k, "ch": c, "reading": said[k], "word_start": at, "word_length": len(word)} for k, c in enumerate(word)]
+                    at += len(word)
+            return out
+        return values.map(line)
+
+    rest = [c for c in lines.columns if c != value]
+    return lines.select(*rest, F.explode(read(F.col(value))).alias("r")).select(*rest, "r.*")
+
+
+def interlinear_batch(gloss: dict, width: int = WRAP_WIDTH, char_class: str = "\\p{Han}", phrases: dict | None = None):
     """The per-batch Python function behind ``interlinear_udf`` (``pd.Series -> pd.Series``)."""
-    # defined inside the factory so the function ships to Python workers by
-    # value (workers need not import this package)
     def fold(texts, glosses, is_class):
         """Segments of one line: breaks are looked up in the prefix sums of the padded widths."""
         wide = [len(t) * (2 if c else 1) for t, c in zip(texts, is_class)]
@@ -184,24 +188,43 @@ def interlinear_batch(gloss: dict, width: int = WRAP_WIDTH, char_class: str = "\
     table = str.maketrans(dict(gloss))
     han_re = regex.compile(f"(?:{char_class})+")
     word_re = regex.compile(token_pattern(char_class))
+    lengths = sorted({len(k) for k in phrases or ()}, reverse=True)
+
+    def glosses_of(texts, is_class):
+        """A gloss per token; phrases are read as a whole along each run of class tokens."""
+        out = [t.translate(table) for t in texts]
+        at = 0
+        while phrases and at < len(texts):
+            end = at
+            while end < len(texts) and is_class[end]:
+                end += 1
+            for word in best_words("".join(texts[at:end]), phrases, lengths):
+                if word in phrases:
+                    out[at:at + len(word)] = phrases[word]
+                at += len(word)
+            at = max(at, end) + 1
+        return out
 
     def wrap(values: pd.Series) -> pd.Series:
         def line(v):
             if v is None:
                 return None
             texts = word_re.findall(v)
-            return fold(texts, [t.translate(table) for t in texts], [han_re.fullmatch(t) is not None for t in texts])
+            is_class = [han_re.fullmatch(t) is not None for t in texts]
+            return fold(texts, glosses_of(texts, is_class), is_class)
         return values.map(line)
 
     return wrap
 
 
-def interlinear_udf(gloss: dict, width: int = WRAP_WIDTH, char_class: str = "\\p{Han}"):
+def interlinear_udf(gloss: dict, width: int = WRAP_WIDTH, char_class: str = "\\p{Han}", phrases: dict | None = None):
     """Arrow-batched form of the line fold: ``value -> ARRAY<STRUCT<h, p>>``.
 
-    Tokens are ``token_pattern`` matches and their dictionary glosses.  The
+    Tokens are ``token_pattern`` matches and their dictionary glosses; ``phrases``
+    (text -> a reading per character) are read as a whole.  The
     fold is sequential inside a line; measured on the benchmark tables this
     per-line Python helper is several times faster than the interpreted
     higher-order-function fold, while Spark still partitions the lines.
     """
-    return F.pandas_udf(interlinear_batch(gloss, width, char_class), "array<struct<h:string,p:string>>")
+    check_phrases(phrases or {})
+    return F.pandas_udf(interlinear_batch(gloss, width, char_class, phrases), "array<struct<h:string,p:string>>")

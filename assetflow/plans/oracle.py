@@ -437,10 +437,7 @@ _GLOSS_CHAIN = "t"
 for _c in sorted(chr(c) for c in range(0xE0, 0x100) if c != 0xF7):
     _GLOSS_CHAIN = f"replace({_GLOSS_CHAIN}, '{_c}', '{format(ord(_c), 'x')}')"
 _HAN = "'\\p{Han}+'"
-_WRAP = f"""{with_views(LINES)},
-  tk AS (SELECT doc_id, line_no, regexp_extract_all(value || chr(10), '\\p{{Han}}|[^\\p{{Han}} ]+ *| +') AS toks FROM lines),
-  gl AS (SELECT doc_id, line_no, list_transform(toks, lambda t: {{'t': t, 'g': {_GLOSS_CHAIN}}}) AS tg FROM tk),
-  ms AS (SELECT doc_id, line_no, list_transform(tg, lambda x: {{'t': x.t, 'g': x.g, 'han': regexp_full_match(x.t, {_HAN}),
+_FOLD = f"""  ms AS (SELECT doc_id, line_no, list_transform(tg, lambda x: {{'t': x.t, 'g': x.g, 'han': regexp_full_match(x.t, {_HAN}),
            'wa': length(x.t) * CASE WHEN regexp_full_match(x.t, {_HAN}) THEN 2 ELSE 1 END,
            'wb': length(x.g) * CASE WHEN regexp_full_match(x.g, {_HAN}) THEN 2 ELSE 1 END}}) AS m FROM gl),
   al AS (SELECT doc_id, line_no, list_transform(m, lambda x: {{
@@ -461,11 +458,41 @@ _WRAP = f"""{with_views(LINES)},
          {{'h': '', 'p': '', 'out': []::STRUCT(h VARCHAR, p VARCHAR)[]}}) AS r FROM it),
   segs AS (SELECT doc_id, line_no, CASE WHEN length(r.p) > 0 THEN list_append(r.out, {{'h': r.h, 'p': r.p}}) ELSE r.out END AS s FROM fo),
   wrapped AS (SELECT doc_id, line_no, CAST(unnest(generate_series(0, len(s) - 1)) AS BIGINT) AS seg, unnest(s) AS x FROM segs)"""
+_WRAP = f"""{with_views(LINES)},
+  tk AS (SELECT doc_id, line_no, regexp_extract_all(value || chr(10), '\\p{{Han}}|[^\\p{{Han}} ]+ *| +') AS toks FROM lines),
+  gl AS (SELECT doc_id, line_no, list_transform(toks, lambda t: {{'t': t, 'g': {_GLOSS_CHAIN}}}) AS tg FROM tk),
+{_FOLD}"""
 sql("interlinear_wrap", f"{_WRAP} SELECT doc_id, line_no, seg, x.h AS text, x.p AS gloss FROM wrapped")
 sql("interlinear_lines", f"""{_WRAP} SELECT doc_id, line_no, seg, CAST(0 AS BIGINT) AS k, x.p AS line FROM wrapped
   UNION ALL SELECT doc_id, line_no, seg, CAST(1 AS BIGINT) AS k, x.h AS line FROM wrapped""")
 
 
+# the cheapest cut of each Han line from its end, then the words from its start
+_PHRASES = """WITH han AS (
+    SELECT doc_id, CAST(1 AS BIGINT) AS line_no, list_transform(range(0, 21 + doc_id % 60), lambda k: CASE WHEN k % 9 = 8 THEN ' ' || coalesce(lang, '') || ' '
+      ELSE chr(CAST(19968 + (doc_id * 31 + k + k // 4 * 5) % 40 AS INTEGER)) END) AS pieces FROM documents),
+  hl AS (SELECT doc_id, line_no, array_to_string(pieces, '') AS value FROM han),
+  cs AS (SELECT *, list_transform(string_split(value, ''), lambda x: CASE WHEN unicode(x) BETWEEN 19968 AND 20007 THEN unicode(x) - 19968 ELSE -9 END) AS c FROM hl),
+  best AS (SELECT *, list_reduce(list_reverse(range(1, len(c) + 1)), lambda acc, i: list_prepend(CASE
+      WHEN c[i] % 5 = 1 AND c[i] >= 0 AND c[i + 1] = c[i] + 1 AND c[i + 2] = c[i] + 2 AND coalesce(acc[3].c, 0) <= least(coalesce(acc[1].c, 0),
+           CASE WHEN c[i] % 3 = 0 AND c[i] >= 0 AND c[i + 1] = c[i] + 1 THEN coalesce(acc[2].c, 0) ELSE 999999 END) THEN {'c': coalesce(acc[3].c, 0) + 1, 'l': 3}
+      WHEN c[i] % 3 = 0 AND c[i] >= 0 AND c[i + 1] = c[i] + 1 AND coalesce(acc[2].c, 0) <= coalesce(acc[1].c, 0) THEN {'c': coalesce(acc[2].c, 0) + 1, 'l': 2}
+      ELSE {'c': coalesce(acc[1].c, 0) + 1, 'l': 1} END, acc), []::STRUCT(c BIGINT, l BIGINT)[]) AS b FROM cs),
+  walk AS (SELECT *, list_reduce(range(1, len(c) + 1), lambda s, i: CASE WHEN i = s.next
+      THEN {'next': i + b[i].l, 'starts': list_append(s.starts, i)} ELSE s END, {'next': CAST(1 AS BIGINT), 'starts': []::BIGINT[]}).starts AS starts FROM best),
+  chars AS (SELECT doc_id, line_no, value, c, b, starts, unnest(range(1, len(c) + 1)) AS i FROM walk),
+  placed AS (SELECT doc_id, line_no, value, c, b, i, list_max(list_filter(starts, lambda x: x <= i)) AS st FROM chars WHERE c[i] >= 0),
+  said AS (SELECT doc_id, line_no, value, i - 1 AS pos, substr(value, i, 1) AS ch, st - 1 AS word_start, b[st].l AS word_length,
+      CASE WHEN b[st].l = 1 THEN 'z' || c[i] ELSE 'y' || c[st] || '.' || b[st].l || '.' || (i - st) END AS reading FROM placed)"""
+sql("phrase_readings", f"{_PHRASES} SELECT doc_id, line_no, pos, ch, reading, word_start, word_length FROM said")
+sql("interlinear_han", f"""{_PHRASES},
+  rd AS (SELECT doc_id, line_no, list(reading ORDER BY pos) AS r FROM said GROUP BY 1, 2),
+  tk AS (SELECT h.doc_id, h.line_no, r, regexp_extract_all(value || chr(10), '\\p{{Han}}|[^\\p{{Han}} ]+ *| +') AS toks FROM hl h JOIN rd USING (doc_id, line_no)),
+  gl AS (SELECT doc_id, line_no, list_transform(range(1, len(toks) + 1), lambda i: {{'t': toks[i], 'g': CASE WHEN regexp_full_match(toks[i], {_HAN})
+      THEN r[len(list_filter(toks[1:i], lambda x: regexp_full_match(x, {_HAN})))] ELSE toks[i] END}}) AS tg FROM tk),
+{_FOLD} SELECT doc_id, line_no, seg, x.h AS text, x.p AS gloss FROM wrapped""")
+
+
 # --- documents: the lines of a report between head and foot --------------------------
 
 

@@ -71,6 +71,18 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("doc_id", "file", (F.col("pos") + 1).cast("long").alias("line_no"), "value")
 
 
+HAN_SPAN = 40        # code points of the Han lines
+
+
+def han_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line of Han characters and words per document; neighbouring code points make phrases."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"))
+    code = lambda k: F.lit(0x4E00) + (F.col("doc_id") * 31 + k + F.floor(k / 4) * 5) % HAN_SPAN      # noqa: E731
+    piece = lambda k: F.when(k % 9 == 8, F.concat(F.lit(" "), "lang", F.lit(" "))).otherwise(F.decode(F.unhex(F.hex(code(k))), "UTF-16BE"))      # noqa: E731
+    value = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), 20 + F.col("doc_id") % 60), piece), "")
+    return d.select("doc_id", F.lit(1).cast("long").alias("line_no"), value.alias("value"))
+
+
 FILE_DOCS = 1000     # documents in a text file
 
 

@@ -51,12 +51,13 @@ def test_caps_keep_the_first_per_line_and_overall(spark):
 
 
 def test_native_fold_equals_udf(spark):
+    from native_fold import interlinear
     g = {"é": "e1", "中": "zhong", "文": "wen"}
     lines = ["héllo wörld " * 9, "中 文 中文 abc", "", "short", "x" * 70 + " y", "中文中文 中 文 " * 6]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(lines)], "i int, value string")
     v = F.concat(F.col("value"), F.lit("\n"))
     toks = F.transform(gloss.word_tokens(v), lambda w: F.struct(w.alias("text"), gloss.translate_with(w, g).alias("gloss")))
-    out = df.select("i", gloss.interlinear(toks, 20, "\\p{IsHan}").alias("n"),
+    out = df.select("i", interlinear(toks, 20, "\\p{IsHan}").alias("n"),
                     gloss.interlinear_udf(g, 20, "\\p{Han}")(v).alias("u"))
     for r in out.collect():
         assert [tuple(x) for x in r.n] == [tuple(x) for x in r.u], r.i
