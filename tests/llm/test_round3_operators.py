@@ -403,3 +403,78 @@ def test_long_words_are_hashed_whole():
     words = quality_nbsvm._Words()
     a, b = "y" * 64 + "a", "y" * 64 + "b"
     assert words[a] != words[b] and not words
+
+
+# --- URL filter ---------------------------------------------------------------
+
+
+def test_viterbi_equals_brute_force():
+    import itertools
+    from assetflow.llm import url_filter
+    rng = random.Random(8)
+    for _ in range(400):
+        run = "".join(rng.choice("ab") for _ in range(rng.randrange(1, 10)))
+        counts = {"".join(rng.choice("ab") for _ in range(rng.randrange(1, 8))): rng.choice([1, 2, 50, 3000]) for _ in range(rng.randrange(9))}
+        total = 5000.0
+
+        def value(words):
+            return sum((math.log(counts[w]) if w in counts else math.log(10) * (1 - len(w))) - math.log(total + 1) for w in words)
+        cuts = ([run[a:b] for a, b in zip([0, *at], [*at, len(run)])]
+                for k in range(len(run)) for at in itertools.combinations(range(1, len(run)), k))
+        entries = {(i, j - i): counts[run[i:j]] for i in range(len(run)) for j in range(i + 1, len(run) + 1) if run[i:j] in counts}
+        got = url_filter.split_words(run, entries, total)
+        assert "".join(got) == run and value(got) == pytest.approx(max(map(value, cuts)), abs=1e-9)
+
+
+def url_pages(seedless=True):
+    rng = random.Random(9)
+    clean = ["garden", "history", "music", "weather", "science", "kitchen", "travel", "race", "library", "museum"]
+    bad = ["cheap", "hotdeal", "winbig", "freecoins"]
+    seeds = ["casino", "pills", "bets"]
+    rows, want = [], {}
+
+    def host(name, verdict, pages=6):
+        for k in range(pages):
+            rows.append((len(rows), f"http://www.{name}.example.net/{rng.choice(clean)}/{k}", None))
+            want[rows[-1][0]] = (name, verdict)
+    for a in clean:
+        for b in clean:
+            host(a + b, "allow")
+    for a in bad:
+        for s in seeds:
+            host(f"{a}-{s}", "block")
+            host(s + a, "block", 2)
+    for a in bad:
+        for b in bad:
+            host(a + b, "block", 2)          # no seed word: only the words they share with blocked hosts tell
+    for s in ("casino", "pills"):
+        host(s, "block", 2)                  # a seed word alone
+    for k in range(40):
+        host(f"regatta-rowing-{clean[k % 10]}{clean[k // 4]}", "allow", 8)
+    for k in range(3):
+        host(f"regatta-track-rowing-{clean[k]}", "allow", 1)      # a seed word among words of clean hosts
+    host("cheap-track", "block", 1)
+    rows += [(len(rows) + k, "x", "<p>" + " ".join((clean + bad + seeds + ["regatta", "rowing", "track"]) * 300) + "</p>") for k in range(3)]
+    rows.append((len(rows), "http://" + "donaudampfschifffahrtsgesellschaft" + ".example.net/", None))
+    rows.append((len(rows), "http://" + "donaudampfschifffahrtsgesellschaft" + "garden.example.net/", None))
+    return rows, want
+
+
+def test_url_verdicts_that_seeds_do_not_explain(spark):
+    from assetflow.llm import url_filter
+    rows, want = url_pages()
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(df).collect()}
+    wrong = sorted({(name, v) for p, (name, v) in want.items() if got[p] != v})
+    assert len(wrong) <= 0.02 * len({n for n, _ in want.values()}), wrong
+    seeded = {p for p, (name, _) in want.items() if any(s in name for s in ("casino", "pills", "bets", "track"))}
+    assert sum(got[p] == "block" for p in want if p not in seeded) >= 20 and any(got[p] == "allow" for p in seeded)
+
+
+def test_long_words_are_counted_and_found(spark):
+    from assetflow.llm import url_filter
+    long = "donaudampfschifffahrtsgesellschaft"
+    pieces = spark.createDataFrame([(long,), (long + "garden",), ("garden" * 9,)], "piece string")
+    counts = spark.createDataFrame([(long, 4), ("garden", 9), ("x" * 500, 1)], "word string, n long")
+    got = {r["piece"]: r["words"] for r in url_filter.segment(pieces, counts).collect()}
+    assert got == {long: [long], long + "garden": [long, "garden"], "garden" * 9: ["garden"] * 9}
