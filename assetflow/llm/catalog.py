@@ -27,7 +27,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii_boosted.find(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", *[f"n_{k}" for k in pii_boosted.KINDS], F.sha2("base_text", 256).alias("base_sha256"), "spans", "n_added")
+    return found.select("doc_id", *[f"n_{k}" for k in pii_boosted.BASE], F.sha2("base_text", 256).alias("base_sha256"), "spans", "n_added")
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,14 +2,20 @@
 
 Base patterns with validators (e-mail, IP, card with Luhn check, phone) always
 count.  Beyond them, generators with high recall propose overlapping spans: any
-``x@y`` token, any run of digits with and without separators, any four short digit
-groups, any international dialling form.
-Each candidate gets format features (digits, separators, groups) and context
-features (neighbouring characters, words such as *phone* or *card* before it) but
-no validator outcome.  Boosted trees learn from all candidates whether such a span
-holds a validated one; thresholds calibrated on a held-out fold, one per generator,
-select candidates to add.  Every score level above a threshold reaches the precision
-by itself, so easy hits of one level or generator buy no room for misses of another.
+``x@y`` token, addresses spelled out with *at* and *dot*, any run of digits with and
+without separators, any four short digit groups, any international dialling form,
+IPv6 forms, and any token of twelve or more letters and digits (keys, passwords).
+
+Labels are weak and come from labellers that do not see the features: a candidate
+is positive if it overlaps a validated span, if its digits pass the checksum once the
+separators are gone, if words such as *password* or *phone* stand right before it, if it
+begins like the keys of a well-known service, or ends in a common domain.  Boosted
+trees learn from format (digits, groups, separators, letter case, neighbours) which
+candidates are positive; thresholds calibrated on a held-out fold, one per generator,
+select candidates to add, labelled or not.  So a format that is nearly always
+positive is redacted also where no labeller spoke.  Every score level above a
+threshold reaches the precision by itself, so easy hits of one level or generator
+buy no room for misses of another.
 
 Training data are counts per feature cell: the cells are a fixed product of small
 ranges, so the table that the trees are fitted on is bounded whatever the corpus,
@@ -26,12 +32,21 @@ from pyspark.sql import functions as F
 from assetflow.functions.arrays import let
 from assetflow.llm.common import materialise, text_of
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")      # base patterns find the first four
 PRECISION = 0.95          # calibrated precision on the held-out fold that an added span must reach
 ROUNDS, DEPTH, RATE, RIDGE = 30, 3, 0.3, 1.0
 MIN_CELL = 20             # held-out candidates behind a calibrated threshold
-CONTEXT = 24              # characters before a candidate that are searched for words
-CONTEXT_WORDS = r"(?i)(phone|tel\b|call|mobile|fax|mail|contact|card|visa|account|pay|ip\b|host|address)"
+CONTEXT = 24              # characters before a candidate that the labellers search for words
+MIN_SECRET = 12           # characters of a key or password
+# Weak labellers: words right before a candidate, by kind, and what it looks like itself.
+SAID_BEFORE = {
+    "email": r"(?i)\b(e-?mail|contact|write to|reach|address)\b",
+    "ip": r"(?i)\b(ip|ipv6|host|server|address)\b",
+    "phone": r"(?i)\b(phone|tel|call|mobile|fax)\b",
+    "secret": r"(?i)(password|passwd|pwd|secret|token|api[_ -]?key|credentials?)[\"'\s:=]{1,6}$",
+}
+COMMON_DOMAIN = r"(?i)[.\s)\]](com|org|net|edu|gov|de|fr|es|uk|io)$"
+KEY_BEGINS = r"^(AKIA|ASIA|ghp_|gho_|xox[abp]|sk_live_|AIza)"
 
 # Fixed patterns.  The guards "\G or not preceded by the class" start a match only at the
 # start of a run or where the last match ended, and possessive loops never give
@@ -48,11 +63,15 @@ GENERATORS = {
     "quad": r"(?:\G|(?<![0-9]))[0-9]{1,3}+(?:[.,:-][0-9]{1,3}+){3}",
     "run": r"[0-9]{7,}+",
     "call": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{4}(?![0-9])",
+    "spelled": (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++(?: ?[(\[]at[)\]] ?| at )[A-Za-z0-9-]++"
+                r"(?:(?: ?[(\[]dot[)\]] ?| dot )[A-Za-z0-9-]++)++"),
+    "ipv6": r"(?:\G|(?<![0-9A-Za-z:]))(?:[0-9A-Fa-f]{1,4}+:){7}[0-9A-Fa-f]{1,4}+(?![0-9A-Za-z:])",
+    "secret": r"(?:\G|(?<![A-Za-z0-9_]))(?=[A-Za-z_]*+[0-9])(?=[0-9_]*+[A-Za-z])[A-Za-z0-9_]{%d,}+" % MIN_SECRET,
 }
 # a text without this cannot match
-NEEDS = {"email": "@", "at": "@", "phone": "+", "call": "+"}
+NEEDS = {"email": "@", "at": "@", "phone": "+", "call": "+", "spelled": "dot", "ipv6": ":"}
 # feature -> number of values: the cells
-FEATURES = {"gen": 5, "n_digits": 9, "groups": 6, "seps": 16, "left": 4, "right": 4, "word": 2}
+FEATURES = {"gen": 8, "n_digits": 9, "groups": 6, "seps": 16, "left": 4, "right": 4, "letters": 4}
 _BLOCK = 256
 
 
@@ -115,24 +134,33 @@ def _side(ch: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """array<struct<start, end, kind, features...>> of all generators; spans of one to six digits are left out."""
+    """array<struct<start, end, kind, features..., said>> of all generators; digit runs of one to six are left out.
+
+    ``said``: a labeller calls it personal, whatever the base patterns say.
+    """
     parts = []
     for g, (gen, pattern) in enumerate(GENERATORS.items()):
         def featured(s: Column) -> Column:
             m = s["m"]
             digits = F.length(_digits(m))
             groups = F.size(F.split(m, r"[^0-9]+"))
-            kind = (F.lit(0) if gen == "at" else F.lit(1) if gen == "quad" else F.lit(3) if gen == "call" else F.when(digits.between(13, 19), 2).otherwise(3))
+            kind = {"at": F.lit(0), "spelled": F.lit(0), "quad": F.lit(1), "ipv6": F.lit(1), "call": F.lit(3), "secret": F.lit(4)}.get(
+                gen, F.when(digits.between(13, 19), 2).otherwise(3))
+            before = F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
+            count = F.length(m) if gen == "secret" else digits
+            said = {"at": F.lit(False), "spelled": before.rlike(SAID_BEFORE["email"]) | m.rlike(COMMON_DOMAIN), "quad": F.lit(False),
+                    "ipv6": before.rlike(SAID_BEFORE["ip"]), "secret": before.rlike(SAID_BEFORE["secret"]) | m.rlike(KEY_BEGINS)}.get(
+                gen, F.when(digits.between(13, 19), luhn(_digits(m))).otherwise(digits.between(9, 15) & before.rlike(SAID_BEFORE["phone"])))
             seps = sum((F.contains(m, F.lit(c)).cast("int") * (1 << i) for i, c in enumerate((" ", ".", "-", "+"))), F.lit(0))
             return F.struct(
                 s["start"].alias("start"), s["end"].alias("end"), kind.alias("kind"), F.lit(g).alias("gen"),
-                F.when(digits < 7, 0).when(digits < 9, 1).when(digits < 10, 2).when(digits < 12, 3).when(digits < 13, 4)
-                 .when(digits < 16, 5).when(digits < 17, 6).when(digits < 20, 7).otherwise(8).alias("n_digits"),
-                F.least(groups, F.lit(5)).alias("groups"), seps.alias("seps"),
+                F.when(count < 7, 0).when(count < 9, 1).when(count < 10, 2).when(count < 12, 3).when(count < 13, 4)
+                 .when(count < 16, 5).when(count < 17, 6).when(count < 20, 7).otherwise(8).alias("n_digits"),
+                (F.lit(0) if gen == "secret" else F.least(groups, F.lit(5))).alias("groups"), seps.alias("seps"),
                 _side(F.when(s["start"] == 0, "").otherwise(F.substring(text, s["start"], 1))).alias("left"),
                 _side(F.substring(text, s["end"] + 1, 1)).alias("right"),
-                F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
-                 .rlike(CONTEXT_WORDS).cast("int").alias("word"))
+                (m.rlike("[a-z]").cast("int") + m.rlike("[A-Z]").cast("int") * 2).alias("letters"),
+                F.coalesce(said, F.lit(False)).cast("int").alias("said"))
         found = matches(text, pattern, NEEDS.get(gen))
         if gen == "digits":
             found = F.filter(found, lambda s: F.length(_digits(s["m"])) >= 7)
@@ -149,18 +177,18 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _spread(extracted: DataFrame) -> DataFrame:
-    """One row per distinct key and candidate, with ``hit``: it overlaps a base span."""
+    """One row per distinct key and candidate, with ``near`` (it overlaps a base span) and ``hit`` (that, or a labeller spoke)."""
     distinct = extracted.filter("size(cands) > 0").dropDuplicates(["key"])
-    names = ["start", "end", "kind", *FEATURES]
-    none = [F.lit(0).alias(c) for c in FEATURES]
+    names = ["start", "end", "kind", *FEATURES, "said"]
+    none = [F.lit(0).alias(c) for c in (*FEATURES, "said")]
     base = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), b["kind"].alias("kind"), *none, F.lit(1).alias("is_base")))
     cand = F.transform("cands", lambda c: F.struct(*[c[n].alias(n) for n in names], F.lit(0).alias("is_base")))
     rows = distinct.select("key", F.explode(F.concat(base, cand)).alias("s")).select("key", *[F.col(f"s.{n}").alias(n) for n in names], F.col("s.is_base").alias("is_base"))
     order = Window.partitionBy("key").orderBy("start", "is_base", "end")
     left = F.max(F.when(F.col("is_base") == 1, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
     right = F.min(F.when(F.col("is_base") == 1, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
-    hit = F.coalesce(left > F.col("start"), F.lit(False)) | F.coalesce(right < F.col("end"), F.lit(False))
-    return rows.withColumn("hit", hit.cast("int")).filter("is_base = 0").drop("is_base")
+    near = F.coalesce(left > F.col("start"), F.lit(False)) | F.coalesce(right < F.col("end"), F.lit(False))
+    return rows.withColumn("near", near.cast("int")).withColumn("hit", F.greatest("near", "said")).filter("is_base = 0").drop("is_base", "said")
 
 
 def _grow(rows: list, grad: list[float], hess: list[float], depth: int):
@@ -226,28 +254,27 @@ def threshold(scored: list[tuple[float, int, int]], precision: float = PRECISION
         level = levels.setdefault(round(s, 9), [0, 0])
         level[0] += h
         level[1] += h + m
-    behind, best = 0, math.inf
+    hits, total, best = 0, 0, math.inf
     for s in sorted(levels, reverse=True):
-        hits, total = levels[s]
-        if hits < precision * total:
-            break
-        behind += total
-        if behind >= MIN_CELL:
-            best, behind = s, 0
+        hits, total = hits + levels[s][0], total + levels[s][1]
+        if total >= MIN_CELL:
+            if hits < precision * total:
+                break
+            hits, total, best = 0, 0, s
     return best
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = PRECISION) -> tuple[DataFrame, DataFrame]:
     """``(rows, added)``: the extracted rows, and per key the spans that the trees add.
 
-    Null and empty texts have no spans; without any validated span, or below
+    Null and empty texts have no spans; without any positive candidate, or below
     ``precision`` at a score level of a generator, nothing is added.  Added spans never overlap a base span, and
     overlapping added spans become their union, of its best-scored candidate's kind.
     """
     rows = materialise(extract(docs, id_col, text_col), "pii-rows")
     cand = materialise(_spread(rows), "pii-candidates")
     fold = F.pmod(F.xxhash64("key"), F.lit(5)) == 0
-    cells = (cand.groupBy(*FEATURES).agg(      # at most the product of the feature sizes, 138,240 rows
+    cells = (cand.groupBy(*FEATURES).agg(      # at most the product of the feature sizes, 442,368 rows
         F.sum(F.when(~fold, F.col("hit")).otherwise(0)).alias("h"), F.sum(F.when(~fold, 1 - F.col("hit")).otherwise(0)).alias("m"),
         F.sum(F.when(fold, F.col("hit")).otherwise(0)).alias("th"), F.sum(F.when(fold, 1 - F.col("hit")).otherwise(0)).alias("tm"))
         .orderBy(*FEATURES).collect())
@@ -264,7 +291,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", preci
     score = F.lit(start)
     for t in trees:
         score = score + _expression(t)
-    chosen = cand.filter("hit = 0").withColumn("score", score).filter(F.col("score") >= cut - 1e-8)
+    chosen = cand.filter("near = 0").withColumn("score", score).filter(F.col("score") >= cut - 1e-8)
     order = Window.partitionBy("key").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = chosen.withColumn("new", F.when(F.coalesce(reach > F.col("start"), F.lit(False)), 0).otherwise(1)) \
@@ -287,7 +314,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precis
     met = rows.join(added, rows["key"] == added["akey"], "left").withColumn("added", F.coalesce("added", none))
     every = F.array_sort(F.concat("base", "added"))
     return met.select(
-        "doc_id", "key", *[F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)],
+        "doc_id", "key", *[F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(BASE)],
         F.col("base"), every.alias("all"), F.size("added").cast("long").alias("n_added")) \
         .withColumn("base_text", _said(F.col("base"))).withColumn("spans", _said(F.col("all")))
 

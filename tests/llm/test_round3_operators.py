@@ -478,3 +478,95 @@ def test_long_words_are_counted_and_found(spark):
     counts = spark.createDataFrame([(long, 4), ("garden", 9), ("x" * 500, 1)], "word string, n long")
     got = {r["piece"]: r["words"] for r in url_filter.segment(pieces, counts).collect()}
     assert got == {long: [long], long + "garden": [long, "garden"], "garden" * 9: ["garden"] * 9}
+
+
+# --- personal data that the base patterns do not see --------------------------
+
+
+def planted_pii():
+    rng = random.Random(12)
+    hexed = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n - 2)) + "a7"      # noqa: E731
+    upper = lambda n: "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n - 2)) + "K7"      # noqa: E731
+
+    def luhn(digits):
+        total = sum(int(c) if i % 2 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits)))
+        return digits + str(-total % 10)
+    rows, truth, unsaid = [], set(), set()
+
+    def add(before, span, after="", personal=True, said=True):
+        rows.append((len(rows), f"{before}{span}{after}"))
+        if personal:
+            key = (rows[-1][0], len(before), len(before) + len(span))
+            truth.add(key)
+            if not said:
+                unsaid.add(key)
+    for k in range(400):
+        add("the line has password=", hexed(18), " in it")
+        add("found ", "AKIA" + upper(16), " today")
+        add("ask for ", f"jo{k} at mail{k % 7} dot {rng.choice(['com', 'org', 'net'])}", ", please")
+        card = luhn("4" + "".join(rng.choice("0123456789") for _ in range(14)))
+        add("paid with ", ".".join(card[i:i + 4] for i in range(0, 16, 4)), " then")
+        add("", f"see build{rng.randrange(10**6, 10**7)}rev and item_{rng.randrange(10**5, 10**6)}_blue", " or order 1234567", personal=False)
+    for k in range(8):
+        add("the line has magic=", hexed(18), " in it", said=False)                       # a key of the same format, no word before it
+        add("found ", "QZIA" + upper(16), " today", said=False)
+        add("ask for ", f"al{k} at host{k} dot museum", ", please", said=False)
+    return rows, truth, unsaid
+
+
+def test_pii_variants_are_found_with_measured_precision_and_recall(spark):
+    from assetflow.llm import pii_boosted
+    rows, truth, unsaid = planted_pii()
+    found = pii_boosted.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(r["doc_id"], s["start"], s["end"]) for r in found for s in r["all"]}
+    assert not any(r["base"] for r in found)                       # the base patterns see none of it
+    right = {s for s in got if any(s[0] == t[0] and s[1] < t[2] and t[1] < s[2] for t in truth)}
+    caught = {t for t in truth if any(s[0] == t[0] and s[1] <= t[1] and t[2] <= s[2] for s in got)}
+    assert len(right) / len(got) >= 0.95                           # precision
+    assert len(caught) / len(truth) >= 0.95                        # recall
+    assert len(caught & unsaid) / len(unsaid) >= 0.9               # also where no labeller spoke
+    text = dict(rows)
+    out = {r["doc_id"]: r["text"] for r in pii_boosted.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0] == "the line has password=[SECRET] in it" and all(out[d] == text[d] for d, t in text.items() if t.startswith("see build"))
+
+
+def test_boosting_equals_brute_force(spark):
+    from assetflow.llm import pii_boosted
+    rng = random.Random(13)
+    names = list(pii_boosted.FEATURES)
+    cells = sorted({tuple(rng.randrange(n) for n in pii_boosted.FEATURES.values()) for _ in range(80)})
+    cells = [(*c, rng.randrange(20) if c[1] > 4 else rng.randrange(3), rng.randrange(9)) for c in cells]
+    rows = [c[:-2] for c in cells]
+    start, trees = pii_boosted.boost(cells)
+    # the first tree's root is the best of all splits
+    p = 1 / (1 + math.exp(-start))
+    grad = [(c[-2] + c[-1]) * p - c[-2] for c in cells]
+    hess = [(c[-2] + c[-1]) * p * (1 - p) for c in cells]
+
+    def gain(f, v):
+        left = [i for i, r in enumerate(rows) if r[f] <= v]
+        g, h, gl, hl = sum(grad), sum(hess), sum(grad[i] for i in left), sum(hess[i] for i in left)
+        ridge = pii_boosted.RIDGE
+        return gl**2 / (hl + ridge) + (g - gl)**2 / (h - hl + ridge) - g**2 / (h + ridge)
+    best = max(gain(f, v) for f in range(len(names)) for v in sorted({r[f] for r in rows})[:-1])
+    assert gain(trees[0][1], trees[0][2]) == pytest.approx(best)
+    loss = lambda k: sum(c[-2] * math.log1p(math.exp(-s)) + c[-1] * math.log1p(math.exp(s)) for c, s in      # noqa: E731
+                         zip(cells, [start + sum(pii_boosted._value(t, r) for t in trees[:k]) for r in rows]))
+    assert all(loss(k + 1) <= loss(k) + 1e-9 for k in range(len(trees)))
+    score = F.lit(start)
+    for t in trees:
+        score = score + pii_boosted._expression(t)
+    got = [r["s"] for r in spark.createDataFrame(rows, ", ".join(f"{n} int" for n in names)).coalesce(1).select(score.alias("s")).collect()]
+    assert got == pytest.approx([start + sum(pii_boosted._value(t, r) for t in trees) for r in rows])
+    # thresholds: the least level down to which every level (of MIN_CELL candidates or more) is precise
+    for _ in range(200):
+        scored = [(s / 4, h := rng.choice([0, 5, 30, 90]), rng.choice([0, 0, 0, 1, h])) for s in range(rng.randrange(1, 7))]
+        cut, group = math.inf, []
+        for s, h, m in sorted(scored, reverse=True):
+            group.append((h, m))
+            hits, every = sum(h for h, _ in group), sum(h + m for h, m in group)
+            if every >= pii_boosted.MIN_CELL:
+                if hits < pii_boosted.PRECISION * every:
+                    break
+                cut, group = s, []
+        assert pii_boosted.threshold(scored) == cut
