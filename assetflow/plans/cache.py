@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from assetflow.session import scratch_table
+
 CACHE_KEYS = ("path", "size")
 
 
@@ -50,12 +52,16 @@ def cache_status(current: DataFrame, cache: DataFrame, keys=CACHE_KEYS) -> DataF
 def refresh(current: DataFrame, cache: DataFrame, compute: Callable[[DataFrame], DataFrame],
             keys=CACHE_KEYS, complete: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """New cache = cached rows of files still present (and complete) + fresh rows
-    for the rest.  ``compute`` receives only the misses; stale entries vanish."""
+    for the rest.  ``compute`` receives only the misses; stale entries vanish.
+
+    Keys are compared first, so with few misses (which Spark then broadcasts by their
+    size) the other columns of ``current``, file contents say, are not shuffled.
+    """
     k = list(keys)
     usable = complete(cache) if complete else cache
     present = usable.join(current.select(*k), k, "left_semi")
-    misses = current.join(usable.select(*k), k, "left_anti")
-    fresh = compute(misses)
+    missing = scratch_table(current.select(*k).distinct().join(usable.select(*k), k, "left_anti"), "cache-misses")
+    fresh = compute(current.join(missing, k, "left_semi"))
     return present.unionByName(fresh.select(*present.columns))
 
 

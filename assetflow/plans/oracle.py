@@ -493,6 +493,25 @@ sql("interlinear_han", f"""{_PHRASES},
 {_FOLD} SELECT doc_id, line_no, seg, x.h AS text, x.p AS gloss FROM wrapped""")
 
 
+sql("progress_totals", f"""{with_views(ASSETS)}
+  SELECT 'listed' AS step, count(*) AS n_rows, CAST(sum(size) AS BIGINT) AS n_bytes FROM assets
+  UNION ALL SELECT 'kept', count(*), CAST(sum(size) AS BIGINT) FROM assets WHERE NOT ({skip_pred()}) AND size <= 16384""")
+
+
+# --- delta cache ---------------------------------------------------------------------
+
+sql("delta_cache", f"{with_views(ASSETS)} SELECT path, size, md5(content) AS md5 FROM assets WHERE doc_id % 7 <> 0")
+sql("delta_cache_compacted", ORACLE["delta_cache"])
+sql("delta_cache_parts", f"""{with_views(ASSETS)},
+  c AS (SELECT doc_id % 3 <> 0 AS a, doc_id % 5 <> 0 AS b, doc_id % 7 <> 0 AS c, size % 4 = 0 AS bad FROM assets)
+  SELECT * FROM (
+    SELECT 1 AS version, 'rows' AS kind, count(*) FILTER (a) AS n_rows FROM c
+    UNION ALL SELECT 2, 'rows', count(*) FILTER (b AND (NOT a OR bad)) FROM c
+    UNION ALL SELECT 2, 'gone', count(*) FILTER (a AND (NOT b OR bad)) FROM c
+    UNION ALL SELECT 3, 'rows', count(*) FILTER (c AND NOT b) FROM c
+    UNION ALL SELECT 3, 'gone', count(*) FILTER (b AND NOT c) FROM c) WHERE n_rows > 0""")
+
+
 # --- documents: the lines of a report between head and foot --------------------------
 
 
