@@ -408,6 +408,12 @@ def _image_id(path):
     return F.regexp_extract(path, "([0-9]+)[.]png$", 1).cast("long").alias("image_id")
 
 
+@query("parallel_listing")
+def parallel_listing(spark, sf_dir):
+    """A nested tree listed by the tasks, a level a round."""
+    return files.list_files_parallel(spark, _images(spark, sf_dir)).select("relpath", "size")
+
+
 @query("image_dims")
 def image_dims(spark, sf_dir):
     root = _images(spark, sf_dir)

@@ -238,6 +238,9 @@ _IMAGES = f"""{with_views(PIXELS)},
 sql("image_dims", f"""{_IMAGES}
   SELECT image_id, CAST(h AS INTEGER) AS height, CAST(w AS INTEGER) AS width, 8 + 25 + 12 + 2 + 5 + h * (3 * w + 1) + 4 + 12 AS size
   FROM images WHERE image_id % 7 <> 3""")
+sql("parallel_listing", f"""{_IMAGES}
+  SELECT printf('%03d/%08d.png', CAST(image_id // 1000 AS BIGINT), image_id) AS relpath,
+    CASE WHEN image_id % 7 = 3 THEN 20 ELSE 8 + 25 + 12 + 2 + 5 + h * (3 * w + 1) + 4 + 12 END AS size FROM images""")
 sql("invalid_assets", "SELECT vec_id AS image_id, CAST(20 AS BIGINT) AS size FROM embeddings WHERE vec_id % 7 = 3")
 sql("grayscale", f"""{_IMAGES}
   SELECT image_id, array_to_string(list_transform(px[1:h * w], lambda v: CAST(floor(

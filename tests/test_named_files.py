@@ -183,3 +183,17 @@ def test_rewritten_history_is_in_order(spark):
     df = spark.createDataFrame([("h", i + 1, v) for i, v in enumerate(lines)], "file string, line_no long, value string")
     got = [r["line"] for r in history.unique_history_lines(df).orderBy("line_no").collect()]
     assert got == ["#0", "c", "#3", "d", "#20", "b", "#100", "a"]
+
+
+def test_parallel_listing_equals_the_driver_listing(spark, tmpdir_path):
+    for name in ("a.txt", "x/b.txt", "x/y/z/c.txt", "x/y/d e.txt", "k=1/_e.txt", "_no/f.txt", "_p=1/g.txt", ".h/i.txt", "x/.hidden", "x/_tmp", "é/中.txt"):
+        os.makedirs(os.path.dirname(f"{tmpdir_path}/in/{name}"), exist_ok=True)
+        with open(f"{tmpdir_path}/in/{name}", "w") as f:
+            f.write(name)
+    os.makedirs(f"{tmpdir_path}/in/empty/deeper")
+    want = {tuple(r) for r in files.list_files(spark, f"{tmpdir_path}/in").select("path", "relpath", "size").collect()}
+    got = [tuple(r) for r in files.list_files_parallel(spark, f"{tmpdir_path}/in", tasks=3).select("path", "relpath", "size").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) == 6
+    assert {tuple(r) for r in files.list_files_parallel(spark, f"file://{tmpdir_path}/in").select("path", "relpath", "size").collect()} == want
+    two = files.list_files_parallel(spark, [f"{tmpdir_path}/in/x", f"{tmpdir_path}/in/k=1", f"{tmpdir_path}/none"])
+    assert {r["relpath"] for r in two.collect()} == {"b.txt", "y/z/c.txt", "y/d e.txt"}
