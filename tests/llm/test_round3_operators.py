@@ -570,3 +570,93 @@ def test_boosting_equals_brute_force(spark):
                     break
                 cut, group = s, []
         assert pii_boosted.threshold(scored) == cut
+
+
+# --- language ID and quality classifier against brute force --------------------
+
+
+def test_language_codewords_equal_brute_force(spark):
+    from assetflow.llm import langid_ecoc as L
+    rng = random.Random(21)
+    words = {"aa": ["the", "and", "of", "house"], "bb": ["der", "und", "von", "haus"], "cc": ["le", "et", "de", "maison"], "dd": ["el", "y", "del", "casa"]}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(rng.randrange(1, 30))), lang) for i in range(160) for lang in [rng.choice(list(words))]]
+    rows += [(900, None, "aa"), (901, "12 34", "bb"), (902, "x" * 5000, None), (903, "", "cc"), (rows[0][0], "haus der", "bb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = sorted(((r["doc_id"], r["lang_pred"], r["score"]) for r in L.predict(docs, L.fit(docs)).collect()), key=str)
+    letter = lambda t: any(c.isalpha() for c in t or "")      # noqa: E731
+
+    def count(t):
+        n = np.zeros(L.BUCKETS)
+        for x in L.buckets(t):
+            n += np.bincount(x, minlength=L.BUCKETS)
+        return n
+    train = [(i, t, lang) for i, t, lang in rows if zlib.crc32(str(i).encode()) % 5 and lang and letter(t)]
+    langs = sorted({lang for _, _, lang in train})
+    code = L.codewords(langs)
+    p = np.array([(n := sum(count(t) for _, t, k in train if k == lang)) / n.sum() for lang in langs])
+    odds = np.array([[math.log(p[code[:, b] > 0, k].sum() / max((code[:, b] > 0).sum(), 1) + 0.05 / L.BUCKETS)
+                      - math.log(p[code[:, b] < 0, k].sum() / max((code[:, b] < 0).sum(), 1) + 0.05 / L.BUCKETS) if p[:, k].any() else 0.0
+                      for b in range(code.shape[1])] for k in range(L.BUCKETS)])
+    evidence = lambda t: count(t) @ odds * 6.0 / (count(t).sum() + 50)      # noqa: E731
+    weight = np.array([np.maximum(np.mean([evidence(t) * code[i] > 0 for _, t, k in train if k == lang], axis=0), 0.01) for i, lang in enumerate(langs)])
+    weight *= code.shape[1] / weight.sum(axis=1, keepdims=True) / 2
+    want = []
+    for i, t, _ in rows:
+        if not letter(t):
+            want.append((i, "und", 0.0))
+            continue
+        loss = [sum(w * math.log1p(math.exp(-c * f)) for w, c, f in zip(weight[k], code[k], evidence(t))) for k in range(len(langs))]
+        share = [math.exp(min(loss) - x) for x in loss]
+        want.append((i, langs[loss.index(min(loss))], max(share) / sum(share)))
+    want.sort(key=str)
+    key = lambda r: (r[0], r[1], round(r[2], 2))      # noqa: E731
+    for g, w in zip(sorted(got, key=key), sorted(want, key=key)):
+        assert g[:2] == w[:2] and g[2] == pytest.approx(w[2], abs=2e-3)
+
+
+def test_dual_coordinate_descent_reaches_the_optimum(monkeypatch):
+    from assetflow.llm import quality_nbsvm as Q
+    rng = np.random.default_rng(22)
+    size = 12
+    rows = [np.flatnonzero(rng.random(size) < 0.4) for _ in range(40)]
+    y = np.where([(0 in x) ^ (rng.random() < 0.15) for x in rows], 1.0, -1.0)
+    r, cost = rng.normal(size=size) + 0.2, rng.choice([0.5, 2.0], 40)
+    monkeypatch.setattr(Q, "EPOCHS", 3000)
+    scaled_w, bias = Q._descend(rows, y, r, cost)
+    x = np.zeros((40, size + 1))
+    for i, at in enumerate(rows):
+        x[i, at] = r[at]
+    x[:, size] = 1.0                                        # the bias is one more feature
+    value = lambda w: 0.5 * w @ w + cost @ np.maximum(0, 1 - y * (x @ w))      # noqa: E731
+    best = value(np.append(scaled_w / r, bias))
+    w = np.zeros(size + 1)
+    low = value(w)
+    for k in range(1, 40_000):                              # plain subgradient descent finds nothing lower
+        w -= (w - (cost * y * (y * (x @ w) < 1)) @ x) / (k + 10)
+        low = min(low, value(w))
+    assert best <= low + 1e-2 * low
+
+
+def test_indicators_equal_brute_force():
+    from assetflow.llm import quality_nbsvm as Q
+    rng = random.Random(23)
+    one = np.uint64(1)
+    for _ in range(60):
+        words = [rng.choice(["a", "A", "bc", "B9", "$$$", "long" * 30, "x,", "a"]) for _ in range(rng.randrange(0, 25))]
+        mark = np.zeros(1 << Q.BITS, bool)
+        got = Q.indicators(" ".join(words), mark)
+        assert not mark.any()
+        pairs = [Q._Words()[w] for w in words]
+        kinds = [(p & 0xFFFFFFFF) if i == 0 or p != pairs[i - 1] else int(Q._SAME) for i, p in enumerate(pairs)]
+        grams = [((p >> 32), 1) for p in pairs] + [((a >> 32) * 1_000_003 + (b >> 32), 2 << 40) for a, b in zip(pairs, pairs[1:])]
+        for order_ in range(1, 5):
+            for i in range(len(kinds) - order_ + 1):
+                run = kinds[i]
+                for k in kinds[i + 1:i + order_]:
+                    run = run * 0x100000001B3 + k
+                grams.append((run, (2 + order_) << 40))
+        want = set()
+        for v, salt in grams:
+            h = (v + salt) * int(Q._MIX) % 2**64
+            want.add(((h ^ (h >> 29)) * int(Q._MIX) % 2**64) >> (64 - Q.BITS))
+        assert set(got.tolist()) == want and one
