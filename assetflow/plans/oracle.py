@@ -515,6 +515,9 @@ sql("delta_cache_parts", f"""{with_views(ASSETS)},
     UNION ALL SELECT 3, 'gone', count(*) FILTER (b AND NOT c) FROM c) WHERE n_rows > 0""")
 
 
+sql("toggle_shards", ORACLE["toggle_stream"])
+
+
 # --- documents: the lines of a report between head and foot --------------------------
 
 
