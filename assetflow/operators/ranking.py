@@ -6,8 +6,9 @@ single core.  Here the rows are range-partitioned on (group, order) instead,
 so a hot group is spread over many contiguous partitions:
 
 1. range partition on (group keys, order keys), tag rows with the partition id;
-2. checkpoint, so partition ids are pinned (recomputation after an executor
-   loss reads the checkpoint, not a fresh sample);
+2. write a scratch table, so partition ids are pinned (recomputation after an
+   executor loss reads the table, not a fresh sample) and later passes read only
+   the columns they need;
 3. number rows inside each (partition, group) chunk;
 4. a group that spans partitions is the first or last group of every
    partition it touches, so at most 2 x partitions chunks need an offset;
@@ -22,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetflow.session import ensure_checkpoint_dir
+from assetflow.session import scratch_table
 
 
 def _as_col(c) -> Column:
@@ -40,8 +41,8 @@ def rank_within_groups(df: DataFrame, group_cols, order_cols, rank_col: str = "r
     ``order_cols`` (names or sort Columns) must make a total order inside a
     group, e.g. end with a unique path.  An empty ``group_cols`` numbers the
     whole frame.  The partition ids come from a sampled range partitioning, so
-    they are checkpointed before anything is derived from them: rows, chunk
-    counts and bounds all read the same checkpoint.
+    they are written before anything is derived from them: rows, chunk
+    counts and bounds all read the same table.
     """
     spark = df.sparkSession
     gcols = list(group_cols)
@@ -53,8 +54,7 @@ def rank_within_groups(df: DataFrame, group_cols, order_cols, rank_col: str = "r
     orders = [_as_col(o) for o in order_cols]
     ranged = work.repartitionByRange(n, *[F.col(g) for g in gcols], *orders) \
         .withColumn("_pid", F.spark_partition_id())
-    ensure_checkpoint_dir(spark)
-    ranged = ranged.checkpoint(eager=True)
+    ranged = scratch_table(ranged, "ranked")
 
     local = ranged.withColumn(
         "_local", F.row_number().over(Window.partitionBy("_pid", *gcols).orderBy(*orders)))
