@@ -645,5 +645,5 @@ def test_pipeline_stages_take_odd_and_empty_tables(spark, odd, empty):
 def test_queries_are_registered():
     import __spark_entry__ as E
     names = set(E.queries())
-    assert {"pipeline", *catalog.QUERIES} <= names and len(catalog.QUERIES) == 10
+    assert {"pipeline", *catalog.QUERIES} <= names and len(catalog.QUERIES) == 13
     assert set(E.oracle_sql()) <= names
