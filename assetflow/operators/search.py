@@ -63,33 +63,43 @@ def line_range_diff(left: DataFrame, right: DataFrame, key: str = "file",
     return a.join(b, [key, "rel"], "full_outer").filter(~F.col("left_value").eqNullSafe(F.col("right_value")))
 
 
+def _hex_text(chunk):
+    return F.regexp_replace(F.lower(F.hex(chunk)), "(.{4})(?!$)", "$1 ")
+
+
 def hex_rows(df: DataFrame, content: str = "content", key: str = "path", width: int = HEX_ROW_BYTES,
-             base: str | None = None) -> DataFrame:
+             base: str | None = None, chunk: bool = False) -> DataFrame:
     """Hex dump: one row per ``width`` bytes with the offset, 2-byte groups and text.
 
     ``hex`` reads like ``xxd``: lower-case, groups of four hex digits;
     ``text`` shows printable ASCII bytes and ``.`` for the others.  ``base`` names
     the offset of a content that is a range of a file.  The content is cut
-    into an array first, so the generator does not carry it to every row.
+    into an array first, so the generator does not carry it to every row.  ``chunk``
+    adds the bytes themselves, which ``hex_diff`` compares.
     """
     cut = let(F.col(content).cast("binary"), lambda b: F.when(F.length(b) > 0, F.transform(
         F.sequence(F.lit(0), F.length(b) - 1, F.lit(width)), lambda at: F.substring(b, at + 1, width))))
     first = F.lit(0) if base is None else F.col(base)
     rows = (df.select(key, first.cast("long").alias("_base"), F.posexplode_outer(cut).alias("_nth", "_chunk"))
             .filter(F.col("_chunk").isNotNull()))
-    grouped = F.regexp_replace(F.lower(F.hex("_chunk")), "(.{4})(?!$)", "$1 ")
     # ISO-8859-1 maps every byte to the character of the same code, so one
     # regex turns the non-printable ones into dots (no per-byte lambdas)
     text = F.regexp_replace(F.decode("_chunk", "ISO-8859-1"), "[^\\x20-\\x7e]", ".")
-    return rows.select(key, (F.col("_base") + F.col("_nth") * width).alias("offset"), grouped.alias("hex"), text.alias("text"))
+    raw = [F.col("_chunk").alias("chunk")] if chunk else []
+    return rows.select(key, (F.col("_base") + F.col("_nth") * width).alias("offset"), _hex_text("_chunk").alias("hex"), text.alias("text"), *raw)
 
 
 def hex_diff(rows: DataFrame, key: str = "pair", right: str = "is_right") -> DataFrame:
     """Rows of two hex dumps that differ at the same offset.
 
     ``rows`` holds both dumps of every ``key``; the boolean ``right`` tells them
-    apart.  One pass: (key, side, offset) is unique, so a pair is one aggregate.
+    apart.  One pass: (key, side, offset) is unique, so a pair is one aggregate; of
+    repeated ones the greatest row counts.  With a column ``chunk`` the bytes travel
+    instead of their hex text, which sorts alike, and only rows that differ are formatted.
     """
-    both = rows.groupBy(key, "offset").agg(F.max(F.when(~F.col(right), F.col("hex"))).alias("left_hex"),
-                                           F.max(F.when(F.col(right), F.col("hex"))).alias("right_hex"))
-    return both.filter(~F.col("left_hex").eqNullSafe(F.col("right_hex")))
+    raw = "chunk" in rows.columns
+    value = "chunk" if raw else "hex"
+    both = rows.groupBy(key, "offset").agg(F.max(F.when(~F.col(right), F.col(value))).alias("left_hex"),
+                                           F.max(F.when(F.col(right), F.col(value))).alias("right_hex"))
+    differ = both.filter(~F.col("left_hex").eqNullSafe(F.col("right_hex")))
+    return differ.select(key, "offset", *[_hex_text(F.col(c)).alias(c) for c in ("left_hex", "right_hex")]) if raw else differ

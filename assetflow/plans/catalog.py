@@ -376,8 +376,8 @@ def file_align_unique(spark, sf_dir):
     return align.aligned_diff(views.lines(spark, sf_dir), views.edited_lines(spark, sf_dir), minimal=False)
 
 
-def _hex(spark, sf_dir):
-    return search.hex_rows(views.assets(spark, sf_dir).select("doc_id", "path", "content"), key="doc_id")
+def _hex(spark, sf_dir, chunk=False):
+    return search.hex_rows(views.assets(spark, sf_dir).select("doc_id", "path", "content"), key="doc_id", chunk=chunk)
 
 
 @query("hex_rows")
@@ -435,7 +435,7 @@ def grayscale(spark, sf_dir):
 
 @query("hex_diff")
 def hex_diff(spark, sf_dir):
-    hx = _hex(spark, sf_dir).select("offset", "hex", F.floor(F.col("doc_id") / 2).cast("long").alias("pair"),
+    hx = _hex(spark, sf_dir, chunk=True).select("offset", "chunk", F.floor(F.col("doc_id") / 2).cast("long").alias("pair"),
                                     (F.col("doc_id") % 2 == 1).alias("is_right"))
     return search.hex_diff(hx)
 
