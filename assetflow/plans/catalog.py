@@ -414,17 +414,20 @@ def parallel_listing(spark, sf_dir):
     return files.list_files_parallel(spark, _images(spark, sf_dir)).select("relpath", "size")
 
 
+def _image_info(spark, sf_dir):
+    root = _images(spark, sf_dir)
+    listing = files.list_files_parallel(spark, root)
+    return files.with_image_info(listing, files.image_info(spark, root, listing))
+
+
 @query("image_dims")
 def image_dims(spark, sf_dir):
-    root = _images(spark, sf_dir)
-    met = files.with_image_info(files.list_files(spark, root), files.read_images(spark, root))
-    return met.filter("valid").select(_image_id(F.col("path")), "height", "width", "size")
+    return _image_info(spark, sf_dir).filter("valid").select(_image_id(F.col("path")), "height", "width", "size")
 
 
 @query("invalid_assets")
 def invalid_assets(spark, sf_dir):
-    root = _images(spark, sf_dir)
-    return files.with_image_info(files.list_files(spark, root), files.read_images(spark, root)).filter("not valid").select(_image_id(F.col("path")), "size")
+    return _image_info(spark, sf_dir).filter("not valid").select(_image_id(F.col("path")), "size")
 
 
 @query("grayscale")

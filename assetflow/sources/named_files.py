@@ -15,6 +15,8 @@ Paths are anything pyarrow opens (local, hdfs, s3, gcs).
 
 from __future__ import annotations
 
+import io
+import json
 import re
 import uuid
 from dataclasses import dataclass
@@ -29,6 +31,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 RANGE_BYTES = 1 << 20
 PARTITION_BYTES = 64 << 20
 _PIECE = 1 << 20
+_NAMES = 1000             # names in a line of a manifest
 
 
 def open_path(path: str) -> tuple[pafs.FileSystem, str]:
@@ -45,7 +48,7 @@ def checked(name: str | None) -> str:
 @dataclass
 class _Parts(WriterCommitMessage):
     partition: int
-    parts: list[tuple[str, str]]          # (file, staged part) in the order written
+    manifest: str | None                  # staged file with the names (file, part) in the order written; none without files
 
 
 class _Writer(DataSourceArrowWriter):
@@ -70,16 +73,25 @@ class _Writer(DataSourceArrowWriter):
         finally:
             if out is not None:
                 out.close()
+        manifest = None
+        if parts:       # the names stay beside the parts: a message does not grow with the files
+            manifest = uuid.uuid4().hex
+            with fs.open_output_stream(f"{stage}/{manifest}", compression=None) as names:
+                for at in range(0, len(parts), _NAMES):
+                    names.write((json.dumps(parts[at:at + _NAMES]) + "\n").encode())
         task = TaskContext.get()
-        return _Parts(task.partitionId() if task else 0, parts)
+        return _Parts(task.partitionId() if task else 0, manifest)
 
     def commit(self, messages):
         fs, root = open_path(self.path)
         stage = f"{root}/{self.staging}"
         files: dict[str, list[str]] = {}
         for m in sorted((m for m in messages if m), key=lambda m: m.partition):
-            for name, part in m.parts:
-                files.setdefault(name, []).append(part)
+            if m.manifest:
+                with fs.open_input_stream(f"{stage}/{m.manifest}", compression=None) as src:
+                    for line in io.BufferedReader(src):
+                        for name, part in json.loads(line):
+                            files.setdefault(name, []).append(part)
         for name, parts in files.items():
             whole = parts[0]
             if len(parts) > 1:

@@ -228,3 +228,36 @@ def test_score_report_on_real_files(spark, tmpdir_path):
     v2 = score_report.refresh_predictions(spark, f"{tmpdir_path}/imgs", detector, f"{tmpdir_path}/cache/v1",
                                           f"{tmpdir_path}/cache/v2")
     assert v2.count() == 12 and calls.value == 12   # second run: every image was a cache hit
+
+
+def test_image_info_in_rounds(spark, tmpdir_path):
+    """Folders inside folders, odd names and several rounds give what one read of all gives."""
+    from assetflow.functions import png
+    from assetflow.sources import named_files
+    names = ["top.png", "a/1.png", "a/b=1/2.png", "a/b=1/c/3.png", "d [x]*/4 {5}.png", "e%20+f/6.png", "g/7.png", "g/8.png", "g/9.png"]
+    rows = spark.createDataFrame([(n, [k] * 6) for k, n in enumerate(names)], "file string, px array<int>")
+    content = F.when(F.col("file") == "g/8.png", F.lit("broken").cast("binary")).otherwise(png.encode(F.col("px"), F.lit(2), F.lit(3)))
+    named_files.write_files(rows.select("file", content.alias("content")), tmpdir_path)
+    want = sorted(tuple(r) for r in files.read_images(spark, tmpdir_path).select("path", "height", "width", "valid").collect())
+    assert len(want) == len(names) and sum(not r[3] for r in want) == 1
+    for root in (tmpdir_path, "file://" + tmpdir_path):
+        listing = files.list_files_parallel(spark, root)
+        for most in (1, 2, 100):
+            assert sorted(tuple(r) for r in files.image_info(spark, root, listing, most).collect()) == want
+    none = files.list_files_parallel(spark, tmpdir_path + "/none")
+    assert files.image_info(spark, tmpdir_path, none).count() == 0
+
+
+def test_commit_messages_do_not_grow_with_the_files(tmpdir_path):
+    import pickle
+    import pyarrow as pa
+    from assetflow.sources import named_files
+
+    def message(n):
+        batch = pa.RecordBatch.from_arrays([pa.array([f"f{k}" for k in range(n)]), pa.array([b"x"] * n)], names=["file", "content"])
+        writer = named_files._Writer({"path": f"{tmpdir_path}/out{n}"})
+        got = writer.write(iter([batch]))
+        writer.commit([got])
+        assert len([f for f in os.listdir(f"{tmpdir_path}/out{n}") if f.startswith("f")]) == n
+        return len(pickle.dumps(got))
+    assert message(2500) == message(1)
