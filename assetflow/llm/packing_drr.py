@@ -27,10 +27,11 @@ from __future__ import annotations
 import re
 import zlib
 from fractions import Fraction
-from itertools import accumulate
+from itertools import accumulate, filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,16 +46,23 @@ GRAIN = 128               # tokens of a small source in a row
 _RANGE = 50_000           # grains sorted by one task
 _CACHE = 400_000
 _PLAIN = re.compile(r"[\x1c-\x1fɐ-\U0010ffff]|<\|")      # texts with these take the slow way
+# and those with spaces beyond ASCII, or a letter whose lower case is two, are taken one by one
+_ODD = r"[\x1c-\x1f\x{85}\x{a0}\x{130}\x{250}-\x{10ffff}]|<\|"
 _SPACES = re.compile(r"[ \t\n\r]+")
-_WORD = re.compile("([a-zß-öø-ÿ]+)([.,!&%$*#|;:?]*)")
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
+_CORE = r"^[a-z\x{df}-\x{f6}\x{f8}-\x{ff}]+$"
+_MARKS = ".,!&%$*#|;:?"
+_STEP = 50_000            # words of a text looked up together
+_GROUP = 1 << 22          # bytes of texts split together
 
 
 class WordIds(dict):
     """Ids (as bytes) of white-space separated words, by the tokenizer file's model; bounded.
 
     No token and no normalisation of the word-end BPE crosses white space, so a
-    text's ids are its words' ids in order.  ``self[word]`` expects lower case;
-    ``exact`` takes a word as it stands.
+    text's ids are its words' ids in order.  Words are kept without the marks behind
+    them; those not known yet are learnt together: their letters in one call of the
+    model, cut at the tokens that end a word.  ``self[word]`` expects lower case; ``exact`` takes a word as it stands.
     """
 
     def __init__(self, path: str):
@@ -62,27 +70,20 @@ class WordIds(dict):
         from tokenizers import Tokenizer, pre_tokenizers
         self.full = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.full.get_vocab_size() <= 1 << 16 else "<u4")
-        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.alphabet = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
-        self.tokenize = self.full.model.tokenize
+        # the same model for lower-case letters between spaces, a-z or any, where the file's other steps change nothing
+        split = pre_tokenizers.WhitespaceSplit()
+        self.ascii, self.letters = Tokenizer(self.full.model), Tokenizer(self.full.model)
+        self.ascii.pre_tokenizer = split
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([split, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(self.full.get_vocab_size(), bool)
+        self.ends[[k for token, k in self.full.get_vocab().items() if token.endswith(self.full.model.end_of_word_suffix or "\n")]] = True
         self.slow: dict[str, bytes] = {}
 
     def _pack(self, ids) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= _CACHE:
-            self.clear()
-        m = _WORD.fullmatch(word)
-        if m is None:
-            got = self.exact(word)
-        elif m[2]:
-            got = self[m[1]] + self.exact(m[2])
-        else:
-            got = self._pack([t.id for t in self.tokenize(word.translate(self.alphabet))])
-        if len(word) <= 64:
-            self[word] = got
-        return got
+        return self.exact(word)
 
     def exact(self, word: str) -> bytes:
         if word not in self.slow:
@@ -94,10 +95,87 @@ class WordIds(dict):
             self.slow[word] = got
         return self.slow[word]
 
+    def spelled(self, words: list[str], model) -> list[bytes]:
+        """Ids of words of lower-case letters only."""
+        ids = np.array(model.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.dtype)
+        cuts = ((np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize).tolist()
+        if len(cuts) != len(words):         # a model whose words do not end with such a token
+            return [self.exact(w) for w in words]
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *cuts], cuts)]
+
+    def learn(self, words: list[str]) -> None:
+        """Add the ids of new words without marks at their end; long ones are not kept."""
+        plain = [w for w in words if w.isascii() and w.isalpha() and len(w) <= 64]
+        wide = []
+        for word in set(words).difference(plain) if len(plain) < len(words) else ():
+            if len(word) > 64:
+                continue
+            if _LETTERS.fullmatch(word):
+                wide.append(word)
+            else:
+                self[word] = self.exact(word)
+        for some, model in ((plain, self.ascii), (wide, self.letters)):
+            if some:
+                self.update(zip(some, self.spelled(some, model)))
+
+    def ids(self, words: pa.Array) -> pa.Array:
+        """Ids of distinct lower-case words: marks after letters are taken off, as they are tokens of their own."""
+        core = pc.utf8_rtrim(words, characters=_MARKS)
+        core = pc.if_else(pc.match_substring_regex(core, _CORE), core, words)
+        coded = core.dictionary_encode()
+        cores = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        got = list(map(self.get, cores))
+        new = [k for k, ids in enumerate(got) if ids is None]
+        if new:
+            if len(self) + len(new) > _CACHE:
+                self.clear()
+            self.learn([cores[k] for k in new])
+            for k in new:
+                got[k] = self[cores[k]]
+        ids = pa.array(got, pa.large_binary()).take(coded.indices)
+        marks = pc.not_equal(pc.binary_length(words), pc.binary_length(core))
+        if pc.any(marks).as_py():
+            full, bare = (x.filter(marks).to_numpy(zero_copy_only=False).tolist() for x in (words, core))
+            tails = pa.array([self.exact(w[len(c):]) for w, c in zip(full, bare)], pa.large_binary())
+            none = pa.scalar(b"", pa.large_binary())
+            ids = pc.binary_join_element_wise(ids, pc.replace_with_mask(pa.repeat(none, len(words)), marks, tails), none)
+        return ids
+
     def text(self, text: str) -> bytes:
         if _PLAIN.search(text):
             return b"".join([self.exact(w) for w in _SPACES.split(text) if w])
-        return b"".join([self[w] for w in text.lower().split()])
+        words, got = text.lower().split(), []
+        for at in range(0, len(words), _STEP):
+            some = pa.array(words[at:at + _STEP], pa.large_string()).dictionary_encode()
+            got += self.ids(some.dictionary).take(some.indices).to_pylist()
+        return b"".join(got)
+
+    def texts(self, texts: pa.Array) -> list[bytes]:
+        """Ids of many texts: they are split, and their distinct words numbered, as Arrow arrays."""
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        odd = odd | (size > _GROUP)
+        out: list[bytes] = [b""] * len(texts)
+        for at in np.flatnonzero(odd).tolist():
+            out[at] = self.text(texts[at].as_py())
+        even = np.flatnonzero(~odd)
+        for group in np.split(even, np.flatnonzero(np.diff(np.cumsum(size[even], dtype=np.int64) // _GROUP)) + 1):
+            if len(group):
+                self._group(texts.take(pa.array(group)), group.tolist(), out)
+        return out
+
+    def _group(self, texts: pa.Array, places: list[int], out: list[bytes]) -> None:
+        split = pc.ascii_split_whitespace(pc.utf8_lower(texts))
+        words = split.flatten().dictionary_encode()
+        if not len(words):
+            return
+        ids = self.ids(words.dictionary).take(words.indices)
+        _, ends, data = ids.buffers()
+        cuts = np.frombuffer(ends, np.int64)[np.asarray(split.offsets)].tolist()
+        raw = memoryview(data)
+        for at, a, b in zip(places, cuts, cuts[1:]):
+            out[at] = raw[a:b].tobytes()
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -121,8 +199,8 @@ def tokenise(docs: DataFrame, queues: list[str], path: str, id_col: str, text_co
         end = np.array([END_ID], words.dtype).tobytes()
         for b in batches:
             queue, small, before, n, ids = [], [], [], [], []
-            for text, source in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                got = words.text(text) + end
+            for got, source in zip(words.texts(b.column(1)), b.column(2).to_pylist()):
+                got += end
                 q = (source, "") if source in own else (None, source or "")
                 queue.append(q[0]), small.append(q[1]), before.append(used.get(q, 0)), ids.append(got), n.append(len(got) // words.dtype.itemsize)
                 used[q] = before[-1] + n[-1]

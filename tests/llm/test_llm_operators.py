@@ -647,3 +647,27 @@ def test_queries_are_registered():
     names = set(E.queries())
     assert {"pipeline", *catalog.QUERIES} <= names and len(catalog.QUERIES) == 13
     assert set(E.oracle_sql()) <= names
+
+
+def test_words_of_a_batch_are_learnt_in_one_call(monkeypatch):
+    """A batch's ids equal the tokenizer's; its new words reach the model together, and each distinct word is looked up once."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    words = packing_drr.WordIds(catalog.TOKENIZER)
+    texts = ["", "  ", "The thons, the THONS! x\x0b\x0cy", "naïve Été. ßÿ İz İ ı š", "a.b 12 'tis it's <|endoftext|>", "w" * 70 + ", " + "w" * 70, "你好 café"]
+    texts += [" ".join(f"w{chr(97 + (k * 7 + j) % 26)}{chr(97 + j % 26)}{'.' * (j % 2)}" for j in range(40)) for k in range(20)]
+    calls = []
+    spelled = words.spelled
+    monkeypatch.setattr(words, "spelled", lambda some, model: calls.append(len(some)) or spelled(some, model))
+    got = words.texts(pa.array(texts))
+    # a text with a word over 64 letters or beyond Latin goes its own way; the others are one group: plain and accented words
+    assert len(calls) <= 2 + 4 and max(calls) > 20
+    full = words.full
+    want = [full.encode(t, add_special_tokens=False).ids for t in texts]
+    for t, ids, w in zip(texts, got, want):
+        assert np.frombuffer(ids, words.dtype).tolist() == w, t
+    monkeypatch.setattr(packing_drr, "_GROUP", 60), monkeypatch.setattr(packing_drr, "_CACHE", 30), monkeypatch.setattr(packing_drr, "_STEP", 3)
+    assert packing_drr.WordIds(catalog.TOKENIZER).texts(pa.array(texts)) == got
+    # letters that Arrow lower-cases as the tokenizer does
+    latin = [chr(c) for c in range(1, 0x250) if c != 0x130]
+    assert pc.utf8_lower(pa.array(latin)).to_pylist() == [c.lower() for c in latin]
