@@ -416,7 +416,7 @@ def parallel_listing(spark, sf_dir):
 
 def _image_info(spark, sf_dir):
     root = _images(spark, sf_dir)
-    listing = files.list_files_parallel(spark, root)
+    listing = files.list_files_parallel(spark, root).filter("size > 0")      # like Spark's own scans, which pass over empty files
     return files.with_image_info(listing, files.image_info(spark, root, listing))
 
 

@@ -261,3 +261,11 @@ def test_commit_messages_do_not_grow_with_the_files(tmpdir_path):
         assert len([f for f in os.listdir(f"{tmpdir_path}/out{n}") if f.startswith("f")]) == n
         return len(pickle.dumps(got))
     assert message(2500) == message(1)
+
+
+def test_empty_files_are_no_assets(spark, tmpdir_path):
+    from assetflow.plans import catalog
+    rows = [(n, None if n in (3, 5) else [float(n + k) for k in range(64)]) for n in range(12)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmpdir_path}/embeddings.parquet")
+    assert sorted(map(tuple, catalog.invalid_assets(spark, tmpdir_path).collect())) == [(10, 20)]
+    assert sorted(r["image_id"] for r in catalog.image_dims(spark, tmpdir_path).collect()) == [0, 1, 2, 4, 6, 7, 8, 9, 11]
