@@ -16,7 +16,8 @@ frequent lines, at the price of a script that need not be the shortest.  Moved b
 only cost their own stretch: pairs that nothing crosses need no sorting out.
 
 Lines travel as digests and positions; running values are computed in blocks of
-BLOCK lines and carried over them, so a single huge file is spread too.
+BLOCK lines and carried over them, so a single huge file is spread too.  Where no
+file is longer than a block there is nothing to carry and no need to join.
 """
 
 from __future__ import annotations
@@ -32,14 +33,22 @@ from assetflow.session import scratch_table
 BLOCK = 1 << 16
 
 
-def running(df: DataFrame, keys: list[str], pos: str, values: dict[str, tuple], block: int | None = None) -> DataFrame:
+def running(df: DataFrame, keys: list[str], pos: str, values: dict[str, tuple], block: int | None = None, spread: bool = True) -> DataFrame:
     """``df`` with running aggregates over the rows of ``keys`` with a smaller ``pos`` (a larger one if descending).
 
     ``values``: name -> (kind, column, descending) with kind ``max``, ``min`` or ``sum``; null
     (0 for sums) where no row comes before.  Rows with equal ``pos`` do not see each other.
+    Without ``spread`` the rows of ``keys`` are few enough (see ``_long``) to be one block: nothing is carried.
     """
     size = block or BLOCK
     agg = {"max": F.max, "min": F.min, "sum": F.sum}
+    if not spread:
+        out = df
+        for name, (kind, c, down) in values.items():
+            here = Window.partitionBy(*keys).orderBy(F.col(pos) * (-1 if down else 1)).rangeBetween(Window.unboundedPreceding, -1)
+            got = agg[kind](c).over(here)
+            out = out.withColumn(name, F.coalesce(got, F.lit(0)) if kind == "sum" else got)
+        return out.select(*df.columns, *values)
     part = F.floor(F.col(pos) / size)
     cut = df.withColumn("__block", part)
     totals = cut.groupBy(*keys, "__block").agg(*[agg[kind](c).alias(f"__{name}") for name, (kind, c, _) in values.items()])
@@ -64,6 +73,11 @@ def running(df: DataFrame, keys: list[str], pos: str, values: dict[str, tuple],
     return met.select(*df.columns, *both)
 
 
+def _long(lines: DataFrame) -> bool:
+    """Whether a line's place is outside the first block; positions are unique, so else no file has more lines than a block."""
+    return not lines.filter((F.col("pos") < 0) | (F.col("pos") >= BLOCK)).isEmpty()
+
+
 # --- small helpers inside tasks -------------------------------------------------
 
 
@@ -143,18 +157,18 @@ def _digest(value: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(value, F.lit("")).cast("binary")))
 
 
-def _uncrossed(pairs: DataFrame, keys: list[str]) -> DataFrame:
+def _uncrossed(pairs: DataFrame, keys: list[str], spread: bool) -> DataFrame:
     """``pairs (keys, i, j, lo_i, hi_i, lo_j, hi_j, single)`` with ``free``: single pairs that no other row's positions cross."""
     # a text that begins before i on the left must end before j on the right, and so on backwards
-    before = running(pairs, keys, "lo_i", {"reach": ("max", F.col("hi_j"), False)})
-    after = running(before, keys, "hi_i", {"from": ("min", F.col("lo_j"), True)})
+    before = running(pairs, keys, "lo_i", {"reach": ("max", F.col("hi_j"), False)}, spread=spread)
+    after = running(before, keys, "hi_i", {"from": ("min", F.col("lo_j"), True)}, spread=spread)
     free = (F.col("single") & F.coalesce(F.col("reach") < F.col("j"), F.lit(True)) & F.coalesce(F.col("from") > F.col("j"), F.lit(True)))
     return after.withColumn("free", free).drop("reach", "from")
 
 
-def _increasing(free: DataFrame, keys: list[str]) -> DataFrame:
+def _increasing(free: DataFrame, keys: list[str], spread: bool) -> DataFrame:
     """The pairs of a longest increasing sequence among unique lines; uncrossed ones cut the rest into short lists."""
-    counted = running(free, keys, "i", {"part": ("sum", F.col("free").cast("long"), False)})
+    counted = running(free, keys, "i", {"part": ("sum", F.col("free").cast("long"), False)}, spread=spread)
     lists = (counted.filter(~F.col("free")).groupBy(*keys, "part")
              .agg(F.sort_array(F.collect_list(F.struct("i", "j"))).alias("ij")))
 
@@ -168,7 +182,7 @@ def _increasing(free: DataFrame, keys: list[str]) -> DataFrame:
     return free.filter("free").select(*keys, "i", "j").unionByName(chosen)
 
 
-def anchors(lines: DataFrame, keys: list[str], minimal: bool) -> DataFrame:
+def anchors(lines: DataFrame, keys: list[str], minimal: bool, spread: bool = True) -> DataFrame:
     """``(keys, i, j)`` at which both files are cut; ``lines``: ``(keys, left, pos, digest)``."""
     left, right = F.when(F.col("left"), F.col("pos")), F.when(~F.col("left"), F.col("pos"))
     texts = lines.groupBy(*keys, "digest").agg(
@@ -177,21 +191,21 @@ def anchors(lines: DataFrame, keys: list[str], minimal: bool) -> DataFrame:
     single = (F.col("nl") == 1) & (F.col("nr") == 1)
     pairs = texts.select(*keys, F.col("lo_i").alias("i"), F.col("lo_j").alias("j"), "lo_i", "hi_i", "lo_j", "hi_j", single.alias("single"))
     if minimal:
-        return _uncrossed(scratch_table(pairs, "align-pairs"), keys).filter("free").select(*keys, "i", "j")
-    return _increasing(scratch_table(_uncrossed(scratch_table(pairs.filter("single"), "align-pairs"), keys), "align-unique"), keys)
+        return _uncrossed(scratch_table(pairs, "align-pairs"), keys, spread).filter("free").select(*keys, "i", "j")
+    return _increasing(scratch_table(_uncrossed(scratch_table(pairs.filter("single"), "align-pairs"), keys, spread), "align-unique"), keys, spread)
 
 
 # --- the diff ---------------------------------------------------------------------
 
 
-def kept_lines(lines: DataFrame, keys: list[str], minimal: bool = True) -> DataFrame:
+def kept_lines(lines: DataFrame, keys: list[str], minimal: bool = True, spread: bool = True) -> DataFrame:
     """``(keys, i, j)``: left line i stays as right line j; ``lines``: ``(keys, left, pos, digest)``, positions unique per side."""
-    cut = scratch_table(anchors(lines, keys, minimal), "align-anchors")
+    cut = scratch_table(anchors(lines, keys, minimal, spread), "align-anchors")
     sides = (cut.select(*keys, F.lit(True).alias("left"), F.col("i").alias("pos"), F.lit(1).alias("anchor"))
              .unionByName(cut.select(*keys, F.lit(False).alias("left"), F.col("j").alias("pos"), F.lit(1).alias("anchor"))))
     marked = lines.join(sides, [*keys, "left", "pos"], "left").withColumn("anchor", F.coalesce("anchor", F.lit(0)))
     placed = running(marked, [*keys, "left"], "pos", {
-        "part": ("sum", F.col("anchor"), False), "since": ("max", F.when(F.col("anchor") == 1, F.col("pos")), False)})
+        "part": ("sum", F.col("anchor"), False), "since": ("max", F.when(F.col("anchor") == 1, F.col("pos")), False)}, spread=spread)
     # parts are numbered by the anchors before them: alike on both sides, as anchors never cross
     loose = placed.filter("anchor = 0").select(*keys, "part", "left", "pos", "digest", (F.col("pos") - F.coalesce("since", F.lit(-1))).alias("nth"))
     loose = scratch_table(loose, "align-loose")
@@ -240,11 +254,12 @@ def aligned_diff(left: DataFrame, right: DataFrame, keys="file", line_no: str =
               for df, side in ((left, True), (right, False))]
     every = tagged[0].unionByName(tagged[1])
     lines = scratch_table(every.select(*keys, "left", "pos", _digest(F.col("value")).alias("digest")), "align-lines")
-    kept = scratch_table(kept_lines(lines, keys, minimal), "align-kept")
+    spread = _long(lines)
+    kept = scratch_table(kept_lines(lines, keys, minimal, spread), "align-kept")
     mates = (kept.select(*keys, F.lit(True).alias("left"), F.col("i").alias("pos"), F.col("j").alias("mate"))
              .unionByName(kept.select(*keys, F.lit(False).alias("left"), F.col("j").alias("pos"), F.col("i").alias("mate"))))
     met = lines.drop("digest").join(mates, [*keys, "left", "pos"], "left")
-    placed = running(met, [*keys, "left"], "pos", {"other_no": ("max", F.col("mate"), False)}).filter("mate is null").drop("mate")
+    placed = running(met, [*keys, "left"], "pos", {"other_no": ("max", F.col("mate"), False)}, spread=spread).filter("mate is null").drop("mate")
     own = F.col("l.left") == F.col("r.left")
     for k in keys:
         own = own & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))

@@ -103,3 +103,23 @@ def test_empty_and_null_files(spark):
     some = spark.createDataFrame([("f", 1, "x"), (None, 1, "y")], schema)
     assert align.aligned_diff(none, none).count() == 0
     assert {tuple(r) for r in align.aligned_diff(some, none).collect()} == {("f", "-", 1, None, "x"), (None, "-", 1, None, "y")}
+
+
+@pytest.mark.parametrize("minimal", [True, False])
+def test_short_files_are_not_joined_with_carried_values(spark, monkeypatch, minimal):
+    files = {f: p for f, p in versions().items()}
+    rows = [[(f if f != "f3" else None, i + 1, v) for f, pair in files.items() for i, v in enumerate(pair[s])] for s in (0, 1)]
+    left, right = (spark.createDataFrame(x, "file string, line_no int, value string") for x in rows)
+    used, plain = [], align.running
+    monkeypatch.setattr(align, "running", lambda *a, **k: used.append(k["spread"]) or plain(*a, **k))
+    short = sorted(map(tuple, align.aligned_diff(left, right, minimal=minimal).collect()), key=str)
+    assert used and not any(used)
+    used.clear()
+    monkeypatch.setattr(align, "BLOCK", 9)
+    assert sorted(map(tuple, align.aligned_diff(left, right, minimal=minimal).collect()), key=str) == short
+    assert used and all(used)
+    few = spark.createDataFrame([(None, 1, 5), (None, 4, 2), ("a", 2, 7)], "k string, pos long, v long")
+    values = {"m": ("max", F.col("v"), False), "n": ("min", F.col("v"), True), "s": ("sum", F.col("v"), False)}
+    one, many = (plain(few, ["k"], "pos", values, spread=x) for x in (False, True))
+    assert sorted(map(tuple, one.collect()), key=str) == sorted(map(tuple, many.collect()), key=str)
+    assert "Join" not in one._jdf.queryExecution().optimizedPlan().toString()
